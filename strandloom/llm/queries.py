@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 
+#: Bytes of text in a shard of op6.
+SHARD_BYTES = 4 << 20
+
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import content_sort_dedup
@@ -15,12 +18,87 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, predict, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    return predict(docs, train(docs.filter(~docs["held_out"])), ["doc_id", "held_out"])
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_report
+
+    return mix_report(documents(spark, sf_dir), target_entropy=0.95)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_report
+
+    return shard_report(documents(spark, sf_dir), limit=SHARD_BYTES)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import default_vocabulary, pack
+
+    return pack(documents(spark, sf_dir), default_vocabulary(), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
+    "op7_packing": op7_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 ORACLES: dict[str, str] = {
+    "op5_mixing": """
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, coalesce(source, '') AS source,
+                   ('0x' || substr(md5(coalesce(source, '') || '|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 256 AS block,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+            FROM documents),
+        blocks AS (SELECT source, block, sum(n_tokens)::BIGINT AS block_tokens FROM docs GROUP BY 1, 2),
+        sources AS (SELECT source, sum(block_tokens)::BIGINT AS tokens FROM blocks GROUP BY 1 HAVING sum(block_tokens) > 0),
+        whole AS (SELECT sum(tokens)::DOUBLE AS total, count(*) AS n FROM sources),
+        shares AS (SELECT source, tokens, tokens / total AS p FROM sources, whole),
+        -- bisection: at each step the entropy at the middle decides which half to keep
+        bisect(step, low, high) AS (
+            SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+            UNION ALL
+            SELECT step + 1, CASE WHEN ok THEN (low + high) / 2 ELSE low END, CASE WHEN ok THEN high ELSE (low + high) / 2 END
+            FROM (SELECT step, low, high,
+                         (SELECT -sum(w * ln(w)) FROM (SELECT pow(p, (low + high) / 2) / (SELECT sum(pow(q.p, (low + high) / 2)) FROM shares q) AS w FROM shares))
+                         >= 0.95::DOUBLE * (SELECT ln(n) FROM whole) - 1e-12::DOUBLE AS ok
+                  FROM bisect WHERE step < 60)),
+        chosen AS (SELECT CASE WHEN (SELECT -sum(p * ln(p)) FROM shares) >= 0.95::DOUBLE * (SELECT ln(n) FROM whole) - 1e-12::DOUBLE
+                               THEN 1.0::DOUBLE ELSE (SELECT round(low, 9) FROM bisect WHERE step = 60) END AS a),
+        weights AS (SELECT source, tokens, round(pow(p, a) / sum(pow(p, a)) OVER (), 12) AS weight FROM shares, chosen),
+        drawn AS (SELECT source, tokens, weight, floor(weight * total)::BIGINT AS drawn FROM weights, whole),
+        planned AS (
+            SELECT b.source, b.block, weight, drawn // tokens AS whole_epochs, drawn % tokens AS rest,
+                   row_number() OVER o AS block_rank, sum(block_tokens) OVER o AS up_to
+            FROM blocks b LEFT JOIN drawn d ON b.source = d.source
+            WINDOW o AS (PARTITION BY b.source ORDER BY ('0x' || substr(md5(concat_ws('|', b.source, (drawn // tokens)::VARCHAR, b.block::VARCHAR)), 1, 15))::BIGINT, b.block
+                         ROWS UNBOUNDED PRECEDING))
+        SELECT doc_id, d.source, n_tokens, d.block, block_rank, round(coalesce(weight, 0), 9) AS weight,
+               CASE WHEN weight IS NULL THEN 1 ELSE whole_epochs + CASE WHEN up_to <= rest THEN 1 ELSE 0 END END AS copies
+        FROM docs d JOIN planned p ON d.source = p.source AND d.block = p.block""",
+    "op6_sharding": f"""
+        WITH docs AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
+                             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents),
+        levels AS (SELECT d::INTEGER AS depth FROM range(0, 61) t(d)),
+        sums AS (SELECT depth, hash >> (60 - depth) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs,
+                        sum(n_bytes) <= {SHARD_BYTES} OR min(hash) = max(hash) AS fits
+                 FROM docs, levels GROUP BY 1, 2),
+        leaf AS (SELECT doc_id, n_bytes, hash, min(s.depth) AS depth
+                 FROM docs, levels l JOIN sums s ON s.depth = l.depth
+                 WHERE s.prefix = hash >> (60 - l.depth) AND s.fits GROUP BY 1, 2, 3)
+        SELECT doc_id, n_bytes, CASE WHEN l.depth = 0 THEN '' ELSE left(lpad(bin(hash), 60, '0'), l.depth) END AS shard, l.depth, shard_bytes, shard_docs
+        FROM leaf l JOIN sums s ON s.depth = l.depth AND s.prefix = hash >> (60 - l.depth)""",
     "op10_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
