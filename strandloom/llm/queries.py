@@ -12,12 +12,24 @@ from .common import documents
 SHARD_BYTES = 4 << 20
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), window=20).drop("kept_text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import content_sort_dedup
 
     return content_sort_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir), k=3, percent=90)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import held_out, predict, train
 
@@ -46,10 +58,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_language_id": op3_language_id,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
