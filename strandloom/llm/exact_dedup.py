@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, materialise, text_buffer
 
+#: Ids to drop are broadcast up to this many, else joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
 _LEAD = 16
 _KEYED = "id long, lead binary, digest binary, norm binary"
 _RUNS = "id long, text_sha256 string, keep_id long, group_size long, chosen boolean, edge long, edge_text binary"
@@ -107,3 +110,30 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         (F.col("chosen") & (~spans | (F.col("edge") == F.col("winner")))).alias("kept"),
         "text_sha256",
     )
+
+
+def without_ids(df: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of `df` whose id isn't in the one column of `gone`; rows with a null id stay."""
+    gone = materialise(gone.toDF(id_col).distinct())
+    few = gone.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows of `df` that content_sort_dedup keeps, with all their columns.
+
+    Ids are taken to tell rows apart.  Where they don't (a repeated or null id), the rows of that id are told apart by
+    their texts, and one row of each text kept under that id stays.
+    """
+    found = materialise(content_sort_dedup(df, id_col, text_col, keep).select("doc_id", "kept", "text_sha256"))
+    per = found.groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("n"))
+    odd = materialise(per.filter("doc_id is null or n > 1 and stay between 1 and n - 1").select("doc_id"))
+    rest = without_ids(df.filter(F.col(id_col).isNotNull()), per.filter("stay = 0").select("doc_id").unionByName(odd), id_col)
+    if not odd.limit(1).count():
+        return rest
+    kept = found.filter("kept").join(odd, found["doc_id"].eqNullSafe(odd["doc_id"]), "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), upper, lower), 256)
+    same = df.join(odd.withColumnRenamed("doc_id", "__id").distinct(), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").withColumn("__digest", sha)
+    same = same.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi").dropDuplicates([id_col, "__digest"])
+    return rest.unionByName(same.select(*[F.col(f"`{c}`") for c in df.columns]))
