@@ -133,7 +133,7 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             while open_tags and tag in _BLOCK and open_tags[-1][0] in ("p", "li") and (open_tags[-1][0] == "p" or tag == "li"):  # these end by themselves
                 place = open_tags.pop()[1]
             if tag in ("article", "main"):  # a menu, header or form left open doesn't hold the article
-                while open_tags and open_tags[-1][0] in ("nav", "header", "form", "ul", "ol", "menu"):
+                while open_tags and open_tags[-1][0] in ("nav", "header", "form", "ul", "ol", "li", "p", "menu"):
                     place = open_tags.pop()[1]
             inside = _place_of(tag, m.group(4), place)
             if inside != place and tag not in _BLOCK:
