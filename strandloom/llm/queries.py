@@ -36,6 +36,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), k=3, percent=90)
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .progressive_jpeg import encode_media, read_back
+
+    return read_back(encode_media(documents(spark, sf_dir)))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import held_out, predict, train
 
@@ -43,6 +49,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs.filter(~docs["held_out"])), ["doc_id", "held_out"])
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import score_texts
+
+    return score_texts(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_report
 
@@ -65,7 +77,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_media": op2_media,
     "op3_language_id": op3_language_id,
+    "op4_lm_score": op4_lm_score,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
