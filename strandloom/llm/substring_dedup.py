@@ -125,26 +125,28 @@ def _minimisers(h: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray
     return code, least, chosen, whole
 
 
-def _blobs(ids: np.ndarray, places: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Places by id, each id's as one binary of int64."""
+def _runs(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring places of one id as runs: ids, first places, lengths."""
     order = np.lexsort((places, ids))
     ids, places = ids[order], places[order]
-    starts = runs_of(ids)
-    return ids[starts[:-1]].tolist(), [places[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])  # a repeated row brings a place again
+    ids, places = ids[new], places[new]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (places[1:] != places[:-1] + 1)
+    starts = np.flatnonzero(new)
+    return ids[starts], places[starts], np.diff(np.append(starts, len(ids)))
 
 
-_ROWS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("blob", pa.binary())])
+_ROWS = ["anchor", "key", "id", "place", "n"]
 
 
-def _rows(key: np.ndarray, ids: np.ndarray, place: np.ndarray, settled_ids: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
-    """Windows to look for elsewhere, and places already known (dealt by id)."""
-    known, blobs = _blobs(settled_ids, settled)
-    n, m = len(key), len(known)
-    spread = mix(np.array(known, np.int64).view(np.uint64)).view(np.int64)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([key.view(np.int64), spread])), pa.array(np.concatenate([ids, np.array(known, np.int64)])),
-        pa.array(np.concatenate([place, np.full(m, -1, np.int64)])), pa.array([None] * n + blobs, pa.binary()),
-    ], schema=_ROWS)
+def _rows(anchor: np.ndarray, key: np.ndarray, ids: np.ndarray, place: np.ndarray, settled_ids: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
+    """Windows to look for elsewhere (n is 0), and runs of n places already known, dealt by id."""
+    known, start, n = _runs(settled_ids, settled)
+    spread = mix(known.view(np.uint64)).view(np.int64)
+    columns = ((anchor.view(np.int64), spread), (key.view(np.int64), spread), (ids, known), (place, start), (np.zeros(len(key), np.int64), n))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=_ROWS)
 
 
 def _first_level(window: int):
@@ -166,7 +168,7 @@ def _first_level(window: int):
             starts = runs_of(key)
             repeated = np.repeat(np.diff(starts) > 1, np.diff(starts))
             first = starts[:-1]
-            yield _rows(key[first], owner[first], place[first], owner[repeated], place[repeated])
+            yield _rows(key[first], key[first], owner[first], place[first], owner[repeated], place[repeated])
 
     return run
 
@@ -180,18 +182,17 @@ def _gather(keep_first: bool):
         last: tuple[int, int, int, bool] | None = None  # key, id and place of the row before, and whether it is out already
 
         def flush() -> pa.RecordBatch:
-            ids, blobs = _blobs(np.concatenate(held_ids), np.concatenate(held))
+            found = _runs(np.concatenate(held_ids), np.concatenate(held))
             held_ids.clear()
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["id", "place", "n"])
 
         for batch in batches:
-            blob = batch.column(3)
-            known = np.asarray(blob.is_valid())
+            key, ids, place, n = (batch.column(c).to_numpy() for c in range(4))
+            known = n > 0
             if known.any():
-                at = pa.array(np.flatnonzero(known))
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), blob.take(at)], names=["id", "blob"])
-            key, ids, place = (batch.column(c).to_numpy()[~known] for c in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (ids, place, n)], names=["id", "place", "n"])
+            key, ids, place = key[~known], ids[~known], place[~known]
             if not len(key):
                 continue
             same = np.zeros(len(key), bool)
@@ -223,8 +224,11 @@ def _gather(keep_first: bool):
     return run
 
 
-def _places(blobs: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.int64) if blobs else np.zeros(0, np.int64)
+def _runs_by_row(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of lists of (place, n): offsets of the rows, first places, lengths; null counts as an empty list."""
+    sizes = np.array([len(x) if x.is_valid else 0 for x in column], np.int64)
+    flat = column.flatten()
+    return np.concatenate([[0], np.cumsum(sizes)]), flat.field("place").to_numpy(), flat.field("n").to_numpy()
 
 
 def _second_level(window: int):
@@ -233,31 +237,35 @@ def _second_level(window: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             numbers = texts.number(ids.tolist(), batch.column(1))
-            blobs = batch.column(2)
-            keys, owners, places = [], [], []
+            runs_at, first_place, length = _runs_by_row(batch.column(2))
+            anchors, keys, owners, places = [], [], [], []
             for i, j, row, place, h in _by_word(batch, numbers):
                 code, least, _, whole = _minimisers(h, row, window)
                 survivor = np.zeros(len(row), bool)
                 spans = np.searchsorted(row, np.arange(j - i + 1))
                 for r in range(i, j):
                     a, b = spans[r - i], spans[r - i + 1]
-                    mine = _places(blobs[r].as_py())
-                    mine = mine[mine >> _TEXT_SHIFT == numbers[r]] & ((1 << _TEXT_SHIFT) - 1)
-                    survivor[a + mine[mine < b - a]] = True
+                    own = slice(runs_at[r], runs_at[r + 1])
+                    for start, n in zip(first_place[own].tolist(), length[own].tolist(), strict=True):
+                        if start >> _TEXT_SHIFT == numbers[r]:
+                            start &= (1 << _TEXT_SHIFT) - 1
+                            survivor[a + start : min(a + start + n, b)] = True
                 alive = _slide(np.where(survivor, code, _TOP), window - window // 2 + 1, True, np.minimum, int(_TOP))
                 full = np.flatnonzero(whole & (alive == least))
+                anchors.append(least[full])
                 keys.append(window_hashes(h, window)[full])
                 owners.append(ids[i:j][row[full]])
                 places.append(place[full])
             if not keys:
                 continue
-            key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+            anchor, key, owner, place = np.concatenate(anchors), np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
             order = np.lexsort((place, owner, key))
-            key, owner, place = key[order], owner[order], place[order]
+            anchor, key, owner, place = anchor[order], key[order], owner[order], place[order]
             first = runs_of(key)
             head = np.repeat(first[:-1], np.diff(first))
             later = (owner != owner[head]) | (place != place[head])
-            yield _rows(key[first[:-1]], owner[first[:-1]], place[first[:-1]], owner[later], place[later])
+            head = first[:-1][np.lexsort((place[first[:-1]], owner[first[:-1]]))]  # neighbours in a text stay neighbours
+            yield _rows(anchor[head], key[head], owner[head], place[head], owner[later], place[later])
 
     return run
 
@@ -268,17 +276,20 @@ def _cut_out(window: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             numbers = texts.number(ids.tolist(), batch.column(1))
-            blobs, data = batch.column(2), batch.column(1)
+            runs_at, first_place, length = _runs_by_row(batch.column(2))
+            data = batch.column(1)
             n_words, n_removed, digest, kept_text = [], [], [], []
             for r in range(len(ids)):
                 parts = (data[r].as_py() or "").encode().split()
-                mine = _places(blobs[r].as_py())
-                mine = mine[mine >> _TEXT_SHIFT == numbers[r]] & ((1 << _TEXT_SHIFT) - 1)
+                own = slice(runs_at[r], runs_at[r + 1])
+                start, n = first_place[own], length[own]
+                mine = start >> _TEXT_SHIFT == numbers[r]
+                start, n = start[mine] & ((1 << _TEXT_SHIFT) - 1), n[mine]
                 total = len(parts)
-                if len(mine):
+                if len(start):
                     step = np.zeros(total + 1, np.int64)
-                    np.add.at(step, mine, 1)
-                    np.add.at(step, mine + window, -1)
+                    np.add.at(step, start, 1)
+                    np.add.at(step, start + n + window - 1, -1)
                     parts = [parts[k] for k in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
                 kept = b" ".join(parts)
                 n_words.append(total)
@@ -304,13 +315,12 @@ def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text
     if window < 4:
         raise ValueError("the window must have 4 words or more")
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartition("id")
-    rows, found = "key long, id long, place long, blob binary", "id long, blob binary"
-
-    def by_id(df: DataFrame) -> DataFrame:
-        return df.groupBy("id").agg(F.collect_list("blob").alias("blobs"))
+    rows, found = "anchor long, key long, id long, place long, n long", "id long, place long, n long"
 
     def settled(df: DataFrame, keep_first: bool) -> DataFrame:
-        return by_id(df.repartition("key").sortWithinPartitions("key", "id", "place").mapInArrow(_gather(keep_first), found))
+        # Windows around one minimiser, which neighbour each other in their texts, go to one task; equal ones do too.
+        dealt = df.repartition("anchor").sortWithinPartitions("key", "id", "place").select("key", "id", "place", "n")
+        return dealt.mapInArrow(_gather(keep_first), found).groupBy("id").agg(F.collect_list(F.struct("place", "n")).alias("runs"))
 
     minimisers = texts.sortWithinPartitions("id", "text").mapInArrow(_first_level(window), rows)
     survivors = settled(minimisers, keep_first=True)
