@@ -33,31 +33,35 @@ def path_band(path: str, n_reference: int, n_query: int, radius: int) -> tuple[n
     return low, high
 
 
-def _outside(band: tuple[np.ndarray, np.ndarray] | None, i: int, n: int) -> np.ndarray | None:
+def band_mask(band: tuple[np.ndarray, np.ndarray] | None, n: int) -> np.ndarray | None:
+    """The cells outside a band, rows by query and columns by reference."""
     if band is None:
         return None
     j = np.arange(n + 1)
-    return (j < band[0][i]) | (j >= band[1][i])
+    return (j < band[0][:, None]) | (j >= band[1][:, None])
 
 
-def distance_table(reference: np.ndarray, query: np.ndarray, band: tuple | None = None) -> np.ndarray:
-    """Edit distances of all prefixes: rows by query, columns by reference."""
-    n, m = len(reference), len(query)
+def distance_table(reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
+    """Edit distances of all prefixes: rows by query, columns by reference.
+
+    Like the other tables it takes many pairs of the same two lengths at once, in leading axes.
+    """
+    n, m = reference.shape[-1], query.shape[-1]
     j = np.arange(n + 1)
-    out = np.empty((m + 1, n + 1), np.int64)
-    row = j.astype(np.int64)
+    out = np.empty((*reference.shape[:-1], m + 1, n + 1), np.int64)
     for i in range(m + 1):
         if i:
-            above = out[i - 1]
+            above = out[..., i - 1, :]
             row = above + 1
-            row[1:] = np.minimum(row[1:], above[:-1] + (reference != query[i - 1]))
-        far = _outside(band, i, n)
-        if far is not None:
-            row = np.where(far, FAR, row)
-        row = np.minimum.accumulate(row - j) + j
-        if far is not None:
-            row = np.where(far, FAR, row)
-        out[i] = np.minimum(row, FAR)
+            row[..., 1:] = np.minimum(row[..., 1:], above[..., :-1] + (reference != query[..., i - 1, None]))
+        else:
+            row = np.broadcast_to(j, out[..., 0, :].shape).copy()
+        if outside is not None:
+            row[outside[..., i, :]] = FAR
+        row = np.minimum.accumulate(row - j, axis=-1) + j
+        if outside is not None:
+            row[outside[..., i, :]] = FAR
+        out[..., i, :] = np.minimum(row, FAR)
     return out
 
 
@@ -84,31 +88,31 @@ def distance_path(table: np.ndarray, reference: np.ndarray, query: np.ndarray, o
     return "".join(reversed(out))
 
 
-def edit_table(reference: np.ndarray, query: np.ndarray, copies: int, deletions: int, band: tuple | None = None) -> tuple[int, np.ndarray]:
+def edit_table(reference: np.ndarray, query: np.ndarray, copies: int, deletions: int, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distance, and the distance after each edit of the reference: (len(reference) + 1) x slots, FAR where impossible.
 
     A path crosses each reference position once, so an edit's distance is a least sum of a prefix and a suffix distance.
     """
-    n, m = len(reference), len(query)
-    before = distance_table(reference, query, band)
-    back = None if band is None else (n + 1 - band[1][::-1], n + 1 - band[0][::-1])
-    after = distance_table(reference[::-1], query[::-1], back)[::-1, ::-1]
-    out = np.full((n + 1, 8 + copies + deletions), FAR)
+    n, m = reference.shape[-1], query.shape[-1]
+    before = distance_table(reference, query, outside)
+    after = distance_table(reference[..., ::-1], query[..., ::-1], None if outside is None else outside[..., ::-1, ::-1])[..., ::-1, ::-1]
+    out = np.full((*reference.shape[:-1], n + 1, 8 + copies + deletions), FAR)
     for b in range(4):
-        wrong = (query != b).astype(np.int64)[:, None]
+        wrong = (query != b).astype(np.int64)[..., None]
         for slot, gone in ((b, 1), (4 + b, 0)):
-            rest = after[:, gone:]
-            head = before[:, : n + 1 - gone]
-            meet = np.minimum((head[:-1] + wrong + rest[1:]).min(0) if m else FAR, (head + 1 + rest).min(0))
-            out[: n + 1 - gone, slot] = meet
-    for c in range(1, copies + 1):
-        out[: max(n + 1 - c, 0), 7 + c] = (before[:, c:] + after[:, : n + 1 - c]).min(0)
-    for d in range(1, deletions + 1):
-        out[: max(n + 1 - d, 0), 7 + copies + d] = (before[:, : n + 1 - d] + after[:, d:]).min(0)
-    return int(before[m, n]), np.minimum(out, FAR)
-
-
-def affine(reference: np.ndarray, query: np.ndarray, scores: tuple[int, int, int, int], mode: str = "global", band: tuple | None = None) -> tuple[int, int, int, int, int, str]:
+            rest, head = after[..., gone:], before[..., : n + 1 - gone]
+            meet = (head + 1 + rest).min(-2)
+            if m:
+                meet = np.minimum(meet, (head[..., :-1, :] + wrong + rest[..., 1:, :]).min(-2))
+            out[..., : n + 1 - gone, slot] = meet
+    for c in range(1, min(copies, n) + 1):
+        out[..., : n + 1 - c, 7 + c] = (before[..., c:] + after[..., : n + 1 - c]).min(-2)
+    for d in range(1, min(deletions, n) + 1):
+        out[..., : n + 1 - d, 7 + copies + d] = (before[..., : n + 1 - d] + after[..., d:]).min(-2)
+    return before[..., m, n], np.minimum(out, FAR)
+
+
+def affine(reference: np.ndarray, query: np.ndarray, scores: tuple[int, int, int, int], mode: str = "global", outside: np.ndarray | None = None) -> tuple[int, int, int, int, int, str]:
     """Score, start and end in the reference and the query, and path, for (match, mismatch, open, extend) scores.
 
     A gap of n costs open + (n - 1) extend; a deletion may follow an insertion but not the other way round.  Modes:
@@ -133,7 +137,7 @@ def affine(reference: np.ndarray, query: np.ndarray, scores: tuple[int, int, int
             if mode == "local":
                 M[i] = np.maximum(M[i], 0)
                 I[i] = np.maximum(I[i], 0)
-        far = _outside(band, i, n)
+        far = None if outside is None else outside[i]
         if far is not None:
             M[i][far] = I[i][far] = low
         opened = np.full(n + 1, low)
@@ -229,142 +233,150 @@ class PairModel:
         self.i = np.asarray(insert, float).reshape(5, 4)
 
     def _rows(self, reference: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        previous = np.concatenate([[4], query[:-1]]).astype(np.int64) if len(query) else np.zeros(0, np.int64)
-        return self.e[reference][:, query].T, self.i[previous, query]
-
-    def forward(self, reference: np.ndarray, query: np.ndarray, band: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Table (state, query, reference) scaled by row, and the log of each row's scale so far."""
-        n, m = len(reference), len(query)
+        """Emission of each match (query, reference) and of each insertion."""
+        previous = np.full(query.shape, 4)
+        previous[..., 1:] = query[..., :-1]
+        return self.e[reference[..., None, :], query[..., :, None]], self.i[previous, query]
+
+    def forward(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Table (state, pairs, query, reference) scaled by row, and the log of each row's scale so far."""
+        n, m = reference.shape[-1], query.shape[-1]
         emit, insert = self._rows(reference, query)
-        f, scale = np.zeros((3, m + 1, n + 1)), np.zeros(m + 1)
+        shape = reference.shape[:-1]
+        f, scale = np.zeros((3, *shape, m + 1, n + 1)), np.zeros((*shape, m + 1))
         t = self.t
         for i in range(m + 1):
+            row = f[..., i, :]
             if i == 0:
-                f[0, 0, 0] = 1
+                row[0, ..., 0] = 1
             else:
-                f[0, i, 1:] = (t[:, 0, None] * f[:, i - 1, :-1]).sum(0) * emit[i - 1]
-                f[1, i] = (t[:, 1, None] * f[:, i - 1]).sum(0) * insert[i - 1]
-            far = _outside(band, i, n)
-            if far is not None:
-                f[:, i, far] = 0
-            arrive = np.zeros(n + 1)
-            arrive[1:] = t[0, 2] * f[0, i, :-1] + t[1, 2] * f[1, i, :-1]
-            if far is not None:
-                arrive[far] = 0
-            f[2, i] = _decayed_sum(arrive, t[2, 2])
-            if far is not None:
-                f[2, i, far] = 0
-            total = f[:, i].sum()
-            if total > 0:
-                f[:, i] /= total
-            scale[i] = (scale[i - 1] if i else 0.0) + (np.log(total) if total > 0 else -np.inf)
+                above = f[..., i - 1, :]
+                row[0, ..., 1:] = np.tensordot(t[:, 0], above[..., :-1], 1) * emit[..., i - 1, :]
+                row[1] = np.tensordot(t[:, 1], above, 1) * insert[..., i - 1, None]
+            if outside is not None:
+                row[:, outside[..., i, :]] = 0
+            arrive = np.zeros((*shape, n + 1))
+            arrive[..., 1:] = t[0, 2] * row[0, ..., :-1] + t[1, 2] * row[1, ..., :-1]
+            row[2] = _decayed_sum(arrive, t[2, 2])
+            if outside is not None:
+                row[2, outside[..., i, :]] = 0
+            total = row.sum((0, -1))
+            row /= np.where(total > 0, total, 1)[..., None]
+            with np.errstate(divide="ignore"):
+                scale[..., i] = (scale[..., i - 1] if i else 0.0) + np.log(total)
         return f, scale
 
-    def backward(self, reference: np.ndarray, query: np.ndarray, band: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def backward(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Table of what may follow each cell, scaled by row, and the log of each row's scale from the end."""
-        n, m = len(reference), len(query)
+        n, m = reference.shape[-1], query.shape[-1]
         emit, insert = self._rows(reference, query)
-        b, scale = np.zeros((3, m + 1, n + 1)), np.zeros(m + 1)
+        shape = reference.shape[:-1]
+        b, scale = np.zeros((3, *shape, m + 1, n + 1)), np.zeros((*shape, m + 1))
         t = self.t
         for i in range(m, -1, -1):
-            leave = np.zeros((3, n + 1))
+            leave = np.zeros((3, *shape, n + 1))
             if i == m:
-                leave[:, n] = 1
+                leave[..., n] = 1
             else:
-                ahead = np.zeros(n + 1)
-                ahead[:-1] = emit[i] * b[0, i + 1, 1:]
-                leave = t[:, 0, None] * ahead + t[:, 1, None] * insert[i] * b[1, i + 1]
-            far = _outside(band, i, n)
-            if far is not None:
-                leave[:, far] = 0
-            b[2, i] = _decayed_sum(leave[2][::-1], t[2, 2])[::-1]
-            if far is not None:
-                b[2, i, far] = 0
+                ahead = np.zeros((*shape, n + 1))
+                ahead[..., :-1] = emit[..., i, :] * b[0, ..., i + 1, 1:]
+                entered = insert[..., i, None] * b[1, ..., i + 1, :]
+                for s in range(3):
+                    leave[s] = t[s, 0] * ahead + t[s, 1] * entered
+            if outside is not None:
+                leave[:, outside[..., i, :]] = 0
+            row = b[..., i, :]
+            row[2] = _decayed_sum(leave[2][..., ::-1], t[2, 2])[..., ::-1]
+            if outside is not None:
+                row[2, outside[..., i, :]] = 0
             for s in (0, 1):
-                b[s, i] = leave[s]
-                b[s, i, :-1] += t[s, 2] * b[2, i, 1:]
-                if far is not None:
-                    b[s, i, far] = 0
-            total = b[:, i].sum()
-            if total > 0:
-                b[:, i] /= total
-            scale[i] = (scale[i + 1] if i < m else 0.0) + (np.log(total) if total > 0 else -np.inf)
+                row[s] = leave[s]
+                row[s, ..., :-1] += t[s, 2] * row[2, ..., 1:]
+            if outside is not None:
+                row[:, outside[..., i, :]] = 0
+            total = row.sum((0, -1))
+            row /= np.where(total > 0, total, 1)[..., None]
+            with np.errstate(divide="ignore"):
+                scale[..., i] = (scale[..., i + 1] if i < m else 0.0) + np.log(total)
         return b, scale
 
-    def likelihood(self, reference: np.ndarray, query: np.ndarray, band: tuple | None = None) -> float:
+    def likelihood(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
         """Log of the sum over all paths."""
-        f, scale = self.forward(reference, query, band)
+        f, scale = self.forward(reference, query, outside)
         with np.errstate(divide="ignore"):
-            return float(scale[-1] + np.log(f[:, -1, -1].sum()))
+            return scale[..., -1] + np.log(f[..., -1, -1].sum(0))
 
-    def edit_table(self, reference: np.ndarray, query: np.ndarray, copies: int, deletions: int, band: tuple | None = None) -> tuple[float, np.ndarray]:
+    def edit_table(self, reference: np.ndarray, query: np.ndarray, copies: int, deletions: int, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood, and that after each edit of the reference: (len(reference) + 1) x slots, -inf where impossible.
 
         A path enters each reference position once, by a match or a deletion: the products of what comes before the
         entry and what follows it add up to the edited likelihood.
         """
-        n, m = len(reference), len(query)
-        f, up = self.forward(reference, query, band)
-        b, down = self.backward(reference, query, band)
+        n, m = reference.shape[-1], query.shape[-1]
+        f, up = self.forward(reference, query, outside)
+        b, down = self.backward(reference, query, outside)
         t = self.t
-        same = up + down  # log scale of rows that meet without consuming query, or at one more
-        next_ = up[:-1] + down[1:]
+        same, onward = up + down, up[..., :-1] + down[..., 1:]  # log scales of rows that meet: the same one, or the next
+        both = np.concatenate([same, onward], -1)
+        top = np.where(np.isfinite(both), both, -1e300).max(-1)
         with np.errstate(invalid="ignore"):
-            top = max(same[np.isfinite(same)].max(initial=-np.inf), next_[np.isfinite(next_)].max(initial=-np.inf))
-            at_same, at_next = np.nan_to_num(np.exp(same - top)), np.nan_to_num(np.exp(next_ - top))
-        to_match = np.einsum("s,sij->ij", t[:, 0], f)
-        to_delete = np.einsum("s,sij->ij", t[:, 2], f)
-
-        def met(starts: int, rest: int, emit: np.ndarray) -> np.ndarray:
-            """Enter a base with match emissions `emit` (query, position) after `starts`, go on in the suffixes from `rest` on."""
-            width = n + 1 - max(starts, rest)
-            match = (at_next[:, None] * to_match[:-1, starts : starts + width] * emit * b[0, 1:, rest : rest + width]).sum(0) if m else 0
-            return match + (at_same[:, None] * to_delete[:, starts : starts + width] * b[2, :, rest : rest + width]).sum(0)
-
-        out = np.zeros((n + 1, 8 + copies + deletions))
+            at_same, at_next = (np.nan_to_num(np.exp(x - top[..., None]))[..., None] for x in (same, onward))
+        to_match, to_delete = np.tensordot(t[:, 0], f, 1)[..., :-1, :] * at_next, np.tensordot(t[:, 2], f, 1) * at_same
+        after_match, after_delete = b[0, ..., 1:, :], b[2]
+
+        def met(rest: int, emit: np.ndarray) -> np.ndarray:
+            """Enter a base with match emissions `emit` (query, position) after each prefix, go on `rest` positions later."""
+            width = n + 1 - rest
+            return (to_match[..., :width] * emit * after_match[..., rest:]).sum(-2) + (to_delete[..., :width] * after_delete[..., rest:]).sum(-2)
+
+        out = np.zeros((*reference.shape[:-1], n + 1, 8 + copies + deletions))
         for base in range(4):
-            emit = self.e[base][query][:, None] if m else np.zeros((0, 1))
-            out[:n, base] = met(0, 1, emit)
-            out[:, 4 + base] = met(0, 0, emit)
-        arrived = f.copy()
-        arrived[1] = 0  # entries of a column; insertions after it are what follows
-        if n:
-            arrived[:, :, 0] = 0
+            emit = self.e[base][query][..., None]
+            out[..., :n, base] = met(1, emit)
+            out[..., 4 + base] = met(0, emit)
+        arrived = f[0::2] * at_same  # entries of a column; insertions after them are part of what follows
         for c in range(1, min(copies, n) + 1):
-            out[: n + 1 - c, 7 + c] = (at_same[:, None] * (arrived[:, :, c:] * b[:, :, : n + 1 - c]).sum(0)).sum(0)
-        emit_all, _ = self._rows(reference, query)
+            out[..., : n + 1 - c, 7 + c] = (arrived[..., c:] * b[0::2, ..., : n + 1 - c]).sum((0, -2))
+        emit = self._rows(reference, query)[0]
         for d in range(1, min(deletions, n) + 1):
             slot = 7 + copies + d
-            if n > d:
-                out[: n - d, slot] = (at_next[:, None] * to_match[:-1, : n - d] * emit_all[:, d:] * b[0, 1:, d + 1 :]).sum(0) if m else 0
-                out[: n - d, slot] += (at_same[:, None] * to_delete[:, : n - d] * b[2, :, d + 1 :]).sum(0)
-            out[n - d, slot] = f[:, m, n - d].sum() * np.exp(up[m] - top)
+            out[..., : n - d, slot] = (to_match[..., : n - d] * emit[..., d:] * after_match[..., d + 1 :]).sum(-2) + (to_delete[..., : n - d] * after_delete[..., d + 1 :]).sum(-2)
+            out[..., n - d, slot] = f[..., m, n - d].sum(0) * np.exp(up[..., m] - top)
         with np.errstate(divide="ignore"):
-            return float(up[-1] + np.log(f[:, -1, -1].sum())), np.log(out) + top
+            return up[..., -1] + np.log(f[..., -1, -1].sum(0)), np.log(out) + top[..., None, None]
 
-    def viterbi(self, reference: np.ndarray, query: np.ndarray, band: tuple | None = None) -> tuple[float, str]:
-        """Log-likelihood of the best path, and the path."""
-        n, m = len(reference), len(query)
+    def viterbi_table(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
+        """Log-likelihoods of the best paths into each cell: (state, pairs, query, reference)."""
+        n, m = reference.shape[-1], query.shape[-1]
         with np.errstate(divide="ignore"):
             t = np.log(self.t)
             emit, insert = (np.log(x) for x in self._rows(reference, query))
         j = np.arange(n + 1)
-        v = np.full((3, m + 1, n + 1), -np.inf)
+        shape = reference.shape[:-1]
+        v = np.full((3, *shape, m + 1, n + 1), -np.inf)
+        into = lambda s, above: np.maximum(np.maximum(t[0, s] + above[0], t[1, s] + above[1]), t[2, s] + above[2])
         for i in range(m + 1):
+            row = v[..., i, :]
             if i == 0:
-                v[0, 0, 0] = 0
+                row[0, ..., 0] = 0
             else:
-                v[0, i, 1:] = (t[:, 0, None] + v[:, i - 1, :-1]).max(0) + emit[i - 1]
-                v[1, i] = (t[:, 1, None] + v[:, i - 1]).max(0) + insert[i - 1]
-            far = _outside(band, i, n)
-            if far is not None:
-                v[:, i, far] = -np.inf
-            arrive = np.full(n + 1, -np.inf)
-            arrive[1:] = np.maximum(t[0, 2] + v[0, i, :-1], t[1, 2] + v[1, i, :-1])
-            v[2, i] = np.maximum.accumulate(arrive - j * t[2, 2]) + j * t[2, 2]
-            if far is not None:
-                v[2, i, far] = -np.inf
-        i, k = m, n
+                above = v[..., i - 1, :]
+                row[0, ..., 1:] = into(0, above[..., :-1]) + emit[..., i - 1, :]
+                row[1] = into(1, above) + insert[..., i - 1, None]
+            if outside is not None:
+                row[:, outside[..., i, :]] = -np.inf
+            arrive = np.full((*shape, n + 1), -np.inf)
+            arrive[..., 1:] = np.maximum(t[0, 2] + row[0, ..., :-1], t[1, 2] + row[1, ..., :-1])
+            row[2] = np.maximum.accumulate(arrive - j * t[2, 2], axis=-1) + j * t[2, 2]
+            if outside is not None:
+                row[2, outside[..., i, :]] = -np.inf
+        return v
+
+    def viterbi_path(self, v: np.ndarray, reference: np.ndarray, query: np.ndarray) -> tuple[float, str]:
+        """Log-likelihood and steps of the best path of one pair's table."""
+        with np.errstate(divide="ignore"):
+            t = np.log(self.t)
+        i, k = len(query), len(reference)
         state = int(v[:, i, k].argmax())
         score = float(v[state, i, k])
         out: list[str] = []
@@ -383,41 +395,42 @@ class PairModel:
                 state = int((t[:, 2] + v[:, i, k]).argmax())
         return score, "".join(reversed(out))
 
-    def expected(self, reference: np.ndarray, query: np.ndarray, band: tuple | None = None) -> np.ndarray | None:
-        """One read's share in re-estimation, 9 + 16 + 16 numbers: each state's transitions, each reference base's and each
-        previous base's emissions add up to 1; None where the likelihood isn't finite or differs backward."""
-        n, m = len(reference), len(query)
-        f, up = self.forward(reference, query, band)
-        b, down = self.backward(reference, query, band)
-        if not m or not n or not np.isfinite(up[-1]) or not np.isfinite(down[0]):
-            return None
-        with np.errstate(divide="ignore"):
-            ahead, behind = up[-1] + np.log(f[:, -1, -1].sum()), down[0] + np.log(b[0, 0, 0])
-        if not np.isfinite(ahead) or abs(ahead - behind) > 1e-4:
-            return None
+    def viterbi(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> tuple[float, str]:
+        return self.viterbi_path(self.viterbi_table(reference, query, outside), reference, query)
+
+    def expected(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
+        """Each read's share in re-estimation, 9 + 16 + 16 numbers: each state's transitions, each reference base's and each
+        previous base's emissions add up to 1; NaN where the likelihood isn't finite or differs backward."""
+        n, m = reference.shape[-1], query.shape[-1]
+        shape = reference.shape[:-1]
+        f, up = self.forward(reference, query, outside)
+        b, down = self.backward(reference, query, outside)
         emit, insert = self._rows(reference, query)
-        w_same, w_next = np.exp(up + down - ahead), np.exp(up[:-1] + down[1:] - ahead)
-        moves = np.zeros((3, 3))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ahead, behind = up[..., -1] + np.log(f[..., -1, -1].sum(0)), down[..., 0] + np.log(b[0, ..., 0, 0])
+            bad = ~np.isfinite(ahead) | ~(np.abs(ahead - behind) <= 1e-4)
+            w_same, w_next = (np.exp(x - ahead[..., None])[..., None] for x in (up + down, up[..., :-1] + down[..., 1:]))
+        moves = np.zeros((*shape, 3, 3))
         for s in range(3):
-            moves[s, 0] = (w_next[:, None] * f[s, :-1, :-1] * self.t[s, 0] * emit * b[0, 1:, 1:]).sum()
-            moves[s, 1] = (w_next[:, None] * f[s, :-1] * self.t[s, 1] * insert[:, None] * b[1, 1:]).sum()
-            moves[s, 2] = (w_same[:, None] * f[s, :, :-1] * self.t[s, 2] * b[2, :, 1:]).sum()
-        matched = w_same[1:, None] * f[0, 1:, 1:] * b[0, 1:, 1:]
-        pairs = np.zeros((4, 4))
-        np.add.at(pairs, (reference[None, :].repeat(m, 0), query[:, None].repeat(n, 1)), matched)
-        inserted = (w_same[1:, None] * f[1, 1:] * b[1, 1:]).sum(1)
-        after = np.zeros((4, 4))
-        np.add.at(after, (query[:-1], query[1:]), inserted[1:])
-        share = lambda x: np.divide(x, x.sum(1, keepdims=True), out=np.zeros_like(x), where=x.sum(1, keepdims=True) > 0)
-        return np.concatenate([share(moves).ravel(), share(pairs).ravel(), share(after).ravel()])
+            moves[..., s, 0] = (w_next * f[s, ..., :-1, :-1] * self.t[s, 0] * emit * b[0, ..., 1:, 1:]).sum((-1, -2))
+            moves[..., s, 1] = (w_next * f[s, ..., :-1, :] * self.t[s, 1] * insert[..., None] * b[1, ..., 1:, :]).sum((-1, -2))
+            moves[..., s, 2] = (w_same * f[s, ..., :-1] * self.t[s, 2] * b[2, ..., 1:]).sum((-1, -2))
+        matched = w_same[..., 1:, :] * f[0, ..., 1:, 1:] * b[0, ..., 1:, 1:]
+        one_r, one_q = (np.eye(4)[x] for x in (reference, query))
+        pairs = np.einsum("...ij,...jr,...iq->...rq", matched, one_r, one_q)
+        inserted = (w_same[..., 1:, :] * f[1, ..., 1:, :] * b[1, ..., 1:, :]).sum(-1)
+        after = np.einsum("...i,...ip,...iq->...pq", inserted[..., 1:], one_q[..., :-1, :], one_q[..., 1:, :])
+        share = lambda x: np.divide(x, x.sum(-1, keepdims=True), out=np.zeros_like(x), where=x.sum(-1, keepdims=True) > 0)
+        out = np.concatenate([share(x).reshape(*shape, -1) for x in (moves, pairs, after)], -1)
+        return np.where(bad[..., None] | (m == 0) | (n == 0), np.nan, out)
 
 
 def _decayed_sum(x: np.ndarray, rate: float) -> np.ndarray:
     """y[k] = x[k] + rate * y[k - 1], by doubling."""
     y, step, factor = x.copy(), 1, rate
-    while step < len(y) and factor > 1e-300:
+    while step < y.shape[-1] and factor > 1e-300:
         moved = np.zeros_like(y)
-        moved[step:] = y[:-step]
+        moved[..., step:] = y[..., :-step]
         y = y + factor * moved
         step, factor = 2 * step, factor * factor
     return y

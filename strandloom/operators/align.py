@@ -6,13 +6,15 @@ or around the diagonal where there is no such column; None computes the whole ta
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.model import default_model
 from ..functions.sequences import bootstrap_path
-from .kernels_on_rows import map_rows
+from .kernels_on_rows import by_shape, each_row, map_rows
 
 
 def _with_path(df: DataFrame, reference: str, query: str, path: str | None) -> tuple[DataFrame, str]:
@@ -21,20 +23,17 @@ def _with_path(df: DataFrame, reference: str, query: str, path: str | None) -> t
     return df.withColumn("__path", bootstrap_path(F.length(reference), F.length(query))), "__path"
 
 
-def _banded(r: str, q: str, p: str, radius: int | None):
-    return None if radius is None else K.path_band(p, len(r), len(q), radius)
-
-
 def edit_paths(df: DataFrame, reference: str, query: str, radius: int | None = None, path: str | None = None, ties: str = "DI=") -> DataFrame:
     """Adds distance and ops: an edit path of least distance (within the band)."""
     source, along = _with_path(df, reference, query, path)
 
-    def kernel(r: str, q: str, p: str) -> list[tuple]:
-        if r is None or q is None:
-            return [(None, None)]
-        x, y = K.codes(r), K.codes(q)
-        table = K.distance_table(x, y, _banded(r, q, p, radius))
-        return [(int(table[-1, -1]), K.distance_path(table, x, y, ties))]
+    def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        out = pd.DataFrame({"distance": pd.array([None] * len(frame), "Int64"), "ops": pd.Series([None] * len(frame), dtype=object)})
+        for places, x, y, outside in by_shape(frame, radius):
+            tables = K.distance_table(x, y, outside)
+            for k, p in enumerate(places.tolist()):
+                out.iloc[p] = (int(tables[k, -1, -1]), K.distance_path(tables[k], x[k], y[k], ties))
+        return np.arange(len(frame)), out
 
     return map_rows(source, df.columns, [reference, query, along], "distance long, ops string", kernel)
 
@@ -46,9 +45,11 @@ def affine_paths(df: DataFrame, reference: str, query: str, scores: tuple[int, i
     def kernel(r: str, q: str, p: str) -> list[tuple]:
         if r is None or q is None:
             return [(None,) * 6]
-        return [K.affine(K.codes(r), K.codes(q), scores, mode, _banded(r, q, p, radius))]
+        band = None if radius is None else K.band_mask(K.path_band(p, len(r), len(q), radius), len(r))
+        return [K.affine(K.codes(r), K.codes(q), scores, mode, band)]
 
-    return map_rows(source, df.columns, [reference, query, along], "score long, ref_start long, ref_end long, query_start long, query_end long, ops string", kernel)
+    names = ["score", "ref_start", "ref_end", "query_start", "query_end", "ops"]
+    return map_rows(source, df.columns, [reference, query, along], "score long, ref_start long, ref_end long, query_start long, query_end long, ops string", each_row(names, kernel))
 
 
 def likelihoods(df: DataFrame, reference: str, query: str, model: K.PairModel | None = None, radius: int | None = None, path: str | None = None) -> DataFrame:
@@ -56,8 +57,11 @@ def likelihoods(df: DataFrame, reference: str, query: str, model: K.PairModel |
     model = model or default_model()
     source, along = _with_path(df, reference, query, path)
 
-    def kernel(r: str, q: str, p: str) -> list[tuple]:
-        return [(None if r is None or q is None else model.likelihood(K.codes(r), K.codes(q), _banded(r, q, p, radius)),)]
+    def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        out = np.full(len(frame), np.nan)
+        for places, x, y, outside in by_shape(frame, radius):
+            out[places] = model.likelihood(x, y, outside)
+        return np.arange(len(frame)), pd.DataFrame({"log_likelihood": pd.Series(out).where(pd.notna(out), None)})
 
     return map_rows(source, df.columns, [reference, query, along], "log_likelihood double", kernel)
 
@@ -67,7 +71,12 @@ def best_paths(df: DataFrame, reference: str, query: str, model: K.PairModel | N
     model = model or default_model()
     source, along = _with_path(df, reference, query, path)
 
-    def kernel(r: str, q: str, p: str) -> list[tuple]:
-        return [(None, None) if r is None or q is None else model.viterbi(K.codes(r), K.codes(q), _banded(r, q, p, radius))]
+    def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        out: list[tuple] = [(None, None)] * len(frame)
+        for places, x, y, outside in by_shape(frame, radius):
+            tables = model.viterbi_table(x, y, outside)
+            for k, p in enumerate(places.tolist()):
+                out[p] = model.viterbi_path(tables[:, k], x[k], y[k])
+        return np.arange(len(frame)), pd.DataFrame(out, columns=["log_likelihood", "ops"])
 
     return map_rows(source, df.columns, [reference, query, along], "log_likelihood double, ops string", kernel)

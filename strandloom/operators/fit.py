@@ -7,13 +7,14 @@ summed in Spark (partial sums before the shuffle), and only the sums of each str
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.model import PRIOR
-from .align import _banded, _with_path
-from .kernels_on_rows import map_rows
+from .align import _with_path
+from .kernels_on_rows import by_shape, map_rows
 
 _SHARES = 9 + 16 + 16
 
@@ -27,11 +28,16 @@ def fit_step(pairs: DataFrame, reference: str, query: str, models: dict[bool, K.
     source, along = _with_path(pairs, reference, query, path)
     source = source.withColumn("__strand", F.coalesce(F.col(strand), F.lit(True)) if strand else F.lit(True))
 
-    def kernel(r: str, q: str, p: str, forward: bool) -> list[tuple]:
-        if r is None or q is None:
-            return []
-        found = models[bool(forward)].expected(K.codes(r), K.codes(q), _banded(r, q, p, radius))
-        return [] if found is None else [(found.tolist(),)]
+    def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        rows: list[int] = []
+        shares: list[np.ndarray] = []
+        for forward, own in frame.groupby(3):
+            for places, x, y, outside in by_shape(own.reset_index(drop=True), radius):
+                found = models[bool(forward)].expected(x, y, outside)
+                good = np.isfinite(found).all(-1)
+                rows += own.index.to_numpy()[places[good]].tolist()
+                shares += list(found[good])
+        return np.array(rows, int), pd.DataFrame({"shares": pd.Series(shares, dtype=object)})
 
     shares = map_rows(source, ["__strand"], [reference, query, along, "__strand"], "shares array<double>", kernel)
     sums = shares.groupBy("__strand").agg(*[F.sum(F.col("shares")[k]).alias(f"s{k}") for k in range(_SHARES)]).collect()

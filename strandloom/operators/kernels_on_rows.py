@@ -1,42 +1,65 @@
-"""Runs a kernel over rows: Arrow batches in, Arrow batches out, the columns named by the caller."""
+"""Runs kernels over rows: Arrow batches in, Arrow batches out, the columns named by the caller."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 
-def map_rows(df: DataFrame, keep: list[str], inputs: list[str], outputs: str, kernel: Callable[..., list[tuple]]) -> DataFrame:
-    """`keep` columns of `df` with the columns `outputs` (DDL) that `kernel(*inputs)` returns for each row.
+#: Table cells that one kernel call may hold at once.
+CELLS = 2_000_000
 
-    A kernel returns a list of tuples, so that a row can give none or many.
+
+def map_rows(df: DataFrame, keep: list[str], inputs: list[str], outputs: str, kernel: Callable[[pd.DataFrame], tuple[np.ndarray, pd.DataFrame]]) -> DataFrame:
+    """`keep` columns of `df` with the columns `outputs` (DDL) of a kernel.
+
+    The kernel gets a frame of the `inputs` (columns 0, 1, ...) and returns, for each row of its result, the place of
+    the row it comes from, and the result's columns; so a row can give none or many.
     """
     chosen = df.select(*keep, *[F.col(c).alias(f"__{k}") for k, c in enumerate(inputs)])
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[: len(keep)])
     schema = ", ".join(x for x in (kept, outputs) if x)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [part.strip().split(" ")[0] for part in _top_level(outputs)]
         for frame in frames:
-            rows = [kernel(*values) for values in zip(*(frame[f"__{k}"] for k in range(len(inputs))), strict=True)]
-            counts = [len(r) for r in rows]
-            out = frame[keep].loc[frame.index.repeat(counts)].reset_index(drop=True)
-            flat = list(zip(*(r for some in rows for r in some), strict=True)) or [()] * len(names)
-            yield pd.concat([out, pd.DataFrame({n: pd.Series(list(v), dtype=object) for n, v in zip(names, flat, strict=True)})], axis=1)
+            own = frame[[f"__{k}" for k in range(len(inputs))]].set_axis(range(len(inputs)), axis=1).reset_index(drop=True)
+            rows, out = kernel(own)
+            yield pd.concat([frame[keep].iloc[rows].reset_index(drop=True), out.reset_index(drop=True)], axis=1)
 
     return chosen.mapInPandas(run, schema)
 
 
-def _top_level(ddl: str) -> list[str]:
-    parts, depth, now = [], 0, ""
-    for c in ddl:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and depth == 0:
-            parts.append(now)
-            now = ""
-        else:
-            now += c
-    return [*parts, now]
+def each_row(names: list[str], kernel: Callable[..., list[tuple]]) -> Callable[[pd.DataFrame], tuple[np.ndarray, pd.DataFrame]]:
+    """A kernel of frames from one of rows, which returns a list of tuples for each."""
+
+    def run(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        found = [kernel(*row) for row in frame.itertuples(index=False, name=None)]
+        rows = np.repeat(np.arange(len(frame)), [len(f) for f in found]).astype(int)
+        columns = zip(*(r for f in found for r in f), strict=True) if len(rows) else [()] * len(names)
+        return rows, pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(names, columns, strict=True)})
+
+    return run
+
+
+def by_shape(frame: pd.DataFrame, radius: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Pairs of equal lengths together: (places, references, queries, cells outside the band) of a frame whose columns
+    0, 1 and, with a radius, 2 are reference, query and path; rows with a null sequence are left out."""
+    good = np.flatnonzero((frame[0].notna() & frame[1].notna()).to_numpy())
+    shapes: dict[tuple[int, int], list[int]] = {}
+    refs, queries = frame[0].to_numpy(), frame[1].to_numpy()
+    for k in good.tolist():
+        shapes.setdefault((len(refs[k]), len(queries[k])), []).append(k)
+    for (n, m), places in shapes.items():
+        step = max(1, CELLS // ((n + 1) * (m + 1)))
+        for at in range(0, len(places), step):
+            some = np.array(places[at : at + step])
+            outside = None
+            if radius is not None and 2 * radius < max(n, m):  # else the band holds the whole table
+                outside = np.stack([K.band_mask(K.path_band(p, n, m, radius), n) for p in frame[2].to_numpy()[some]])
+            coded = [np.stack([K.codes(x) for x in column[some]]).reshape(len(some), width) for column, width in ((refs, n), (queries, m))]
+            yield some, *coded, outside
