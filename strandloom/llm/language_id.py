@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 _PIECE = 1 << 18
@@ -111,7 +113,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
     """Count all rows with a language.  What reaches the driver is languages x BUCKETS numbers, whatever the input's size."""
     counted = df.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     schema = "lang string, block long, n_docs long, counts binary"
-    sums = counted.mapInArrow(_count, schema).groupBy("lang", "block").applyInPandas(_add_up, schema).collect()
+    sums = counted.mapInArrow(lean(_count), schema).groupBy("lang", "block").applyInPandas(_add_up, schema).collect()
     languages = sorted({r["lang"] for r in sums})
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
@@ -155,7 +157,7 @@ def predict(df: DataFrame, model: LanguageModel, keep: list[str], text_col: str
             lang, score = score_texts(model, batch.column(n).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
