@@ -1,10 +1,13 @@
 """N-gram Jaccard self-join with a token-group matrix, and the groups of linked documents.
 
 1. Every document becomes its set of word shingles (64-bit hashes); equal sets are one node from here on.
-2. Nodes are partitioned into families of similar documents.  A set of n shingles is cut by hash into one part
-   more than a linked partner can differ in, so linked sets share at least one part whole (pigeonhole).  Nodes that
-   share a part are joined as a star around the smallest of them, inside each batch first, so a part that very
-   many documents share reaches the shuffle once a batch.  No link leaves a family.
+2. Nodes are partitioned into families of similar documents.  A set of n shingles is cut by hash into more parts
+   than a linked partner can differ in, so linked sets share at least one part whole (pigeonhole).  Shingles that very
+   many sets hold are left out of the parts, which loses no link and keeps common passages from joining unrelated
+   documents.  Nodes that share a part are joined as a star around the smallest of them, inside each batch first, so
+   a part that very many documents share reaches the shuffle once a batch.  No link leaves a family.
+   Large families are split once more: counts of shingles by hash range bound from below how much two sets
+   differ, and what no bounded pair connects comes apart.
 3. In a family the token-group matrix does the join: groups of similar documents, the union of each group's
    shingles, the overlap of every document with every union as bound, and only groups that can hold a partner are
    opened and compared exactly.  A group already joined to the document is not opened again.  A family of more
@@ -18,18 +21,27 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, mix, row_chunks, runs_of, text_buffer, whole_groups, words
+from .common import LOWER, lean, materialise, mix, row_chunks, runs_of, text_buffer, whole_groups, words
 from .components import connected_components
 
 BLOCK_ROWS = 512
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 1_500_000
+#: Families beyond either are split by the bound on sketches before their texts are compared.
+LARGE_ROWS = 48
+LARGE_SHINGLES = 200_000
 GROUP_ROWS = 16
 #: Ids of documents to fetch are broadcast up to this many, else joined by a shuffle.
 BROADCAST_ROWS = 500_000
-_FAMILIES_OF_CUTS = 6
+#: Shingles found in this many sets count as frequent; of more than FREQUENT_LIMIT of them the most frequent do.  They
+#: only steer which parts are compared: results are the same with any list.
+FREQUENT = 32
+FREQUENT_LIMIT = 1_000_000
+#: Rows of keys, or shingles, that a task holds before it passes them on.
+_HOLD = 2_000_000
 _U = np.uint64
 _B = _U(0x9DDFEA08EB382D69)
 
@@ -77,7 +89,7 @@ def set_ids(code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @cache
 def _levels(percent: int, largest: int) -> tuple[tuple[int, int, int, int], ...]:
-    """(smallest size, largest size, parts, parts that must agree) of each level.
+    """(smallest size, largest size, parts, how many elements linked sets can differ in) of each level.
 
     Any two linked sets meet in a level: both in one size class, or on the two sides of a border between classes.
     """
@@ -91,43 +103,60 @@ def _levels(percent: int, largest: int) -> tuple[tuple[int, int, int, int], ...]
         ):
             slack = int(2.2 * differ * np.exp(-least / (differ + 1)))
             if least <= most:
-                levels.append((least, most, differ + 1 + slack, 1 + slack))
+                levels.append((least, most, differ + 1 + slack, differ))
         low, high = high + 1, 2 * high
     return tuple(levels)
 
 
-def part_keys(code: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+#: Ways to cut a set, tried in turn: whether frequent shingles are left out, and parts for each possible difference
+#: (0: the level's own number).  The last ones cut the whole set by other hashes.
+_CUTS = ((True, 0), (True, 2), (True, 4), (False, 0), (False, 0), (False, 0), (False, 0), (False, 0), (False, 0))
+
+
+def part_keys(code: np.ndarray, offsets: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows, odd keys): sets linked at `percent` share at least one key.
 
-    Parts are ranges of the hash, so a part of a sorted set is a slice.  Empty parts make no keys; a set with so
-    many empty parts that the agreeing ones might all be empty is cut again by another hash, and only at the
-    last cut do empty parts count.
+    Parts are ranges of the hash, so a part of a sorted set is a slice.  Linked sets differ in at most d elements,
+    so at most d parts differ, and a set with more than d parts that aren't empty shares one of those with any
+    partner.  A set with fewer is cut again in the next way; two partners that both are meet there.  Only in the last
+    way do empty parts make keys.  Leaving elements out makes no difference larger, so `frequent` shingles (a
+    sorted array, the same for all sets) are left out first: parts that many texts share would join unrelated sets.
     """
     sizes = np.diff(offsets)
     rows_out, keys_out = [], []
     if not len(sizes) or not sizes.max():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for level, (least, most, parts, agree) in enumerate(_levels(percent, int(sizes.max()))):
+    whole = (code, offsets, sizes)
+    rare = whole
+    if frequent is not None and len(frequent):
+        keep = frequent[np.minimum(np.searchsorted(frequent, code), len(frequent) - 1)] != code
+        at = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        rare = (code[keep], at, np.diff(at))
+    for level, (least, most, own_parts, differ) in enumerate(_levels(percent, int(sizes.max()))):
         rows = np.flatnonzero((sizes >= least) & (sizes <= most))
-        for cut in range(_FAMILIES_OF_CUTS):
+        for cut, (sparse, multiple) in enumerate(_CUTS):
             if not len(rows):
                 break
-            n = sizes[rows]
-            at = np.repeat(offsets[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            member = code[at]
+            if sparse and rare is whole:
+                continue
+            elements, starts_at, counts = rare if sparse else whole
+            parts = multiple * (differ + 1) or own_parts
+            n = counts[rows]
+            at = np.repeat(starts_at[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            member = elements[at]
             local = np.repeat(np.arange(len(rows)), n)
-            where = member if cut == 0 else mix(member + _U(cut * int(_B) % (1 << 64)))
+            where = member if sparse or cut == 3 else mix(member + _U(cut * int(_B) % (1 << 64)))
             part = ((where >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
             slot = local * parts + part
-            if cut:
+            if where is not member:
                 order = np.argsort(slot, kind="stable")
                 slot, member = slot[order], member[order]
             starts = runs_of(slot)[:-1]
-            sums = np.add.reduceat(mix(member + _B), starts)
-            slot = slot[starts]
+            sums = np.add.reduceat(mix(member + _B), starts) if len(slot) else np.zeros(0, np.uint64)
+            slot = slot[starts] if len(slot) else slot
             full = np.bincount(slot // parts, minlength=len(rows))
-            weak = parts - full >= agree
-            if cut == _FAMILIES_OF_CUTS - 1 and weak.any():
+            weak = full <= differ
+            if cut == len(_CUTS) - 1 and weak.any():
                 every = np.zeros(len(rows) * parts, bool)
                 every[slot] = True
                 empty = np.flatnonzero(~every & np.repeat(weak, parts))
@@ -150,13 +179,14 @@ def _star_rows(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[starts[:-1]], nodes[starts[:-1]], edges[:, 0], edges[:, 1]
 
 
-def _emit_parts(k: int, percent: int):
+def _emit_parts(k: int, percent: int, frequent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.frombuffer(frequent.value, np.uint64)
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            keys, nodes = [], []
+            keys, nodes, held = [], [], 0
             seen = np.zeros(0, np.int64)
-            for i, j in row_chunks(offsets, 8 << 20):
+            for i, j in row_chunks(offsets):
                 code, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 ids = set_ids(code, at)
                 _, first = np.unique(ids, return_index=True)  # copies inside the batch count once
@@ -166,15 +196,16 @@ def _emit_parts(k: int, percent: int):
                 wanted[fresh] = True
                 code = code[np.repeat(wanted, np.diff(at))]
                 at = np.concatenate([[0], np.cumsum(np.diff(at)[wanted])])
-                row, key = part_keys(code, at, percent)
+                row, key = part_keys(code, at, percent, common)
                 keys.append(key.view(np.int64))
                 nodes.append(ids[wanted][row])
-            if not keys:
-                continue
-            key, centre, a, b = _star_rows(np.concatenate(keys), np.concatenate(nodes))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, a])), pa.array(np.concatenate([centre, b]))], names=["key", "node"])
+                held += len(key)
+                if held > _HOLD or j == len(offsets) - 1:
+                    key, centre, a, b = _star_rows(np.concatenate(keys), np.concatenate(nodes))
+                    keys, nodes, held = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, a])), pa.array(np.concatenate([centre, b]))], names=["key", "node"])
 
-    return run
+    return lean(run)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,14 +243,20 @@ def link_family(sets: list[np.ndarray], sides: np.ndarray, cross: bool, percent:
     group = np.arange(n) // GROUP_ROWS
     tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    matrix = np.zeros((len(tokens), group[-1] + 1), bool)
-    matrix[column, np.repeat(group, sizes)] = True
+    n_groups = int(group[-1]) + 1
+    cells = np.unique(column * n_groups + np.repeat(group, sizes))  # of the token-group matrix
+    in_groups = np.bincount(cells // n_groups, minlength=len(tokens))
+    shared = np.cumsum(in_groups > 1) - 1  # a token of one group says nothing about the others: it needs no row
+    matrix = np.zeros((int(shared[-1]) + 1, n_groups), bool)
+    cells = cells[in_groups[cells // n_groups] > 1]
+    matrix[shared[cells // n_groups], cells % n_groups] = True
     root = np.arange(n)
     mark = np.zeros(len(tokens), bool)
     links = []
     for q in range(n):
         own = column[at[q] : at[q + 1]]
-        bound = matrix[own].sum(0)
+        bound = matrix[shared[own[in_groups[own] > 1]]].sum(0)
+        bound[group[q]] = sizes[q]
         for g in np.flatnonzero(100 * bound >= percent * sizes[q]):
             members = np.arange(max(q + 1, g * GROUP_ROWS), min(n, (g + 1) * GROUP_ROWS))
             members = members[(root[members] != root[q]) & (100 * np.minimum(sizes[members], sizes[q]) >= percent * np.maximum(sizes[members], sizes[q]))]
@@ -260,23 +297,114 @@ def _link_families(k: int, percent: int):
                         b_out.append(ids[rows[y]])
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _count_shingles(k: int):
+    """Rows (doc_id, node, n_shingles), and of each batch rows (token, sets) for shingles in two or more of its sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            node, size = [], []
-            for i, j in row_chunks(offsets, 8 << 20):
+            node, size, codes, held = [], [], [], 0
+            seen = np.zeros(0, np.int64)
+            for i, j in row_chunks(offsets):
                 code, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                node.append(set_ids(code, at))
+                ids = set_ids(code, at)
+                _, first = np.unique(ids, return_index=True)
+                fresh = np.zeros(len(ids), bool)
+                fresh[first[~np.isin(ids[first], seen)]] = True
+                seen = np.concatenate([seen, ids[fresh]])
+                codes.append(code[np.repeat(fresh, np.diff(at))])
+                held += len(codes[-1])
+                node.append(ids)
                 size.append(np.diff(at))
-            ids = np.concatenate(node) if node else np.zeros(0, np.int64)
-            sizes = np.concatenate(size) if size else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, mask=ids == 0), pa.array(sizes)], names=["doc_id", "node", "n_shingles"])
+                if held > _HOLD or j == len(offsets) - 1:
+                    tokens = np.sort(np.concatenate(codes))
+                    starts = runs_of(tokens)
+                    many = np.diff(starts) > 1
+                    m = int(many.sum())
+                    columns = [pa.nulls(m, pa.int64())] * 3 + [pa.array(tokens[starts[:-1][many]].view(np.int64)), pa.array(np.diff(starts)[many])]
+                    codes, held = [], 0
+                    yield pa.RecordBatch.from_arrays(columns, names=_COUNTED)
+            if not node:
+                continue
+            ids, sizes = np.concatenate(node), np.concatenate(size)
+            columns = [batch.column(0), pa.array(ids, mask=ids == 0), pa.array(sizes), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=_COUNTED)
+
+    return lean(run)
+
+
+_COUNTED = ["doc_id", "node", "n_shingles", "token", "sets"]
+
+
+def _count_sketches(k: int):
+    """Of each fetched member: how many of its shingles fall in each range of the hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            buckets, wanted = batch.column("buckets").to_pylist(), batch.column("node").to_numpy()
+            keep, sketches = [], []
+            for i, j in row_chunks(offsets):
+                code, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                ids = set_ids(code, at)
+                for r in range(i, j):
+                    if ids[r - i] == wanted[r]:
+                        place = (code[at[r - i] : at[r - i + 1]] >> _U(32)) * _U(buckets[r]) >> _U(32)
+                        keep.append(r)
+                        sketches.append(np.minimum(np.bincount(place.astype(np.int64), minlength=buckets[r]), 255).astype(np.uint8).tobytes())
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("family", "side", "blocks", "node", "n")), pa.array(sketches, pa.binary())], names=_SKETCHED)
+
+    return lean(run)
+
+
+_SKETCHED = ["family", "side", "blocks", "node", "n", "sketch"]
+
+
+def _bound_families(percent: int):
+    """Links between members whose sketches don't rule a link out, as few as connect them.
+
+    Two sets differ in at least as many elements as their counts differ in, summed over the ranges.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["family", "i", "j"]):
+            table = table.combine_chunks()
+            data, offsets = text_buffer(table.column("sketch"))
+            family, i, j, side, node, size = (table.column(c).to_numpy() for c in ("family", "i", "j", "side", "node", "n"))
+            starts = runs_of(np.stack([family, i, j], 1).view("i8,i8,i8").ravel())
+            a_out, b_out = [], []
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                counts = data[offsets[lo] : offsets[hi]].reshape(hi - lo, -1).astype(np.int16)
+                root = np.arange(hi - lo)
+                for q in range(hi - lo):
+                    others = np.flatnonzero(root[q + 1 :] != root[q]) + q + 1
+                    if i[lo] != j[lo]:
+                        others = others[side[lo + others] != side[lo + q]]
+                    both = size[lo + others] + size[lo + q]
+                    others = others[np.abs(size[lo + others] - size[lo + q]) * (100 + percent) <= both * (100 - percent)]
+                    if not len(others):
+                        continue
+                    both = size[lo + others] + size[lo + q]
+                    apart = np.abs(counts[others] - counts[q]).sum(1, dtype=np.int64)
+                    for m in others[apart * (100 + percent) <= both * (100 - percent)].tolist():
+                        if root[m] != root[q]:
+                            a_out.append(node[lo + q])
+                            b_out.append(node[lo + m])
+                            root[root == root[m]] = root[q]
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    return lean(run)
+
 
-    return run
+def _paired_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of families dealt by pairs of blocks (i, j), sorted by them: a row goes to each pair its block is in."""
+    tasks = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
+    tasks = tasks.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", *columns)
+    return tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
 
 def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,20 +417,33 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
     labelled like the documents with its set, else null.  Empty tables give empty results; other columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counted = materialise(docs.mapInArrow(_count_shingles(k), "doc_id long, node long, n_shingles long"))
-    parts = docs.select("text").mapInArrow(_emit_parts(k, percent), "key long, node long")
-    stars = parts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long").distinct()
+    counted = materialise(docs.mapInArrow(_count_shingles(k), ", ".join(f"{c} long" for c in _COUNTED)))
+    tokens = counted.filter("token is not null").groupBy("token").agg(F.sum("sets").alias("sets")).filter(F.col("sets") >= FREQUENT)
+    common = np.array([r["token"] for r in tokens.orderBy(F.desc("sets"), "token").limit(FREQUENT_LIMIT).select("token").collect()], np.int64)
+    frequent = df.sparkSession.sparkContext.broadcast(np.sort(common.view(np.uint64)).tobytes())
+    counted = counted.filter("n_shingles is not null").select("doc_id", "node", "n_shingles")
+    parts = docs.select("text").mapInArrow(_emit_parts(k, percent, frequent), "key long, node long")
+    stars = parts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_stars), "a long, b long").distinct()
     families = materialise(connected_components(stars))
 
     firsts = materialise(counted.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))
-    members = families.join(firsts, "node").withColumnRenamed("component", "family")
-    blocks = members.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = materialise(members.join(blocks, "family").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")).select("doc_id", "node", "family", "side", "blocks"))
-    few = members.count() <= BROADCAST_ROWS
-    fetched = docs.join(F.broadcast(members) if few else members, "doc_id")
-    tasks = fetched.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
-    tasks = tasks.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "text")
-    tasks = tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    members = materialise(families.join(firsts, "node").withColumnRenamed("component", "family"))
+
+    def in_blocks(rows: DataFrame, shingles: int) -> DataFrame:
+        size = rows.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / shingles)).cast("int").alias("blocks"), F.avg("n").alias("mean"))
+        size = size.withColumn("buckets", F.pow(F.lit(2), F.greatest(F.lit(6), F.least(F.lit(12), F.round(F.log2(F.col("mean") / 2.5))))).cast("int")).drop("mean")
+        return materialise(rows.join(size, "family").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")))
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "doc_id")
+
+    # Large families are split first by a bound that needs a small sketch of each text instead of the text.
+    large = members.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).filter((F.col("rows") > LARGE_ROWS) | (F.col("total") > LARGE_SHINGLES)).select("family")
+    sketched = with_text(in_blocks(members.join(large, "family", "left_semi"), 1 << 62)).mapInArrow(_count_sketches(k), "family long, side long, blocks int, node long, n long, sketch binary")
+    bound = connected_components(_paired_blocks(sketched, ["node", "n", "sketch"]).mapInArrow(_bound_families(percent), "a long, b long"))
+    split = members.drop("family").join(bound.withColumnRenamed("component", "family"), "node").select(*members.columns)
+    members = in_blocks(members.join(large, "family", "left_anti").unionByName(split), BLOCK_SHINGLES)
+    tasks = _paired_blocks(with_text(members), ["node", "text"])
     links = connected_components(tasks.mapInArrow(_link_families(k, percent), "a long, b long"))
 
     linked = links.join(firsts, "node").select("node", "component", "doc_id")

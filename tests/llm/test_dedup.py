@@ -87,7 +87,9 @@ def brute_components(rows, k, percent):
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (2, 70)])
-def test_ngram_join(spark, k, percent):
+def test_ngram_join(spark, k, percent, monkeypatch):
+    monkeypatch.setattr("strandloom.llm.ngram_join.FREQUENT", 20)
+    monkeypatch.setattr("strandloom.llm.ngram_join.LARGE_ROWS", 5)
     rng = random.Random(k)
     rows = cases.awkward(k)
     base = [f"b{rng.randrange(60)}" for _ in range(90)]
@@ -121,7 +123,8 @@ def test_linked_sets_share_a_part():
         if 100 * len(a & b) < percent * len(a | b):
             continue
         code = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in (a, b)])
-        row, key = part_keys(code, np.array([0, len(a), len(a) + len(b)]), percent)
+        common = np.sort(np.array([x for x in a | b if rng.random() < trial % 5 / 4] or [1], np.uint64))
+        row, key = part_keys(code, np.array([0, len(a), len(a) + len(b)]), percent, common)
         assert set(key[row == 0].tolist()) & set(key[row == 1].tolist()), trial
 
 
