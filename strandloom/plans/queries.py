@@ -367,3 +367,13 @@ def assembly_polish(spark, sf_dir):
 @_query()
 def simulate_reads(spark, sf_dir):
     return simulate.simulate_reads(templates(spark, sf_dir), "tid", "tpl", 5, simulate.Profile())
+
+
+@_query()
+def sample_reads_hmm(spark, sf_dir):
+    return templates(spark, sf_dir).select("tid", simulate.sampled(F.col("tpl"), default_model(), F.col("tid")).alias("read"))
+
+
+@_query()
+def polish_exact(spark, sf_dir):
+    return polish.polish_exactly(*_draft_reads(spark, sf_dir), "tid", "draft", "rd")

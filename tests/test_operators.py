@@ -74,6 +74,38 @@ def test_polish_recovers(spark, model):
     assert {k: got[k].polished for k in truth} == truth
 
 
+def test_polish_options(spark):
+    rng = random.Random(8)
+    truth = "".join(rng.choices("ACGT", k=70))
+    draft = "ACGT"[("ACGT".index(truth[1]) + 1) % 4].join([truth[:1], truth[2:]])
+    draft = draft[:40] + draft[41:]
+    drafts = spark.createDataFrame([(1, draft)], "k long, d string")
+    rows = [(1, mutated(rng, truth, 1), n % 2 == 0, n < 14) for n in range(14)] + [(1, draft, True, False)] * 30
+    reads = spark.createDataFrame(rows, "k long, r string, fwd boolean, vote boolean")
+    both = {True: M.default_model(), False: K.PairModel(M.default_model().t, M.default_model().e, M.default_model().i)}
+    assert polish.polish(drafts, reads, "k", "d", "r", 15, both, strand="fwd", take="vote").first().polished == truth
+    assert polish.polish(drafts, reads, "k", "d", "r", 15, take="vote").first().polished == truth
+    inner = polish.polish(drafts, reads, "k", "d", "r", 15, take="vote", ignore_edge=5).first().polished
+    assert inner[:5] == draft[:5] and inner[5:] == truth[5:]
+
+
+def test_polish_exactly(spark):
+    rng = random.Random(9)
+    truth = {k: "".join(rng.choices("ACGT", k=22)) for k in range(3)}
+    drafts = spark.createDataFrame([(k, mutated(rng, t, 2)) for k, t in truth.items()] + [(9, "AC")], "k long, d string")
+    reads = spark.createDataFrame([(k, t if n % 3 else mutated(rng, t, 1)) for k, t in truth.items() for n in range(12)], "k long, r string")
+    got = {r.k: r.polished for r in polish.polish_exactly(drafts, reads, "k", "d", "r").collect()}
+    assert got == truth | {9: "AC"}
+
+
+def test_model_sampler(spark):
+    base = spark.range(40).select(F.col("id").alias("k"), simulate.random_sequence(F.lit(150), F.col("id")).alias("s"))
+    model = M.default_model()
+    rows = base.select("s", simulate.sampled(F.col("s"), model, F.col("k")).alias("r")).collect()
+    rate = sum(distance(r.s, r.r) for r in rows[:15]) / (15 * 150)
+    assert 0.04 < rate < 0.11 and abs(sum(len(r.r) for r in rows) / (40 * 150) - 1) < 0.05
+
+
 def test_take_reads(spark):
     rows = polish.take_reads(spark.range(20).select((F.col("id") % 3).alias("k"), "id"), "k", "id", 4).collect()
     assert Counter(r.k for r in rows) == {0: 4, 1: 4, 2: 4} and max(r.id for r in rows) == 11
