@@ -72,8 +72,17 @@ _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\
 _LETTERS = re.compile(r"[a-z]+")
 
 
-def _place_of(tag: str, attributes: str, around: int) -> int:
-    """The place inside an element, from its name, class, id and role, given the place around it."""
+#: The place of what stands outside the holder of a page that has one; it counts as -1, but the holder may start there.
+_OUTSIDE = -2
+_ARTICLE = re.compile(r"<article\b", re.IGNORECASE)
+_MAIN = re.compile(r"<main\b", re.IGNORECASE)
+
+
+def _place_of(tag: str, attributes: str, around: int, holder: str, in_holder: bool) -> int:
+    """The place inside an element, from its name, class, id and role, given the place around it.
+
+    `holder` is the element that holds the article on this page: article, else main, else what class or id call so.
+    """
     names: set[str] = set()
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
@@ -84,9 +93,9 @@ def _place_of(tag: str, attributes: str, around: int) -> int:
                 return -1
     if tag in _BOILER_TAGS or names & _BOILER_NAMES and tag not in ("body", "html"):
         return -1
-    if tag == "header":
-        return around if around == 1 else -1
-    if around == 0 and (tag in ("article", "main") or names & _MAIN_NAMES and tag in ("div", "section", "td")):
+    if tag == "header":  # of the site, unless it is the article's own
+        return around if around == 1 and in_holder else -1
+    if around in (0, _OUTSIDE) and (tag == holder or not holder and names & _MAIN_NAMES and tag in ("div", "section", "td")):
         return 1
     return around
 
@@ -97,7 +106,9 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     open_tags: list[tuple[str, int]] = []
     pieces: list[str] = []
     linked: list[str] = []
-    place = in_link = heading = 0
+    in_link = heading = 0
+    holder = "article" if _ARTICLE.search(page) else "main" if _MAIN.search(page) else ""
+    place = _OUTSIDE if holder else 0
 
     def end_block() -> None:
         nonlocal pieces, linked
@@ -105,7 +116,7 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             words = html.unescape("".join(pieces)).split()
             if words:
                 n_linked = len(html.unescape("".join(linked)).split()) if linked else 0
-                blocks.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), place, heading))
+                blocks.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), max(place, -1), heading))
         pieces, linked = [], []
 
     at = 0
@@ -135,7 +146,7 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             if tag in ("article", "main"):  # a menu, header or form left open doesn't hold the article
                 while open_tags and open_tags[-1][0] in ("nav", "header", "form", "ul", "ol", "li", "p", "menu"):
                     place = open_tags.pop()[1]
-            inside = _place_of(tag, m.group(4), place)
+            inside = _place_of(tag, m.group(4), place, holder, any(t == holder for t, _ in open_tags))
             if inside != place and tag not in _BLOCK:
                 end_block()
             open_tags.append((tag, place))

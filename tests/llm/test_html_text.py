@@ -13,6 +13,9 @@ PAGES = [
     ('<article><script>var t="</p><p>no"</script><p>yes</p><form>Name <input></form><style>p{}</style>', "yes"),
     ('<article><p class="advert">Buy <p>Keep</p><ul class="share-links"><li>tweet</ul><p>this</p></article><div id="cookie-notice">ok?</div>', "Keep this"),
     ("<div>" + "long plain text of a page without any hint of structure " * 5 + "</div><ul>" + "<li><a href=u>one link</a>" * 5 + "</ul>", ("long plain text of a page without any hint of structure " * 5).strip()),
+    ('<div id="main"><header><p>Site</header><div>crumbs</div><article><header><h2>Own</h2></header><p>Body</article><p>Read more here</div>', "Own Body"),
+    ('<body class="page"><div class="content"><header>Name</header><p>' + "several words of running text in a block " * 4 + "</p></div><footer>x</footer>", ("several words of running text in a block " * 4).strip()),
+    ("<div>" + "a long unmarked line of plain words outside " * 6 + "</div><div><article><p>In</article></div>", "In"),
     ("<article><p>cut in a tag <a hre", "cut in a tag"), ("<article><p>cut in a reference &am", "cut in a reference &am"),
 ]
 
