@@ -407,6 +407,12 @@ def _paired_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
     return tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
 
+def _beside(rows: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join a table of one row a key, by broadcast while it has at most BROADCAST_ROWS rows, so that no key gathers its rows."""
+    table = materialise(table)
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
+
+
 def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `df`: doc_id, n_shingles, component_id.
 
@@ -426,27 +432,30 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
     stars = parts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_stars), "a long, b long").distinct()
     families = materialise(connected_components(stars))
 
-    firsts = materialise(counted.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))
-    members = materialise(families.join(firsts, "node").withColumnRenamed("component", "family"))
+    firsts = counted.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    firsts = materialise(firsts.filter("doc_id is not null"))
+    members = materialise(families.join(firsts.drop("copies"), "node").withColumnRenamed("component", "family"))
 
     def in_blocks(rows: DataFrame, shingles: int) -> DataFrame:
         size = rows.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / shingles)).cast("int").alias("blocks"), F.avg("n").alias("mean"))
         size = size.withColumn("buckets", F.pow(F.lit(2), F.greatest(F.lit(6), F.least(F.lit(12), F.round(F.log2(F.col("mean") / 2.5))))).cast("int")).drop("mean")
-        return materialise(rows.join(size, "family").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")))
+        return materialise(_beside(rows, size, "family").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")))
 
     def with_text(rows: DataFrame) -> DataFrame:
         return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "doc_id")
 
     # Large families are split first by a bound that needs a small sketch of each text instead of the text.
     large = members.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).filter((F.col("rows") > LARGE_ROWS) | (F.col("total") > LARGE_SHINGLES)).select("family")
-    sketched = with_text(in_blocks(members.join(large, "family", "left_semi"), 1 << 62)).mapInArrow(_count_sketches(k), "family long, side long, blocks int, node long, n long, sketch binary")
+    large = materialise(large)
+    sketched = with_text(in_blocks(_beside(members, large, "family", "left_semi"), 1 << 62)).mapInArrow(_count_sketches(k), "family long, side long, blocks int, node long, n long, sketch binary")
     bound = connected_components(_paired_blocks(sketched, ["node", "n", "sketch"]).mapInArrow(_bound_families(percent), "a long, b long"))
     split = members.drop("family").join(bound.withColumnRenamed("component", "family"), "node").select(*members.columns)
-    members = in_blocks(members.join(large, "family", "left_anti").unionByName(split), BLOCK_SHINGLES)
+    members = in_blocks(_beside(members, large, "family", "left_anti").unionByName(split), BLOCK_SHINGLES)
     tasks = _paired_blocks(with_text(members), ["node", "text"])
     links = connected_components(tasks.mapInArrow(_link_families(k, percent), "a long, b long"))
 
     linked = links.join(firsts, "node").select("node", "component", "doc_id")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = firsts.join(linked.join(least, "component").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return counted.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"))
+    labels = firsts.join(linked.join(least, "component").select("node", "component_id"), "node", "left").filter("copies > 1 OR component_id IS NOT NULL")
+    labelled = _beside(counted, labels.select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "node", "left")
+    return labelled.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
