@@ -231,6 +231,20 @@ def _runs_by_row(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(sizes)]), flat.field("place").to_numpy(), flat.field("n").to_numpy()
 
 
+def _anchors(code: np.ndarray, least: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """What windows are dealt by: the hash of their minimiser, and whether it stands in their first or second half.
+
+    A common minimiser is so dealt to two tasks; neighbouring windows mostly stay together.
+    """
+    second = np.zeros(len(starts), bool)
+    open_ = np.ones(len(starts), bool)
+    for at in range(width):
+        here = open_ & (code[starts + at] == least[starts])
+        second[here] = 2 * at >= width
+        open_ &= ~here
+    return mix(least[starts] + second.astype(np.uint64))
+
+
 def _second_level(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = _Texts()
@@ -252,7 +266,7 @@ def _second_level(window: int):
                             survivor[a + start : min(a + start + n, b)] = True
                 alive = _slide(np.where(survivor, code, _TOP), window - window // 2 + 1, True, np.minimum, int(_TOP))
                 full = np.flatnonzero(whole & (alive == least))
-                anchors.append(least[full])
+                anchors.append(_anchors(code, least, full, window - window // 2 + 1))
                 keys.append(window_hashes(h, window)[full])
                 owners.append(ids[i:j][row[full]])
                 places.append(place[full])
