@@ -41,16 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(task: Callable) -> Callable:
-    """A task function that gives freed memory back to the system at its end, as its worker process lives on."""
+    """A task function that gives freed memory back at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from task(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 
