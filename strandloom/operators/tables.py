@@ -6,6 +6,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Tasks that the reads of one draft are dealt to at most.
+SPREAD = 8
+
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: str, read: str) -> DataFrame:
+    """Rows dealt by key and read, a fixed number of partitions: the work of a row is far larger than its bytes, so
+    small partitions aren't to be put together, and a deep draft goes to several tasks."""
+    return df.repartition(partitions(df), F.col(key), F.pmod(F.xxhash64(read), F.lit(SPREAD)))
 
 
 def materialise(df: DataFrame) -> DataFrame:
