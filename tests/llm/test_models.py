@@ -192,6 +192,20 @@ def test_packing(spark):
     assert packing.pack(table(spark, []), path).collect() == []
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a<|endoftext|>b", "<|endoftext|> 汉字", "plain <|endoftext> |", " <|endoftext|><|endoftext|>\n", ""])
+def test_ids_are_those_of_the_file(spark, text):
+    """The vocabulary file's own tokenizer, as it is loaded, decides, added tokens included."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert packing.Encoder(path)(text).tolist() == packing.Encoder(path, ranks)(text).tolist() == ids
+    got = packing.token_pieces(table(spark, cases.rows([text], [1])), path, ranks, 512).collect()
+    assert [(r.length, r.ids_crc32) for r in got] == [(len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))]
+    assert ids.count(50256) == text.count("<|endoftext|>")
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_pack_plan(seed):
     rng = random.Random(seed)
