@@ -35,6 +35,19 @@ LABELLED = (
     (-1, 25, 0.00, 2, 1.00, 2, 1.00, 0, 0), (-1, 140, 0.20, 6, 1.00, 4, 1.00, 0, 0), (-1, 21, 0.25, 58, 0.00, 0, 0.00, 0, 0),
     (-1, 12, 0.00, 48, 0.00, 65, 0.00, 0, 0), (-1, 7, 0.00, 31, 0.00, 40, 0.05, 0, 0), (-1, 9, 0.00, 500, 0.00, 0, 0.00, 0, 0),
     (-1, 10, 0.00, 2, 1.00, 60, 0.00, 1, 0), (-1, 26, 0.00, 900, 0.00, 0, 0.00, 0, 0), (-1, 8, 0.00, 24, 0.00, 6, 0.00, 0, 0),
+    (1, 3, 1.00, 4, 1.00, 3, 1.00, 0, 0), (1, 6, 1.00, 5, 1.00, 7, 1.00, 0, 0), (1, 2, 1.00, 3, 1.00, 4, 1.00, 0, 0),
+    (1, 8, 0.90, 6, 1.00, 9, 0.90, 0, 0), (1, 5, 1.00, 90, 0.00, 70, 0.05, 0, 1), (1, 12, 0.10, 7, 1.00, 6, 1.00, 0, 1),
+    (-1, 180, 0.00, 160, 0.00, 190, 0.00, 0, 1), (-1, 320, 0.02, 140, 0.00, 210, 0.00, 0, 1), (-1, 150, 0.00, 240, 0.02, 170, 0.00, 0, 1),
+    (-1, 160, 0.60, 150, 0.50, 170, 0.00, 0, 0), (-1, 40, 0.00, 180, 0.00, 190, 0.00, 0, 0), (-1, 90, 0.00, 110, 0.00, 95, 0.00, 0, 0),
+    (1, 4, 0.00, 60, 0.00, 5, 1.00, 0, 1), (1, 6, 0.00, 8, 0.00, 3, 1.00, 1, 1), (1, 9, 0.10, 20, 0.00, 4, 0.80, 0, 1),
+    (1, 4, 1.00, 5, 1.00, 40, 0.00, 0, 0), (1, 2, 0.00, 3, 1.00, 4, 1.00, 0, 1), (1, 5, 0.00, 6, 1.00, 50, 0.00, 0, 1),
+    (1, 2, 1.00, 60, 0.00, 2, 1.00, 0, 0), (1, 3, 1.00, 70, 0.00, 3, 1.00, 0, 0), (1, 4, 1.00, 40, 0.00, 35, 0.00, 0, 1),
+    (1, 5, 1.00, 0, 0.00, 60, 0.00, 1, 1), (1, 7, 1.00, 4, 1.00, 90, 0.00, 1, 1), (1, 3, 1.00, 2, 0.00, 30, 0.00, 0, 1),
+    (1, 9, 1.00, 50, 0.00, 0, 0.00, 0, 1), (1, 6, 1.00, 3, 1.00, 3, 0.00, 1, 1), (1, 5, 1.00, 20, 0.00, 4, 0.30, 1, 1),
+    (1, 3, 0.00, 1, 1.00, 6, 0.00, 1, 1), (1, 3, 0.00, 1, 1.00, 0, 0.00, 0, 1), (1, 2, 0.00, 4, 1.00, 30, 0.00, 0, 1),
+    (1, 1, 0.00, 2, 1.00, 3, 0.00, 0, 1), (1, 4, 0.30, 6, 1.00, 5, 0.00, 0, 1), (1, 6, 1.00, 0, 0.00, 2, 1.00, 1, 1),
+    (-1, 200, 0.00, 20, 0.00, 90, 0.00, 0, 0), (-1, 260, 0.00, 150, 0.00, 40, 0.00, 0, 0), (-1, 140, 0.00, 8, 0.00, 160, 0.00, 0, 0),
+    (-1, 160, 0.00, 30, 0.00, 210, 0.00, 0, 0), (-1, 190, 0.00, 130, 0.00, 60, 0.00, 0, 0), (-1, 210, 0.00, 110, 0.00, 240, 0.00, 0, 0),
     (0, 60, 0.00, 40, 0.00, 70, 0.00, 0, 1), (0, 90, 0.05, 4, 0.00, 35, 0.10, 0, 1), (0, 35, 0.10, 3, 1.00, 50, 0.00, 0, 1),
     (0, 25, 0.00, 2, 1.00, 2, 1.00, 0, 1), (0, 150, 0.20, 6, 1.00, 4, 1.00, 0, 1), (0, 20, 0.25, 55, 0.00, 0, 0.00, 0, 1),
     (0, 12, 0.00, 45, 0.00, 60, 0.00, 0, 1), (0, 7, 0.00, 30, 0.00, 40, 0.05, 0, 1), (0, 3, 0.00, 80, 0.00, 55, 0.00, 0, 1),
@@ -74,36 +87,56 @@ _LETTERS = re.compile(r"[a-z]+")
 
 #: The place of what stands outside the holder of a page that has one; it counts as -1, but the holder may start there.
 _OUTSIDE = -2
+#: The place of what only a form sets apart; it counts as 0 where the form holds the whole page, else as -1.
+_IN_FORM = -3
+#: The place of what isn't shown; no holder starts there.
+_HIDDEN = -4
 _ARTICLE = re.compile(r"<article\b", re.IGNORECASE)
 _MAIN = re.compile(r"<main\b", re.IGNORECASE)
 
 
-def _place_of(tag: str, attributes: str, around: int, holder: str, in_holder: bool) -> int:
-    """The place inside an element, from its name, class, id and role, given the place around it.
+def _place_of(tag: str, attributes: str, around: int, holder: str, in_holder: bool) -> tuple[int, bool]:
+    """The place inside an element, from its name, class, id and role, given the place around it, and whether these mark
+    it as a menu, advert, form or the like.
 
     `holder` is the element that holds the article on this page: article, else main, else what class or id call so.
+    An element starts anew whatever stands around it and whatever its own names are, unless it isn't shown; what only
+    class or id call so starts anew in a form.
     """
     names: set[str] = set()
+    role = False
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
             if name in ("class", "id"):
                 names.update(_LETTERS.findall(value))
-            elif name == "role" and value in _BOILER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return -1
-    if tag in _BOILER_TAGS or names & _BOILER_NAMES and tag not in ("body", "html"):
-        return -1
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                return _HIDDEN, True
+            elif name == "role" and value in _BOILER_ROLES:
+                role = True
+    if around == _HIDDEN:
+        return _HIDDEN, False
+    boiler = role or tag in _BOILER_TAGS or bool(names & _BOILER_NAMES) and tag not in ("body", "html")
+    if not in_holder and (tag == holder or not holder and not boiler and around in (0, _IN_FORM) and names & _MAIN_NAMES and tag in ("div", "section", "td")):
+        return 1, boiler
+    if boiler:
+        return (_IN_FORM if tag == "form" and around in (0, _IN_FORM) else -1), True
     if tag == "header":  # of the site, unless it is the article's own
-        return around if around == 1 and in_holder else -1
-    if around in (0, _OUTSIDE) and (tag == holder or not holder and names & _MAIN_NAMES and tag in ("div", "section", "td")):
-        return 1
-    return around
+        return (around if around == 1 and in_holder and holder else -1), False
+    return around, False
 
 
 def text_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
-    """(text, words, link density, place, heading) of each block in page order, references decoded."""
+    """(text, words, link density, place, heading) of each block in page order, references decoded.
+
+    A holder's level is the number of marked elements around it, itself included.  The holder of most words decides
+    which levels are the article's: those up to its own.  So an article in a marked layout or form is kept, and
+    comments or teasers that are articles themselves, marked more often than the text they belong to, are not.
+    """
     blocks: list[tuple[str, int, float, int, int]] = []
-    open_tags: list[tuple[str, int]] = []
+    open_tags: list[tuple[str, int, bool, int]] = []  # tag; place around it; whether it is marked; the holder around it
+    held: list[int] = []  # of each block: the holder it stands in, or 0
+    level, own = [0], 0
     pieces: list[str] = []
     linked: list[str] = []
     in_link = heading = 0
@@ -114,9 +147,10 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         nonlocal pieces, linked
         if pieces:
             words = html.unescape("".join(pieces)).split()
-            if words:
+            if words and place != _HIDDEN:
                 n_linked = len(html.unescape("".join(linked)).split()) if linked else 0
-                blocks.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), max(place, -1), heading))
+                blocks.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), place, heading))
+                held.append(own)
         pieces, linked = [], []
 
     at = 0
@@ -142,27 +176,36 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             continue
         if not closing:
             while open_tags and tag in _BLOCK and open_tags[-1][0] in ("p", "li") and (open_tags[-1][0] == "p" or tag == "li"):  # these end by themselves
-                place = open_tags.pop()[1]
+                _, place, _, own = open_tags.pop()
             if tag in ("article", "main"):  # a menu, header or form left open doesn't hold the article
                 while open_tags and open_tags[-1][0] in ("nav", "header", "form", "ul", "ol", "li", "p", "menu"):
-                    place = open_tags.pop()[1]
-            inside = _place_of(tag, m.group(4), place, holder, any(t == holder for t, _ in open_tags))
+                    _, place, _, own = open_tags.pop()
+            inside, marked = _place_of(tag, m.group(4), place, holder, own > 0)
             if inside != place and tag not in _BLOCK:
                 end_block()
-            open_tags.append((tag, place))
+            open_tags.append((tag, place, marked, own))
+            if inside == 1 and not own:
+                level.append(sum(t[2] for t in open_tags))
+                own = len(level) - 1
             place = inside
-        elif any(t == tag for t, _ in open_tags):
+        elif any(t[0] == tag for t in open_tags):
             while True:
-                name, outside = open_tags.pop()
+                name, outside, _, around = open_tags.pop()
                 if outside != place:
                     end_block()
-                place = outside
+                place, own = outside, around
                 if name == tag:
                     break
     if at < len(page):
         pieces.append(page[at:])
     end_block()
-    return blocks
+    n_words = [0] * len(level)
+    for b, h in zip(blocks, held, strict=True):
+        n_words[h] += b[1] * (b[3] == (h > 0))  # unmarked text without a holder counts as level 0
+    most = level[max(range(len(level)), key=lambda h: (n_words[h], -level[h]))]
+    form = 0 if all(b[3] in (-1, _IN_FORM) for b in blocks) else -1
+    places = [-1 if level[h] > most else form if b[3] == _IN_FORM else max(b[3], -1) for b, h in zip(blocks, held, strict=True)]
+    return [(*b[:3], p, b[4]) for b, p in zip(blocks, places, strict=True)]
 
 
 def features(blocks: list[tuple[str, int, float, int, int]]) -> np.ndarray:

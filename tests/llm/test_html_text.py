@@ -1,8 +1,9 @@
 """HTML extraction on pages whose main text is known, and on broken ones."""
 
+import numpy as np
 import pytest
 
-from strandloom.llm.html_text import extract_text, main_text
+from strandloom.llm.html_text import LABELLED, extract_text, main_text
 
 PAGES = [
     (None, ""), ("", ""), ("<html><body></body></html>", ""), ("<!-- <p>x</p> -->", ""),
@@ -25,6 +26,35 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+_PLAIN = ("plain words of a page inside one form " * 8).strip()
+HOLDERS = [
+    ('<div class="layout has-sidebar"><article><p>Body text</article><div class="sidebar">ad</div></div>', "Body text"),
+    ('<nav>menu</nav><article class="post tag-cookies category-search"><p>Body text</article>', "Body text"),
+    ('<div class="social widget"><article><p>Body</article></div>', "Body"),
+    ("<form><div><header>Site</header><div><article><p>Body<p>Second</article></div></div></form>", "Body Second"),
+    (f"<form><div><p>{_PLAIN}</div></form>", _PLAIN),
+    ('<div class="has-sidebar"><article><p>The whole main text</article><div class="related"><article>other</article></div></div>', "The whole main text"),
+    ('<article><p>The whole main text</article><div id="comments"><article class="comment"><p>me too</article></div>', "The whole main text"),
+    ('<article><p>Text<div class="comments"><article class="comment"><p>me too</article></div></article>', "Text"),
+    ('<div style="display:none"><article>no</article></div><p>x', ""),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), HOLDERS)
+def test_holder_in_marked_containers(page, text):
+    assert main_text(page) == text
+
+
+def test_words_and_links_take_part_in_every_place():
+    links = "<ul>" + "".join(f"<li><a href=u>link {i}</a></li>" for i in range(6)) + "</ul>"
+    assert main_text(f"<article><p>{'running text of the article ' * 12}</p>{links}</article>") == ("running text of the article " * 12).strip()
+    assert main_text("<article><h2><a href=u>Linked title</a></h2><p>Some text follows here</p><p><a href=u>Source</a></p></article>") == "Linked title Some text follows here Source"
+    long = ("many words of running text " * 50).strip()
+    assert long in main_text(f'<div class="social"><p>{long}</p><p>{long}</p><p>{long}</p></div>')
+    table = np.array(LABELLED)
+    assert all({0, 1} == set(table[table[:, 0] == place, -1]) for place in (-1, 0, 1))
+
+
 def test_extract_text(spark):
     rows = [(i, f"u{i}" if i % 2 else None, h, "clash") for i, (h, _) in enumerate(PAGES)] * 2 + [(None, None, "<article>" + "<p>w x</p>" * 20_000, "t")]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
