@@ -10,8 +10,9 @@
    differ, and what no bounded pair connects comes apart.
 3. In a family the token-group matrix does the join: groups of similar documents, the union of each group's
    shingles, the overlap of every document with every union as bound, and only groups that can hold a partner are
-   opened and compared exactly.  A group already joined to the document is not opened again.  A family of more
-   than a block is dealt as pairs of blocks to different tasks.  Tasks emit links that join something new, never all pairs.
+   opened and compared exactly.  A family of more than a block is dealt as pairs of blocks to different tasks.  Every
+   link is found once.  For groups, tasks emit the links that join something new and each node's number of linked
+   documents, which grow with the nodes; only `jaccard_links` emits every link.
 """
 
 from __future__ import annotations
@@ -226,18 +227,16 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
 
-def link_family(sets: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected among `sets` (sorted distinct hashes), by a token-group matrix.
+def link_family(sets: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int) -> np.ndarray:
+    """All links among `sets` (sorted distinct hashes) as rows of two indices, by a token-group matrix.
 
     With `cross` only pairs with different `sides` are compared.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     if n == 2:
-        if cross and sides[0] == sides[1]:
-            return []
-        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * common >= percent * (sizes.sum() - common) else []
+        common = 0 if cross and sides[0] == sides[1] else len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return np.array([(0, 1)] if common and 100 * common >= percent * (sizes.sum() - common) else [], np.int64).reshape(-1, 2)
     order = np.array(sorted(range(n), key=lambda i: (int(sets[i][0]), i)))  # neighbours in min-hash order are alike
     sets, sizes, sides = [sets[i] for i in order], sizes[order], sides[order]
     group = np.arange(n) // GROUP_ROWS
@@ -250,52 +249,77 @@ def link_family(sets: list[np.ndarray], sides: np.ndarray, cross: bool, percent:
     matrix = np.zeros((int(shared[-1]) + 1, n_groups), bool)
     cells = cells[in_groups[cells // n_groups] > 1]
     matrix[shared[cells // n_groups], cells % n_groups] = True
-    root = np.arange(n)
     mark = np.zeros(len(tokens), bool)
-    links = []
+    links = [np.zeros((0, 2), np.int64)]
     for q in range(n):
         own = column[at[q] : at[q + 1]]
         bound = matrix[shared[own[in_groups[own] > 1]]].sum(0)
         bound[group[q]] = sizes[q]
+        mark[own] = True
         for g in np.flatnonzero(100 * bound >= percent * sizes[q]):
-            members = np.arange(max(q + 1, g * GROUP_ROWS), min(n, (g + 1) * GROUP_ROWS))
-            members = members[(root[members] != root[q]) & (100 * np.minimum(sizes[members], sizes[q]) >= percent * np.maximum(sizes[members], sizes[q]))]
+            lo, hi = max(q + 1, g * GROUP_ROWS), min(n, (g + 1) * GROUP_ROWS)
+            if lo >= hi:
+                continue
+            fits = 100 * np.minimum(sizes[lo:hi], sizes[q]) >= percent * np.maximum(sizes[lo:hi], sizes[q])
             if cross:
-                members = members[sides[members] != sides[q]]
-            if not len(members):
+                fits &= sides[lo:hi] != sides[q]
+            if not fits.any():
                 continue
-            mark[own] = True
-            for m in members:
-                if root[m] == root[q]:
-                    continue
-                common = int(mark[column[at[m] : at[m + 1]]].sum())
-                if 100 * common >= percent * (sizes[q] + sizes[m] - common):
-                    links.append((int(order[q]), int(order[m])))
-                    root[root == root[m]] = root[q]
-            mark[own] = False
-    return links
-
-
-def _link_families(k: int, percent: int):
+            common = np.add.reduceat(mark[column[at[lo] : at[hi]]], at[lo:hi] - at[lo], dtype=np.int64)
+            linked = np.flatnonzero(fits & (100 * common >= percent * (sizes[q] + sizes[lo:hi] - common))) + lo
+            links.append(np.stack([np.full(len(linked), order[q]), order[linked]], 1))
+        mark[own] = False
+    return np.concatenate(links)
+
+
+def spanning_links(links: np.ndarray, n: int) -> np.ndarray:
+    """As few of the links between n nodes as connect what they connect."""
+    root = np.arange(n)
+    kept = []
+    for start, end in zip((at := runs_of(links[:, 0]))[:-1].tolist(), at[1:].tolist(), strict=True):
+        q = links[start, 0]
+        others = links[start:end, 1]
+        roots, first = np.unique(root[others], return_index=True)
+        fresh = roots != root[q]
+        if fresh.any():
+            kept.append(start + first[fresh])
+            root[np.isin(root, roots[fresh])] = root[q]
+    return links[np.concatenate(kept)] if kept else links[:0]
+
+
+def _link_families(k: int, percent: int, every: bool):
+    """Rows (a, b, n): links have no n; a node's number of linked documents in the task has no b.
+
+    Links are `every` one, or as few as connect what is connected.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["family", "i", "j"]):
             table = table.combine_chunks()
             data, offsets = text_buffer(table.column("text"))
-            family, i, j, side, wanted = (table.column(c).to_numpy() for c in ("family", "i", "j", "side", "node"))
+            family, i, j, side, wanted, docs = (table.column(c).to_numpy() for c in ("family", "i", "j", "side", "node", "docs"))
             starts = runs_of(np.stack([family, i, j], 1).view("i8,i8,i8").ravel())
-            a_out, b_out = [], []
+            out = []
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 code, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
                 ids = set_ids(code, at)
                 # A repeated id may have brought other texts along; each node stands once on its side.
                 _, first = np.unique(ids, return_index=True)
-                rows = [r for r in first.tolist() if ids[r] == wanted[lo + r]]
+                rows = np.array([r for r in first.tolist() if ids[r] == wanted[lo + r]], np.int64)
                 if len(rows) > 1:
-                    cross = bool(i[lo] != j[lo])
-                    for x, y in link_family([code[at[r] : at[r + 1]] for r in rows], side[lo:hi][rows], cross, percent):
-                        a_out.append(ids[rows[x]])
-                        b_out.append(ids[rows[y]])
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                    links = link_family([code[at[r] : at[r + 1]] for r in rows], side[lo:hi][rows], bool(i[lo] != j[lo]), percent)
+                    if not len(links):
+                        continue
+                    node, n_docs = ids[rows], docs[lo:hi][rows]
+                    n_links = np.zeros(len(rows), np.int64)
+                    np.add.at(n_links, links[:, 0], n_docs[links[:, 1]])
+                    np.add.at(n_links, links[:, 1], n_docs[links[:, 0]])
+                    shown = node[links if every else spanning_links(links, len(rows))]
+                    some = np.flatnonzero(n_links)
+                    out.append(pa.RecordBatch.from_arrays([pa.array(shown[:, 0]), pa.array(shown[:, 1]), pa.nulls(len(shown), pa.int64())], names=["a", "b", "n"]))
+                    out.append(pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(len(some), pa.int64()), pa.array(n_links[some])], names=["a", "b", "n"]))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return lean(run)
 
@@ -413,15 +437,9 @@ def _beside(rows: DataFrame, table: DataFrame, on: str, how: str = "inner") -> D
     return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
 
 
-def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `df`: doc_id, n_shingles, component_id.
-
-    Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of k-word shingles; component_id is
-    the smallest doc_id that links reach.  A text of fewer than k words is one shingle; a null text or one without
-    words has an empty set, links with nothing and is its own component.  Rows with one id count as one document
-    where their texts are equal and are joined by that text's links where they differ.  A row with a null id is
-    labelled like the documents with its set, else null.  Empty tables give empty results; other columns are ignored.
-    """
+def _compare(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, node, n_shingles) of each row; of each node its smallest doc_id, size, copies and documents; what the
+    tasks of `_link_families` found."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = materialise(docs.mapInArrow(_count_shingles(k), ", ".join(f"{c} long" for c in _COUNTED)))
     tokens = counted.filter("token is not null").groupBy("token").agg(F.sum("sets").alias("sets")).filter(F.col("sets") >= FREQUENT)
@@ -432,7 +450,7 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
     stars = parts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_stars), "a long, b long").distinct()
     families = materialise(connected_components(stars))
 
-    firsts = counted.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    firsts = counted.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.countDistinct("doc_id").alias("docs"))
     firsts = materialise(firsts.filter("doc_id is not null"))
     members = materialise(families.join(firsts.drop("copies"), "node").withColumnRenamed("component", "family"))
 
@@ -451,11 +469,39 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
     bound = connected_components(_paired_blocks(sketched, ["node", "n", "sketch"]).mapInArrow(_bound_families(percent), "a long, b long"))
     split = members.drop("family").join(bound.withColumnRenamed("component", "family"), "node").select(*members.columns)
     members = in_blocks(_beside(members, large, "family", "left_anti").unionByName(split), BLOCK_SHINGLES)
-    tasks = _paired_blocks(with_text(members), ["node", "text"])
-    links = connected_components(tasks.mapInArrow(_link_families(k, percent), "a long, b long"))
+    tasks = _paired_blocks(with_text(members), ["node", "docs", "text"])
+    return counted, firsts, materialise(tasks.mapInArrow(_link_families(k, percent, every), "a long, b long, n long"))
+
+
+def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of `df`: doc_id, n_shingles, component_id, n_links.
+
+    Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of k-word shingles; component_id is
+    the smallest doc_id that links reach and n_links the number of other documents that the row's text links with, copies
+    included.  A text of fewer than k words is one shingle; a null text or one without
+    words has an empty set, links with nothing and is its own component.  Rows with one id count as one document
+    where their texts are equal and are joined by that text's links where they differ.  A row with a null id is
+    labelled like the documents with its set, else null.  Empty tables give empty results; other columns are ignored.
+    """
+    counted, firsts, found = _compare(df, k, percent, id_col, text_col)
+    links = connected_components(found.filter("b is not null").select("a", "b"))
+    partners = found.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("partners"))
 
     linked = links.join(firsts, "node").select("node", "component", "doc_id")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = firsts.join(linked.join(least, "component").select("node", "component_id"), "node", "left").filter("copies > 1 OR component_id IS NOT NULL")
-    labelled = _beside(counted, labels.select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "node", "left")
-    return labelled.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = firsts.join(linked.join(least, "component").select("node", "component_id"), "node", "left").filter("copies > 1 OR component_id IS NOT NULL").join(partners, "node", "left")
+    labels = labels.select("node", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("docs") + F.coalesce("partners", F.lit(0))).alias("reached"))
+    labelled = _beside(counted, labels, "node", "left")
+    n_links = F.coalesce(F.col("reached") - F.col("doc_id").isNotNull().cast("long"), F.lit(0)).alias("n_links")
+    return labelled.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), n_links)
+
+
+def jaccard_links(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every link of `jaccard_components` between different sets as (a, b), a < b: each set stands by its smallest doc_id.
+
+    The links of n alike texts are n (n - 1) / 2 rows.
+    """
+    _, firsts, found = _compare(df, k, percent, id_col, text_col, every=True)
+    ends = [firsts.select(F.col("node").alias(c), F.col("doc_id").alias(f"{c}_id")) for c in ("a", "b")]
+    links = found.filter("b is not null").select("a", "b").join(ends[0], "a").join(ends[1], "b")
+    return links.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))

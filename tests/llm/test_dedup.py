@@ -8,7 +8,7 @@ import pytest
 
 from strandloom.llm.components import connected_components
 from strandloom.llm.exact_dedup import content_sort_dedup
-from strandloom.llm.ngram_join import jaccard_components, part_keys
+from strandloom.llm.ngram_join import jaccard_components, jaccard_links, part_keys
 from strandloom.llm.substring_dedup import remove_repeats
 
 from . import cases
@@ -102,6 +102,28 @@ def test_ngram_join(spark, k, percent, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, k, percent)
 
 
+def test_ngram_join_links(spark, monkeypatch):
+    """Every link is found, in families of one block and of several, and each document's number of links counts copies."""
+    monkeypatch.setattr("strandloom.llm.ngram_join.BLOCK_ROWS", 40)
+    monkeypatch.setattr("strandloom.llm.ngram_join.LARGE_ROWS", 5)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            w[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += ["one two three four", "one two three four", "alone here", None, ""]
+    docs = table(spark, cases.rows(texts))
+    sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w := words(t)) >= 3 else frozenset([tuple(w)] if w else []) for t in texts]
+    linked = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and 100 * len(a & b) >= 80 * len(a | b)}
+    got = {r.doc_id: r.n_links for r in jaccard_components(docs, 3, 80).collect()}
+    assert got == {i: sum(i in pair for pair in linked) for i in range(len(texts))} and max(got.values()) > 40
+    first = [sets.index(s) for s in sets]
+    assert sorted((r.a, r.b) for r in jaccard_links(docs, 3, 80).collect()) == sorted(p for p in linked if first[p[0]] == p[0] and first[p[1]] == p[1] and sets[p[0]] != sets[p[1]])
+
+
 def test_ngram_join_empty(spark):
     assert jaccard_components(table(spark, [])).collect() == []
     assert [r.component_id for r in jaccard_components(table(spark, cases.rows([None, "", " "]))).orderBy("doc_id").collect()] == [0, 1, 2]
