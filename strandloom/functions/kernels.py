@@ -189,35 +189,24 @@ def affine(reference: np.ndarray, query: np.ndarray, scores: tuple[int, int, int
 
 
 def lift_over(path: str, edits: list[tuple[int, int]], copies: int) -> str:
-    """The path after edits (pos, slot), sorted by pos, of its reference: new bases become deletions, deleted ones insertions."""
-    out: list[str] = []
-    k = at = 0
-
-    def take(n: int, keep: bool = True) -> None:
-        nonlocal k
-        while n > 0 and k < len(path):
-            op = path[k]
-            k += 1
-            if op != "I":
-                n -= 1
-            if keep or op == "I":
-                out.append(op)
-            elif op != "D":
-                out.append("I")
+    """The path after edits (pos, slot) of its reference: new bases become deletions, deleted ones insertions.
 
+    Edits are marked on the positions of the old reference; new bases stand right behind the base before them.
+    """
+    ops = np.frombuffer(path.encode(), np.uint8).copy()
+    used = np.flatnonzero(ops != ord("I"))  # the step of each reference base
+    new, gone = np.zeros(len(used) + 1, np.int64), np.zeros(len(used), bool)
     for pos, slot in edits:
-        take(pos - at)
-        if slot < 4:
-            take(1)
-            at = pos + 1
-        elif slot < 8 + copies:
-            out.append("D" * (1 if slot < 8 else slot - 7))
-            at = pos
-        else:
-            n = slot - 7 - copies
-            take(n, keep=False)
-            at = pos + n
-    return "".join(out) + path[k:]
+        if 4 <= slot < 8 + copies:
+            new[pos] += max(1, slot - 7)
+        elif slot >= 8 + copies:
+            gone[pos : pos + slot - 7 - copies] = True
+    lost = used[gone]
+    dropped = lost[ops[lost] == ord("D")]
+    ops[lost] = ord("I")
+    ops[dropped] = 0
+    ops = np.insert(ops, np.repeat(np.concatenate([[0], used + 1]), new), ord("D"))
+    return ops[ops > 0].tobytes().decode()
 
 
 class PairModel:
@@ -436,45 +425,28 @@ def _decayed_sum(x: np.ndarray, rate: float) -> np.ndarray:
     return y
 
 
-def stitch(left: str, right: str, overlap: int) -> str:
-    """Join two neighbours whose ends overlap: the left one counts in the first half of the overlap, the right one after it."""
-    if not left or not right:
-        return left or right
-    keep, above = (left[: -2 * overlap], left[-2 * overlap :]) if overlap else (left, "")
-    below, rest = right[: 2 * overlap], right[2 * overlap :]
-    n, m = len(above), len(below)
-    x, y = np.frombuffer(above.encode(), np.uint8), np.frombuffer(below.encode(), np.uint8)
-    table = np.zeros((n + 1, m + 1), np.int64)
+def overlap_cut(tail: str, head: str) -> tuple[int, int]:
+    """Where two neighbours change over, given the end of the left and the start of the right one: bases of `tail` to
+    keep and of `head` to leave out.
+
+    The two are aligned with free starts and a free end of `head` (match 1, anything else -1); the change is where half
+    of `tail` is used up, or later, where the overlap starts.
+    """
+    n, m = len(tail), len(head)
+    if not n or not m:
+        return n, 0
+    x, y = (np.frombuffer(s.encode("ascii", "replace"), np.uint8) for s in (tail, head))
     k = np.arange(m + 1)
-    for i in range(1, n + 1):  # the start of either side is free
-        row = np.zeros(m + 1, np.int64)
-        row[1:] = np.maximum(table[i - 1, :-1] + np.where(y == x[i - 1], 1, -1), table[i - 1, 1:] - 1)
-        table[i] = np.maximum.accumulate(row + k) - k
-    j = m - int(table[n][::-1].argmax())  # the last best end in the last row
-    i = n
-    steps = ["I"] * (m - j)
-    while i and j:
-        if table[i, j] == table[i - 1, j - 1] + (1 if x[i - 1] == y[j - 1] else -1):
-            steps.append("=")
+    best = np.zeros((n + 1, m + 1), np.int64)
+    for i in range(1, n + 1):
+        best[i, 1:] = np.maximum(best[i - 1, :-1] + 2 * (y == x[i - 1]) - 1, best[i - 1, 1:] - 1)
+        best[i] = np.maximum.accumulate(best[i] + k) - k
+    i, j = n, int(np.flatnonzero(best[n] == best[n].max())[-1])
+    while i > n // 2 and j > 0:
+        if best[i, j] == best[i - 1, j - 1] + (1 if x[i - 1] == y[j - 1] else -1):
             i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] - 1:
-            steps.append("D")
-            i -= 1
-        else:
-            steps.append("I")
+        elif best[i, j] == best[i, j - 1] - 1:
             j -= 1
-    steps += ["D"] * i + ["I"] * j
-    out, a, b, half = [], 0, 0, n // 2
-    for op in reversed(steps):
-        if op == "D":
-            if a == 0 or a < half:
-                out.append(above[a])
-            a += 1
-        elif op == "I":
-            if a == n or half < a:
-                out.append(below[b])
-            b += 1
         else:
-            out.append(above[a] if a < half else below[b])
-            a, b = a + 1, b + 1
-    return keep + "".join(out) + rest
+            i -= 1
+    return i, j
