@@ -1,8 +1,9 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page becomes a flat list of text blocks.  Each block is described by its words and link density, those of the
-block before and after it, and the kind of container it stands in; a small CART tree, grown from the labelled table
-below when a task starts, says which blocks are content.
+A page becomes a flat list of text blocks.  Each block is described by its words and link density and those of its
+neighbours; what the markup hints at (an article element around it, a menu or advert by name) comes as two more
+features.  A small CART tree, grown from the labelled table below when a task starts, says which blocks are content;
+most of the table is learnt with and without the hints, so pages whose markup says nothing are told by words and links.
 """
 
 from __future__ import annotations
@@ -17,48 +18,125 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("place", "words", "links", "words_before", "links_before", "words_after", "links_after", "heading")
-
-#: The labelled table: FEATURES of a block, then 1 for content and 0 for the rest.  place is 1 inside an article or
-#: main container, -1 inside a menu, advert, form, notice, comment or the like, 0 where the markup doesn't tell.
-LABELLED = (
-    # place, words, links, words_before, links_before, words_after, links_after, heading, content
-    (1, 120, 0.00, 80, 0.00, 95, 0.00, 0, 1), (1, 40, 0.10, 60, 0.00, 30, 0.05, 0, 1), (1, 1, 0.00, 70, 0.00, 2, 0.00, 0, 1),
-    (1, 2, 0.00, 1, 0.00, 0, 0.00, 0, 1), (1, 9, 0.00, 5, 1.00, 60, 0.00, 1, 1), (1, 6, 0.00, 12, 0.00, 150, 0.00, 1, 1),
-    (1, 3, 1.00, 50, 0.00, 45, 0.00, 0, 1), (1, 18, 0.60, 22, 0.30, 80, 0.00, 0, 1), (1, 300, 0.02, 0, 0.00, 0, 0.00, 0, 1),
-    (1, 4, 0.00, 9, 0.90, 7, 0.00, 0, 1), (1, 700, 0.00, 8, 0.00, 14, 0.20, 0, 1), (1, 25, 0.00, 3, 1.00, 12, 0.10, 0, 1),
-    (-1, 1, 1.00, 0, 0.00, 1, 1.00, 0, 0), (-1, 1, 1.00, 1, 1.00, 1, 1.00, 0, 0), (-1, 8, 0.00, 1, 1.00, 9, 0.00, 0, 0),
-    (-1, 30, 0.00, 2, 1.00, 9, 0.00, 0, 0), (-1, 90, 0.05, 60, 0.00, 70, 0.00, 0, 0), (-1, 12, 0.30, 140, 0.00, 0, 0.00, 0, 0),
-    (-1, 5, 0.00, 80, 0.00, 90, 0.00, 1, 0), (-1, 220, 0.00, 12, 0.00, 33, 0.00, 0, 0), (-1, 45, 0.00, 150, 0.00, 50, 0.00, 0, 0),
-    (-1, 3, 0.00, 2, 0.00, 18, 0.00, 0, 0), (-1, 17, 0.50, 260, 0.00, 1, 1.00, 0, 0), (-1, 60, 0.00, 3, 0.00, 4, 0.00, 1, 0),
-    (-1, 62, 0.00, 40, 0.00, 72, 0.00, 0, 0), (-1, 88, 0.05, 4, 0.00, 33, 0.10, 0, 0), (-1, 36, 0.10, 3, 1.00, 55, 0.00, 0, 0),
-    (-1, 25, 0.00, 2, 1.00, 2, 1.00, 0, 0), (-1, 140, 0.20, 6, 1.00, 4, 1.00, 0, 0), (-1, 21, 0.25, 58, 0.00, 0, 0.00, 0, 0),
-    (-1, 12, 0.00, 48, 0.00, 65, 0.00, 0, 0), (-1, 7, 0.00, 31, 0.00, 40, 0.05, 0, 0), (-1, 9, 0.00, 500, 0.00, 0, 0.00, 0, 0),
-    (-1, 10, 0.00, 2, 1.00, 60, 0.00, 1, 0), (-1, 26, 0.00, 900, 0.00, 0, 0.00, 0, 0), (-1, 8, 0.00, 24, 0.00, 6, 0.00, 0, 0),
-    (1, 3, 1.00, 4, 1.00, 3, 1.00, 0, 0), (1, 6, 1.00, 5, 1.00, 7, 1.00, 0, 0), (1, 2, 1.00, 3, 1.00, 4, 1.00, 0, 0),
-    (1, 8, 0.90, 6, 1.00, 9, 0.90, 0, 0), (1, 5, 1.00, 90, 0.00, 70, 0.05, 0, 1), (1, 12, 0.10, 7, 1.00, 6, 1.00, 0, 1),
-    (-1, 180, 0.00, 160, 0.00, 190, 0.00, 0, 1), (-1, 320, 0.02, 140, 0.00, 210, 0.00, 0, 1), (-1, 150, 0.00, 240, 0.02, 170, 0.00, 0, 1),
-    (-1, 160, 0.60, 150, 0.50, 170, 0.00, 0, 0), (-1, 40, 0.00, 180, 0.00, 190, 0.00, 0, 0), (-1, 90, 0.00, 110, 0.00, 95, 0.00, 0, 0),
-    (1, 4, 0.00, 60, 0.00, 5, 1.00, 0, 1), (1, 6, 0.00, 8, 0.00, 3, 1.00, 1, 1), (1, 9, 0.10, 20, 0.00, 4, 0.80, 0, 1),
-    (1, 4, 1.00, 5, 1.00, 40, 0.00, 0, 0), (1, 2, 0.00, 3, 1.00, 4, 1.00, 0, 1), (1, 5, 0.00, 6, 1.00, 50, 0.00, 0, 1),
-    (1, 2, 1.00, 60, 0.00, 2, 1.00, 0, 0), (1, 3, 1.00, 70, 0.00, 3, 1.00, 0, 0), (1, 4, 1.00, 40, 0.00, 35, 0.00, 0, 1),
-    (1, 5, 1.00, 0, 0.00, 60, 0.00, 1, 1), (1, 7, 1.00, 4, 1.00, 90, 0.00, 1, 1), (1, 3, 1.00, 2, 0.00, 30, 0.00, 0, 1),
-    (1, 9, 1.00, 50, 0.00, 0, 0.00, 0, 1), (1, 6, 1.00, 3, 1.00, 3, 0.00, 1, 1), (1, 5, 1.00, 20, 0.00, 4, 0.30, 1, 1),
-    (1, 3, 0.00, 1, 1.00, 6, 0.00, 1, 1), (1, 3, 0.00, 1, 1.00, 0, 0.00, 0, 1), (1, 2, 0.00, 4, 1.00, 30, 0.00, 0, 1),
-    (1, 1, 0.00, 2, 1.00, 3, 0.00, 0, 1), (1, 4, 0.30, 6, 1.00, 5, 0.00, 0, 1), (1, 6, 1.00, 0, 0.00, 2, 1.00, 1, 1),
-    (-1, 200, 0.00, 20, 0.00, 90, 0.00, 0, 0), (-1, 260, 0.00, 150, 0.00, 40, 0.00, 0, 0), (-1, 140, 0.00, 8, 0.00, 160, 0.00, 0, 0),
-    (-1, 160, 0.00, 30, 0.00, 210, 0.00, 0, 0), (-1, 190, 0.00, 130, 0.00, 60, 0.00, 0, 0), (-1, 210, 0.00, 110, 0.00, 240, 0.00, 0, 0),
-    (0, 60, 0.00, 40, 0.00, 70, 0.00, 0, 1), (0, 90, 0.05, 4, 0.00, 35, 0.10, 0, 1), (0, 35, 0.10, 3, 1.00, 50, 0.00, 0, 1),
-    (0, 25, 0.00, 2, 1.00, 2, 1.00, 0, 1), (0, 150, 0.20, 6, 1.00, 4, 1.00, 0, 1), (0, 20, 0.25, 55, 0.00, 0, 0.00, 0, 1),
-    (0, 12, 0.00, 45, 0.00, 60, 0.00, 0, 1), (0, 7, 0.00, 30, 0.00, 40, 0.05, 0, 1), (0, 3, 0.00, 80, 0.00, 55, 0.00, 0, 1),
-    (0, 10, 0.00, 2, 1.00, 65, 0.00, 1, 1), (0, 5, 0.00, 1, 1.00, 120, 0.00, 1, 1), (0, 8, 0.00, 25, 0.00, 6, 0.00, 0, 1),
-    (0, 1, 1.00, 1, 1.00, 1, 1.00, 0, 0), (0, 2, 1.00, 1, 1.00, 3, 1.00, 0, 0), (0, 4, 0.80, 60, 0.00, 1, 1.00, 0, 0),
-    (0, 9, 0.90, 5, 0.70, 8, 0.90, 0, 0), (0, 30, 0.95, 10, 1.00, 2, 1.00, 0, 0), (0, 50, 0.70, 6, 1.00, 30, 0.90, 0, 0),
-    (0, 3, 0.00, 1, 1.00, 1, 1.00, 0, 0), (0, 6, 0.00, 2, 1.00, 4, 0.50, 0, 0), (0, 9, 0.10, 3, 1.00, 2, 0.00, 0, 0),
-    (0, 2, 0.00, 4, 0.60, 30, 0.90, 0, 0), (0, 11, 0.20, 1, 1.00, 0, 0.00, 0, 0), (0, 5, 0.00, 2, 0.00, 3, 0.00, 0, 0),
-    (0, 2, 1.00, 1, 1.00, 80, 0.00, 0, 0), (0, 1, 1.00, 2, 1.00, 140, 0.00, 0, 0), (0, 6, 0.90, 4, 0.80, 50, 0.00, 0, 0),
-    (0, 4, 0.00, 1, 1.00, 2, 1.00, 1, 0), (0, 2, 0.50, 12, 0.60, 1, 1.00, 0, 0), (0, 14, 0.60, 90, 0.00, 3, 1.00, 0, 0),
-)
+#: What a block is described by: its own words and link density, those of the two blocks before and the two after it,
+#: whether it is a heading, and two hints of the markup: inside is 1 in the page's article or main element, -1 outside it
+#: where there is one, 0 where there is none; marked is 1 in a menu, advert, form, notice, comment or the like.
+FEATURES = ("words", "links", "words_1", "links_1", "words_2", "links_2", "words_3", "links_3", "words_4", "links_4", "heading", "inside", "marked")
+
+#: The labelled table: pages as their blocks.  A block is + (content) or -, then a (in the article), o (outside it), m
+#: (marked) or nothing, h for a heading, words/linked words, and *n where it stands n times.  Pages of the first part are
+#: learnt twice, the second time without the hints a, o and m, so that words and links must tell what they can.
+LABELLED = """
+-m1/1*6 -m8/0 +ah9/0 +a45/0 +a60/1 +a38/0 +a70/2 -m17/0
+-m1/1*5 -m10/0 +ah7/0 +a12/0 +a8/0 -m14/1
+-m2/2*7 -m5/0 +ah11/0 +a130/0 -m9/0
+-m1/1*4 -m12/0 +ah6/0 +a5/0 +a90/0 +a2/0 +a55/0 +a7/0 -m11/2
+-m2/1*8 -m6/1 +ah4/0 +a14/0 +a1/0 +a3/0 +a25/0 +a9/0 +a4/0 -m15/0
+-m1/1*6 -m4/0 +ah8/0 +a6/0 +a5/0 -m12/0
+-m1/1*3 -m11/0 +ah10/0 +a9/0 -m8/0
+-m2/2*5 -m13/0 +ah3/0 +a2/0 +a4/0 +a1/0 +a3/0 +a2/0 +a5/0 -m10/1
+-m1/1*6 -m9/0 +ah5/0 +a260/3 +a8/0 +a190/0 +a22/0 +a310/2 -m16/0
+-m3/3*4 -m7/0 +ah12/0 +a33/0 +a41/4 +a18/0 -m5/5 -m6/6 -m4/4 -m13/3
+-m1/1*7 -m7/0 +ah9/0 +a75/0 +a10/0 +a6/0 +a120/1 +a13/0 +a4/0 -m14/0
+-m2/2*6 +ah6/0 +a20/0 +a45/0 +a9/0 -m9/9 -m7/7 -m8/8 -m3/0
+-m1/1*6 -m8/0 +ah2/0 +a3/0 -m11/0
+-m4/4 -m3/3*5 -m14/2 +ah8/0 +a66/0 +ah3/0 +a48/0 +ah4/0 +a72/5 +a5/5 +a39/0 -m2/2*4 -m18/1
+-m1/1*9 +ah7/7 +a54/0 +a31/2 -m1/1 -m2/2 -m1/1 -m12/0
+-m5/2 -m1/1*6 -m10/0 +ah13/0 +a8/0 +a17/0 +a11/0 +a24/0 +a5/0 +a16/0 +a20/0 -m13/0
+-m6/0 -m2/2*6 +ah5/0 +a28/0 +a140/1 +a7/0 +a95/0 -m3/0 -m8/6 -m7/7 -m20/4
+-m1/1*5 +ah8/0 +a100/0 +a80/0 -m4/4*6 -m22/1
+-m2/2*6 -m9/0 +ah6/0 +a8/8 +a49/0 +a12/0 +a77/0 -m15/0
+-m1/1*6 -m12/0 +ah10/0 +a1/0 +a1/0 +a2/0 +a1/0 +a14/0 +a1/0 -m9/0
+-m1/1*6 -m6/0 +ah9/0 +a400/0 -m12/0
+-1/1*5 +h8/0 +60/0 +85/3 +40/0 +h4/0 +120/2 -12/5
+-2/2*6 +h7/0 +35/0 +90/0 +6/0 +48/1 +110/0 -2/2 -3/3 -2/2 -9/1
+-1/1*4 -3/2 +55/0 +20/0 +70/2 +15/0 -4/4*3 -16/0
+-3/3*3 -8/6 +h5/0 +30/0 +44/1 +9/0 +52/0 -6/6*3
++h6/0 +80/0 +150/4 +60/0
++70/0 +95/1 +12/0 +40/0
++40/1
++h3/0 +25/0
+-1/1*6 +150/0 -1/1*4
+-2/2 -3/3*4 +300/6 -5/5*5
+-4/4*6 -5/5*8 -3/3*4
++60/0 -2/2*4
++45/0 -1/1*6
++h5/0 +58/0 -3/3*5
+""", """
+-o12/0 +ah5/0 +a30/0 +a8/0 -o20/0
+-o48/0 +a1/0
+-o60/0 -o55/1 +ah4/0 +a50/0 +a35/0 -o40/0
+-o1/0 -o1/0 +ah1/0 +a1/0 -o3/0
+-o90/0 +a200/0 +a150/1 -o30/2 -o70/0
+-m1/1 +a3/0
++a5/0
++a1/0
++a2/0 -m1/0 +a1/0
++a3/0 -m7/0 +a1/0
++ah4/0 +a3/0 +a6/0 +a3/0
++a1/0 +a1/0
++a60/0 -m4/0 -m20/0 -m35/0 -m12/0 -m2/1
++a70/0 +a90/1 -mh2/0 -m45/0 -m8/0 -m120/0 -m60/0 -m30/0 -m5/2
++ah6/0 +a45/0 -m30/0 +a55/0 +a12/0 -m9/4 +a80/0 -m14/0
++ah9/0 +a50/0 -m70/2 +a65/0 -m26/0 -m90/0 -m40/1
++a48/0 -a2/2 -a2/2 -a2/2 -a2/2 -a2/2 -a2/2
++a60/0 -a3/3 -a3/3 -a4/4 -a3/3
++a75/0 +a20/0 -a6/6 -a5/5 -a7/7 -a6/6 -a8/7
++ah2/2 +a4/0 +a1/1
++ah5/5 +a60/0 +a4/4 +a35/0
++ah3/3 +a40/0 +a2/2
++a50/0 +a9/9
++ah6/6 +a3/0 +a12/0 +a2/2
++a18/11 +a80/0 +a5/5 +a70/3
+-m18/0 +m180/0 +m220/0 +m160/0 -m12/3
++m150/0 +m150/0 +m150/0
++m180/0 +m160/0 +m190/0 +m170/0
++m140/0 +m320/6 +m210/0 +m240/5 +m170/0
+-m160/90 -m150/75 -m170/3 -m40/0
+-m110/0 -m90/0 -m95/0
+-m130/0 -m60/0 +a8/0 -m90/0 -m40/0
++ah7/0 +a150/0 +a20/0 -m200/0 -m90/0 -m40/0 -m260/0
+-m2/2 -m2/0 +35/0 -m1/0
+-m1/1*3 -m30/0 +h5/0 +60/0 +90/5 -m25/0 -m33/3
+-m1/1*5 +h3/0 +12/0 +7/0 +45/0 -m3/0 -m18/0 -m60/0
+-m2/0 +8/0 +5/0 -m9/0
++h4/0 +3/0 -m6/2
+-m8/0 +56/0 -1/1*4
+-m1/1 -m40/0 +25/0 +9/0 -m50/0
+-5/0 -2/0 -3/0
+-m1/0 +a1/0
+-m2/0 +a1/0 -m1/0 +a2/0 -m1/0
+-m1/0 +ah1/0 +a1/0 -o3/0
+-m1/0 -o2/0 +ah1/0 +a2/0 -o4/0
+-m1/0 +a2/0
+-m2/0 +a3/0 +a1/0
+-m1/0 +a1/0 +a1/0 +a2/0
+-m1/0 +a33/0 -m1/0
+-m3/0 +a2/0 -m2/0 -m1/0
++ah8/0 +a30/0 +a120/0 +a2/0 +a14/0 +a140/0 +a4/0 -m12/0
++a200/0 +a3/0 +a90/0 +a5/0 -m10/0
+-m1/1*5 +ah6/0 +a90/0 +a1/0 +a9/0 +a110/0 +a3/0 +a5/0 +a70/0 +a2/0 -m8/0
+-m1/1*5 -m9/0 +ah4/0 +a5/0 +a3/0 +a130/0 +a4/0 +a40/0 +a1/0 -m15/0
+-m1/1*6 -m9/0 +ah3/0 +a2/0 -m14/0
+-m1/1*6 -m12/0 +ah2/0 +a2/0 -m9/0
+"""
+
+
+def labelled_table() -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES and labels (1 content) of the labelled pages' blocks."""
+    rows, labels = [], []
+    for part, pages in enumerate(LABELLED):
+        for page in pages.strip().splitlines():
+            blocks, own = [], []
+            for sign, hint, heading, words, linked, times in re.findall(r"([+-])([aom]?)(h?)(\d+)/(\d+)(?:\*(\d+))?", page):
+                block = ("", int(words), int(linked) / int(words), {"a": 1, "o": -1}.get(hint, 0), int(hint == "m"), int(heading == "h"))
+                blocks += [block] * int(times or 1)
+                own += [int(sign == "+")] * int(times or 1)
+            for hints in (True, False)[: 2 - part]:
+                rows.append(features(blocks if hints else [(*b[:3], 0, 0, b[5]) for b in blocks]))
+                labels += own
+    return np.concatenate(rows), np.array(labels, float)
+
 
 #: Elements whose inside is never text of the page.
 _UNSEEN = "script|style|noscript|template|iframe|object|svg|canvas|math|textarea|select|title|audio|video|datalist"
@@ -126,8 +204,8 @@ def _place_of(tag: str, attributes: str, around: int, holder: str, in_holder: bo
     return around, False
 
 
-def text_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
-    """(text, words, link density, place, heading) of each block in page order, references decoded.
+def text_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
+    """(text, words, link density, inside, marked, heading) of each block in page order, references decoded.
 
     A holder's level is the number of marked elements around it, itself included.  The holder of most words decides
     which levels are the article's: those up to its own.  So an article in a marked layout or form is kept, and
@@ -204,16 +282,17 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         n_words[h] += b[1] * (b[3] == (h > 0))  # unmarked text without a holder counts as level 0
     most = level[max(range(len(level)), key=lambda h: (n_words[h], -level[h]))]
     form = 0 if all(b[3] in (-1, _IN_FORM) for b in blocks) else -1
-    places = [-1 if level[h] > most else form if b[3] == _IN_FORM else max(b[3], -1) for b, h in zip(blocks, held, strict=True)]
-    return [(*b[:3], p, b[4]) for b, p in zip(blocks, places, strict=True)]
+    places = [-1 if level[h] > most else form if b[3] == _IN_FORM else b[3] for b, h in zip(blocks, held, strict=True)]
+    return [(*b[:3], {_OUTSIDE: -1, -1: 0}.get(p, p), int(p == -1), b[4]) for b, p in zip(blocks, places, strict=True)]
 
 
-def features(blocks: list[tuple[str, int, float, int, int]]) -> np.ndarray:
-    """FEATURES of each block; beyond the ends of the page blocks count as empty."""
-    words = np.array([0, *(b[1] for b in blocks), 0], float)
-    links = np.array([0, *(b[2] for b in blocks), 0], float)
-    place, heading = np.array([b[3] for b in blocks], float), np.array([b[4] for b in blocks], float)
-    return np.stack([place, words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], heading], 1)
+def features(blocks: list[tuple[str, int, float, int, int, int]]) -> np.ndarray:
+    """FEATURES of each block; beyond the ends of the page blocks count as empty.  Words count up to sixty."""
+    n = len(blocks)
+    words = np.minimum(np.array([0, 0, *(b[1] for b in blocks), 0, 0], float), 60)
+    links = np.array([0, 0, *(b[2] for b in blocks), 0, 0], float)
+    around = [x[2 + at : 2 + at + n] for at in (0, -1, -2, 1, 2) for x in (words, links)]
+    return np.stack([*around, *(np.array([b[k] for b in blocks], float) for k in (5, 3, 4))], 1)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int) -> tuple:
@@ -236,9 +315,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int) -> tuple:
 
 
 @cache
-def default_tree(depth: int = 6) -> tuple:
-    table = np.array(LABELLED, float)
-    return grow(table[:, :-1], table[:, -1], depth)
+def default_tree(depth: int = 10) -> tuple:
+    return grow(*labelled_table(), depth)
 
 
 def classify(tree: tuple, x: np.ndarray) -> np.ndarray:

@@ -1,9 +1,12 @@
 """HTML extraction on pages whose main text is known, and on broken ones."""
 
-import numpy as np
+import html
+import re
+from collections import Counter
+
 import pytest
 
-from strandloom.llm.html_text import LABELLED, extract_text, main_text
+from strandloom.llm.html_text import FEATURES, default_tree, extract_text, labelled_table, main_text
 
 PAGES = [
     (None, ""), ("", ""), ("<html><body></body></html>", ""), ("<!-- <p>x</p> -->", ""),
@@ -51,8 +54,51 @@ def test_words_and_links_take_part_in_every_place():
     assert main_text("<article><h2><a href=u>Linked title</a></h2><p>Some text follows here</p><p><a href=u>Source</a></p></article>") == "Linked title Some text follows here Source"
     long = ("many words of running text " * 50).strip()
     assert long in main_text(f'<div class="social"><p>{long}</p><p>{long}</p><p>{long}</p></div>')
-    table = np.array(LABELLED)
-    assert all({0, 1} == set(table[table[:, 0] == place, -1]) for place in (-1, 0, 1))
+    x, y = labelled_table()
+    assert all({0, 1} == set(y[(x[:, -2] == inside) & (x[:, -1] == marked)]) for inside, marked in ((0, 0), (1, 0), (0, 1)))
+
+
+def used(tree):
+    return set() if len(tree) == 1 else {FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+
+def test_tree_asks_words_and_links_first():
+    tree = default_tree()
+    assert FEATURES[tree[0]] not in ("inside", "marked", "heading")
+    assert {"words", "links", "words_1", "links_1", "words_3", "links_3"} <= used(tree)
+
+
+def neutral(page):
+    """The page with every container a div and no names."""
+    page = re.sub(r"<(/?)(article|main|nav|footer|header|aside|section|form)\b", r"<\1div", page)
+    return re.sub(r" (class|id|role)=(\"[^\"]*\"|\S+)", "", page)
+
+
+def test_pages_without_hints(spark):
+    """The pages of the test tables, whose articles are known, with all hints of the markup taken away."""
+    right = taken = there = 0
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", row.html, re.DOTALL).group(1)
+        article = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", inner))).split())
+        assert main_text(row.html) == article
+        blank = neutral(row.html)
+        assert "<article" not in blank and "class=" not in blank
+        got, want = Counter(main_text(blank).split()), Counter(article.split())
+        right, taken, there = right + (got & want).total(), taken + got.total(), there + want.total()
+    assert right / taken >= 0.95 and right / there >= 0.95
+
+
+PLAIN_FORMS = [
+    ("<div><a href=a>News</a> <a href=b>Sport</a> <a href=c>Weather</a></div><h1>A title of five words</h1>" + "<p>{}</p>" * 4 + "<ul><li><a href=d>More on this</a><li><a href=e>Read next</a><li><a href=f>About us</a></ul>", "A title of five words"),
+    ("<table><tr><td><a href=1>One</a></td><td><a href=2>Two</a></td></tr></table><div>{}</div><div>{}</div><div>{}</div><div>{}</div><div><a href=z>Next page</a></div>", ""),
+    ("<h2>Heading</h2>" + "<div>{}</div>" * 4, "Heading"),
+]
+
+
+@pytest.mark.parametrize(("form", "title"), PLAIN_FORMS)
+def test_plain_forms(form, title):
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (34, 71, 52, 28)]
+    assert main_text(form.format(*texts)) == " ".join([title, *texts]).strip()
 
 
 def test_extract_text(spark):
