@@ -1,18 +1,20 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of words in contexts.
 
-Restaurants: one for each context, all sharing the root restaurant as parent, whose base is uniform over the known
-words and the unknown one.  A word's context is the start of the text or the class of the word before it (its hash,
-CONTEXTS - 1 classes), so the restaurants are few and their dishes are the whole vocabulary.
-
-Seating is sampled by Gibbs, one dish of one restaurant at a time: given the other dishes, which enter only through
-the restaurant's number of tables and the parent's probability of the dish, the customers of a dish are seated by
-the Chinese restaurant process.  Random numbers are hashes of (word, context, sweep, step), so a sweep can be
-replayed anywhere; what a sweep hands on is the number of tables of each restaurant, CONTEXTS + 2 numbers.  Predictive
-probabilities are averaged over the sweeps after the burn-in.
-
-Dataflow: texts are packed into slices of bounded size; a slice asks once for each of its distinct words (with the
-word's contexts and training counts there); requests meet by word, where counts add up, seating happens and
-answers are made; answers go back to their slice.  Nothing grows with the corpus on the driver.
+Restaurants: one for each context, which is the word before (or the start of the text), all sharing the root restaurant
+as parent, whose base is uniform over the known words and the unknown one.
+
+Seating is sampled by Gibbs, all customers of one dish in one restaurant at a time: given the other dishes' tables and
+the parent's probability of the dish, both without the dish's own share, the number of its tables is drawn from its
+exact conditional distribution (generalised Stirling numbers; see `seat` for dishes of very many customers).  All
+dishes of a sweep are drawn at once from the totals of the sweep before, which is Gibbs sampling in parallel blocks.
+Random numbers are hashes of (dish, sweep), so a draw can be repeated anywhere.  Before the first sweep every customer
+has a table of their own.  Predictive probabilities are averaged over the sweeps after the burn-in.
+
+Dataflow: texts are packed into slices of bounded size.  Each slice asks, by hash range, for the corpus counts of its
+pairs and words; the first slice that asks for a pair is its owner.  In a sweep every slice draws the tables of its own
+pairs and asks with each word's sums of tables for the corpus sums; scoring replays the draws.  Whatever is asked for
+meets in ranges of bounded size, to which a slice sends one row each, however frequent a word is.  The driver sees two
+sums a sweep.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +30,23 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, give_back, lean, materialise, mix, row_chunks, runs_of, shared_dir, text_buffer, whole_groups, words
+from .common import LOWER, give_back, lean, materialise, mix, row_chunks, runs_of, shared_dir, text_buffer, words
 
-#: Contexts take the low bits of a word's 64-bit hash, which leaves 58 bits to tell words apart.
-CONTEXTS = 64
 SLICE_BYTES = 10 << 20
+#: Up to this many customers of a dish the number of tables is drawn exactly.
+EXACT = 400
 _TOKENS_AT_ONCE = 500_000
 _U = np.uint64
-_LOW = _U(CONTEXTS - 1)
-_END = _U(0x1D8E4E27C47D124F) & ~_LOW
-_PAIR = np.dtype([("context", "u1"), ("count", "<u4")])
+_END = _U(0x1D8E4E27C47D1240)
+_START = _U(0x5B2C90D76F1A8E33)
+_PAIRS, _WORDS = 0, 1
+_ASKED = "kind int, bucket long, slice long, n long, keys binary, sums binary"
+_TOLD = "slice long, kind int, bucket long, n long, told binary, first long, second long"
 
 
 @dataclass
 class Model:
-    """Discounts and strengths, corpus totals, and the tables of each restaurant after each sweep (the first: one a dish)."""
+    """Discounts and strengths, corpus totals, and customers and tables of the root before the first and after each sweep."""
 
     discount: float = 0.75
     strength: float = 20.0
@@ -50,64 +55,85 @@ class Model:
     burn_in: int = 1
     tokens: int = 0
     vocabulary: int = 0
-    customers: np.ndarray = field(default_factory=lambda: np.zeros(CONTEXTS))
-    tables: list[np.ndarray] = field(default_factory=list)
-    root_customers: list[float] = field(default_factory=list)
-    root_tables: list[float] = field(default_factory=list)
+    root_customers: list[int] = field(default_factory=list)
+    root_tables: list[int] = field(default_factory=list)
 
-    def root_probability(self, sweep: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        total = self.root_strength + self.root_customers[sweep]
-        base = 1 / (self.vocabulary + 1)
-        return (customers - self.root_discount * tables + (self.root_strength + self.root_discount * self.root_tables[sweep]) * base) / total
-
-
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
-    """Tables after seating the customers of each dish in turn, a new table having `weight` against the dish's own.
-
-    The first 32 are seated one by one, later ones in blocks of a sixteenth of those seated, whose expected number
-    of new tables is rounded at random.
-    """
-    order = np.argsort(-customers, kind="stable")
-    n, alpha, key = customers[order].astype(np.float64), weight[order], seed[order]
-    tables = np.ones(len(n))
-    tables[n == 0] = 0
-    seated, step = 1.0, 0
-    while True:
-        active = int(np.searchsorted(-n, -seated, "left"))  # those with more customers than seated
-        if not active:
-            break
-        block = 1.0 if seated < 32 else seated // 16
-        size = np.minimum(block, n[:active] - seated)
-        chance = mix(key[:active] + _U(step * 0x9E3779B97F4A7C15 % (1 << 64))) >> _U(11)
-        expected = size * alpha[:active] / (seated - discount * tables[:active] + alpha[:active])
-        tables[:active] += np.floor(expected + chance * 2.0**-53)
-        seated += block
-        step += 1
-    out = np.empty(len(n))
-    out[order] = np.minimum(tables, n)
+    def root_of(self, sweep: int, word: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        """Tables of each word in the root after a sweep, given its customers there."""
+        if sweep == 0:
+            return np.minimum(customers, 1)
+        return seat(customers, 1 / (self.vocabulary + 1), self.root_tables[sweep - 1] - 1.0, self.root_discount, self.root_strength, mix(word + _salt(sweep)))
+
+    def root_probability(self, sweep: int, customers: np.ndarray, tables: np.ndarray, without: np.ndarray | int = 0) -> np.ndarray:
+        """Of words with these customers and tables in the root, `without` so many of their customers."""
+        rest = customers - without
+        kept = np.minimum(tables, rest)
+        total = self.root_strength + self.root_customers[sweep] - without
+        return (rest - self.root_discount * kept + (self.root_strength + self.root_discount * (self.root_tables[sweep] - tables + kept)) / (self.vocabulary + 1)) / total
+
+
+def _salt(sweep: int) -> np.uint64:
+    return _U(sweep * 0xD1342543DE82EF95 % (1 << 64))
+
+
+@cache
+def _stirling(discount: float) -> np.ndarray:
+    """Logs of the generalised Stirling numbers: ways to seat n customers at t tables, by n and t up to EXACT."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0
+    t = np.arange(EXACT + 1)
+    with np.errstate(divide="ignore"):
+        for n in range(EXACT):
+            out[n + 1] = out[n] + np.log(np.maximum(n - discount * t, 0) if n else np.zeros(EXACT + 1))
+            out[n + 1, 1:] = np.logaddexp(out[n + 1, 1:], out[n, :-1])
     return out
 
 
-def sweeps(model: Model, word: np.ndarray, group: np.ndarray, context: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tables of each dish, root customers and root tables of each word) after each sweep the model knows, and one more.
+def seat(customers: np.ndarray, parent: np.ndarray | float, others: np.ndarray | float, discount: float, strength: float, seed: np.ndarray) -> np.ndarray:
+    """Tables of dishes with so many customers, given the parent's probability and the tables of the restaurant's other dishes.
 
-    Dishes are (group: index into `word`, context) with `count` customers, all above 0.
+    Up to EXACT customers the number is drawn from its distribution, Stirling number x product of (strength + discount x
+    tables) x parent ^ tables.  Of more it is normal with the mean and variance of the same distribution's saddle point:
+    tables' sizes have the generating function (1 - (1 - x) ^ discount) / discount, and their sum is given.
     """
-    n = len(word)
-    tables = np.ones(len(group))
-    customers = np.bincount(group, tables, n)
-    root = np.minimum(customers, 1)
-    yield tables, customers, root
-    seed = mix(word[group] | context.astype(np.uint64))
-    for sweep in range(len(model.tables)):
-        parent = model.root_probability(sweep, customers, root)
-        weight = (model.strength + model.discount * model.tables[sweep][context]) * parent[group]
-        salt = _U((sweep + 1) * 0xD1342543DE82EF95 % (1 << 64))
-        tables = seat(count, weight, model.discount, mix(seed + salt))
-        customers = np.bincount(group, tables, n)
-        base = np.full(n, (model.root_strength + model.root_discount * model.root_tables[sweep]) / (model.vocabulary + 1))
-        root = seat(customers, base, model.root_discount, mix(word + salt))
-        yield tables, customers, root
+    n = np.asarray(customers, np.int64)
+    parent, others = np.broadcast_to(np.asarray(parent, float), n.shape), np.broadcast_to(np.asarray(others, float), n.shape)
+    tables = np.minimum(n, 1)
+    order = np.argsort(n, kind="stable")
+    many = order[np.searchsorted(n[order], 2) : np.searchsorted(n[order], EXACT, "right")]
+    exact = n[many]
+    starts = runs_of(exact)
+    ways = _stirling(discount)
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        c = int(exact[lo])
+        t = np.arange(c)
+        for at in range(lo, hi, max(1, 1_000_000 // c)):
+            some = many[at : min(hi, at + max(1, 1_000_000 // c))]
+            weight = np.log(strength + discount * (np.maximum(others[some], 0)[:, None] + t))
+            weight += np.log(parent[some])[:, None]
+            np.cumsum(weight, axis=1, out=weight)
+            weight += ways[c, 1 : c + 1]
+            weight -= weight.max(1, keepdims=True)
+            np.exp(weight, out=weight)
+            np.cumsum(weight, axis=1, out=weight)
+            draw = (mix(seed[some]) >> _U(11)) * 2.0**-53 * weight[:, -1]
+            tables[some] = np.minimum((weight <= draw[:, None]).sum(1) + 1, c)
+    large = np.flatnonzero(n > EXACT)
+    if len(large):
+        c, t = n[large].astype(float), np.ones(len(large))
+        for _ in range(20):  # new tables make further ones likelier
+            fresh = (strength + discount * (np.maximum(others[large], 0) + t)) * parent[large]
+            low, high = np.zeros(len(large)), np.ones(len(large))  # y = 1 - x with c y ^ (1 - discount) = fresh (1 - y)
+            for _ in range(60):
+                y = (low + high) / 2
+                under = c * y ** (1 - discount) < fresh * (1 - y)
+                low, high = np.where(under, y, low), np.where(under, high, y)
+            t = 1 + fresh * (1 - high**discount) / discount
+        u, v = ((mix(seed[large] + _U(k)) >> _U(11)) * 2.0**-53 for k in (1, 2))
+        normal = np.sqrt(-2 * np.log1p(-u)) * np.cos(2 * np.pi * v)
+        spread = t - 1 - c / (1 + (1 - high) * (1 - discount) / high)
+        tables[large] = np.clip(np.rint(t + np.sqrt(np.maximum(spread, 0)) * normal), 1, c)
+    return tables
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,14 +141,13 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     held: list[pa.RecordBatch] = []
     size = made = 0
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
     def pack() -> pa.RecordBatch:
         nonlocal made, size
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, held[0].schema, options=options) as writer:
-            for b in held:
-                writer.write_batch(b)
+            writer.write_table(pa.Table.from_batches(held).combine_chunks())
         made += 1
         held.clear()
         size = 0
@@ -139,121 +164,201 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack()
 
 
-def _tokens(packed: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """The rows of a slice, the offsets of their tokens, and each token as word hash with its context in the low bits."""
-    table = pa.ipc.open_stream(packed).read_all().combine_chunks()
-    data, offsets = text_buffer(table.column("text"))
-    keys, sizes = [], [np.zeros(1, np.int64)]
-    for i, j in row_chunks(offsets):
-        _, _, row, h = words(LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
-        n = np.bincount(row, minlength=j - i) + 1
-        ends = np.cumsum(n)
-        token = np.full(int(ends[-1]), _END)
-        inside = np.ones(len(token), bool)
-        inside[ends - 1] = False
-        token[inside] = h & ~_LOW
-        before = np.zeros(len(token), np.uint64)
-        before[1:] = _U(1) + mix(token[:-1]) % _U(CONTEXTS - 1)
-        before[ends - n] = 0
-        keys.append(token | before)
-        sizes.append(n)
-    return table.select(["doc_id", "held_out"]), np.cumsum(np.concatenate(sizes)), np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-
-
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each slice: (word, slice, pairs) for each distinct word, with the word's contexts and their training counts."""
-    for batch in batches:
-        for one, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            table, at, key = _tokens(packed.as_py())
-            training = np.repeat(~np.asarray(table.column("held_out").combine_chunks()).astype(bool), np.diff(at))
-            learnt = np.sort(key[training])
-            key.sort()
-            distinct = key[runs_of(key)[:-1]]
-            starts = runs_of(learnt)
-            pairs = np.zeros(len(distinct), _PAIR)
-            pairs["context"] = distinct & _LOW
-            pairs["count"][np.searchsorted(distinct, learnt[starts[:-1]])] = np.diff(starts)
-            del table, key, training, learnt
-            word = distinct & ~_LOW
-            starts = runs_of(word)
-            blobs = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * _PAIR.itemsize).astype(np.int32)), pa.py_buffer(pairs.tobytes())])
-            whole = pa.RecordBatch.from_arrays([pa.array(word[starts[:-1]].view(np.int64)), pa.array(np.full(len(starts) - 1, one, np.int64)), blobs], names=["word", "slice", "pairs"])
-            for i in range(0, whole.num_rows, 100_000):
-                yield whole.slice(i, 100_000)
-
-
-def _pairs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a column and how many each row has."""
-    data, offsets = text_buffer(column)
-    return np.frombuffer(data.tobytes(), _PAIR), np.diff(offsets) // _PAIR.itemsize
-
-
-def _dishes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a table of whole words; the word of each row; dish (word index x CONTEXTS + context) and count of each
-    distinct pair; the dish of each requested pair; pairs a row."""
-    word = table.column("word").combine_chunks().to_numpy().view(np.uint64)
-    starts = runs_of(word)
-    row_word = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    pairs, n = _pairs_of(table.column("pairs").combine_chunks())
-    dish, inverse = np.unique(np.repeat(row_word, n) * CONTEXTS + pairs["context"], return_inverse=True)
-    return word[starts[:-1]], row_word, dish, np.bincount(inverse, pairs["count"], len(dish)), inverse, n
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, pairs) with the corpus counts of each trained word, from requests sorted by word."""
-    for table in whole_groups(batches, ["word"]):
-        word, _, dish, count, _, _ = _dishes(table)
-        dish, count = dish[count > 0], count[count > 0]
-        pairs = np.empty(len(dish), _PAIR)
-        pairs["context"], pairs["count"] = dish % CONTEXTS, count
-        starts = runs_of(dish // CONTEXTS)
-        blobs = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * _PAIR.itemsize).astype(np.int32)), pa.py_buffer(pairs.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(word[dish[starts[:-1]] // CONTEXTS].view(np.int64)), blobs], names=["word", "pairs"])
-
-
-def _totals(model: Model):
-    """Sums over trained words: tokens, words, customers by context; then of the newest sweep root customers and tables, tables by context."""
-
+class _Slice:
+    """A slice's rows, tokens, and its distinct words (with the start) and pairs, both sorted by hash."""
+
+    def __init__(self, packed: bytes):
+        table = pa.ipc.open_stream(packed).read_all()
+        data, offsets = text_buffer(table.column("text"))
+        tokens, sizes = [], [np.zeros(1, np.int64)]
+        for i, j in row_chunks(offsets):
+            _, _, row, h = words(LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
+            n = np.bincount(row, minlength=j - i) + 1
+            ends = np.cumsum(n)
+            token = np.full(int(ends[-1]), _END)
+            inside = np.ones(len(token), bool)
+            inside[ends - 1] = False
+            token[inside] = h
+            tokens.append(token)
+            sizes.append(n)
+        self.rows = table.select(["doc_id", "held_out"])
+        self.at = np.cumsum(np.concatenate(sizes))
+        token = np.concatenate(tokens)
+        del data, offsets, tokens, table
+        self.word, token = np.unique(np.append(token, _START), return_inverse=True)
+        self.token = token[:-1].astype(np.int32)
+        before = np.empty(len(self.token), np.int32)
+        before[1:] = self.token[:-1]
+        before[self.at[:-1]] = token[-1]
+        key = mix(mix(self.word)[before] + self.word[self.token])
+        order = np.argsort(key)
+        starts = runs_of(key[order])
+        self.pair = key[order[starts[:-1]]]
+        self.of = np.empty(len(key), np.int32)  # the pair of each token
+        self.of[order] = np.repeat(np.arange(len(self.pair), dtype=np.int32), np.diff(starts))
+        self.context, self.dish = before[order[starts[:-1]]], self.token[order[starts[:-1]]]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rows that are learnt from: how often each pair occurs, and each word; the start counts their rows."""
+        learnt = ~np.asarray(self.rows.column("held_out").combine_chunks()).astype(bool)
+        training = np.repeat(learnt, np.diff(self.at))
+        of_word = np.bincount(self.token[training], minlength=len(self.word))
+        of_word[np.searchsorted(self.word, _START)] = learnt.sum()
+        return np.bincount(self.of[training], minlength=len(self.pair)), of_word
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(numbers, "<i8").tobytes(), "zstd", asbytes=True)
+
+
+def _numbers(squeezed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(squeezed, 8 * n, "zstd", asbytes=True), "<i8")
+
+
+def _ask(kind: int, one: int, keys: np.ndarray, sums: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """A row for each hash range with keys: the first of the sorted keys, steps of as few bytes as hold them, and their numbers."""
+    bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+    starts = runs_of(bucket)
+    packed, told = [], []
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        steps = np.diff(keys[lo:hi])
+        width = -(-int(steps.max()).bit_length() // 8) if len(steps) else 0
+        packed.append(keys[lo].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+        told.append(_squeezed(np.concatenate([s[lo:hi] for s in sums])))
+    n = len(packed)
+    columns = [pa.array(np.full(n, kind, np.int32)), pa.array(bucket[starts[:-1]]), pa.array(np.full(n, one, np.int64)), pa.array(np.diff(starts)), pa.array(packed, pa.binary()), pa.array(told, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "slice", "n", "keys", "sums"])
+
+
+def _keys(packed: bytes, n: int) -> np.ndarray:
+    steps = np.zeros((n, 8), np.uint8)
+    data = np.frombuffer(packed, np.uint8)
+    steps[0] = data[:8]
+    if n > 1:
+        steps[1:, : (len(data) - 8) // (n - 1)] = data[8:].reshape(n - 1, -1)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _first_requests(pair_buckets: int, word_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(4 + 2 * CONTEXTS)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            word = batch.column(0).to_numpy().view(np.uint64)
-            pairs, n = _pairs_of(batch.column(1))
-            group, context, count = np.repeat(np.arange(len(word)), n), pairs["context"].astype(np.int64), pairs["count"].astype(np.float64)
-            for tables, customers, root in sweeps(model, word, group, context, count):  # noqa: B007
-                pass
-            sums += np.concatenate([[count.sum(), len(word)], np.bincount(context, count, CONTEXTS), [customers.sum(), root.sum()], np.bincount(context, tables, CONTEXTS)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["slot", "value"])
+            for one, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = _Slice(packed.as_py())
+                of_pair, of_word = own.counts()
+                yield _ask(_PAIRS, one, own.pair, [of_pair], pair_buckets)
+                yield _ask(_WORDS, one, own.word, [of_word], word_buckets)
 
     return run
 
 
-def _answers(model: Model):
-    """Rows (slice, word, count, probabilities): of each request the word's training count and its probability in each context."""
+def _answer(model: Model, sweep: int):
+    """Sums of all slices' numbers by key, told to each slice in its order of keys.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["word"]):
-            word, row_word, dish, count, inverse, n = _dishes(table)
-            trained = np.flatnonzero(count > 0)
-            group, context, customers = dish[trained] // CONTEXTS, dish[trained] % CONTEXTS, count[trained]
-            all_contexts = dish % CONTEXTS
-            chance, kept = np.zeros(len(dish)), 0
-            for sweep, (tables, of_root, root) in zip(range(len(model.tables)), sweeps(model, word, group, context, customers), strict=False):
-                if sweep <= model.burn_in and sweep + 1 < len(model.tables):
-                    continue
-                own = np.zeros(len(dish))
-                own[trained] = customers - model.discount * tables
-                parent = model.root_probability(sweep, of_root, root)[dish // CONTEXTS]
-                total = model.strength + model.customers[all_contexts]
-                chance += (own + (model.strength + model.discount * model.tables[sweep][all_contexts]) * parent) / total
-                kept += 1
-            chance = (chance / max(kept, 1))[inverse].astype("<f4")
-            offsets = np.concatenate([[0], np.cumsum(n * 4)]).astype(np.int32)
-            blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(chance.tobytes())])
-            of_word = np.bincount(dish // CONTEXTS, count, len(word)).astype(np.int64)
-            yield from pa.Table.from_arrays([table.column("slice"), table.column("word"), pa.array(of_word[row_word]), blobs], names=["slice", "word", "count", "chances"]).combine_chunks().to_batches()
+    Pairs: twice the count, and 1 more for the owner.  first and second are the totals of the range: at first tokens and
+    words learnt from, then customers and tables of the root.
+    """
+    schema = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("told", pa.binary()), ("first", pa.int64()), ("second", pa.int64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("slice")
+        kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
+        sizes = rows.column("n").to_numpy()
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        keys = np.concatenate([_keys(k.as_py(), n) for k, n in zip(rows.column("keys"), sizes.tolist(), strict=True)])
+        order = np.argsort(keys, kind="stable")
+        starts = runs_of(keys[order])
+        word = keys[order[starts[:-1]]]
+        wide = 1 if sweep == 0 else 2
+        blobs = [_numbers(s.as_py(), wide * n) for s, n in zip(rows.column("sums"), sizes.tolist(), strict=True)]
+        sums, told = [], []
+        for k in range(wide):
+            sums.append(np.add.reduceat(np.concatenate([b[k * n : (k + 1) * n] for b, n in zip(blobs, sizes.tolist(), strict=True)])[order], starts[:-1]))
+            whole = np.empty(len(keys), np.int64)
+            whole[order] = np.repeat(sums[k], np.diff(starts))
+            told.append(whole)
+        first = second = 0
+        if kind == _PAIRS:
+            told[0] *= 2
+            told[0][order[starts[:-1]]] += 1
+        elif sweep == 0:
+            known = sums[0] * (word != _START)
+            first, second = int(known.sum()), int((known > 0).sum())
+        else:
+            first, second = int(sums[0].sum()), int(model.root_of(sweep, word, sums[0]).sum())
+        n = len(sizes)
+        edges = zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+        columns = [rows.column("slice").combine_chunks(), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket)), pa.array(sizes), pa.array([_squeezed(np.concatenate([t[lo:hi] for t in told])) for lo, hi in edges], pa.binary())]
+        totals = [pa.array([x, *[0] * (n - 1)], pa.int64()) for x in (first, second)]
+        out = pa.Table.from_arrays([*columns, *totals], schema=schema)
+        give_back()
+        return out
+
+    return run
+
+
+class _State:
+    """A slice and what it was told: counts of pairs, words and contexts, and the sums of each sweep so far."""
+
+    def __init__(self, model: Model, slices: pa.Table, told: pa.Table):
+        self.model = model
+        self.own = own = _Slice(slices.column("packed")[0].as_py())
+        told = told.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        kind = told.column("kind").to_numpy()
+        sizes, blobs = told.column("n").to_pylist(), told.column("told")
+
+        def gathered(k: int, n: int, wide: int) -> np.ndarray:
+            """In the slice's order of keys, since ranges are in the order of keys too."""
+            found = np.concatenate([_numbers(blobs[i].as_py(), wide * sizes[i]).reshape(wide, -1) for i in np.flatnonzero(kind == k).tolist()], axis=1)
+            if found.shape[1] != n:
+                raise ValueError(f"slice {slices.column('slice')[0]} asked for {n} keys and was told {found.shape[1]}")
+            return found
+
+        pairs = gathered(_PAIRS, len(own.pair), 1)[0]
+        self.count, self.owned = pairs >> 1, (pairs & 1).astype(bool)
+        of_word = gathered(_WORDS, len(own.word), 1)[0].copy()
+        self.customers = np.where(own.word == _END, 0, of_word)  # of each word as a context
+        of_word[own.word == _START] = 0
+        self.of_word = of_word
+        #: Root customers of each word, and tables of each context, before the first and after each sweep.
+        self.sums = [(of_word, self.customers)]
+        self.sums += [tuple(gathered(_WORDS + k, len(own.word), 2)) for k in range(1, len(model.root_tables))]
+        self.trained = np.flatnonzero(self.count > 0)
+        self.seed = own.pair[self.trained]
+
+    def tables(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(tables of the trained pairs, root tables of the words) before the first sweep and after each one."""
+        model, own = self.model, self.own
+        n, context, dish = self.count[self.trained], own.context[self.trained], own.dish[self.trained]
+        repeated = np.flatnonzero(n > 1)  # a single customer has one table
+        tables = n.copy()
+        root = model.root_of(0, own.word, self.sums[0][0])
+        yield tables, root
+        for sweep, (of_root, of_context) in enumerate(self.sums):
+            old, c, d = tables[repeated], context[repeated], dish[repeated]
+            parent = model.root_probability(sweep, of_root[d], root[d], old)
+            tables = np.ones(len(n), np.int64)
+            tables[repeated] = seat(n[repeated], parent, of_context[c] - old, model.discount, model.strength, self.seed[repeated] + _salt(sweep + 1))
+            if sweep + 1 < len(self.sums):
+                root = model.root_of(sweep + 1, own.word, self.sums[sweep + 1][0])
+            yield tables, root
+
+
+def _sweep(model: Model, buckets: int):
+    """Of each slice: the sums of the tables it owns, by word and by context, after one more sweep."""
+
+    def run(slices: pa.Table, told: pa.Table) -> pa.Table:
+        if not slices.num_rows:
+            return pa.Table.from_batches([], schema=_ask(0, 0, np.zeros(0, np.uint64), [], 1).schema)
+        state = _State(model, slices, told)
+        own = state.own
+        *_, (tables, _) = state.tables()
+        mine = np.flatnonzero(state.owned[state.trained])
+        t, pairs = tables[mine], state.trained[mine]
+        sums = [np.bincount(of[pairs], t, len(own.word)).astype(np.int64) for of in (own.dish, own.context)]
+        out = pa.Table.from_batches([_ask(_WORDS + len(model.root_tables), slices.column("slice")[0].as_py(), own.word, sums, buckets)])
+        del state, own
+        give_back()
+        return out
 
     return run
 
@@ -261,74 +366,81 @@ def _answers(model: Model):
 def _score(model: Model):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
 
-    def run(slices: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(slices: pa.Table, told: pa.Table) -> pa.Table:
         if not slices.num_rows:
             return schema.empty_table()
-        table, at, key = _tokens(slices.column("packed")[0].as_py())
-        word = answers.column("word").combine_chunks().to_numpy().view(np.uint64)
-        data, offsets = text_buffer(answers.column("chances").combine_chunks())
-        n = np.diff(offsets) // 4
-        order = np.argsort(word)
-        chance = np.frombuffer(data.tobytes(), "<f4").astype(np.float64)
-        count = answers.column("count").combine_chunks().to_numpy()
-        # Answers keep the order of contexts of the request, so by word they line up with the slice's distinct keys.
-        first = offsets[:-1] // 4
-        place = np.repeat(first[order] - np.cumsum(n[order]) + n[order], n[order]) + np.arange(n.sum())
-        distinct = np.sort(key)
-        distinct = distinct[runs_of(distinct)[:-1]]
-        del data, offsets, answers
-        assert len(distinct) == len(place), "answers and slice differ"
-        log_chance = np.log10(chance[place])
-        known = np.repeat(count[order], n[order])
-        base_of = np.log10((known + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1)))
-        starts, size = at[:-1], np.diff(at)
+        state = _State(model, slices, told)
+        own = state.own
+        chance, kept = np.zeros(len(own.pair)), 0
+        total = model.strength + state.customers[own.context]
+        sweeps = len(state.sums)
+        for sweep, (tables, root) in zip(range(sweeps), state.tables(), strict=False):
+            if sweep < min(model.burn_in, sweeps - 1):
+                continue
+            of_root, of_context = state.sums[sweep]
+            parent = model.root_probability(sweep, of_root, root)
+            chance += (model.strength + model.discount * of_context[own.context]) * parent[own.dish]
+            chance[state.trained] += state.count[state.trained] - model.discount * tables
+            kept += 1
+        log_chance = np.log10(chance / (kept * total))
+        known = state.of_word > 0
+        base_of = np.log10((state.of_word + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1)))
+        at, size = own.at, np.diff(own.at)
         score, base, n_known = np.empty(len(size)), np.empty(len(size)), np.empty(len(size), np.int64)
         for i, j in row_chunks(at, _TOKENS_AT_ONCE):
-            own = np.searchsorted(distinct, key[at[i] : at[j]])
-            first = starts[i:j] - at[i]
-            score[i:j] = np.add.reduceat(log_chance[own], first)
-            base[i:j] = np.add.reduceat(base_of[own], first)
-            n_known[i:j] = np.add.reduceat((known[own] > 0).astype(np.int64), first)
-        columns = [table.column("doc_id"), table.column("held_out"), size, n_known, np.full(len(size), model.tokens), base, score, 10 ** np.minimum(-score / size, 300)]
+            first, here = at[i:j] - at[i], slice(at[i], at[j])
+            score[i:j] = np.add.reduceat(log_chance[own.of[here]], first)
+            base[i:j] = np.add.reduceat(base_of[own.token[here]], first)
+            n_known[i:j] = np.add.reduceat(known[own.token[here]].astype(np.int64), first)
+        columns = [own.rows.column("doc_id"), own.rows.column("held_out"), size, n_known, np.full(len(size), model.tokens), base, score, 10 ** np.minimum(-score / size, 300)]
         out = pa.Table.from_arrays([x if isinstance(x, pa.ChunkedArray) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+        del state, own
         give_back()
         return out
 
     return run
 
 
+def _stored_by_slice(slices: DataFrame) -> DataFrame:
+    """Slices on the shared folder, bucketed by slice, so that no later look at the texts shuffles them."""
+    spark = slices.sparkSession
+    name = f"slices_{uuid.uuid4().hex}"
+    slices.write.bucketBy(max(1, slices.rdd.getNumPartitions()), "slice").option("path", f"{shared_dir(spark)}/strandloom/{name}").saveAsTable(name)
+    stored = spark.table(name)
+    stored.schema  # noqa: B018 - resolves the table before its name goes; its files stay
+    return stored
+
+
 def held_out(id_col: str = "doc_id", folds: int = 10, fold: int = 0) -> Column:
     """Whether crc32 of the id as text falls in the fold that isn't learnt from; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def score_texts(df: DataFrame, n_sweeps: int = 4, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+def score_texts(df: DataFrame, n_sweeps: int = 2, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """One row for each row of `df`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Scores are log10 probabilities of the whole text with its end; perplexity is that of a token under the model.  A
-    null text counts as empty: its only token is the end.  Null ids are learnt from; repeated rows are learnt from and
-    scored each time.  Where nothing is learnt from, every word is the unknown one.  An empty table gives an empty
-    result; other columns are ignored.
+    null text counts as empty: its only token is the end.  A text of any length is one row of one slice.  Null ids are
+    learnt from; repeated rows are learnt from and scored each time.  Where nothing is learnt from, every word is the
+    unknown one.  An empty table gives an empty result; other columns are ignored.
     """
-    spark = df.sparkSession
     model = model or Model()
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slices = materialise(texts.mapInArrow(lean(_slices), "slice long, packed binary"))
-    asked = slices.mapInArrow(lean(_requests), "word long, slice long, pairs binary").repartition("word").sortWithinPartitions("word", "slice")
-    # One row group a file: readers split files at row groups only, so a word's requests stay together and sorted.
-    path = f"{shared_dir(spark)}/strandloom/{uuid.uuid4().hex}"
-    asked.write.option("parquet.block.size", 1 << 30).parquet(path)
-    asked = spark.read.schema(asked.schema).parquet(path)
-    trained = materialise(asked.mapInArrow(lean(_add_up), "word long, pairs binary"))
-    for sweep in range(n_sweeps + 1):
-        rows = trained.mapInArrow(lean(_totals(model)), "slot long, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect()
-        sums = np.zeros(4 + 2 * CONTEXTS)
-        for r in rows:  # CONTEXTS x 2 + 4 of them
-            sums[r["slot"]] = r["value"]
-        if sweep == 0:
-            model.tokens, model.vocabulary, model.customers = int(sums[0]), int(sums[1]), sums[2 : 2 + CONTEXTS]
-        model.root_customers.append(sums[2 + CONTEXTS])
-        model.root_tables.append(sums[3 + CONTEXTS])
-        model.tables.append(sums[4 + CONTEXTS :])
-    answers = asked.mapInArrow(lean(_answers(model)), "slice long, word long, count long, chances binary")
-    return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    slices = _stored_by_slice(texts.mapInArrow(lean(_slices), "slice long, packed binary"))
+    n_slices = slices.count()
+    pair_buckets, word_buckets = max(1, n_slices // 2), max(1, n_slices // 6)
+
+    def answered(asked: DataFrame, sweep: int) -> tuple[DataFrame, int, int]:
+        told = materialise(asked.groupBy("kind", "bucket").applyInArrow(_answer(model, sweep), _TOLD))
+        first, second = told.agg(F.sum("first"), F.sum("second")).first()
+        return told.select("slice", "kind", "bucket", "n", "told"), int(first or 0), int(second or 0)
+
+    told, model.tokens, model.vocabulary = answered(slices.mapInArrow(lean(_first_requests(pair_buckets, word_buckets)), _ASKED), 0)
+    model.root_customers, model.root_tables = [model.tokens], [model.vocabulary]
+    by_slice = slices.groupBy("slice")
+    for sweep in range(1, n_sweeps + 1):
+        more, customers, tables = answered(by_slice.cogroup(told.groupBy("slice")).applyInArrow(_sweep(model, word_buckets), _ASKED), sweep)
+        told = told.unionByName(more)
+        model.root_customers.append(customers)
+        model.root_tables.append(tables)
+    return by_slice.cogroup(told.groupBy("slice")).applyInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

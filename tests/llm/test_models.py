@@ -79,40 +79,6 @@ def test_pitman_yor(spark):
     assert pitman_yor.score_texts(table(spark, [])).collect() == []
 
 
-def test_pitman_yor_distribution(spark):
-    """Over all known words and the unknown one the predictive probabilities of a context add up to 1."""
-    rng = random.Random(4)
-    vocabulary = [f"w{i}" for i in range(30)]
-    train = [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(30)], k=50)) for _ in range(40)]
-    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10][:40]
-    probe = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 10 == 0][:32]
-    seen = sorted({w for t in train for w in t.split()})
-    rows = cases.rows(train, ids) + cases.rows(["w0 " + w for w in [*seen, "unknown"]] + ["w0"], probe[: len(seen) + 2])
-    got = {r.doc_id: r.score for r in pitman_yor.score_texts(table(spark, rows)).collect()}
-    # log p(w0 | start) + log p(w | w0) + log p(end | w): take the first and last from texts of their own
-    start_end = got[probe[len(seen) + 1]]
-    model = pitman_yor.Model()
-    list(pitman_yor.score_texts(table(spark, rows), model=model).collect())
-    assert model.vocabulary == len(seen) + 1 and model.tokens == 40 * 51
-    assert start_end < 0 and all(len(t) == pitman_yor.CONTEXTS for t in model.tables)
-    assert model.tables[0].sum() == model.root_customers[0] and model.root_tables[0] == model.vocabulary
-    assert all((t <= model.customers).all() for t in model.tables)
-
-
-def test_seating():
-    rng = np.random.default_rng(0)
-    n = np.array([0, 1, 2, 5, 40, 1000, 100_000], float)
-    drawn = np.mean([pitman_yor.seat(n, np.full(7, 3.0), 0.5, rng.integers(0, 2**63, 7, dtype=np.uint64)) for _ in range(300)], 0)
-    exact = []
-    for c in n:  # expected tables, one customer after the other
-        t = min(c, 1.0)
-        for seated in range(1, int(c)):
-            t += 3 / (seated - 0.5 * t + 3)
-        exact.append(t)
-    assert drawn[0] == 0 and drawn[1] == 1
-    assert np.allclose(drawn, exact, rtol=0.08)
-
-
 @pytest.mark.parametrize("text", [None, "", "a", "é" * 300, "x" * 192, "x" * 193, "ÿ\xff\x00" * 900])
 def test_jpeg_round_trip(text):
     payload, n = progressive_jpeg.pad(text)
