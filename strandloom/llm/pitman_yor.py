@@ -254,7 +254,7 @@ def _first_requests(pair_buckets: int, word_buckets: int):
 def _answer(model: Model, sweep: int):
     """Sums of all slices' numbers by key, told to each slice in its order of keys.
 
-    Pairs: twice the count, and 1 more for the owner.  first and second are the totals of the range: at first tokens and
+    Pairs: twice the count, and 1 more for the owner.  After a sweep the words' root tables come as well.  first and second are the totals of the range: at first tokens and
     words learnt from, then customers and tables of the root.
     """
     schema = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("told", pa.binary()), ("first", pa.int64()), ("second", pa.int64())])
@@ -284,7 +284,11 @@ def _answer(model: Model, sweep: int):
             known = sums[0] * (word != _START)
             first, second = int(known.sum()), int((known > 0).sum())
         else:
-            first, second = int(sums[0].sum()), int(model.root_of(sweep, word, sums[0]).sum())
+            root = model.root_of(sweep, word, sums[0])
+            first, second = int(sums[0].sum()), int(root.sum())
+            whole = np.empty(len(keys), np.int64)
+            whole[order] = np.repeat(root, np.diff(starts))
+            told.append(whole)
         n = len(sizes)
         edges = zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
         columns = [rows.column("slice").combine_chunks(), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket)), pa.array(sizes), pa.array([_squeezed(np.concatenate([t[lo:hi] for t in told])) for lo, hi in edges], pa.binary())]
@@ -319,28 +323,26 @@ class _State:
         self.customers = np.where(own.word == _END, 0, of_word)  # of each word as a context
         of_word[own.word == _START] = 0
         self.of_word = of_word
-        #: Root customers of each word, and tables of each context, before the first and after each sweep.
-        self.sums = [(of_word, self.customers)]
-        self.sums += [tuple(gathered(_WORDS + k, len(own.word), 2)) for k in range(1, len(model.root_tables))]
+        #: Root customers of each word, tables of each context and root tables of each word, before the first and after each sweep.
+        self.sums = [(of_word, self.customers, model.root_of(0, own.word, of_word))]
+        self.sums += [tuple(gathered(_WORDS + k, len(own.word), 3)) for k in range(1, len(model.root_tables))]
         self.trained = np.flatnonzero(self.count > 0)
         self.seed = own.pair[self.trained]
 
-    def tables(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(tables of the trained pairs, root tables of the words) before the first sweep and after each one."""
+    def tables(self) -> Iterator[np.ndarray]:
+        """Tables of the trained pairs before the first sweep and after each one."""
         model, own = self.model, self.own
-        n, context, dish = self.count[self.trained], own.context[self.trained], own.dish[self.trained]
+        n = self.count[self.trained]
         repeated = np.flatnonzero(n > 1)  # a single customer has one table
+        c, d = (x[self.trained[repeated]] for x in (own.context, own.dish))
         tables = n.copy()
-        root = model.root_of(0, own.word, self.sums[0][0])
-        yield tables, root
-        for sweep, (of_root, of_context) in enumerate(self.sums):
-            old, c, d = tables[repeated], context[repeated], dish[repeated]
+        yield tables
+        for sweep, (of_root, of_context, root) in enumerate(self.sums):
+            old = tables[repeated]
             parent = model.root_probability(sweep, of_root[d], root[d], old)
             tables = np.ones(len(n), np.int64)
             tables[repeated] = seat(n[repeated], parent, of_context[c] - old, model.discount, model.strength, self.seed[repeated] + _salt(sweep + 1))
-            if sweep + 1 < len(self.sums):
-                root = model.root_of(sweep + 1, own.word, self.sums[sweep + 1][0])
-            yield tables, root
+            yield tables
 
 
 def _sweep(model: Model, buckets: int):
@@ -351,7 +353,7 @@ def _sweep(model: Model, buckets: int):
             return pa.Table.from_batches([], schema=_ask(0, 0, np.zeros(0, np.uint64), [], 1).schema)
         state = _State(model, slices, told)
         own = state.own
-        *_, (tables, _) = state.tables()
+        *_, tables = state.tables()
         mine = np.flatnonzero(state.owned[state.trained])
         t, pairs = tables[mine], state.trained[mine]
         sums = [np.bincount(of[pairs], t, len(own.word)).astype(np.int64) for of in (own.dish, own.context)]
@@ -374,10 +376,10 @@ def _score(model: Model):
         chance, kept = np.zeros(len(own.pair)), 0
         total = model.strength + state.customers[own.context]
         sweeps = len(state.sums)
-        for sweep, (tables, root) in zip(range(sweeps), state.tables(), strict=False):
+        for sweep, tables in zip(range(sweeps), state.tables(), strict=False):
             if sweep < min(model.burn_in, sweeps - 1):
                 continue
-            of_root, of_context = state.sums[sweep]
+            of_root, of_context, root = state.sums[sweep]
             parent = model.root_probability(sweep, of_root, root)
             chance += (model.strength + model.discount * of_context[own.context]) * parent[own.dish]
             chance[state.trained] += state.count[state.trained] - model.discount * tables
