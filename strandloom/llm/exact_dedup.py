@@ -131,9 +131,10 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = without_ids(df.filter(F.col(id_col).isNotNull()), per.filter("stay = 0").select("doc_id").unionByName(odd), id_col)
     if not odd.limit(1).count():
         return rest
-    kept = found.filter("kept").join(odd, found["doc_id"].eqNullSafe(odd["doc_id"]), "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    kept = found.filter("kept").join(odd, found["doc_id"].eqNullSafe(odd["doc_id"]), "left_semi").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), upper, lower), 256)
-    same = df.join(odd.withColumnRenamed("doc_id", "__id").distinct(), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").withColumn("__digest", sha)
-    same = same.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi").dropDuplicates([id_col, "__digest"])
-    return rest.unionByName(same.select(*[F.col(f"`{c}`") for c in df.columns]))
+    # Whole rows as one column, so that none of theirs clashes with a name used here.
+    same = df.select(F.col(id_col).alias("id"), sha.alias("sha"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    same = same.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, same["id"].eqNullSafe(kept["id"]) & (same["sha"] == kept["sha"]), "left_semi").dropDuplicates(["id", "sha"])
+    return rest.unionByName(same.select("row.*"))

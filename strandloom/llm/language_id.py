@@ -7,7 +7,6 @@ tasks with the scoring function, which scores a batch of texts with gathers and
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, unused
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 _PIECE = 1 << 18
 _VECTOR_BLOCK = 4096
-_LETTER = re.compile(r"[^\W\d_]")
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -132,7 +130,7 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     for row, bucket in _grams(texts):
         starts = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
         np.add.at(total, row[starts], np.add.reduceat(model.log_prob[bucket], starts, axis=0))
-    known = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool)
+    known = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
     if not model.languages:
         return ["und"] * len(texts), np.zeros(len(texts))
     top = total.max(1, keepdims=True) if len(texts) else total
@@ -144,11 +142,13 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
 def predict(df: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """`keep` columns of `df` with lang_pred (a learned language or "und") and score (0 to 1) for each row.
 
-    A null or empty text and a text without letters get "und" with score 0; nothing but the text is read for a
-    prediction, and columns of `df` named like the result's are replaced.
+    A null or empty text and a text without letters (digits, number signs and marks aren't) get "und" with score 0, and so
+    does every text where no language was learnt.  Texts of any length are read whole.  Of languages that tie, the
+    first by name is taken.  Repeated rows are predicted alike, and an empty table gives an empty result.  Nothing but
+    the text is read for a prediction; columns of `df` named like the result's are replaced, others stay as they are.
     """
     kept = [c for c in keep if c not in ("lang_pred", "score")]
-    chosen = df.select(*kept, F.col(text_col).alias("__text"))
+    chosen = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(unused(df, "text_")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1]) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

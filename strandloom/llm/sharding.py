@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 
 HASH_BITS = 60
 PAGE_BITS = 12
@@ -41,8 +41,8 @@ def _page(open_rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 def shard_report(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `df`: doc_id, n_bytes, shard (the bits of its prefix), depth, shard_bytes, shard_docs.
 
-    Every shard holds at most `limit` bytes of text, unless all of its rows have one id: such rows can't be split
-    and make a shard of their own.  A null text has 0 bytes and a null id counts as the empty string.  An empty
+    Every shard holds at most `limit` bytes of text, unless all of its rows have one id (or a single text is longer):
+    such rows can't be split and make a shard of their own.  A null text has 0 bytes and a null id counts as the empty string.  An empty
     table gives an empty result; other columns are ignored.
     """
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -69,6 +69,11 @@ def shard_report(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: st
 
 
 def write_shards(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write `df` as one folder for each shard under `path` (the root bucket, without bits, is folder shard=all)."""
-    shards = shard_report(df, limit, id_col, text_col).select(F.col("doc_id").alias(id_col), F.when(F.col("shard") == "", "all").otherwise(F.col("shard")).alias("shard")).distinct()
-    df.join(shards, df[id_col].eqNullSafe(shards[id_col])).drop(shards[id_col]).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write `df` as one folder for each shard under `path` (the root bucket, without bits, is folder shard=all).
+
+    The folders are named after a column `shard`, with underscores before it where `df` has one of that name.
+    """
+    folder, key = unused(df, "shard"), unused(df, "shard_id")
+    shards = shard_report(df, limit, id_col, text_col).select(F.col("doc_id").alias(key), F.when(F.col("shard") == "", "all").otherwise(F.col("shard")).alias(folder)).distinct()
+    joined = df.join(shards, F.col(id_col).eqNullSafe(F.col(key))).drop(key)
+    joined.repartition(folder).write.partitionBy(folder).parquet(path)

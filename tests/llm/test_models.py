@@ -45,6 +45,13 @@ def test_language_id_cases(spark):
     assert language_id.predict(table(spark, []), model, ["doc_id"]).collect() == []
 
 
+@pytest.mark.parametrize("text", ["½", "123 ²", "٣", "", None, " \n", "_-!", "🙂"])
+def test_no_letter_no_language(text):
+    model = language_id.LanguageModel(["x", "y"], np.zeros((language_id.BUCKETS, 2)), np.log(np.array([0.3, 0.7])))
+    assert [x[0] for x in language_id.score_texts(model, [text])] == ["und", 0.0]
+    assert language_id.score_texts(model, [f"{text}ª"])[0] == ["y"]  # an ordinal sign is a letter
+
+
 def test_scores_of_naive_bayes():
     model = language_id.LanguageModel(["x", "y"], np.log(np.random.default_rng(0).dirichlet(np.ones(language_id.BUCKETS), 2).T), np.log(np.array([0.3, 0.7])))
     texts = ["Some text", "", "and more of it", None]
