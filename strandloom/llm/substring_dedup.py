@@ -1,11 +1,11 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-The first level takes windows of half the final length, and of these only the minimisers: in each final window
-the half-length window of least hash.  Equal final windows have equal minimisers, so a final window can repeat only
-where its minimiser does, and a sixth of the positions is enough.  Windows repeated at that length alone are
-extended to twice the length: the full windows around the surviving minimisers are hashed, and all but the first
-occurrence of each mark the words they cover.  What repeats inside a batch is settled in the batch, and one row for
-each window goes on, so a passage that very many documents share reaches the shuffle once a batch.
+Levels are lengths, each twice the one before, up to the window's own.  On each but the last a window is looked up by its
+minimiser, the stretch of that length with the least hash inside it: equal windows have equal minimisers, so a window
+can repeat only where its minimiser does, and only a fraction of the places is looked up.  Windows whose minimiser
+repeats go on to twice the length; where none does, nothing goes on.  On the last level whole windows are looked up,
+and all but the first occurrence of each mark the words they cover.  What repeats inside a batch is settled in the
+batch, and one row for each window goes on, so a passage that very many documents share reaches the shuffle once a batch.
 
 Texts are shuffled once, by id; the later looks at them use the same exchange.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from .common import mix, row_chunks, runs_of, text_buffer, words
 _U = np.uint64
 _B = 0xA24BAED4963EE407
 _TOP = _U(2**64 - 1)
-#: A null id comes after all others.
-_NO_ID = 2**63 - 1
+#: Texts with a null id come after all others, by 56 bits of their hash from here on; real ids are below.
+_NO_ID = 2**63 - 2**56
+#: The shortest length that is looked up.
+_LEAST = 5
 #: Place of a word: texts with one id are told apart by the bits above.
 _TEXT_SHIFT = 40
 _FLUSH = 1 << 20
@@ -91,6 +94,8 @@ class _Texts:
                 last_id, n = one, 0
                 last_text = texts[i].as_py() if i + 1 == len(ids) or ids[i + 1] == one else None
             out[i] = n
+        if len(out) and out.max() >= 1 << 63 - _TEXT_SHIFT:
+            raise ValueError(f"more than {1 << 63 - _TEXT_SHIFT} different texts with one id")
         self.last = (last_id, last_text, n)
         return out
 
@@ -113,16 +118,28 @@ def _valid(row: np.ndarray, length: int) -> np.ndarray:
     return ok
 
 
-def _minimisers(h: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Half-length hashes, least one of each full window, which places are minimisers, which start a full window."""
-    half = window // 2
-    width = window - half + 1
-    code = np.where(_valid(row, half), window_hashes(h, half), _TOP)
-    whole = _valid(row, window)
-    least = np.where(whole, _slide(code, width, True, np.minimum, int(_TOP)), _U(0))
-    chosen = (_slide(least, width, False, np.maximum, 0) == code) & (code != _TOP) if len(h) else np.zeros(0, bool)
-    # No least over a place exceeds its hash, so the largest of them equals it where any does.
-    return code, least, chosen, whole
+def _levels(window: int) -> list[int]:
+    lengths = [window]
+    while lengths[0] // 2 >= _LEAST:
+        lengths.insert(0, lengths[0] // 2)
+    return lengths
+
+
+def _least(h: np.ndarray, row: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each stretch of `length` words, and the least one inside the window that starts at each word."""
+    code = np.where(_valid(row, length), window_hashes(h, length), _TOP)
+    return code, _slide(code, window - length + 1, True, np.minimum, int(_TOP))
+
+
+def _alive(code: np.ndarray, least: np.ndarray, survivor: np.ndarray, width: int) -> np.ndarray:
+    """Which windows have a minimiser among the survivors."""
+    return _slide(np.where(survivor, code, _TOP), width, True, np.minimum, int(_TOP)) == least
+
+
+def _minimisers(code: np.ndarray, least: np.ndarray, alive: np.ndarray, width: int) -> np.ndarray:
+    """Which stretches are the minimiser of a window that is alive: no least over a place exceeds its hash, so the largest
+    of them equals it where any does."""
+    return (_slide(np.where(alive, least, _U(0)), width, False, np.maximum, 0) == code) & (code != _TOP)
 
 
 def _runs(ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,37 +166,16 @@ def _rows(anchor: np.ndarray, key: np.ndarray, ids: np.ndarray, place: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=_ROWS)
 
 
-def _first_level(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = _Texts()
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            keys, owners, places = [], [], []
-            for i, j, row, place, h in _by_word(batch, texts.number(ids.tolist(), batch.column(1))):
-                code, _, chosen, _ = _minimisers(h, row, window)
-                keys.append(code[chosen])
-                owners.append(ids[i:j][row[chosen]])
-                places.append(place[chosen])
-            if not keys:
-                continue
-            key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
-            order = np.argsort(key, kind="stable")
-            key, owner, place = key[order], owner[order], place[order]
-            starts = runs_of(key)
-            repeated = np.repeat(np.diff(starts) > 1, np.diff(starts))
-            first = starts[:-1]
-            yield _rows(key[first], key[first], owner[first], place[first], owner[repeated], place[repeated])
-
-    return run
-
-
 def _gather(keep_first: bool):
-    """From rows sorted by (key, id, place): the places of repeated keys, without the first of each unless `keep_first`."""
+    """From rows sorted by (key, anchor, id, place): the places of repeated ones, without the first of each unless `keep_first`.
+
+    Windows are equal where the hash of all their words and that of their minimiser both are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_ids: list[np.ndarray] = []
         held: list[np.ndarray] = []
-        last: tuple[int, int, int, bool] | None = None  # key, id and place of the row before, and whether it is out already
+        last: tuple[tuple[int, int], int, int, bool] | None = None  # key, id and place of the row before, and whether it is out already
 
         def flush() -> pa.RecordBatch:
             found = _runs(np.concatenate(held_ids), np.concatenate(held))
@@ -188,16 +184,16 @@ def _gather(keep_first: bool):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["id", "place", "n"])
 
         for batch in batches:
-            key, ids, place, n = (batch.column(c).to_numpy() for c in range(4))
+            key, anchor, ids, place, n = (batch.column(c).to_numpy() for c in range(5))
             known = n > 0
             if known.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (ids, place, n)], names=["id", "place", "n"])
-            key, ids, place = key[~known], ids[~known], place[~known]
+            key, anchor, ids, place = key[~known], anchor[~known], ids[~known], place[~known]
             if not len(key):
                 continue
             same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            if last is not None and key[0] == last[0]:
+            same[1:] = (key[1:] == key[:-1]) & (anchor[1:] == anchor[:-1])
+            if last is not None and (key[0], anchor[0]) == last[0]:
                 same[0] = True
                 if keep_first and not last[3]:
                     held_ids.append(np.array([last[1]]))
@@ -211,9 +207,9 @@ def _gather(keep_first: bool):
                 head_place = np.where(lead >= 0, place[np.maximum(lead, 0)], last[2] if last else 0)
                 out &= (ids != head_id) | (place != head_place)
             if keep_first:
-                last = (int(key[-1]), int(ids[-1]), int(place[-1]), bool(out[-1]))
+                last = ((key[-1], anchor[-1]), int(ids[-1]), int(place[-1]), bool(out[-1]))
             elif not same[-1] or last is None or lead[-1] >= 0:
-                last = (int(key[-1]), int(ids[lead[-1]]), int(place[lead[-1]]), True)
+                last = ((key[-1], anchor[-1]), int(ids[lead[-1]]), int(place[lead[-1]]), True)
             held_ids.append(ids[out])
             held.append(place[out])
             if sum(map(len, held)) > _FLUSH:
@@ -245,41 +241,55 @@ def _anchors(code: np.ndarray, least: np.ndarray, starts: np.ndarray, width: int
     return mix(least[starts] + second.astype(np.uint64))
 
 
-def _second_level(window: int):
+def _candidates(window: int, before: int, length: int):
+    """What to look up at `length` of texts (id, text), or of texts with the survivors of the level `before` (id, text, runs)."""
+    final = length == window
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = _Texts()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             numbers = texts.number(ids.tolist(), batch.column(1))
-            runs_at, first_place, length = _runs_by_row(batch.column(2))
+            runs_at, first_place, n_places = _runs_by_row(batch.column(2)) if before else (None, None, None)
             anchors, keys, owners, places = [], [], [], []
             for i, j, row, place, h in _by_word(batch, numbers):
-                code, least, _, whole = _minimisers(h, row, window)
-                survivor = np.zeros(len(row), bool)
-                spans = np.searchsorted(row, np.arange(j - i + 1))
-                for r in range(i, j):
-                    a, b = spans[r - i], spans[r - i + 1]
-                    own = slice(runs_at[r], runs_at[r + 1])
-                    for start, n in zip(first_place[own].tolist(), length[own].tolist(), strict=True):
-                        if start >> _TEXT_SHIFT == numbers[r]:
-                            start &= (1 << _TEXT_SHIFT) - 1
-                            survivor[a + start : min(a + start + n, b)] = True
-                alive = _slide(np.where(survivor, code, _TOP), window - window // 2 + 1, True, np.minimum, int(_TOP))
-                full = np.flatnonzero(whole & (alive == least))
-                anchors.append(_anchors(code, least, full, window - window // 2 + 1))
-                keys.append(window_hashes(h, window)[full])
-                owners.append(ids[i:j][row[full]])
-                places.append(place[full])
+                alive = _valid(row, window)
+                if before:
+                    survivor = np.zeros(len(row), bool)
+                    spans = np.searchsorted(row, np.arange(j - i + 1))
+                    for r in range(i, j):
+                        a, b = spans[r - i], spans[r - i + 1]
+                        own = slice(runs_at[r], runs_at[r + 1])
+                        for start, n in zip(first_place[own].tolist(), n_places[own].tolist(), strict=True):
+                            if start >> _TEXT_SHIFT == numbers[r]:
+                                start &= (1 << _TEXT_SHIFT) - 1
+                                survivor[a + start : min(a + start + n, b)] = True
+                    last_code, last_least = _least(h, row, window, before)
+                    alive &= _alive(last_code, last_least, survivor, window - before + 1)
+                if final:
+                    chosen = np.flatnonzero(alive)
+                    code = window_hashes(h, window)
+                    anchors.append(_anchors(last_code, last_least, chosen, window - before + 1) if before else code[chosen])
+                else:
+                    code, least = _least(h, row, window, length)
+                    chosen = np.flatnonzero(_minimisers(code, least, alive, window - length + 1))
+                    anchors.append(code[chosen])
+                keys.append(code[chosen])
+                owners.append(ids[i:j][row[chosen]])
+                places.append(place[chosen])
             if not keys:
                 continue
             anchor, key, owner, place = np.concatenate(anchors), np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
-            order = np.lexsort((place, owner, key))
+            order = np.lexsort((place, owner, anchor, key))
             anchor, key, owner, place = anchor[order], key[order], owner[order], place[order]
-            first = runs_of(key)
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (anchor[1:] != anchor[:-1])
+            first = np.append(np.flatnonzero(new), len(key))
             head = np.repeat(first[:-1], np.diff(first))
-            later = (owner != owner[head]) | (place != place[head])
+            # Of whole windows the later occurrences are known to go; of shorter stretches every one that repeats goes on.
+            known = (owner != owner[head]) | (place != place[head]) if final else np.repeat(np.diff(first) > 1, np.diff(first))
             head = first[:-1][np.lexsort((place[first[:-1]], owner[first[:-1]]))]  # neighbours in a text stay neighbours
-            yield _rows(anchor[head], key[head], owner[head], place[head], owner[later], place[later])
+            yield _rows(anchor[head], key[head], owner[head], place[head], owner[known], place[known])
 
     return run
 
@@ -311,7 +321,7 @@ def _cut_out(window: int):
                 digest.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept.decode())
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, mask=ids == _NO_ID), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string()),
+                pa.array(ids, mask=ids >= _NO_ID), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string()),
             ], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
@@ -322,22 +332,29 @@ def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text
 
     A word goes when a window of `window` words that covers it also starts earlier: in a smaller doc_id, or earlier
     in its own document.  Windows are judged on the input.  kept_text has the other words joined by single spaces.
-    A null text has no words; a text shorter than the window is left alone.  A null id counts as the largest.
-    Rows that repeat an id and text are one document (each keeps the same words); other texts of a repeated id
-    come later in the order of their bytes.  Empty tables give empty results; other columns are ignored.
+    A null text has no words; a text shorter than the window is left alone.  Null ids come after all others, in the order
+    of a hash of their texts; ids from 2^63 - 2^56 on are refused.  Rows that repeat an id and text are one document
+    (each keeps the same words); other texts of a repeated id come later in the order of their bytes, up to 2^23 of
+    them.  Texts of any length are read whole.  Empty tables give empty results; other columns are ignored.
     """
     if window < 4:
         raise ValueError("the window must have 4 words or more")
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartition("id")
+    given, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    beyond = F.raise_error(F.concat(F.lit("id too large: "), given.cast("string"))).cast("long")
+    unnamed = F.lit(_NO_ID) + F.xxhash64(text).bitwiseAND((1 << 56) - 1)
+    ident = F.when(given.isNull(), unnamed).when(given >= _NO_ID, beyond).otherwise(given)
+    texts = df.select(ident.alias("id"), text.alias("text")).repartition("id")
     rows, found = "anchor long, key long, id long, place long, n long", "id long, place long, n long"
 
     def settled(df: DataFrame, keep_first: bool) -> DataFrame:
         # Windows around one minimiser, which neighbour each other in their texts, go to one task; equal ones do too.
-        dealt = df.repartition("anchor").sortWithinPartitions("key", "id", "place").select("key", "id", "place", "n")
+        dealt = df.repartition("anchor").sortWithinPartitions("key", "anchor", "id", "place").select("key", "anchor", "id", "place", "n")
         return dealt.mapInArrow(_gather(keep_first), found).groupBy("id").agg(F.collect_list(F.struct("place", "n")).alias("runs"))
 
-    minimisers = texts.sortWithinPartitions("id", "text").mapInArrow(_first_level(window), rows)
-    survivors = settled(minimisers, keep_first=True)
-    full = texts.join(survivors, "id").sortWithinPartitions("id", "text").mapInArrow(_second_level(window), rows)
-    covered = settled(full, keep_first=False)
+    lengths = _levels(window)
+    looked = texts.sortWithinPartitions("id", "text").mapInArrow(_candidates(window, 0, lengths[0]), rows)
+    for before, length in pairwise(lengths):
+        survivors = settled(looked, keep_first=True)
+        looked = texts.join(survivors, "id").sortWithinPartitions("id", "text").mapInArrow(_candidates(window, before, length), rows)
+    covered = settled(looked, keep_first=False)
     return texts.join(covered, "id", "left").sortWithinPartitions("id", "text").mapInArrow(_cut_out(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

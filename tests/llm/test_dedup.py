@@ -206,3 +206,19 @@ def test_substring_dedup(spark, window):
 
 def test_substring_dedup_empty(spark):
     assert remove_repeats(table(spark, [])).collect() == []
+
+
+def test_substring_dedup_levels_and_null_ids(spark):
+    from strandloom.llm.substring_dedup import _levels
+
+    assert _levels(20) == [5, 10, 20] and _levels(50) == [6, 12, 25, 50] and _levels(9) == [9]
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [f"{' '.join(f'{name}{k}' for k in range(6))} {passage} {name}z" for name in "abcdefgh"]
+    rows = cases.rows([*texts, texts[0], passage], [None] * 8 + [None, 2**40])
+    got = remove_repeats(table(spark, rows, 4)).collect()
+    removed = sorted(r.n_removed for r in got if r.doc_id is None)
+    assert removed == [30] * 9 and [r.n_removed for r in got if r.doc_id is not None] == [0]
+    got = remove_repeats(table(spark, rows[:-1], 4)).collect()  # without a named one, one text (twice, if it is the repeated row) keeps it
+    assert sorted(r.n_removed for r in got) in ([0] + [30] * 8, [0, 0] + [30] * 7)
+    with pytest.raises(Exception, match="id too large"):
+        remove_repeats(table(spark, cases.rows(["a b"], [2**63 - 1]))).collect()
