@@ -28,8 +28,8 @@ _B = 0xA24BAED4963EE407
 _TOP = _U(2**64 - 1)
 #: Texts with a null id come after all others, by 56 bits of their hash from here on; real ids are below.
 _NO_ID = 2**63 - 2**56
-#: The shortest length that is looked up.
-_LEAST = 5
+#: The shortest length that is looked up: shorter ones repeat too often to rule much out (see the README for figures).
+_LEAST = 10
 #: Place of a word: texts with one id are told apart by the bits above.
 _TEXT_SHIFT = 40
 _FLUSH = 1 << 20
@@ -162,14 +162,15 @@ def _rows(anchor: np.ndarray, key: np.ndarray, ids: np.ndarray, place: np.ndarra
     """Windows to look for elsewhere (n is 0), and runs of n places already known, dealt by id."""
     known, start, n = _runs(settled_ids, settled)
     spread = mix(known.view(np.uint64)).view(np.int64)
-    columns = ((anchor.view(np.int64), spread), (key.view(np.int64), spread), (ids, known), (place, start), (np.zeros(len(key), np.int64), n))
+    columns = ((anchor.view(np.int64), spread), (key.view(np.int64), np.zeros(len(n), np.int64)), (ids, known), (place, start), (np.zeros(len(key), np.int64), n))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=_ROWS)
 
 
 def _gather(keep_first: bool):
     """From rows sorted by (key, anchor, id, place): the places of repeated ones, without the first of each unless `keep_first`.
 
-    Windows are equal where the hash of all their words and that of their minimiser both are.
+    Windows are equal where the hash of all their words and that of their minimiser both are; shorter stretches have no
+    key but their anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +275,7 @@ def _candidates(window: int, before: int, length: int):
                     code, least = _least(h, row, window, length)
                     chosen = np.flatnonzero(_minimisers(code, least, alive, window - length + 1))
                     anchors.append(code[chosen])
-                keys.append(code[chosen])
+                keys.append(code[chosen] if final else np.zeros(len(chosen), np.uint64))
                 owners.append(ids[i:j][row[chosen]])
                 places.append(place[chosen])
             if not keys:
