@@ -1,8 +1,9 @@
 """Dynamic-programming cores that run inside tasks, on numpy rows.
 
-Sequences are arrays of codes 0 to 3.  A band gives the columns (reference positions) allowed on each row (query
-positions); cells outside it are unreachable.  A row is one vector pass: what runs along the row (a deletion after
-a deletion) is a prefix minimum, a prefix maximum or a doubling sum instead of a loop.
+Sequences are arrays of codes 0 to 3.  Tables have a row for each query position; of a row only a window of columns
+(reference positions) is stored and computed, whose place a `Band` gives, so time and memory go with the query's length
+times the window's width.  A row is one vector pass over many pairs of the same two lengths: what runs along the row (a
+deletion after a deletion) is a prefix minimum, a prefix maximum or a doubling sum instead of a loop.
 """
 
 from __future__ import annotations
@@ -18,101 +19,205 @@ def codes(seq: str) -> np.ndarray:
     return _CODE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
 
 
-def path_band(path: str, n_reference: int, n_query: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and end column of each row within `radius` steps of the cells of a path (followed straight on past its end)."""
-    low, high = np.full(n_query + 1, n_reference + 1), np.zeros(n_query + 1, np.int64)
-    moves = np.array([(o != "D", o != "I") for o in path], np.int64).reshape(-1, 2)
-    cells = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(moves, 0)])
-    cells = np.concatenate([cells, np.minimum(cells[-1] + np.arange(1, n_query + n_reference + 1)[:, None], [n_query, n_reference])])
-    cells = np.unique(cells[(cells[:, 0] <= n_query) & (cells[:, 1] <= n_reference)], axis=0)
-    for shift in range(-radius, radius + 1):
-        rows, reach = cells[:, 0] + shift, radius - abs(shift)
-        ok = (rows >= 0) & (rows <= n_query)
-        np.minimum.at(low, rows[ok], np.maximum(cells[ok, 1] - reach, 0))
-        np.maximum.at(high, rows[ok], np.minimum(cells[ok, 1] + reach, n_reference) + 1)
-    return low, high
+def path_bands(paths: list[str], n: int, m: int, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end column (pairs, rows) within `radius` steps of the cells of paths (followed straight on past their ends).
 
+    The radius may differ by row (pairs or 1, rows): a cell then reaches as far as its own row's.
+    """
+    first, last = np.full((len(paths), m + 1), n + 1), np.full((len(paths), m + 1), -1)
+    for p, path in enumerate(paths):
+        ops = np.frombuffer(path.encode(), np.uint8)
+        row, column = np.cumsum(ops != ord("D")), np.cumsum(ops != ord("I"))
+        row, column = np.concatenate([[0], row]), np.concatenate([[0], column])
+        if row[-1] < m or column[-1] < n:
+            on = np.arange(1, max(m - row[-1], n - column[-1]) + 1)
+            row, column = np.concatenate([row, np.minimum(row[-1] + on, m)]), np.concatenate([column, np.minimum(column[-1] + on, n)])
+        inside = (row <= m) & (column <= n)
+        row, column = row[inside], column[inside]
+        last[p, row] = column  # the largest of a row comes last
+        first[p, row[::-1]] = column[::-1]
+    low, high = np.full(first.shape, n + 1), np.zeros(first.shape, np.int64)
+    radius = np.broadcast_to(radius, first.shape)
+    for shift in range(-int(radius.max()), int(radius.max()) + 1):
+        reach = radius - abs(shift)
+        to, at = (slice(shift, None), slice(None, m + 1 - shift)) if shift >= 0 else (slice(None, m + 1 + shift), slice(-shift, None))
+        if m + 1 <= abs(shift):
+            continue
+        np.minimum(low[:, to], np.where(reach >= 0, np.maximum(first - reach, 0), n + 1)[:, at], out=low[:, to])
+        np.maximum(high[:, to], np.where(reach >= 0, np.minimum(last + reach, n) + 1, 0)[:, at], out=high[:, to])
+    return np.minimum.accumulate(low[:, ::-1], 1)[:, ::-1], np.maximum.accumulate(high, 1)
+
+
+class Band:
+    """The window of each row: `width` columns from starts[pair, row] on.  The first window starts with column 0, the last one
+    ends with the last column, and starts never go back."""
+
+    def __init__(self, starts: np.ndarray, width: int):
+        self.starts, self.width = starts, width
+        self._k = np.arange(width)
+
+    @classmethod
+    def full(cls, pairs: int, n: int, m: int) -> Band:
+        return cls(np.zeros((pairs, m + 1), np.int64), n + 1)
+
+    @classmethod
+    def around(cls, paths: list[str | None], n: int, m: int, radius: int | list[np.ndarray]) -> Band:
+        """Within `radius` steps (or a radius for each row) of each pair's path; a missing path follows the diagonal."""
+        low, high = path_bands([straight_path(n, m) if p is None else p for p in paths], n, m, np.asarray(radius))
+        width = int(min(n + 1, (high - low).max()))
+        return cls(np.clip(low, 0, n + 1 - width), width)
+
+    def reversed(self, n: int) -> Band:
+        return Band((n + 1 - self.width - self.starts)[:, ::-1], self.width)
+
+    def of(self, values: np.ndarray, i: int) -> np.ndarray:
+        """Values by column (pairs, n + 1) at the columns of row i."""
+        if self.width == values.shape[-1]:
+            return values
+        return np.take_along_axis(values, self.starts[:, i, None] + self._k, -1)
+
+    def moved(self, row: np.ndarray, i: int, to: int, by: int, fill: float) -> np.ndarray:
+        """What row i (..., pairs, width) holds at the columns of row `to` plus `by`."""
+        step = self.starts[:, to] - self.starts[:, i] + by
+        if not len(step) or (step == step[0]).all():
+            return shifted(row, int(step[0]) if len(step) else 0, fill)
+        at = self._k + step[:, None]
+        inside = (at >= 0) & (at < self.width)
+        found = np.take_along_axis(row, np.broadcast_to(np.where(inside, at, 0), row.shape), -1)
+        return np.where(inside, found, fill)
+
+
+def shifted(row: np.ndarray, by: int, fill: float) -> np.ndarray:
+    """row[..., k + by] at each k."""
+    if not by:
+        return row
+    out = np.full_like(row, fill)
+    if 0 < by < row.shape[-1]:
+        out[..., :-by] = row[..., by:]
+    elif -row.shape[-1] < by < 0:
+        out[..., -by:] = row[..., :by]
+    return out
 
-def band_mask(band: tuple[np.ndarray, np.ndarray] | None, n: int) -> np.ndarray | None:
-    """The cells outside a band, rows by query and columns by reference."""
-    if band is None:
-        return None
-    j = np.arange(n + 1)
-    return (j < band[0][:, None]) | (j >= band[1][:, None])
 
+def straight_path(n: int, m: int) -> str:
+    """Steps near the diagonal: a match for each base of the shorter one, the rest spread evenly."""
+    short = min(n, m)
+    extra = np.diff(np.arange(short + 1) * abs(n - m) // max(short, 1)) if short else np.array([abs(n - m)])
+    gap = "D" if n > m else "I"
+    return "".join(("=" if short else "") + gap * int(k) for k in extra)
 
-def distance_table(reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
-    """Edit distances of all prefixes: rows by query, columns by reference.
 
-    Like the other tables it takes many pairs of the same two lengths at once, in leading axes.
-    """
-    n, m = reference.shape[-1], query.shape[-1]
-    j = np.arange(n + 1)
-    out = np.empty((*reference.shape[:-1], m + 1, n + 1), np.int64)
-    for i in range(m + 1):
-        if i:
-            above = out[..., i - 1, :]
-            row = above + 1
-            row[..., 1:] = np.minimum(row[..., 1:], above[..., :-1] + (reference != query[..., i - 1, None]))
-        else:
-            row = np.broadcast_to(j, out[..., 0, :].shape).copy()
-        if outside is not None:
-            row[outside[..., i, :]] = FAR
-        row = np.minimum.accumulate(row - j, axis=-1) + j
-        if outside is not None:
-            row[outside[..., i, :]] = FAR
-        out[..., i, :] = np.minimum(row, FAR)
+def adapted_radius(radius: np.ndarray, path: str, edits: list[int], default: int) -> np.ndarray:
+    """A radius for each row for the next round: half of the last one (at least 4), and the default again within `default`
+    rows of where the path meets a reference position that was edited."""
+    ops = np.frombuffer(path.encode(), np.uint8)
+    row = np.cumsum(ops != ord("D"))[ops != ord("I")]  # the query position of each reference base
+    out = np.maximum(radius // 2, 4)
+    for pos in edits:
+        at = int(row[min(pos, len(row) - 1)]) if len(row) else 0
+        out[max(0, at - default) : at + default + 1] = default
     return out
 
 
-def distance_path(table: np.ndarray, reference: np.ndarray, query: np.ndarray, order: str = "DI=") -> str:
-    """A path of least distance; `order` says which step is taken first on ties, looking back from the end."""
+def _many(x: np.ndarray) -> np.ndarray:
+    return x if x.ndim > 1 else x[None]
+
+
+def distance_table(reference: np.ndarray, query: np.ndarray, band: Band | None = None) -> np.ndarray:
+    """Edit distances of all prefixes: rows by query, columns by reference (of each row's window).
+
+    Like the other tables it takes many pairs of the same two lengths at once, in a leading axis.
+    """
+    x, y = _many(reference), _many(query)
+    n, m = x.shape[-1], y.shape[-1]
+    band = band or Band.full(len(x), n, m)
+    k = np.arange(band.width)
+    before = np.concatenate([np.full((len(x), 1), 9, x.dtype), x], 1)
+    out = np.empty((len(x), m + 1, band.width), np.int64)
+    out[:, 0] = k
+    for i in range(1, m + 1):
+        above = out[:, i - 1]
+        row = np.minimum(band.moved(above, i - 1, i, 0, FAR) + 1, band.moved(above, i - 1, i, -1, FAR) + (band.of(before, i) != y[:, i - 1, None]))
+        np.minimum(np.minimum.accumulate(row - k, axis=-1) + k, FAR, out=out[:, i])
+    return out if reference.ndim > 1 else out[0]
+
+
+def distance_path(table: np.ndarray, reference: np.ndarray, query: np.ndarray, order: str = "DI=", starts: np.ndarray | None = None) -> str | None:
+    """A path of least distance; `order` says which step is taken first on ties, looking back from the end.
+
+    `starts` has the first column of each row of a banded table; None comes back where the band holds no path.
+    """
     j, i = len(reference), len(query)
+    first = np.zeros(i + 1, np.int64) if starts is None else starts
+    width = table.shape[-1]
+
+    def at(i: int, j: int) -> int:
+        return int(table[i, j - first[i]]) if i >= 0 and 0 <= j - first[i] < width else int(FAR)
+
     out = []
     while i or j:
+        here = at(i, j)
+        if here >= FAR:
+            return None
         for op in order:
-            if op == "D" and j and table[i, j] == table[i, j - 1] + 1:
+            if op == "D" and j and here == at(i, j - 1) + 1:
                 j -= 1
                 out.append("D")
                 break
-            if op == "I" and i and table[i, j] == table[i - 1, j] + 1:
+            if op == "I" and i and here == at(i - 1, j) + 1:
                 i -= 1
                 out.append("I")
                 break
-            if op == "=" and i and j and table[i, j] == table[i - 1, j - 1] + int(reference[j - 1] != query[i - 1]):
+            if op == "=" and i and j and here == at(i - 1, j - 1) + int(reference[j - 1] != query[i - 1]):
                 i, j = i - 1, j - 1
                 out.append("=" if reference[j] == query[i] else "X")
                 break
-        else:
-            raise ValueError("the band holds no path")
     return "".join(reversed(out))
 
 
-def edit_table(reference: np.ndarray, query: np.ndarray, copies: int, deletions: int, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _put(out: np.ndarray, band: Band, i: int, row: np.ndarray, how: np.ufunc) -> None:
+    """out[slot, pair, column] = how(itself, row[slot, pair, window]) at the columns of row i."""
+    if band.width == out.shape[-1]:
+        how(out, row, out=out)
+        return
+    at = np.broadcast_to(band.starts[:, i, None] + np.arange(band.width), row.shape)
+    np.put_along_axis(out, at, how(np.take_along_axis(out, at, -1), row), -1)
+
+
+def edit_table(reference: np.ndarray, query: np.ndarray, copies: int, deletions: int, band: Band | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distance, and the distance after each edit of the reference: (len(reference) + 1) x slots, FAR where impossible.
 
     A path crosses each reference position once, so an edit's distance is a least sum of a prefix and a suffix distance.
     """
-    n, m = reference.shape[-1], query.shape[-1]
-    before = distance_table(reference, query, outside)
-    after = distance_table(reference[..., ::-1], query[..., ::-1], None if outside is None else outside[..., ::-1, ::-1])[..., ::-1, ::-1]
-    out = np.full((*reference.shape[:-1], n + 1, 8 + copies + deletions), FAR)
-    for b in range(4):
-        wrong = (query != b).astype(np.int64)[..., None]
-        for slot, gone in ((b, 1), (4 + b, 0)):
-            rest, head = after[..., gone:], before[..., : n + 1 - gone]
-            meet = (head + 1 + rest).min(-2)
-            if m:
-                meet = np.minimum(meet, (head[..., :-1, :] + wrong + rest[..., 1:, :]).min(-2))
-            out[..., : n + 1 - gone, slot] = meet
-    for c in range(1, min(copies, n) + 1):
-        out[..., : n + 1 - c, 7 + c] = (before[..., c:] + after[..., : n + 1 - c]).min(-2)
-    for d in range(1, min(deletions, n) + 1):
-        out[..., : n + 1 - d, 7 + copies + d] = (before[..., : n + 1 - d] + after[..., d:]).min(-2)
-    return before[..., m, n], np.minimum(out, FAR)
-
-
-def affine(reference: np.ndarray, query: np.ndarray, scores: tuple[int, int, int, int], mode: str = "global", outside: np.ndarray | None = None) -> tuple[int, int, int, int, int, str]:
+    x, y = _many(reference), _many(query)
+    n, m = x.shape[-1], y.shape[-1]
+    band = band or Band.full(len(x), n, m)
+    before = distance_table(x, y, band)
+    after = distance_table(x[:, ::-1], y[:, ::-1], band.reversed(n))[:, ::-1, ::-1]
+    out = np.full((8 + copies + deletions, len(x), n + 1), FAR)
+    row = np.empty((8 + copies + deletions, len(x), band.width), np.int64)
+    for i in range(m + 1):
+        here, rest = before[:, i], after[:, i]
+        for at, gone in ((0, 1), (4, 0)):
+            row[at : at + 4] = here + 1 + shifted(rest, gone, FAR)
+            if i < m:  # the new base meets query base i: at no cost if it is the same one
+                go = here + band.moved(after[:, i + 1], i + 1, i, gone, FAR)
+                np.minimum(row[at : at + 4], go + (y[:, i] != np.arange(4)[:, None])[..., None], out=row[at : at + 4])
+        for c in range(1, copies + 1):
+            row[7 + c] = shifted(here, c, FAR) + rest
+        for d in range(1, deletions + 1):
+            row[7 + copies + d] = here + shifted(rest, d, FAR)
+        _put(out, band, i, row, np.minimum)
+    total, table = before[:, -1, -1], np.moveaxis(np.minimum(out, FAR), 0, -1)
+    return (total, table) if reference.ndim > 1 else (total[0], table[0])
+
+
+def affine(reference: np.ndarray, query: np.ndarray, scores: tuple[int, int, int, int], mode: str = "global", band: Band | None = None) -> tuple[int, int, int, int, int, str]:
+    """The alignment of one pair; see affine_pairs."""
+    return affine_pairs(reference[None], query[None], scores, mode, band)[0]
+
+
+def affine_pairs(reference: np.ndarray, query: np.ndarray, scores: tuple[int, int, int, int], mode: str = "global", band: Band | None = None) -> list[tuple[int, int, int, int, int, str]]:
     """Score, start and end in the reference and the query, and path, for (match, mismatch, open, extend) scores.
 
     A gap of n costs open + (n - 1) extend; a deletion may follow an insertion but not the other way round.  Modes:
@@ -120,65 +225,77 @@ def affine(reference: np.ndarray, query: np.ndarray, scores: tuple[int, int, int
     free: its suffix meets the query's prefix).
     """
     match, mismatch, gap_open, extend = scores
-    n, m = len(reference), len(query)
-    low = -FAR
-    j = np.arange(n + 1)
-    planes = np.full((3, m + 1, n + 1), low)  # after a match, an insertion, a deletion
-    M, I, D = planes
+    pairs, n, m = len(reference), reference.shape[-1], query.shape[-1]
+    band = band or Band.full(pairs, n, m)
+    low, k = -FAR, np.arange(band.width)
+    base = np.concatenate([np.full((pairs, 1), 9, reference.dtype), reference], 1)
+    planes = np.full((3, pairs, m + 1, band.width), low)  # after a match, an insertion, a deletion
     free_start = mode in ("infix", "overlap", "local")
     for i in range(m + 1):
+        M, I, D = planes[:, :, i]
         if i == 0:
-            M[0] = 0 if free_start else low
-            M[0, 0] = 0
+            M[:] = 0 if free_start else low
+            M[:, 0] = 0
         else:
-            best = planes[:, i - 1].max(0)
-            M[i, 1:] = best[:-1] + np.where(reference == query[i - 1], match, mismatch)
-            I[i] = np.maximum(M[i - 1] + gap_open, I[i - 1] + extend)
+            above = planes[:, :, i - 1]
+            M[:] = band.moved(above.max(0), i - 1, i, -1, low) + np.where(band.of(base, i) == query[:, i - 1, None], match, mismatch)
+            M[band.of(base, i) == 9] = low
+            I[:] = np.maximum(band.moved(above[0], i - 1, i, 0, low) + gap_open, band.moved(above[1], i - 1, i, 0, low) + extend)
             if mode == "local":
-                M[i] = np.maximum(M[i], 0)
-                I[i] = np.maximum(I[i], 0)
-        far = None if outside is None else outside[i]
-        if far is not None:
-            M[i][far] = I[i][far] = low
-        opened = np.full(n + 1, low)
-        opened[1:] = np.maximum(M[i, :-1], I[i, :-1]) + gap_open
+                np.maximum(M, 0, out=M)
+                np.maximum(I, 0, out=I)
+        opened = np.full((pairs, band.width), low)
+        opened[:, 1:] = np.maximum(M[:, :-1], I[:, :-1]) + gap_open
         if free_start and i == 0:
             opened[:] = low
-        D[i] = np.maximum.accumulate(opened - j * extend) + j * extend
+        D[:] = np.maximum.accumulate(opened - k * extend, axis=-1) + k * extend
         if mode == "local":
-            D[i] = np.maximum(D[i], 0)
-        if far is not None:
-            D[i][far] = low
-        np.maximum(planes[:, i], low, out=planes[:, i])
+            np.maximum(D, 0, out=D)
+        np.maximum(planes[:, :, i], low, out=planes[:, :, i])
+    return [_affine_path(planes[:, p], band.starts[p], reference[p], query[p], scores, mode) for p in range(pairs)]
+
+
+def _affine_path(planes: np.ndarray, starts: np.ndarray, reference: np.ndarray, query: np.ndarray, scores: tuple[int, int, int, int], mode: str) -> tuple[int, int, int, int, int, str]:
+    _, _, gap_open, _ = scores
+    n, m, width = len(reference), len(query), planes.shape[-1]
     top = planes.max(0)
+
+    def cell(state: int, i: int, j: int) -> int:
+        return int(planes[state, i, j - starts[i]]) if 0 <= j - starts[i] < width else -int(FAR)
+
+    def best(i: int, j: int) -> int:
+        return int(np.argmax([cell(s, i, j) for s in range(3)]))
+
     if mode == "global":
         i, j_end = m, n
     elif mode == "infix":
-        i, j_end = m, int(top[m].argmax())
+        i, j_end = m, int(top[m].argmax() + starts[m])
     elif mode == "overlap":
-        i, j_end = int(top[:, n].argmax()), n
+        reach = n - starts
+        i, j_end = int(np.where(reach < width, top[np.arange(m + 1), np.minimum(reach, width - 1)], -FAR).argmax()), n
     else:
-        i, j_end = divmod(int(top.argmax()), n + 1)
-    score = int(top[i, j_end])
+        i, k = divmod(int(top.argmax()), width)
+        j_end = int(k + starts[i])
     at, end_i = j_end, i
-    state = int(planes[:, i, at].argmax())
+    state = best(i, at)
+    score = cell(state, i, at)
     out: list[str] = []
     while i or at:
-        value = planes[state, i, at]
-        if mode == "local" and value == 0 or free_start and i == 0:
+        value = cell(state, i, at)
+        if mode == "local" and value == 0 or mode != "global" and i == 0:
             break
         if state == 0:
             op = "=" if reference[at - 1] == query[i - 1] else "X"
             i, at = i - 1, at - 1
-            state = int(planes[:, i, at].argmax())
+            state = best(i, at)
         elif state == 1:
             op = "I"
             i -= 1
-            state = 0 if M[i, at] + gap_open == value else 1
+            state = 0 if cell(0, i, at) + gap_open == value else 1
         else:
             op = "D"
             at -= 1
-            state = 0 if M[i, at] + gap_open == value else 1 if I[i, at] + gap_open == value else 2
+            state = 0 if cell(0, i, at) + gap_open == value else 1 if cell(1, i, at) + gap_open == value else 2
         out.append(op)
     path = "".join(reversed(out))
     if mode == "infix":
@@ -221,197 +338,210 @@ class PairModel:
         self.e = np.asarray(emit, float).reshape(4, 4)
         self.i = np.asarray(insert, float).reshape(5, 4)
 
-    def _rows(self, reference: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Emission of each match (query, reference) and of each insertion."""
+    def _insertions(self, query: np.ndarray) -> np.ndarray:
+        """Emission of each query base as an insertion."""
         previous = np.full(query.shape, 4)
-        previous[..., 1:] = query[..., :-1]
-        return self.e[reference[..., None, :], query[..., :, None]], self.i[previous, query]
-
-    def forward(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Table (state, pairs, query, reference) scaled by row, and the log of each row's scale so far."""
-        n, m = reference.shape[-1], query.shape[-1]
-        emit, insert = self._rows(reference, query)
-        shape = reference.shape[:-1]
-        f, scale = np.zeros((3, *shape, m + 1, n + 1)), np.zeros((*shape, m + 1))
-        t = self.t
+        previous[:, 1:] = query[:, :-1]
+        return self.i[previous, query]
+
+    def forward(self, reference: np.ndarray, query: np.ndarray, band: Band | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Table (state, pairs, query, window) scaled by row, and the log of each row's scale so far."""
+        x, y = _many(reference), _many(query)
+        band = band or Band.full(len(x), x.shape[-1], y.shape[-1])
+        m, t, insert = y.shape[-1], self.t, self._insertions(y)
+        before = np.concatenate([x[:, :1], x], 1) if x.shape[-1] else np.zeros((len(x), 1), np.uint8)
+        f, scale = np.zeros((3, len(x), m + 1, band.width)), np.zeros((len(x), m + 1))
         for i in range(m + 1):
-            row = f[..., i, :]
+            row = f[:, :, i]
             if i == 0:
-                row[0, ..., 0] = 1
+                row[0, :, 0] = 1
             else:
-                above = f[..., i - 1, :]
-                row[0, ..., 1:] = np.tensordot(t[:, 0], above[..., :-1], 1) * emit[..., i - 1, :]
-                row[1] = np.tensordot(t[:, 1], above, 1) * insert[..., i - 1, None]
-            if outside is not None:
-                row[:, outside[..., i, :]] = 0
-            arrive = np.zeros((*shape, n + 1))
-            arrive[..., 1:] = t[0, 2] * row[0, ..., :-1] + t[1, 2] * row[1, ..., :-1]
-            row[2] = _decayed_sum(arrive, t[2, 2])
-            if outside is not None:
-                row[2, outside[..., i, :]] = 0
+                above = f[:, :, i - 1]
+                row[0] = band.moved(np.tensordot(t[:, 0], above, 1), i - 1, i, -1, 0.0) * self.e[band.of(before, i), y[:, i - 1, None]]
+                row[1] = band.moved(np.tensordot(t[:, 1], above, 1), i - 1, i, 0, 0.0) * insert[:, i - 1, None]
+            row[2] = _decayed_sum(shifted(t[0, 2] * row[0] + t[1, 2] * row[1], -1, 0.0), t[2, 2])
             total = row.sum((0, -1))
-            row /= np.where(total > 0, total, 1)[..., None]
+            row /= np.where(total > 0, total, 1)[:, None]
             with np.errstate(divide="ignore"):
-                scale[..., i] = (scale[..., i - 1] if i else 0.0) + np.log(total)
-        return f, scale
+                scale[:, i] = (scale[:, i - 1] if i else 0.0) + np.log(total)
+        return (f, scale) if reference.ndim > 1 else (f[:, 0], scale[0])
 
-    def backward(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _steps_from(self, b: np.ndarray, x: np.ndarray, y: np.ndarray, insert: np.ndarray, band: Band, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """What follows a match, and an insertion, of query base i from each cell of row i."""
+        after = np.concatenate([x, x[:, -1:]], 1) if x.shape[-1] else np.zeros((len(x), 1), np.uint8)
+        match = band.moved(b[0, :, i + 1], i + 1, i, 1, 0.0) * self.e[band.of(after, i), y[:, i, None]]
+        return match, band.moved(b[1, :, i + 1], i + 1, i, 0, 0.0) * insert[:, i, None]
+
+    def backward(self, reference: np.ndarray, query: np.ndarray, band: Band | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Table of what may follow each cell, scaled by row, and the log of each row's scale from the end."""
-        n, m = reference.shape[-1], query.shape[-1]
-        emit, insert = self._rows(reference, query)
-        shape = reference.shape[:-1]
-        b, scale = np.zeros((3, *shape, m + 1, n + 1)), np.zeros((*shape, m + 1))
-        t = self.t
+        x, y = _many(reference), _many(query)
+        band = band or Band.full(len(x), x.shape[-1], y.shape[-1])
+        m, t, insert = y.shape[-1], self.t, self._insertions(y)
+        b, scale = np.zeros((3, len(x), m + 1, band.width)), np.zeros((len(x), m + 1))
         for i in range(m, -1, -1):
-            leave = np.zeros((3, *shape, n + 1))
+            row = b[:, :, i]
             if i == m:
-                leave[..., n] = 1
+                row[:, :, -1] = 1
             else:
-                ahead = np.zeros((*shape, n + 1))
-                ahead[..., :-1] = emit[..., i, :] * b[0, ..., i + 1, 1:]
-                entered = insert[..., i, None] * b[1, ..., i + 1, :]
+                match, insertion = self._steps_from(b, x, y, insert, band, i)
                 for s in range(3):
-                    leave[s] = t[s, 0] * ahead + t[s, 1] * entered
-            if outside is not None:
-                leave[:, outside[..., i, :]] = 0
-            row = b[..., i, :]
-            row[2] = _decayed_sum(leave[2][..., ::-1], t[2, 2])[..., ::-1]
-            if outside is not None:
-                row[2, outside[..., i, :]] = 0
+                    row[s] = t[s, 0] * match + t[s, 1] * insertion
+            row[2] = _decayed_sum(row[2, :, ::-1], t[2, 2])[:, ::-1]
             for s in (0, 1):
-                row[s] = leave[s]
-                row[s, ..., :-1] += t[s, 2] * row[2, ..., 1:]
-            if outside is not None:
-                row[:, outside[..., i, :]] = 0
+                row[s] += t[s, 2] * shifted(row[2], 1, 0.0)
             total = row.sum((0, -1))
-            row /= np.where(total > 0, total, 1)[..., None]
+            row /= np.where(total > 0, total, 1)[:, None]
             with np.errstate(divide="ignore"):
-                scale[..., i] = (scale[..., i + 1] if i < m else 0.0) + np.log(total)
-        return b, scale
+                scale[:, i] = (scale[:, i + 1] if i < m else 0.0) + np.log(total)
+        return (b, scale) if reference.ndim > 1 else (b[:, 0], scale[0])
 
-    def likelihood(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
-        """Log of the sum over all paths."""
-        f, scale = self.forward(reference, query, outside)
+    def likelihood(self, reference: np.ndarray, query: np.ndarray, band: Band | None = None) -> np.ndarray:
+        """Log of the sum over all paths (in the band)."""
+        x, y = _many(reference), _many(query)
+        f, scale = self.forward(x, y, band or Band.full(len(x), x.shape[-1], y.shape[-1]))
         with np.errstate(divide="ignore"):
-            return scale[..., -1] + np.log(f[..., -1, -1].sum(0))
+            out = scale[:, -1] + np.log(f[:, :, -1, -1].sum(0))
+        return out if reference.ndim > 1 else out[0]
 
-    def edit_table(self, reference: np.ndarray, query: np.ndarray, copies: int, deletions: int, outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def edit_table(self, reference: np.ndarray, query: np.ndarray, copies: int, deletions: int, band: Band | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood, and that after each edit of the reference: (len(reference) + 1) x slots, -inf where impossible.
 
         A path enters each reference position once, by a match or a deletion: the products of what comes before the
         entry and what follows it add up to the edited likelihood.
         """
-        n, m = reference.shape[-1], query.shape[-1]
-        f, up = self.forward(reference, query, outside)
-        b, down = self.backward(reference, query, outside)
+        x, y = _many(reference), _many(query)
+        n, m = x.shape[-1], y.shape[-1]
+        band = band or Band.full(len(x), n, m)
+        f, up = self.forward(x, y, band)
+        b, down = self.backward(x, y, band)
         t = self.t
-        same, onward = up + down, up[..., :-1] + down[..., 1:]  # log scales of rows that meet: the same one, or the next
+        after = np.concatenate([x, x[:, -1:]], 1) if n else np.zeros((len(x), 1), np.uint8)
+        same, onward = up + down, up[:, :-1] + down[:, 1:]  # log scales of rows that meet: the same one, or the next
         both = np.concatenate([same, onward], -1)
         top = np.where(np.isfinite(both), both, -1e300).max(-1)
         with np.errstate(invalid="ignore"):
-            at_same, at_next = (np.nan_to_num(np.exp(x - top[..., None]))[..., None] for x in (same, onward))
-        to_match, to_delete = np.tensordot(t[:, 0], f, 1)[..., :-1, :] * at_next, np.tensordot(t[:, 2], f, 1) * at_same
-        after_match, after_delete = b[0, ..., 1:, :], b[2]
-
-        def met(rest: int, emit: np.ndarray) -> np.ndarray:
-            """Enter a base with match emissions `emit` (query, position) after each prefix, go on `rest` positions later."""
-            width = n + 1 - rest
-            return (to_match[..., :width] * emit * after_match[..., rest:]).sum(-2) + (to_delete[..., :width] * after_delete[..., rest:]).sum(-2)
-
-        out = np.zeros((*reference.shape[:-1], n + 1, 8 + copies + deletions))
-        for base in range(4):
-            emit = self.e[base][query][..., None]
-            out[..., :n, base] = met(1, emit)
-            out[..., 4 + base] = met(0, emit)
-        arrived = f[0::2] * at_same  # entries of a column; insertions after them are part of what follows
-        for c in range(1, min(copies, n) + 1):
-            out[..., : n + 1 - c, 7 + c] = (arrived[..., c:] * b[0::2, ..., : n + 1 - c]).sum((0, -2))
-        emit = self._rows(reference, query)[0]
-        for d in range(1, min(deletions, n) + 1):
-            slot = 7 + copies + d
-            out[..., : n - d, slot] = (to_match[..., : n - d] * emit[..., d:] * after_match[..., d + 1 :]).sum(-2) + (to_delete[..., : n - d] * after_delete[..., d + 1 :]).sum(-2)
-            out[..., n - d, slot] = f[..., m, n - d].sum(0) * np.exp(up[..., m] - top)
+            at_same, at_next = (np.nan_to_num(np.exp(z - top[:, None])) for z in (same, onward))
+        out = np.zeros((8 + copies + deletions, len(x), n + 1))
+        row = np.empty((8 + copies + deletions, len(x), band.width))
+        for i in range(m + 1):
+            here, follow = f[:, :, i], b[2, :, i]
+            to_delete = np.tensordot(t[:, 2], here, 1) * at_same[:, i, None]
+            for at, gone in ((0, 1), (4, 0)):
+                row[at : at + 4] = to_delete * shifted(follow, gone, 0.0)
+            if i < m:
+                to_match = np.tensordot(t[:, 0], here, 1) * at_next[:, i, None]
+                matched = [band.moved(b[0, :, i + 1], i + 1, i, d, 0.0) for d in range(max(2, deletions + 2))]
+                emit = self.e[:, y[:, i], None]
+                for at, gone in ((0, 1), (4, 0)):
+                    row[at : at + 4] += emit * (to_match * matched[gone])
+                own = self.e[band.of(after, i), y[:, i, None]]
+            arrived = here[0::2] * at_same[:, i, None]  # entries of a column; insertions after them are part of what follows
+            for c in range(1, copies + 1):
+                row[7 + c] = (shifted(arrived, c, 0.0) * b[0::2, :, i]).sum(0)
+            for d in range(1, deletions + 1):
+                row[7 + copies + d] = to_delete * shifted(follow, d + 1, 0.0)
+                if i < m:
+                    row[7 + copies + d] += to_match * shifted(own, d, 0.0) * matched[d + 1]
+            _put(out, band, i, row, np.add)
+        for d in range(1, min(deletions, n) + 1):  # of the last bases: nothing follows
+            if d < band.width:
+                out[7 + copies + d, :, n - d] = f[:, :, m, -1 - d].sum(0) * np.exp(up[:, m] - top)
         with np.errstate(divide="ignore"):
-            return up[..., -1] + np.log(f[..., -1, -1].sum(0)), np.log(out) + top[..., None, None]
-
-    def viterbi_table(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
-        """Log-likelihoods of the best paths into each cell: (state, pairs, query, reference)."""
-        n, m = reference.shape[-1], query.shape[-1]
+            total, table = up[:, -1] + np.log(f[:, :, -1, -1].sum(0)), np.moveaxis(np.log(out), 0, -1) + top[:, None, None]
+        return (total, table) if reference.ndim > 1 else (total[0], table[0])
+
+    def viterbi_table(self, reference: np.ndarray, query: np.ndarray, band: Band | None = None) -> np.ndarray:
+        """Log-likelihoods of the best paths into each cell: (state, pairs, query, window)."""
+        x, y = _many(reference), _many(query)
+        n, m = x.shape[-1], y.shape[-1]
+        band = band or Band.full(len(x), n, m)
         with np.errstate(divide="ignore"):
-            t = np.log(self.t)
-            emit, insert = (np.log(x) for x in self._rows(reference, query))
-        j = np.arange(n + 1)
-        shape = reference.shape[:-1]
-        v = np.full((3, *shape, m + 1, n + 1), -np.inf)
+            t, e, insert = np.log(self.t), np.log(self.e), np.log(self._insertions(y))
+        before = np.concatenate([x[:, :1], x], 1) if n else np.zeros((len(x), 1), np.uint8)
+        k = np.arange(band.width)
+        v = np.full((3, len(x), m + 1, band.width), -np.inf)
         into = lambda s, above: np.maximum(np.maximum(t[0, s] + above[0], t[1, s] + above[1]), t[2, s] + above[2])
         for i in range(m + 1):
-            row = v[..., i, :]
+            row = v[:, :, i]
             if i == 0:
-                row[0, ..., 0] = 0
+                row[0, :, 0] = 0
             else:
-                above = v[..., i - 1, :]
-                row[0, ..., 1:] = into(0, above[..., :-1]) + emit[..., i - 1, :]
-                row[1] = into(1, above) + insert[..., i - 1, None]
-            if outside is not None:
-                row[:, outside[..., i, :]] = -np.inf
-            arrive = np.full((*shape, n + 1), -np.inf)
-            arrive[..., 1:] = np.maximum(t[0, 2] + row[0, ..., :-1], t[1, 2] + row[1, ..., :-1])
-            row[2] = np.maximum.accumulate(arrive - j * t[2, 2], axis=-1) + j * t[2, 2]
-            if outside is not None:
-                row[2, outside[..., i, :]] = -np.inf
-        return v
-
-    def viterbi_path(self, v: np.ndarray, reference: np.ndarray, query: np.ndarray) -> tuple[float, str]:
-        """Log-likelihood and steps of the best path of one pair's table."""
+                above = v[:, :, i - 1]
+                row[0] = band.moved(into(0, above), i - 1, i, -1, -np.inf) + e[band.of(before, i), y[:, i - 1, None]]
+                row[1] = band.moved(into(1, above), i - 1, i, 0, -np.inf) + insert[:, i - 1, None]
+            arrive = shifted(np.maximum(t[0, 2] + row[0], t[1, 2] + row[1]), -1, -np.inf)
+            row[2] = np.maximum.accumulate(arrive - k * t[2, 2], axis=-1) + k * t[2, 2] if np.isfinite(t[2, 2]) else arrive
+        return v if reference.ndim > 1 else v[:, 0]
+
+    def viterbi_path(self, v: np.ndarray, reference: np.ndarray, query: np.ndarray, starts: np.ndarray | None = None) -> tuple[float, str]:
+        """Log-likelihood and steps of the best path of one pair's table.
+
+        Where the table holds no path: -100 for each base of both, and a path of least edit distance.
+        """
         with np.errstate(divide="ignore"):
             t = np.log(self.t)
         i, k = len(query), len(reference)
-        state = int(v[:, i, k].argmax())
-        score = float(v[state, i, k])
+        first = np.zeros(i + 1, np.int64) if starts is None else starts
+
+        def at(i: int, k: int) -> np.ndarray:
+            return v[:, i, k - first[i]] if i >= 0 and 0 <= k - first[i] < v.shape[-1] else np.full(3, -np.inf)
+
+        state = int(at(i, k).argmax())
+        score = float(at(i, k)[state])
         out: list[str] = []
         while i or k:
+            if not np.isfinite(at(i, k)[state]):
+                return -100.0 * (len(query) + len(reference)), distance_path(distance_table(reference, query), reference, query)
             if state == 0:
                 out.append("=" if reference[k - 1] == query[i - 1] else "X")
                 i, k = i - 1, k - 1
-                state = int((t[:, 0] + v[:, i, k]).argmax())
             elif state == 1:
                 out.append("I")
                 i -= 1
-                state = int((t[:, 1] + v[:, i, k]).argmax())
             else:
                 out.append("D")
                 k -= 1
-                state = int((t[:, 2] + v[:, i, k]).argmax())
+            state = int((t[:, state] + at(i, k)).argmax())
         return score, "".join(reversed(out))
 
-    def viterbi(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> tuple[float, str]:
-        return self.viterbi_path(self.viterbi_table(reference, query, outside), reference, query)
+    def viterbi(self, reference: np.ndarray, query: np.ndarray) -> tuple[float, str]:
+        return self.viterbi_path(self.viterbi_table(reference, query), reference, query)
 
-    def expected(self, reference: np.ndarray, query: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
+    def expected(self, reference: np.ndarray, query: np.ndarray, band: Band | None = None) -> np.ndarray:
         """Each read's share in re-estimation, 9 + 16 + 16 numbers: each state's transitions, each reference base's and each
         previous base's emissions add up to 1; NaN where the likelihood isn't finite or differs backward."""
-        n, m = reference.shape[-1], query.shape[-1]
-        shape = reference.shape[:-1]
-        f, up = self.forward(reference, query, outside)
-        b, down = self.backward(reference, query, outside)
-        emit, insert = self._rows(reference, query)
+        x, y = _many(reference), _many(query)
+        n, m, pairs = x.shape[-1], y.shape[-1], len(x)
+        band = band or Band.full(pairs, n, m)
+        f, up = self.forward(x, y, band)
+        b, down = self.backward(x, y, band)
+        insert, t = self._insertions(y), self.t
+        before = np.concatenate([np.full((pairs, 1), 9, np.uint8), x], 1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            ahead, behind = up[..., -1] + np.log(f[..., -1, -1].sum(0)), down[..., 0] + np.log(b[0, ..., 0, 0])
+            ahead, behind = up[:, -1] + np.log(f[:, :, -1, -1].sum(0)), down[:, 0] + np.log(b[0, :, 0, 0])
             bad = ~np.isfinite(ahead) | ~(np.abs(ahead - behind) <= 1e-4)
-            w_same, w_next = (np.exp(x - ahead[..., None])[..., None] for x in (up + down, up[..., :-1] + down[..., 1:]))
-        moves = np.zeros((*shape, 3, 3))
-        for s in range(3):
-            moves[..., s, 0] = (w_next * f[s, ..., :-1, :-1] * self.t[s, 0] * emit * b[0, ..., 1:, 1:]).sum((-1, -2))
-            moves[..., s, 1] = (w_next * f[s, ..., :-1, :] * self.t[s, 1] * insert[..., None] * b[1, ..., 1:, :]).sum((-1, -2))
-            moves[..., s, 2] = (w_same * f[s, ..., :-1] * self.t[s, 2] * b[2, ..., 1:]).sum((-1, -2))
-        matched = w_same[..., 1:, :] * f[0, ..., 1:, 1:] * b[0, ..., 1:, 1:]
-        one_r, one_q = (np.eye(4)[x] for x in (reference, query))
-        pairs = np.einsum("...ij,...jr,...iq->...rq", matched, one_r, one_q)
-        inserted = (w_same[..., 1:, :] * f[1, ..., 1:, :] * b[1, ..., 1:, :]).sum(-1)
-        after = np.einsum("...i,...ip,...iq->...pq", inserted[..., 1:], one_q[..., :-1, :], one_q[..., 1:, :])
-        share = lambda x: np.divide(x, x.sum(-1, keepdims=True), out=np.zeros_like(x), where=x.sum(-1, keepdims=True) > 0)
-        out = np.concatenate([share(x).reshape(*shape, -1) for x in (moves, pairs, after)], -1)
-        return np.where(bad[..., None] | (m == 0) | (n == 0), np.nan, out)
+            w_same, w_next = (np.exp(z - ahead[:, None]) for z in (up + down, up[:, :-1] + down[:, 1:]))
+        moves, matches, after = np.zeros((pairs, 3, 3)), np.zeros((pairs, 4, 4)), np.zeros((pairs, 4, 4))
+        every = np.arange(pairs)
+        for i in range(m + 1):
+            here = f[:, :, i] * w_same[:, i, None]
+            steps = [(2, here, shifted(b[2, :, i], 1, 0.0))]
+            if i < m:
+                onward = f[:, :, i] * w_next[:, i, None]
+                steps += [(s, onward, what) for s, what in enumerate(self._steps_from(b, x, y, insert, band, i))]
+            for to, come, go in steps:
+                for s in range(3):
+                    moves[:, s, to] += (come[s] * go).sum(-1) * t[s, to]
+            if i:
+                met, own = here[0] * b[0, :, i], band.of(before, i)
+                for base in range(4):
+                    matches[every, base, y[:, i - 1]] += np.where(own == base, met, 0.0).sum(-1)
+                if i > 1:
+                    after[every, y[:, i - 2], y[:, i - 1]] += (here[1] * b[1, :, i]).sum(-1)
+        share = lambda z: np.divide(z, z.sum(-1, keepdims=True), out=np.zeros_like(z), where=z.sum(-1, keepdims=True) > 0)
+        out = np.concatenate([share(z).reshape(pairs, -1) for z in (moves, matches, after)], -1)
+        out = np.where(bad[:, None] | (m == 0) | (n == 0), np.nan, out)
+        return out if reference.ndim > 1 else out[0]
 
 
 def _decayed_sum(x: np.ndarray, rate: float) -> np.ndarray:

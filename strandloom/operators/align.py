@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.model import default_model
 from ..functions.sequences import bootstrap_path
-from .kernels_on_rows import by_shape, each_row, map_rows
+from .kernels_on_rows import by_shape, map_rows
 
 
 def _with_path(df: DataFrame, reference: str, query: str, path: str | None) -> tuple[DataFrame, str]:
@@ -29,10 +29,10 @@ def edit_paths(df: DataFrame, reference: str, query: str, radius: int | None = N
 
     def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
         out = pd.DataFrame({"distance": pd.array([None] * len(frame), "Int64"), "ops": pd.Series([None] * len(frame), dtype=object)})
-        for places, x, y, outside in by_shape(frame, radius):
-            tables = K.distance_table(x, y, outside)
+        for places, x, y, band in by_shape(frame, radius):
+            tables = K.distance_table(x, y, band)
             for k, p in enumerate(places.tolist()):
-                out.iloc[p] = (int(tables[k, -1, -1]), K.distance_path(tables[k], x[k], y[k], ties))
+                out.iloc[p] = (int(tables[k, -1, -1]), K.distance_path(tables[k], x[k], y[k], ties, band.starts[k]))
         return np.arange(len(frame)), out
 
     return map_rows(source, df.columns, [reference, query, along], "distance long, ops string", kernel)
@@ -42,14 +42,16 @@ def affine_paths(df: DataFrame, reference: str, query: str, scores: tuple[int, i
     """Adds score, ref_start, ref_end, query_start, query_end and ops; modes: global, local, infix, overlap."""
     source, along = _with_path(df, reference, query, path)
 
-    def kernel(r: str, q: str, p: str) -> list[tuple]:
-        if r is None or q is None:
-            return [(None,) * 6]
-        band = None if radius is None else K.band_mask(K.path_band(p, len(r), len(q), radius), len(r))
-        return [K.affine(K.codes(r), K.codes(q), scores, mode, band)]
-
     names = ["score", "ref_start", "ref_end", "query_start", "query_end", "ops"]
-    return map_rows(source, df.columns, [reference, query, along], "score long, ref_start long, ref_end long, query_start long, query_end long, ops string", each_row(names, kernel))
+
+    def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        out: list[tuple] = [(None,) * 6] * len(frame)
+        for places, x, y, band in by_shape(frame, radius):
+            for p, found in zip(places.tolist(), K.affine_pairs(x, y, scores, mode, band), strict=True):
+                out[p] = found
+        return np.arange(len(frame)), pd.DataFrame({c: pd.Series([r[k] for r in out], dtype=object) for k, c in enumerate(names)})
+
+    return map_rows(source, df.columns, [reference, query, along], "score long, ref_start long, ref_end long, query_start long, query_end long, ops string", kernel)
 
 
 def likelihoods(df: DataFrame, reference: str, query: str, model: K.PairModel | None = None, radius: int | None = None, path: str | None = None) -> DataFrame:
@@ -59,8 +61,8 @@ def likelihoods(df: DataFrame, reference: str, query: str, model: K.PairModel |
 
     def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
         out = np.full(len(frame), np.nan)
-        for places, x, y, outside in by_shape(frame, radius):
-            out[places] = model.likelihood(x, y, outside)
+        for places, x, y, band in by_shape(frame, radius):
+            out[places] = model.likelihood(x, y, band)
         return np.arange(len(frame)), pd.DataFrame({"log_likelihood": pd.Series(out).where(pd.notna(out), None)})
 
     return map_rows(source, df.columns, [reference, query, along], "log_likelihood double", kernel)
@@ -73,10 +75,10 @@ def best_paths(df: DataFrame, reference: str, query: str, model: K.PairModel | N
 
     def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
         out: list[tuple] = [(None, None)] * len(frame)
-        for places, x, y, outside in by_shape(frame, radius):
-            tables = model.viterbi_table(x, y, outside)
+        for places, x, y, band in by_shape(frame, radius):
+            tables = model.viterbi_table(x, y, band)
             for k, p in enumerate(places.tolist()):
-                out[p] = model.viterbi_path(tables[:, k], x[k], y[k])
+                out[p] = model.viterbi_path(tables[:, k], x[k], y[k], band.starts[k])
         return np.arange(len(frame)), pd.DataFrame(out, columns=["log_likelihood", "ops"])
 
     return map_rows(source, df.columns, [reference, query, along], "log_likelihood double, ops string", kernel)

@@ -32,8 +32,8 @@ def fit_step(pairs: DataFrame, reference: str, query: str, models: dict[bool, K.
         rows: list[int] = []
         shares: list[np.ndarray] = []
         for forward, own in frame.groupby(3):
-            for places, x, y, outside in by_shape(own.reset_index(drop=True), radius):
-                found = models[bool(forward)].expected(x, y, outside)
+            for places, x, y, band in by_shape(own.reset_index(drop=True), radius):
+                found = models[bool(forward)].expected(x, y, band)
                 good = np.isfinite(found).all(-1)
                 rows += own.index.to_numpy()[places[good]].tolist()
                 shares += list(found[good])

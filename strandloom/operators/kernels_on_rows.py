@@ -46,20 +46,19 @@ def each_row(names: list[str], kernel: Callable[..., list[tuple]]) -> Callable[[
     return run
 
 
-def by_shape(frame: pd.DataFrame, radius: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """Pairs of equal lengths together: (places, references, queries, cells outside the band) of a frame whose columns
-    0, 1 and, with a radius, 2 are reference, query and path; rows with a null sequence are left out."""
+def by_shape(frame: pd.DataFrame, radius: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, K.Band]]:
+    """Pairs of equal lengths together: (places, references, queries, band) of a frame whose columns 0, 1 and, with a radius, 2
+    are reference, query and path; rows with a null sequence are left out, a null path follows the diagonal."""
     good = np.flatnonzero((frame[0].notna() & frame[1].notna()).to_numpy())
     shapes: dict[tuple[int, int], list[int]] = {}
     refs, queries = frame[0].to_numpy(), frame[1].to_numpy()
     for k in good.tolist():
         shapes.setdefault((len(refs[k]), len(queries[k])), []).append(k)
     for (n, m), places in shapes.items():
-        step = max(1, CELLS // ((n + 1) * (m + 1)))
+        banded = radius is not None and 2 * radius < max(n, m)  # else the band holds the whole table
+        step = max(1, CELLS // ((m + 1) * (min(n + 1, 4 * radius + 2) if banded else n + 1)))
         for at in range(0, len(places), step):
             some = np.array(places[at : at + step])
-            outside = None
-            if radius is not None and 2 * radius < max(n, m):  # else the band holds the whole table
-                outside = np.stack([K.band_mask(K.path_band(p, n, m, radius), n) for p in frame[2].to_numpy()[some]])
+            band = K.Band.around(list(frame[2].to_numpy()[some]), n, m, radius) if banded else K.Band.full(len(some), n, m)
             coded = [np.stack([K.codes(x) for x in column[some]]).reshape(len(some), width) for column, width in ((refs, n), (queries, m))]
-            yield some, *coded, outside
+            yield some, *coded, band

@@ -145,37 +145,35 @@ def _draft_reads(spark, sf_dir):
     return d, reads(spark, sf_dir).select("tid", "rd")
 
 
-def _totals(d: DataFrame, r: DataFrame) -> DataFrame:
-    return d.join(r, "tid").groupBy("tid").agg(F.sum(F.levenshtein("draft", "rd")).alias("total"))
+def _tables(spark, sf_dir, layout):
+    """Drafts, totals by draft, and the summed table of every draft's reads."""
+    d, r = _draft_reads(spark, sf_dir)
+    tables = materialise(edits.read_tables(r.join(d, "tid"), ["tid"], "draft", "rd", layout))
+    totals = tables.groupBy("tid").agg(F.sum("total").alias("total"))
+    return d, totals, edits.summed_tables(tables, "tid", layout).withColumn("score", F.col("score").cast("long"))
 
 
 @_query(f"WITH {_SQL_T9} SELECT * FROM cells")
 def perturb_t9(spark, sf_dir):
-    return edits.native_table(*_draft_reads(spark, sf_dir), "tid", "draft", "rd", S.T9)
-
-
-def _t16(spark, sf_dir):
-    d, r = _draft_reads(spark, sf_dir)
-    tables = materialise(edits.read_tables(r.join(d, "tid"), ["tid"], "draft", "rd", S.T16))
-    return d, tables, edits.summed_tables(tables, "tid", S.T16)
+    return _tables(spark, sf_dir, S.T9)[2]
 
 
 @_query(f"WITH {_SQL_T16} SELECT * FROM cells")
 def perturb_t16(spark, sf_dir):
-    return _t16(spark, sf_dir)[2].withColumn("score", F.col("score").cast("long"))
+    return _tables(spark, sf_dir, S.T16)[2]
 
 
 @_query(f"WITH {_SQL_T9} SELECT tid, pos, slot, score FROM cells QUALIFY row_number() OVER (PARTITION BY tid, pos ORDER BY score, slot) = 1")
 def perturb_argmin(spark, sf_dir):
-    return edits.best_slots(edits.native_table(*_draft_reads(spark, sf_dir), "tid", "draft", "rd", S.T9), "tid")
+    return edits.best_slots(_tables(spark, sf_dir, S.T9)[2], "tid")
 
 
 @_query(f"""WITH {_SQL_T9}, found AS (SELECT c.tid, pos, slot, score FROM cells c JOIN totals t ON c.tid = t.tid WHERE score < total QUALIFY row_number() OVER (PARTITION BY c.tid ORDER BY pos, score, slot) = 1)
     SELECT d.tid, d.draft, f.pos, f.slot, f.score, CASE WHEN f.pos IS NULL THEN draft ELSE edited END AS edited
     FROM drafts d LEFT JOIN found f ON d.tid = f.tid LEFT JOIN edits e ON e.tid = f.tid AND e.pos = f.pos AND e.slot = f.slot""")
 def polish_step(spark, sf_dir):
-    d, r = _draft_reads(spark, sf_dir)
-    return edits.first_improvement(edits.native_table(d, r, "tid", "draft", "rd", S.T9), _totals(d, r), d, "tid", "draft", S.T9)
+    d, totals, table_ = _tables(spark, sf_dir, S.T9)
+    return edits.first_improvement(table_, totals, d, "tid", "draft", S.T9)
 
 
 @_query(f"""WITH RECURSIVE {_SQL_T16}, best AS (SELECT c.tid, pos, slot FROM cells c JOIN totals t ON c.tid = t.tid WHERE score < total QUALIFY row_number() OVER (PARTITION BY c.tid, pos ORDER BY score, slot) = 1),
@@ -186,8 +184,7 @@ def polish_step(spark, sf_dir):
         SELECT t.tid, min(u.pos), arg_min(u.slot, u.pos) FROM taken t JOIN usable u ON u.tid = t.tid AND u.pos >= t.pos + CASE WHEN t.slot >= 12 THEN t.slot - 11 ELSE 1 END + 5 GROUP BY t.tid, t.pos)
     SELECT tid, pos, slot FROM taken""")
 def greedy_edits(spark, sf_dir):
-    d, tables, table_ = _t16(spark, sf_dir)
-    totals = tables.groupBy("tid").agg(F.sum("total").alias("total"))
+    d, totals, table_ = _tables(spark, sf_dir, S.T16)
     chosen = edits.choose_edits(d, edits.best_slots(table_, "tid"), totals, "tid", "draft", S.T16, F.lit(5))
     return chosen.select("tid", F.explode("edits").alias("e")).select("tid", "e.pos", "e.slot")
 

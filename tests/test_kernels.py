@@ -82,11 +82,20 @@ def test_band_holds_the_path():
         b = mutated(rng, a, 6)
         x, y = K.codes(a), K.codes(b)
         path = K.distance_path(K.distance_table(x, y), x, y)
-        outside = K.band_mask(K.path_band(path, len(a), len(b), 12), len(a))
-        assert outside.mean() > 0.5
-        assert K.distance_table(x, y, outside)[-1, -1] == distance(a, b)
-        assert abs(MODEL.likelihood(x, y, outside) - MODEL.likelihood(x, y)) < 1e-3
-        total, table = K.edit_table(x, y, 4, 4, outside)
+        band = K.Band.around([path], len(a), len(b), 12)
+        assert band.width < len(a) / 2
+        assert K.distance_table(x, y, band)[-1, -1] == distance(a, b)
+        assert K.distance_path(K.distance_table(x, y, band), x, y, starts=band.starts[0]) == path
+        assert abs(MODEL.likelihood(x, y, band) - MODEL.likelihood(x, y)) < 1e-3
+        best, full_best = MODEL.viterbi_path(MODEL.viterbi_table(x, y, band), x, y, band.starts[0]), MODEL.viterbi(x, y)
+        assert sorted(best[1]) == sorted(full_best[1]) and abs(best[0] - full_best[0]) < 1e-9  # ties may fall either way
+        assert np.allclose(MODEL.expected(x, y, band), MODEL.expected(x, y), atol=1e-3)
+        assert K.affine(x, y, (3, -6, -10, -2), band=band) == K.affine(x, y, (3, -6, -10, -2))
+        lk, lks = MODEL.edit_table(x, y, 3, 3, band)
+        full_lk, full_lks = MODEL.edit_table(x, y, 3, 3)
+        near = full_lks > full_lk - 8
+        assert abs(lk - full_lk) < 1e-3 and near.any() and np.abs(lks[near] - full_lks[near]).max() < 0.01
+        total, table = K.edit_table(x, y, 4, 4, band)
         full_total, full = K.edit_table(x, y, 4, 4)
         assert total == full_total and (table >= full).all() and (table[10:-10] == full[10:-10]).mean() > 0.99
 
@@ -274,3 +283,56 @@ def test_overlap_cut():
 def test_render():
     text = render(MODEL)
     assert text.splitlines()[0] == "MAT\t0.960\t0.020\t0.020" and len(text.splitlines()) == 5
+
+
+def test_long_pair_in_a_narrow_band():
+    rng = random.Random(8)
+    a = "".join(rng.choices("ACGT", k=3000))
+    b = mutated(rng, a, 60)
+    x, y = K.codes(a), K.codes(b)
+    band = K.Band.around([None], len(a), len(b), 40)
+    table = K.distance_table(x, y, band)
+    assert table.shape == (len(b) + 1, 81) and table[-1, -1] == distance(a, b)
+    path = K.distance_path(table, x, y, starts=band.starts[0])
+    assert sum(o != "=" for o in path) == table[-1, -1]
+    again = K.Band.around([path], len(a), len(b), 12)
+    assert K.distance_table(x, y, again)[-1, -1] == table[-1, -1] and again.width < 60
+    assert 0 <= MODEL.likelihood(x, y, band) - MODEL.viterbi_path(MODEL.viterbi_table(x, y, band)[:, :], x, y, band.starts[0])[0] < 100
+
+
+def test_no_path():
+    never = K.PairModel(np.array([1, 0, 0] * 3), np.eye(4), np.full(20, 0.25))
+    x, y = K.codes("ACGT"), K.codes("ACG")
+    score, path = never.viterbi(x, y)
+    assert score == -700 and path.count("=") == 3 and path.count("D") == 1
+    far = np.full((4, 5), K.FAR)
+    assert K.distance_path(far, x, y) is None
+    assert K.Band.around([None], 4, 3, 1).starts.shape == (1, 4) and K.straight_path(0, 3) == "III" and K.straight_path(3, 0) == "DDD" and K.straight_path(0, 0) == ""
+
+
+def test_adapted_radius():
+    out = K.adapted_radius(np.full(41, 20), "=" * 20 + "I" + "=" * 19, [10], 6)
+    assert out[0] == 10 and out[12] == 6 and out[5:18].tolist() == [6] * 13 and out[30] == 10
+    assert K.adapted_radius(np.full(41, 6), "=" * 40, [], 6).tolist() == [4] * 41
+    a, b = "ACGTACGTACGTACGTACGT", "ACGTACGTACGTACGTACGT"
+    x, y = K.codes(a), K.codes(b)
+    uneven = K.Band.around(["=" * 20], 20, 20, [np.where(np.arange(21) < 10, 2, 6)])
+    low, high = K.path_bands(["=" * 20], 20, 20, np.where(np.arange(21) < 10, 2, 6))
+    assert (high - low)[0, 2] < (high - low)[0, 14] and K.distance_table(x, y, uneven)[-1, -1] == 0
+
+
+@given(st.text("=ID", max_size=12), st.integers(0, 8), st.integers(0, 8), st.integers(0, 4))
+def test_path_bands(path, n, m, radius):
+    cells, i, j = {(0, 0)}, 0, 0
+    for op in path:
+        i, j = i + (op != "D"), j + (op != "I")
+        cells.add((i, j))
+    while i < m or j < n:
+        i, j = min(i + 1, max(i, m)), min(j + 1, max(j, n))
+        cells.add((i, j))
+    cells = {c for c in cells if c[0] <= m and c[1] <= n}
+    low, high = K.path_bands([path], n, m, np.asarray(radius))
+    for row in range(m + 1):
+        near = [b for b in range(n + 1) if any(abs(row - c) + abs(b - d) <= radius for c, d in cells)]
+        assert not near or (low[0, row] <= near[0] and high[0, row] >= near[-1] + 1)
+    assert (np.diff(low[0]) >= 0).all() and (np.diff(high[0]) >= 0).all()
