@@ -28,8 +28,8 @@ _B = 0xA24BAED4963EE407
 _TOP = _U(2**64 - 1)
 #: Texts with a null id come after all others, by 56 bits of their hash from here on; real ids are below.
 _NO_ID = 2**63 - 2**56
-#: The shortest length that is looked up: shorter ones repeat too often to rule much out (see the README for figures).
-_LEAST = 10
+#: The shortest length that is looked up.
+_LEAST = 5
 #: Place of a word: texts with one id are told apart by the bits above.
 _TEXT_SHIFT = 40
 _FLUSH = 1 << 20
@@ -343,7 +343,8 @@ def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text
     given, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     beyond = F.raise_error(F.concat(F.lit("id too large: "), given.cast("string"))).cast("long")
     unnamed = F.lit(_NO_ID) + F.xxhash64(text).bitwiseAND((1 << 56) - 1)
-    ident = F.when(given.isNull(), unnamed).when(given >= _NO_ID, beyond).otherwise(given)
+    # Never null, and visibly so: else joins filter the texts first, and the looks at them no longer share one exchange.
+    ident = F.coalesce(F.when(given.isNull(), unnamed).when(given >= _NO_ID, beyond).otherwise(given), F.lit(_NO_ID))
     texts = df.select(ident.alias("id"), text.alias("text")).repartition("id")
     rows, found = "anchor long, key long, id long, place long, n long", "id long, place long, n long"
 

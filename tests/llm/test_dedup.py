@@ -211,7 +211,7 @@ def test_substring_dedup_empty(spark):
 def test_substring_dedup_levels_and_null_ids(spark):
     from strandloom.llm.substring_dedup import _levels
 
-    assert _levels(20) == [10, 20] and _levels(50) == [12, 25, 50] and _levels(160) == [10, 20, 40, 80, 160] and _levels(9) == [9]
+    assert _levels(20) == [5, 10, 20] and _levels(50) == [6, 12, 25, 50] and _levels(160) == [5, 10, 20, 40, 80, 160] and _levels(9) == [9]
     passage = " ".join(f"p{k}" for k in range(30))
     texts = [f"{' '.join(f'{name}{k}' for k in range(6))} {passage} {name}z" for name in "abcdefgh"]
     rows = cases.rows([*texts, texts[0], passage], [None] * 8 + [None, 2**40])
