@@ -404,10 +404,11 @@ def _score(model: Model):
 
 
 def _stored_by_slice(slices: DataFrame) -> DataFrame:
-    """Slices on the shared folder, bucketed by slice, so that no later look at the texts shuffles them."""
+    """Slices on the shared folder, bucketed by slice, so that no later look at the texts shuffles them.  There are more buckets
+    than tasks that wrote them, so that few hold many slices."""
     spark = slices.sparkSession
     name = f"slices_{uuid.uuid4().hex}"
-    slices.write.bucketBy(max(1, slices.rdd.getNumPartitions()), "slice").option("path", f"{shared_dir(spark)}/strandloom/{name}").saveAsTable(name)
+    slices.write.bucketBy(max(1, 4 * slices.rdd.getNumPartitions()), "slice").option("path", f"{shared_dir(spark)}/strandloom/{name}").saveAsTable(name)
     stored = spark.table(name)
     stored.schema  # noqa: B018 - resolves the table before its name goes; its files stay
     return stored
