@@ -12,9 +12,9 @@ has a table of their own.  Predictive probabilities are averaged over the sweeps
 
 Dataflow: texts are packed into slices of bounded size.  Each slice asks, by hash range, for the corpus counts of its
 pairs and words; the first slice that asks for a pair is its owner.  In a sweep every slice draws the tables of its own
-pairs and asks with each word's sums of tables for the corpus sums; scoring replays the draws.  Whatever is asked for
-meets in ranges of bounded size, to which a slice sends one row each, however frequent a word is.  The driver sees two
-sums a sweep.
+pairs, keeps them for the sweeps and the scoring that follow, and asks with each word's sums of tables for the corpus
+sums.  Whatever is asked for meets in ranges of bounded size, to which a slice sends one row each, however frequent a
+word is.  The driver sees two sums a sweep.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ _TOKENS_AT_ONCE = 500_000
 _U = np.uint64
 _END = _U(0x1D8E4E27C47D1240)
 _START = _U(0x5B2C90D76F1A8E33)
+#: Kinds of rows; those of later sweeps' words count on from _WORDS, and a slice's own tables after sweep k are of kind -k.
 _PAIRS, _WORDS = 0, 1
 _ASKED = "kind int, bucket long, slice long, n long, keys binary, sums binary"
 _TOLD = "slice long, kind int, bucket long, n long, told binary, first long, second long"
@@ -230,6 +231,14 @@ def _ask(kind: int, one: int, keys: np.ndarray, sums: list[np.ndarray], buckets:
     return pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "slice", "n", "keys", "sums"])
 
 
+def _kept(sweep: int, one: int, tables: np.ndarray) -> pa.RecordBatch:
+    """A row with a slice's own tables after a sweep, which comes back to the slice as it is."""
+    values = [-sweep, one, one, len(tables), b"", _squeezed(tables)]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    columns = [pa.array([v] if len(tables) else [], t) for v, t in zip(values, types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "slice", "n", "keys", "sums"])
+
+
 def _keys(packed: bytes, n: int) -> np.ndarray:
     steps = np.zeros((n, 8), np.uint8)
     data = np.frombuffer(packed, np.uint8)
@@ -255,13 +264,16 @@ def _answer(model: Model, sweep: int):
     """Sums of all slices' numbers by key, told to each slice in its order of keys.
 
     Pairs: twice the count, and 1 more for the owner.  After a sweep the words' root tables come as well.  first and second are the totals of the range: at first tokens and
-    words learnt from, then customers and tables of the root.
+    words learnt from, then customers and tables of the root.  A slice's own tables are passed on.
     """
     schema = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("told", pa.binary()), ("first", pa.int64()), ("second", pa.int64())])
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("slice")
         kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
+        if kind < 0:
+            none = pa.array(np.zeros(rows.num_rows, np.int64))
+            return pa.Table.from_arrays([*(rows.column(c).combine_chunks() for c in ("slice", "kind", "bucket", "n", "sums")), none, none], schema=schema)
         sizes = rows.column("n").to_numpy()
         at = np.concatenate([[0], np.cumsum(sizes)])
         keys = np.concatenate([_keys(k.as_py(), n) for k, n in zip(rows.column("keys"), sizes.tolist(), strict=True)])
@@ -312,7 +324,8 @@ class _State:
 
         def gathered(k: int, n: int, wide: int) -> np.ndarray:
             """In the slice's order of keys, since ranges are in the order of keys too."""
-            found = np.concatenate([_numbers(blobs[i].as_py(), wide * sizes[i]).reshape(wide, -1) for i in np.flatnonzero(kind == k).tolist()], axis=1)
+            parts = [_numbers(blobs[i].as_py(), wide * sizes[i]).reshape(wide, -1) for i in np.flatnonzero(kind == k).tolist()]
+            found = np.concatenate(parts, axis=1) if parts else np.zeros((wide, 0), np.int64)
             if found.shape[1] != n:
                 raise ValueError(f"slice {slices.column('slice')[0]} asked for {n} keys and was told {found.shape[1]}")
             return found
@@ -328,25 +341,30 @@ class _State:
         self.sums += [tuple(gathered(_WORDS + k, len(own.word), 3)) for k in range(1, len(model.root_tables))]
         self.trained = np.flatnonzero(self.count > 0)
         self.seed = own.pair[self.trained]
+        self.repeated = np.flatnonzero(self.count[self.trained] > 1)  # a single customer has one table
+        #: Tables of the repeated pairs after each sweep that drew them before.
+        self.drawn = [gathered(-k, len(self.repeated), 1)[0] for k in range(1, len(model.root_tables))]
 
     def tables(self) -> Iterator[np.ndarray]:
         """Tables of the trained pairs before the first sweep and after each one."""
         model, own = self.model, self.own
-        n = self.count[self.trained]
-        repeated = np.flatnonzero(n > 1)  # a single customer has one table
+        n, repeated = self.count[self.trained], self.repeated
         c, d = (x[self.trained[repeated]] for x in (own.context, own.dish))
         tables = n.copy()
         yield tables
         for sweep, (of_root, of_context, root) in enumerate(self.sums):
             old = tables[repeated]
-            parent = model.root_probability(sweep, of_root[d], root[d], old)
             tables = np.ones(len(n), np.int64)
-            tables[repeated] = seat(n[repeated], parent, of_context[c] - old, model.discount, model.strength, self.seed[repeated] + _salt(sweep + 1))
+            if sweep < len(self.drawn):
+                tables[repeated] = self.drawn[sweep]
+            else:
+                parent = model.root_probability(sweep, of_root[d], root[d], old)
+                tables[repeated] = seat(n[repeated], parent, of_context[c] - old, model.discount, model.strength, self.seed[repeated] + _salt(sweep + 1))
             yield tables
 
 
 def _sweep(model: Model, buckets: int):
-    """Of each slice: the sums of the tables it owns, by word and by context, after one more sweep."""
+    """Of each slice: the sums of the tables it owns, by word and by context, after one more sweep, and its own tables."""
 
     def run(slices: pa.Table, told: pa.Table) -> pa.Table:
         if not slices.num_rows:
@@ -357,7 +375,8 @@ def _sweep(model: Model, buckets: int):
         mine = np.flatnonzero(state.owned[state.trained])
         t, pairs = tables[mine], state.trained[mine]
         sums = [np.bincount(of[pairs], t, len(own.word)).astype(np.int64) for of in (own.dish, own.context)]
-        out = pa.Table.from_batches([_ask(_WORDS + len(model.root_tables), slices.column("slice")[0].as_py(), own.word, sums, buckets)])
+        sweep, one = len(model.root_tables), slices.column("slice")[0].as_py()
+        out = pa.Table.from_batches([_ask(_WORDS + sweep, one, own.word, sums, buckets), _kept(sweep, one, tables[state.repeated])])
         del state, own
         give_back()
         return out
