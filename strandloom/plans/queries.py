@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -292,9 +293,36 @@ def hmm_likelihood(spark, sf_dir):
     return align.likelihoods(pairs(spark, sf_dir), "ref", "query").select("tid", F.round("log_likelihood", 6).alias("log_likelihood"))
 
 
-@_query()
+def _sql_viterbi() -> str:
+    """The best paths' log-likelihoods by recursion over query positions; a row is three lists by reference position."""
+    low = -1000000
+    t = {k: math.log(v) if v > 0 else low for k, v in zip(TRANSITIONS, DEFAULT_TRANSITIONS, strict=True)}
+    same, other, insert = (math.log(x) for x in (DEFAULT_SAME, DEFAULT_OTHER, DEFAULT_INSERT))
+    columns = "range(1, length(ref) + 2)"
+    into = lambda s: "greatest(" + ", ".join(f"{f[0]}[j] + ({t[f'{f}_{s}']}::DOUBLE)" for f in STATES) + ")"
+    # A deletion run into column j starts anywhere before it and stays.
+    run = f"[coalesce(list_max([greatest(m[k] + ({t['mat_del']}::DOUBLE), i[k] + ({t['ins_del']}::DOUBLE)) + (j - k - 1) * ({t['del_del']}::DOUBLE) FOR k IN range(1, j)]), {low}) FOR j IN {columns}]"
+    return f"""WITH RECURSIVE {SQL_PAIRS},
+        first AS (SELECT tid, ref, query, [CASE WHEN j = 1 THEN 0 ELSE {low} END::DOUBLE FOR j IN {columns}] AS m, [{low}::DOUBLE FOR j IN {columns}] AS i FROM pairs),
+        f(tid, ref, query, step, m, i, d) AS (
+            SELECT tid, ref, query, 0::BIGINT, m, i, {run} FROM first
+            UNION ALL
+            SELECT tid, ref, query, step, m, i, {run} FROM (
+                SELECT tid, ref, query, step + 1 AS step,
+                       [{low}::DOUBLE] || [{into('mat')} + CASE WHEN substr(ref, j, 1) = substr(query, step + 1, 1) THEN {same}::DOUBLE ELSE {other}::DOUBLE END FOR j IN range(1, length(ref) + 1)] AS m,
+                       [{into('ins')} + ({insert}::DOUBLE) FOR j IN {columns}] AS i
+                FROM f WHERE step < length(query))),
+        found AS (SELECT tid, round(greatest(m[-1], i[-1], d[-1]), 6) AS log_likelihood FROM f WHERE step = length(query))
+        SELECT tid, log_likelihood, log_likelihood AS replayed, true AS spans FROM found"""
+
+
+@_query(_sql_viterbi())
 def hmm_viterbi(spark, sf_dir):
-    return align.best_paths(pairs(spark, sf_dir), "ref", "query", radius=10).select("tid", F.round("log_likelihood", 6).alias("log_likelihood"), "ops")
+    """The best path's log-likelihood, what the path comes to when evaluated step by step, and whether it spans both sequences."""
+    rows = align.best_paths(pairs(spark, sf_dir), "ref", "query", radius=10)
+    spans = (S.reference_length(F.col("ops")) == F.length("ref")) & (S.query_length(F.col("ops")) == F.length("query"))
+    replayed = path_log_likelihood(F.col("ref"), F.col("query"), F.col("ops"), default_model())
+    return rows.select("tid", F.round("log_likelihood", 6).alias("log_likelihood"), F.round(replayed, 6).alias("replayed"), spans.alias("spans"))
 
 
 @_query()

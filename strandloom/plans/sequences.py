@@ -59,11 +59,11 @@ SQL_PAIRS = SQL_TEMPLATES + """,
 SQL_DRAFTS = "drafts AS (SELECT tid, tpl, translate(substr(tpl, 1, 1), 'ACGT', 'CGTA') || substr(tpl, 2, 14) || substr(tpl, 17) AS draft FROM templates)"
 
 
-def sql_edits(source: str, column: str, copies: int, deletions: int) -> str:
-    """SQL for (tid, pos, slot, edited) of all edits of a relation's column."""
+def sql_edits(source: str, column: str, copies: int, deletions: int, longest: int = LENGTH) -> str:
+    """SQL for (tid, pos, slot, edited) of all edits of a relation's column, which has at most `longest` bases."""
     n, base = f"length({column})", "substr('ACGT', s % 4 + 1, 1)"
     return f"""edits AS (SELECT tid, p AS pos, s AS slot,
         CASE WHEN s < 4 THEN substr({column}, 1, p) || {base} || substr({column}, p + 2) WHEN s < 8 THEN substr({column}, 1, p) || {base} || substr({column}, p + 1)
              WHEN s < {8 + copies} THEN substr({column}, 1, p + s - 7) || substr({column}, p + 1) ELSE substr({column}, 1, p) || substr({column}, p + 1 + s - {7 + copies}) END AS edited
-        FROM {source}, (SELECT range::INT AS p FROM range(0, {LENGTH + 1})), (SELECT range::INT AS s FROM range(0, {8 + copies + deletions}))
+        FROM {source}, (SELECT range::INT AS p FROM range(0, {longest + 1})), (SELECT range::INT AS s FROM range(0, {8 + copies + deletions}))
         WHERE CASE WHEN s < 4 THEN p < {n} WHEN s < 8 THEN p <= {n} WHEN s < {8 + copies} THEN p + s - 7 <= {n} ELSE p + s - {7 + copies} <= {n} END)"""
