@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..functions.model import DEFAULT_INSERT, DEFAULT_OTHER, DEFAULT_SAME, DEFAULT_TRANSITIONS, STATES, TRANSITIONS, default_model, normalised, path_log_likelihood, to_row
-from ..operators import align, assembly, edits, fit, polish, simulate
+from ..operators import align, assembly, edits, fit, polish, simulate, windows
 from ..operators.tables import materialise
 from .sequences import SQL_DRAFTS, SQL_PAIRS, SQL_READS, SQL_TEMPLATES, drafts, pairs, reads, sql_edits, table, templates
 
@@ -190,13 +190,23 @@ def greedy_edits(spark, sf_dir):
     return chosen.select("tid", F.explode("edits").alias("e")).select("tid", "e.pos", "e.slot")
 
 
-@_query("""WITH marked AS (SELECT l_partkey, pos, coalesce(pos - lag(pos) OVER o > 50, true)::INT AS new FROM (SELECT DISTINCT l_partkey, l_orderkey AS pos FROM lineitem) WINDOW o AS (PARTITION BY l_partkey ORDER BY pos)),
-    islands AS (SELECT *, sum(new) OVER (PARTITION BY l_partkey ORDER BY pos) AS island FROM marked)
-    SELECT l_partkey, min(pos) - 25 AS start, max(pos) + 25 AS "end" FROM islands GROUP BY l_partkey, island""")
+_SQL_WINDOWS = """WITH marked AS (SELECT l_partkey, pos, coalesce(pos - lag(pos) OVER o > 50, true)::INT AS new FROM (SELECT DISTINCT l_partkey, l_orderkey AS pos FROM lineitem) WINDOW o AS (PARTITION BY l_partkey ORDER BY pos)),
+    islands AS (SELECT *, sum(new) OVER (PARTITION BY l_partkey ORDER BY pos) AS island FROM marked),
+    merged AS (SELECT l_partkey, min(pos) - 25 AS start, max(pos) + 25 AS "end" FROM islands GROUP BY l_partkey, island)"""
+
+
+@_query(f"{_SQL_WINDOWS} SELECT * FROM merged")
 def window_merge(spark, sf_dir):
     return edits.merge_windows(table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_orderkey").alias("pos")).distinct(), "l_partkey", 25)
 
 
+@_query(f"""{_SQL_WINDOWS}, counted AS (SELECT *, CASE WHEN "end" - start < 100 THEN 1 ELSE (("end" - start + 49) // 50 - 1)::BIGINT END AS n FROM merged),
+    pieces AS (SELECT *, unnest(range(n)) AS k FROM counted)
+    SELECT l_partkey, start + 50 * k AS start, CASE WHEN k = n - 1 THEN "end" ELSE start + 50 * (k + 1) END AS "end" FROM pieces""")
+def window_split(spark, sf_dir):
+    return windows.split_windows(window_merge(spark, sf_dir), 25)
+
+
 @_query(f"WITH {SQL_PAIRS} SELECT tid, levenshtein(ref, query)::BIGINT AS distance, levenshtein(ref, query)::BIGINT AS replayed, true AS spans FROM pairs")
 def edit_align_path(spark, sf_dir):
     rows = align.edit_paths(pairs(spark, sf_dir), "ref", "query", radius=8, ties="ID=")
@@ -365,6 +375,11 @@ def polish_hmm(spark, sf_dir):
     return polish.polish(d, r, "tid", "draft", "rd", radius=8, model=default_model())
 
 
+@_query()
+def polish_focused(spark, sf_dir):
+    return windows.polish_focused(*_draft_reads(spark, sf_dir), "tid", "draft", "rd", radius=8, rest=5, width=6)
+
+
 @_query()
 def fit_model(spark, sf_dir):
     rows = reads(spark, sf_dir).withColumn("forward", F.col("rid") % 2 == 0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import kernels as K
 from strandloom.functions import model as M
 from strandloom.functions import sequences as S
-from strandloom.operators import align, assembly, edits, fit, polish, simulate
+from strandloom.operators import align, assembly, edits, fit, polish, simulate, windows
 from strandloom.sources import alignments
 from strandloom.streaming.tables import streaming_table
 
@@ -98,6 +98,27 @@ def test_polish_exactly(spark):
     assert got == truth | {9: "AC"}
 
 
+@pytest.mark.parametrize("start, end", [(0, 39), (0, 40), (5, 45), (7, 68), (3, 103), (3, 104)])
+def test_split_windows(spark, start, end):
+    got = sorted((r.start, r.end) for r in windows.split_windows(spark.createDataFrame([(1, start, end)], "k long, start int, end int"), 10).collect())
+    assert got[0][0] == start and got[-1][1] == end and all(a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
+    assert len(got) == 1 or all(e - s == 20 for s, e in got[:-1])
+    assert (end - start < 40) <= (len(got) == 1) and 0 < got[-1][1] - got[-1][0] <= 40
+
+
+def test_polish_windows(spark):
+    rng = random.Random(21)
+    truth = {k: "".join(rng.choices("ACGT", k=160)) for k in range(3)}
+    drafts = spark.createDataFrame([(k, mutated(rng, t, 5)) for k, t in truth.items()] + [(9, "ACGT")], "k long, d string")
+    reads = spark.createDataFrame([(k, mutated(rng, t, 2)) for k, t in truth.items() for _ in range(20)], "k long, r string")
+    before = {r.k: r.d for r in drafts.collect()}
+    focused = {r.k: r for r in windows.polish_focused(drafts, reads, "k", "d", "r").collect()}
+    assert focused[9].polished == "ACGT" and {k: r.draft for k, r in focused.items()} == before
+    for k, t in truth.items():
+        assert distance(focused[k].polished, t) < distance(before[k], t)
+    assert {r.k: r.polished for r in windows.polish_banded(drafts, reads, "k", "d", "r").collect()} == truth | {9: "ACGT"}
+
+
 def test_model_sampler(spark):
     base = spark.range(40).select(F.col("id").alias("k"), simulate.random_sequence(F.lit(150), F.col("id")).alias("s"))
     model = M.default_model()
