@@ -10,6 +10,8 @@ from .common import documents
 
 #: Bytes of text in a shard of op6.
 SHARD_BYTES = 4 << 20
+#: The rules of op12: host, path, verdict.
+URL_RULES = "('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')"
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +77,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), default_vocabulary(), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(documents(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {URL_RULES} AS t(host, path, verdict)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_media": op2_media,
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_url_filter": op12_url_filter,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -139,4 +148,13 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS norm FROM documents)
         WINDOW g AS (PARTITION BY norm)""",
+    "op12_url_filter": f"""
+        WITH split AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_AZ}) AS host,
+                              coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        fitting AS (SELECT page_id, s.host, s.path, r.host || r.path AS rule, r.verdict,
+                           row_number() OVER (PARTITION BY page_id, s.host, s.path ORDER BY length(r.host || r.path) DESC) AS n
+                    FROM (SELECT DISTINCT * FROM split) s JOIN (VALUES {URL_RULES}) r(host, path, verdict)
+                      ON ('.' || s.host) LIKE ('%.' || r.host) AND starts_with(s.path, r.path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM split LEFT JOIN (SELECT * FROM fitting WHERE n = 1) USING (page_id, host, path)""",
 }
