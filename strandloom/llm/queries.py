@@ -77,6 +77,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), default_vocabulary(), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(documents(spark, sf_dir, "embeddings"), components=32)
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_whitening": op11_whitening,
     "op12_url_filter": op12_url_filter,
 }
 
