@@ -89,6 +89,12 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(documents(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {URL_RULES} AS t(host, path, verdict)"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import conversation_trie
+
+    return conversation_trie(documents(spark, sf_dir, "conversations"), share=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_media": op2_media,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_whitening": op11_whitening,
     "op12_url_filter": op12_url_filter,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -164,4 +171,31 @@ ORACLES: dict[str, str] = {
                       ON ('.' || s.host) LIKE ('%.' || r.host) AND starts_with(s.path, r.path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
         FROM split LEFT JOIN (SELECT * FROM fitting WHERE n = 1) USING (page_id, host, path)""",
+    "op13_conversation_trie": """
+        WITH t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r,
+                   md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS k, octet_length(encode(coalesce(text, '')))::BIGINT AS b
+            FROM conversations WHERE conv_id IS NOT NULL),
+        -- crc32 of the id's digits: each byte is xored in, then eight steps of one bit
+        crc AS (
+            SELECT c, count(*) AS total, c - c % 5 AS base,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                       lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 9 AS h
+            FROM t GROUP BY c),
+        plan AS (SELECT a.c, a.base, a.h, least(a.h, coalesce(b.total, 0)) AS head FROM crc a LEFT JOIN crc b ON a.base = b.c),
+        built AS (
+            SELECT p.c, r AS d, k, b FROM plan p JOIN t ON t.c = p.base AND r <= h
+            UNION ALL SELECT p.c, r - h + head, k, b FROM plan p JOIN t ON t.c = p.c AND r > h),
+        firsts AS (
+            SELECT c, d, b, md5(string_agg(k, '') OVER (PARTITION BY c ORDER BY d)) AS node FROM built
+            UNION ALL SELECT c, 0, 0, 'root' FROM plan),
+        linked AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS last FROM firsts),
+        nodes AS (SELECT node, min(c) AS conv_id, min(d) AS depth, max(up) AS up, count(*) AS n_convs, (count(*) - 1) * max(b) AS saved,
+                         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM linked GROUP BY node),
+        kids AS (SELECT up AS node, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY 1),
+        totals AS (
+            SELECT l.node, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(n.saved)::BIGINT AS saved_tokens
+            FROM nodes n LEFT JOIN kids k ON n.node = k.node JOIN linked l ON l.c = n.conv_id AND l.d <= n.depth GROUP BY 1)
+        SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM nodes n LEFT JOIN nodes p ON n.up = p.node LEFT JOIN kids k ON n.node = k.node JOIN totals s ON n.node = s.node""",
 }
