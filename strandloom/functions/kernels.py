@@ -305,25 +305,8 @@ def _affine_path(planes: np.ndarray, starts: np.ndarray, reference: np.ndarray,
     return score, at, j_end, i, end_i, path
 
 
-def lift_over(path: str, edits: list[tuple[int, int]], copies: int) -> str:
-    """The path after edits (pos, slot) of its reference: new bases become deletions, deleted ones insertions.
-
-    Edits are marked on the positions of the old reference; new bases stand right behind the base before them.
-    """
-    ops = np.frombuffer(path.encode(), np.uint8).copy()
-    used = np.flatnonzero(ops != ord("I"))  # the step of each reference base
-    new, gone = np.zeros(len(used) + 1, np.int64), np.zeros(len(used), bool)
-    for pos, slot in edits:
-        if 4 <= slot < 8 + copies:
-            new[pos] += max(1, slot - 7)
-        elif slot >= 8 + copies:
-            gone[pos : pos + slot - 7 - copies] = True
-    lost = used[gone]
-    dropped = lost[ops[lost] == ord("D")]
-    ops[lost] = ord("I")
-    ops[dropped] = 0
-    ops = np.insert(ops, np.repeat(np.concatenate([[0], used + 1]), new), ord("D"))
-    return ops[ops > 0].tobytes().decode()
+#: Forward and backward log-likelihoods of a read that differ by more than this can't be trusted.
+AGREE = 1e-4
 
 
 class PairModel:
@@ -403,9 +386,11 @@ class PairModel:
             out = scale[:, -1] + np.log(f[:, :, -1, -1].sum(0))
         return out if reference.ndim > 1 else out[0]
 
-    def edit_table(self, reference: np.ndarray, query: np.ndarray, copies: int, deletions: int, band: Band | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def edit_table(self, reference: np.ndarray, query: np.ndarray, copies: int, deletions: int, band: Band | None = None, back: bool = False) -> tuple[np.ndarray, ...]:
         """Log-likelihood, and that after each edit of the reference: (len(reference) + 1) x slots, -inf where impossible.
 
+        With `back` also the log-likelihood as it comes out of the backward table, which equals the first up to rounding.
+
         A path enters each reference position once, by a match or a deletion: the products of what comes before the
         entry and what follows it add up to the edited likelihood.
         """
@@ -448,7 +433,9 @@ class PairModel:
                 out[7 + copies + d, :, n - d] = f[:, :, m, -1 - d].sum(0) * np.exp(up[:, m] - top)
         with np.errstate(divide="ignore"):
             total, table = up[:, -1] + np.log(f[:, :, -1, -1].sum(0)), np.moveaxis(np.log(out), 0, -1) + top[:, None, None]
-        return (total, table) if reference.ndim > 1 else (total[0], table[0])
+            behind = down[:, 0] + np.log(b[0, :, 0, 0])
+        found = (total, table, behind) if back else (total, table)
+        return found if reference.ndim > 1 else tuple(z[0] for z in found)
 
     def viterbi_table(self, reference: np.ndarray, query: np.ndarray, band: Band | None = None) -> np.ndarray:
         """Log-likelihoods of the best paths into each cell: (state, pairs, query, window)."""
@@ -507,6 +494,15 @@ class PairModel:
     def viterbi(self, reference: np.ndarray, query: np.ndarray) -> tuple[float, str]:
         return self.viterbi_path(self.viterbi_table(reference, query), reference, query)
 
+    def likelihoods(self, reference: np.ndarray, query: np.ndarray, band: Band | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The log-likelihood as it comes out of the forward table and out of the backward table."""
+        x, y = _many(reference), _many(query)
+        band = band or Band.full(len(x), x.shape[-1], y.shape[-1])
+        (f, up), (b, down) = self.forward(x, y, band), self.backward(x, y, band)
+        with np.errstate(divide="ignore"):
+            ahead, behind = up[:, -1] + np.log(f[:, :, -1, -1].sum(0)), down[:, 0] + np.log(b[0, :, 0, 0])
+        return (ahead, behind) if reference.ndim > 1 else (ahead[0], behind[0])
+
     def expected(self, reference: np.ndarray, query: np.ndarray, band: Band | None = None) -> np.ndarray:
         """Each read's share in re-estimation, 9 + 16 + 16 numbers: each state's transitions, each reference base's and each
         previous base's emissions add up to 1; NaN where the likelihood isn't finite or differs backward."""
@@ -519,7 +515,7 @@ class PairModel:
         before = np.concatenate([np.full((pairs, 1), 9, np.uint8), x], 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ahead, behind = up[:, -1] + np.log(f[:, :, -1, -1].sum(0)), down[:, 0] + np.log(b[0, :, 0, 0])
-            bad = ~np.isfinite(ahead) | ~(np.abs(ahead - behind) <= 1e-4)
+            bad = ~np.isfinite(ahead) | ~(np.abs(ahead - behind) <= AGREE)
             w_same, w_next = (np.exp(z - ahead[:, None]) for z in (up + down, up[:, :-1] + down[:, 1:]))
         moves, matches, after = np.zeros((pairs, 3, 3)), np.zeros((pairs, 4, 4)), np.zeros((pairs, 4, 4))
         every = np.arange(pairs)

@@ -6,6 +6,7 @@ Catalyst; a null argument gives a null result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -102,6 +103,66 @@ def _letters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def path_runs(path: Column) -> Column:
+    """The runs of a path: an array of strings of one letter each."""
+    return F.regexp_extract_all(path, F.lit("=+|X+|I+|D+"), 0)
+
+
+def crop(runs: Column, start: Column, begin: Column, end: Column) -> Column:
+    """struct(path_from, path_to, query_from, query_to): what of an alignment lies on the reference from `begin` to before `end`.
+
+    `runs` (see `path_runs`) begin at reference position `start`.  The four are half-open ranges of the path and the query, null
+    and 0 where no reference base lies there.  Query bases inserted before the first reference base of the range, and those
+    after its last one, are left out.  A fold over runs whose state is six numbers, whatever the length of the path.
+    """
+    names = ["p", "r", "q", "path_from", "path_to", "query_from", "query_to"]
+    none = F.lit(None).cast("int")
+    first = F.struct(F.lit(0).alias("p"), start.cast("int").alias("r"), F.lit(0).alias("q"), none.alias("path_from"), F.lit(0).alias("path_to"), none.alias("query_from"), F.lit(0).alias("query_to"))
+
+    def step(s: Column, run: Column) -> Column:
+        n, op = F.length(run), F.substring(run, 1, 1)
+        on_r, on_q = F.when(op == "I", 0).otherwise(n), F.when(op == "D", 0).otherwise(n)
+        open_ = s["r"] < end
+        begins = s["path_from"].isNull() & open_ & (op != "I") & (s["r"] + n > begin)
+        skip = F.greatest(begin - s["r"], F.lit(0))
+        take = F.when(op == "I", n).otherwise(F.least(n, end - s["r"]))
+        inside = open_ & (begins | s["path_from"].isNotNull())
+        values = [
+            s["p"] + n, s["r"] + on_r, s["q"] + on_q,
+            F.when(begins, s["p"] + skip).otherwise(s["path_from"]), F.when(inside, s["p"] + take).otherwise(s["path_to"]),
+            F.when(begins, s["q"] + F.when(op == "D", 0).otherwise(skip)).otherwise(s["query_from"]), F.when(inside, s["q"] + F.when(op == "D", 0).otherwise(take)).otherwise(s["query_to"]),
+        ]
+        return F.struct(*[v.cast("int").alias(c) for v, c in zip(values, names, strict=True)])
+
+    return F.aggregate(runs, first, step, lambda s: F.struct(*[s[c].alias(c) for c in names[3:]]))
+
+
+def path_columns(path: Column) -> Column:
+    """A path as an array of strings by reference base: insertions before it and its own step; the last may be insertions only."""
+    return F.regexp_extract_all(path, F.lit("I*[=XD]|I+$"), 0)
+
+
+def lifted(columns: Column, edits: Column, layout: Layout) -> Column:
+    """The path after edits (an array of struct(pos, slot) sorted by pos, none on another's bases) of its reference.
+
+    `columns` is the path by `path_columns`.  New bases become deletions right behind the base before them, deleted bases'
+    steps insertions.  What lies between two edits is copied as one piece.
+    """
+    copies = 8 + layout.copies
+    gone = lambda e: F.when(e["slot"] >= copies, e["slot"] - copies + 1).otherwise(F.lit(0))
+    joined = lambda a, n: F.array_join(F.slice(columns, (a + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int")), "")
+
+    def piece(e: Column, i: Column) -> Column:
+        before = F.get(edits, i - 1)
+        at = F.coalesce(before["pos"] + gone(before), F.lit(0))
+        new = F.when(e["slot"] < 4, 0).when(e["slot"] < 8, 1).when(e["slot"] < copies, e["slot"] - 7).otherwise(0)
+        return F.concat(joined(at, e["pos"] - at), F.repeat(F.lit("D"), new.cast("int")), F.translate(joined(e["pos"], gone(e)), "=XD", "II"))
+
+    last = F.element_at(edits, -1)
+    at = F.when(F.size(edits) > 0, last["pos"] + gone(last)).otherwise(F.lit(0))
+    return F.concat(F.array_join(F.transform(edits, piece), ""), joined(at, F.size(columns)))
+
+
 def bootstrap_path(reference_len: Column, query_len: Column) -> Column:
     """A path along the diagonal: reference position round(q * reference_len / query_len) after q query bases."""
     at = lambda q: F.floor(q * reference_len / query_len + F.lit(0.5))
@@ -174,6 +235,94 @@ def apply_edits(seq: Column, edits: Column, layout: Layout) -> Column:
     return F.aggregate(edits, start, step, lambda s: F.concat(s["out"], F.substring(seq, s["at"] + 1, F.length(seq))))
 
 
+#: A cell of an affine table is one long: its score times this, plus the cell where its path begins.
+CELL = 1 << 32
+
+
+def affine_ends(reference: Column, query: Column, scores: tuple[int, int, int, int], mode: str = "local") -> Column:
+    """struct(score, ref_start, ref_end, query_start, query_end) of a best affine alignment, as a max-plus fold in lambdas alone.
+
+    `scores` are for a match, a mismatch, the first and each further base of a gap.  local: any part of both; global: both
+    whole; infix: the whole query in any part of the reference; overlap: an end of the reference with a beginning of the query.  The
+    state is a row of three arrays by reference position whose cells carry the place where their path begins, so ends come
+    without a traceback: (query position) x (reference length + 1) + (reference position).  Of paths that tie, the one that
+    begins last is taken, and of those the one that ends first.  A local alignment without a match is empty, at 0.  A
+    query and reference of under 2**32 cells together are exact; null gives null.
+    """
+    if mode not in ("local", "global", "infix", "overlap"):
+        raise ValueError(f"no such mode: {mode}")
+    local = mode == "local"
+    low = F.lit(-(10**6) * CELL)
+    match, mismatch, gap, extend = (F.lit(s * CELL) for s in scores)
+    long = lambda c: c.cast("long")
+    letters = lambda s: _letters(F.upper(s))
+
+    def shifted(row: Column, by: Column, other: Column) -> Column:
+        return F.transform(row, lambda _, j: F.when(j < by, other).otherwise(F.get(row, j - by)))
+
+    def floored(v: Column, at: Column) -> Column:
+        """A local path may begin anywhere, with nothing."""
+        return F.greatest(v, at) if local else v
+
+    def bound(**values: Column) -> Callable[[Callable[[Column], Column]], Column]:
+        """`values` as fields of one struct, worked out once."""
+        return lambda use: F.transform(F.array(F.struct(*[v.alias(c) for c, v in values.items()])), use)[0]
+
+    def deletions(m: Column, i: Column, steps: Column, at: Column) -> Column:
+        opened = F.zip_with(m, i, lambda a, b: F.greatest(a, b) + gap)
+        twice = lambda row, k: F.transform(row, lambda v, j: F.when(j < k, v).otherwise(F.greatest(v, F.get(row, (j - k).cast("int")) + k * extend)))
+        run = F.aggregate(steps, shifted(opened, F.lit(1), low), twice)
+        return F.transform(run, lambda v, j: floored(v, at + j)) if local else run
+
+    def better(s: Column, m: Column, i: Column, d: Column, at: Column) -> Column:
+        """struct(best, cell): with what this row ends."""
+        if local:
+            top, cell = F.array_max(m), lambda t: at + F.array_position(m, t) - 1
+            take = lambda t: (t > s["best"]) & (t >= CELL)
+        else:
+            top, cell = F.greatest(F.element_at(m, -1), F.element_at(i, -1), F.element_at(d, -1)), lambda t: at + F.size(m) - 1
+            take = lambda t: t > s["best"]
+        return bound(t=top)(lambda b: F.struct(F.when(take(b["t"]), b["t"]).otherwise(s["best"]).alias("best"), long(F.when(take(b["t"]), cell(b["t"])).otherwise(s["cell"])).alias("cell")))
+
+    def row(s: Column, m: Column, i: Column, at: Column) -> Column:
+        with_d = bound(m=m, i=i)(lambda r: F.struct(r["m"].alias("m"), r["i"].alias("i"), deletions(r["m"], r["i"], s["steps"], at).alias("d")))
+        whole = lambda r, e: F.struct(s["x"].alias("x"), s["steps"].alias("steps"), long(at).alias("at"), r["m"].alias("m"), r["i"].alias("i"), r["d"].alias("d"), e["best"].alias("best"), e["cell"].alias("cell"))
+        keeps = lambda r: better(s, r["m"], r["i"], r["d"], at) if mode in ("local", "overlap") else F.struct(s["best"].alias("best"), s["cell"].alias("cell"))
+        return bound(r=with_d)(lambda b: whole(b["r"], keeps(b["r"])))
+
+    def step(s: Column, y: Column) -> Column:
+        at = s["at"] + F.size(s["m"])
+        best = lambda j: F.greatest(F.get(s["m"], j), F.get(s["i"], j), F.get(s["d"], j))
+        m = F.transform(s["m"], lambda _, j: floored(F.when(j == 0, low).otherwise(best(j - 1) + F.when(F.get(s["x"], j - 1) == y, match).otherwise(mismatch)), at + j))
+        i = F.transform(s["m"], lambda v, j: floored(F.greatest(v + gap, F.get(s["i"], j) + extend), at + j))
+        return row(s, m, i, at)
+
+    x = letters(reference)
+    steps = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(x) + 1)).cast("int") - 1, F.lit(0))), lambda k: long(F.call_function("shiftleft", F.lit(1), k)))
+    begin = lambda j: long(F.when(j == 0, F.lit(0)).otherwise(low)) if mode == "global" else long(j)
+    empty = F.lit(0).cast("long") if local else low
+    first = bound(x=x, steps=steps, m=F.transform(F.sequence(F.lit(0), F.size(x)), begin), best=empty, cell=F.lit(0).cast("long"))
+    start = first(lambda s: row(s, s["m"], F.transform(s["m"], lambda _, j: floored(low, long(j))), F.lit(0).cast("long")))
+
+    def ends(s: Column) -> Column:
+        width = F.size(s["m"])
+        if mode == "infix":
+            tops = F.zip_with(F.zip_with(s["m"], s["i"], lambda a, b: F.greatest(a, b)), s["d"], lambda a, b: F.greatest(a, b))
+            found = bound(t=F.array_max(tops), a=tops)(lambda b: F.struct(b["t"].alias("best"), long(s["at"] + F.array_position(b["a"], b["t"]) - 1).alias("cell")))
+        elif mode == "global":
+            found = F.struct(F.greatest(F.element_at(s["m"], -1), F.element_at(s["i"], -1), F.element_at(s["d"], -1)).alias("best"), long(s["at"] + width - 1).alias("cell"))
+        else:
+            found = F.struct(s["best"].alias("best"), s["cell"].alias("cell"))
+        part = lambda v, w: F.floor(v / w).cast("long")
+        return bound(f=found, w=width)(lambda b: F.struct(
+            F.call_function("shiftright", b["f"]["best"], F.lit(32)).alias("score"),
+            (F.pmod(F.pmod(b["f"]["best"], F.lit(CELL)), b["w"])).cast("long").alias("ref_start"), F.pmod(b["f"]["cell"], b["w"]).cast("long").alias("ref_end"),
+            part(F.pmod(b["f"]["best"], F.lit(CELL)), b["w"]).alias("query_start"), part(b["f"]["cell"], b["w"]).alias("query_end"),
+        ))
+
+    return F.when(reference.isNotNull() & query.isNotNull(), F.aggregate(letters(query), start, step, ends))
+
+
 def edit_distance_by_rows(a: Column, b: Column) -> Column:
     """Edit distance as a fold of rows of the distance table, in lambdas alone: the native form of the forward table."""
     xs, ys = _letters(a), _letters(b)

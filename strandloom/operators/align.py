@@ -68,6 +68,26 @@ def likelihoods(df: DataFrame, reference: str, query: str, model: K.PairModel |
     return map_rows(source, df.columns, [reference, query, along], "log_likelihood double", kernel)
 
 
+def both_likelihoods(df: DataFrame, reference: str, query: str, model: K.PairModel | None = None, radius: int | None = None, path: str | None = None) -> DataFrame:
+    """Adds forward and backward: the log-likelihood by either table; null for a null sequence, and where no path is reached.
+
+    The two agree up to rounding; where they differ by more than AGREE (`agrees` says no, as it does for nulls), the read's
+    numbers ran out of range and can't be trusted.
+    """
+    model = model or default_model()
+    source, along = _with_path(df, reference, query, path)
+
+    def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        out = np.full((2, len(frame)), np.nan)
+        for places, x, y, band in by_shape(frame, radius):
+            out[:, places] = model.likelihoods(x, y, band)
+        out[~np.isfinite(out)] = np.nan
+        return np.arange(len(frame)), pd.DataFrame({c: pd.Series(v).where(pd.notna(v), None) for c, v in zip(("forward", "backward"), out, strict=True)})
+
+    found = map_rows(source, df.columns, [reference, query, along], "forward double, backward double", kernel)
+    return found.withColumn("agrees", F.coalesce(F.abs(F.col("forward") - F.col("backward")) <= K.AGREE, F.lit(False)))
+
+
 def best_paths(df: DataFrame, reference: str, query: str, model: K.PairModel | None = None, radius: int | None = None, path: str | None = None) -> DataFrame:
     """Adds log_likelihood and ops of the most likely path; mismatches are told from matches."""
     model = model or default_model()

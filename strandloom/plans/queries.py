@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..functions.model import DEFAULT_INSERT, DEFAULT_OTHER, DEFAULT_SAME, DEFAULT_TRANSITIONS, STATES, TRANSITIONS, default_model, normalised, path_log_likelihood, to_row
+from ..functions.model import DEFAULT_INSERT, DEFAULT_OTHER, DEFAULT_SAME, DEFAULT_TRANSITIONS, STATES, TRANSITIONS, default_model, forward_log_likelihood, normalised, path_log_likelihood, to_row
 from ..operators import align, assembly, edits, fit, polish, simulate, windows
 from ..operators.tables import materialise
 from .sequences import SQL_DRAFTS, SQL_PAIRS, SQL_READS, SQL_TEMPLATES, drafts, pairs, reads, sql_edits, table, templates
@@ -111,6 +111,63 @@ def chunk_assign(spark, sf_dir):
     return assembly.spanned_chunks(rows, lengths, CHUNK, OVERLAP).select("rid", "r_name", "chunk_id")
 
 
+#: A read's path to its template, and (with `edits`) three edits by its number.
+_PATH = "case l_linenumber % 3 when 0 then concat(repeat('=', p - 1), 'D', repeat('=', 24 - p)) when 1 then concat(repeat('=', p - 1), 'X', repeat('=', 24 - p)) else concat(repeat('=', p), 'I', repeat('=', 24 - p)) end"
+_SQL_READ_PATHS = SQL_READS + f""",
+    read_paths AS (SELECT *, row_number() OVER () AS own, {_PATH.replace(' case', '').replace('24 - p', '(24 - p)::INT').replace('p - 1', '(p - 1)::INT')} AS path FROM
+        (SELECT tid, rid, tpl, rd, (rid % 10) AS l_linenumber, (1 + ((rid // 10) * 7 + (rid % 10) * 13) % 24)::INT AS p FROM reads))"""
+
+
+def _read_paths(spark, sf_dir):
+    rows = reads(spark, sf_dir).withColumns({"l_linenumber": F.col("rid") % 10, "p": F.expr("cast(1 + ((rid div 10) * 7 + (rid % 10) * 13) % 24 as int)")})
+    return rows.select("tid", "rid", "tpl", "rd", F.expr(_PATH).alias("path"))
+
+
+@_query(f"""WITH {_SQL_READ_PATHS}, last AS (SELECT tid, greatest((length(tpl) - {CHUNK}) // {CHUNK - OVERLAP}, 0) AS last, length(tpl) AS n FROM templates),
+    chunks AS (SELECT tid, c::INT AS chunk_id, c * {CHUNK - OVERLAP} AS a, CASE WHEN c = last THEN n ELSE c * {CHUNK - OVERLAP} + {CHUNK} END AS b FROM last, range(0, 20) r(c) WHERE c <= last),
+    steps AS (SELECT tid, rid, own, rd, i, substr(path, i, 1) AS op, length(replace(substr(path, 1, i - 1), 'I', '')) AS r, length(replace(substr(path, 1, i - 1), 'D', '')) AS q
+              FROM (SELECT *, unnest(range(1, length(path) + 1)) AS i FROM read_paths))
+    SELECT tid::VARCHAR AS template_id, chunk_id, rid AS read_id, substr(any_value(rd), min(q)::INT + 1, (count(*) FILTER (op <> 'D'))::INT) AS read, string_agg(op, '' ORDER BY i) AS path
+    FROM steps JOIN chunks USING (tid) WHERE r < b AND (r >= a AND op <> 'I' OR r > a) GROUP BY tid, chunk_id, rid, own""")
+def sub_reads(spark, sf_dir):
+    """Each read and its path cut to the chunks of its template."""
+    rows = _read_paths(spark, sf_dir).select(F.col("tid").cast("string").alias("r_name"), F.col("rid").alias("read_id"), F.col("rd").alias("seq"), "path", F.lit(0).alias("start"), F.length("tpl").alias("end"))
+    lengths = templates(spark, sf_dir).select(F.col("tid").cast("string").alias("r_name"), F.length("tpl").alias("length"))
+    return assembly.sub_reads(assembly.spanned_chunks(rows, lengths, CHUNK, OVERLAP).withColumnRenamed("r_name", "template_id"))
+
+
+@_query(f"""WITH {_SQL_READ_PATHS}, edits AS (SELECT rid, path, regexp_extract_all(path, 'I*[=XD]|I+$') AS cols,
+        [[rid % 5, rid % 14], [rid % 5 + 6, (rid // 3) % 14], [24, 4 + rid % 4]] AS edits FROM read_paths)
+    SELECT rid, array_to_string([repeat('D', list_sum([CASE WHEN e[1] = j THEN CASE WHEN e[2] < 4 THEN 0 WHEN e[2] < 8 THEN 1 WHEN e[2] < 11 THEN e[2] - 7 ELSE 0 END ELSE 0 END FOR e IN edits])::INT)
+        || CASE WHEN list_sum([CASE WHEN e[2] >= 11 AND j >= e[1] AND j < e[1] + e[2] - 10 THEN 1 ELSE 0 END FOR e IN edits]) > 0 THEN translate(coalesce(cols[j + 1], ''), '=XD', 'II') ELSE coalesce(cols[j + 1], '') END
+        FOR j IN range(0, 25)], '') AS path FROM edits""")
+def lift_over(spark, sf_dir):
+    """Each read's path carried over three edits of its template."""
+    edit = lambda pos, slot: F.struct(F.expr(pos).cast("int").alias("pos"), F.expr(slot).cast("int").alias("slot"))
+    rows = _read_paths(spark, sf_dir).select("rid", S.path_columns(F.col("path")).alias("cols"), F.array(edit("rid % 5", "rid % 14"), edit("rid % 5 + 6", "(rid div 3) % 14"), edit("24", "4 + rid % 4")).alias("edits"))
+    return rows.select("rid", S.lifted(F.col("cols"), F.col("edits"), S.T14).alias("path"))
+
+
+_FATES = """CASE WHEN pos <= 0 THEN 'unmapped' WHEN cigar = '*' THEN 'no_cigar' WHEN cigar LIKE '%N%' THEN 'skips' WHEN last IS NULL THEN 'no_template' WHEN NOT known THEN 'no_read' WHEN len(chunks) = 0 THEN 'no_chunk' ELSE 'used' END"""
+
+
+@_query(f"""WITH {SQL_READS}, n AS (SELECT tid::VARCHAR AS r_name, length(tpl) AS len, greatest((length(tpl) - {CHUNK}) // {CHUNK - OVERLAP}, 0) AS last FROM templates),
+    a AS (SELECT rid, CASE WHEN rid % 11 = 0 THEN 'none' ELSE tid::VARCHAR END AS r_name, rid % 6 AS pos, rid % 13 <> 0 AS known, 8 + rid % 9 AS span,
+          CASE rid % 7 WHEN 0 THEN '*' WHEN 1 THEN '4M2N4M' ELSE (8 + rid % 9) || 'M' END AS cigar FROM reads),
+    told AS (SELECT *, {_FATES} AS event FROM (SELECT a.*, last, [c FOR c IN range(0, last + 1) IF pos - 1 <= c * {CHUNK - OVERLAP} AND pos - 1 + span >= CASE WHEN c = last THEN len ELSE c * {CHUNK - OVERLAP} + {CHUNK} END] AS chunks FROM a LEFT JOIN n USING (r_name))),
+    depth AS (SELECT r_name, c, count(*) AS d FROM (SELECT r_name, unnest(chunks) AS c FROM told WHERE event = 'used') GROUP BY ALL),
+    deep AS (SELECT n.r_name, CASE WHEN d >= 5 THEN 'deep_chunk' ELSE 'thin_chunk' END AS event FROM n JOIN range(0, 20) r(c) ON c <= last LEFT JOIN depth ON depth.r_name = n.r_name AND depth.c = r.c)
+    SELECT r_name, event, count(*) AS n FROM (SELECT r_name, event FROM told UNION ALL SELECT * FROM deep) GROUP BY ALL""")
+def assembly_trace(spark, sf_dir):
+    """What becomes of alignments and chunks before an assembly is polished."""
+    rows = reads(spark, sf_dir)
+    cigar = F.expr("case rid % 7 when 0 then '*' when 1 then '4M2N4M' else concat(8 + rid % 9, 'M') end")
+    name = F.expr("case when rid % 11 = 0 then 'none' else cast(tid as string) end")
+    alignments = rows.select(F.col("rid").cast("string").alias("q_name"), name.alias("r_name"), F.lit(0).alias("flag"), (F.col("rid") % 6).cast("int").alias("pos"), cigar.alias("cigar"))
+    sequences = rows.filter("rid % 13 <> 0").select(F.col("rid").cast("string").alias("id"), F.col("rd").alias("seq"))
+    return assembly.assembly_trace(templates(spark, sf_dir).select(F.col("tid").cast("string").alias("id"), F.col("tpl").alias("seq")), sequences, alignments, CHUNK, OVERLAP)
+
+
 @_query(f"WITH {SQL_READS} SELECT t.tid, count(r.rid) AS n_reads, coalesce(sum(length(r.rd)), 0)::BIGINT AS bases FROM templates t LEFT JOIN reads r ON t.tid = r.tid GROUP BY t.tid")
 def reads_join(spark, sf_dir):
     t, r = templates(spark, sf_dir).select("tid"), reads(spark, sf_dir).select("tid", "rid", "rd")
@@ -177,19 +234,28 @@ def polish_step(spark, sf_dir):
     return edits.first_improvement(table_, totals, d, "tid", "draft", S.T9)
 
 
-@_query(f"""WITH RECURSIVE {_SQL_T16}, best AS (SELECT c.tid, pos, slot FROM cells c JOIN totals t ON c.tid = t.tid WHERE score < total QUALIFY row_number() OVER (PARTITION BY c.tid, pos ORDER BY score, slot) = 1),
+_SQL_GREEDY = f"""WITH RECURSIVE {_SQL_T16}, best AS (SELECT c.tid, pos, slot FROM cells c JOIN totals t ON c.tid = t.tid WHERE score < total QUALIFY row_number() OVER (PARTITION BY c.tid, pos ORDER BY score, slot) = 1),
     usable AS (SELECT b.* FROM best b JOIN drafts d ON b.tid = d.tid WHERE pos < length(draft) OR slot BETWEEN 4 AND 7),
     taken(tid, pos, slot) AS (
         SELECT tid, min(pos), arg_min(slot, pos) FROM usable GROUP BY tid
         UNION ALL
-        SELECT t.tid, min(u.pos), arg_min(u.slot, u.pos) FROM taken t JOIN usable u ON u.tid = t.tid AND u.pos >= t.pos + CASE WHEN t.slot >= 12 THEN t.slot - 11 ELSE 1 END + 5 GROUP BY t.tid, t.pos)
-    SELECT tid, pos, slot FROM taken""")
+        SELECT t.tid, min(u.pos), arg_min(u.slot, u.pos) FROM taken t JOIN usable u ON u.tid = t.tid AND u.pos >= t.pos + CASE WHEN t.slot >= 12 THEN t.slot - 11 ELSE 1 END + 5 GROUP BY t.tid, t.pos)"""
+
+
+@_query(f"{_SQL_GREEDY} SELECT tid, pos, slot FROM taken")
 def greedy_edits(spark, sf_dir):
     d, totals, table_ = _tables(spark, sf_dir, S.T16)
     chosen = edits.choose_edits(d, edits.best_slots(table_, "tid"), totals, "tid", "draft", S.T16, F.lit(5))
     return chosen.select("tid", F.explode("edits").alias("e")).select("tid", "e.pos", "e.slot")
 
 
+@_query(f"""{_SQL_GREEDY} SELECT tid, 0 AS round, 'voted' AS event, count(*) AS n FROM drafts JOIN reads USING (tid) GROUP BY tid
+    UNION ALL SELECT tid, 0, 'edited', count(*) FROM taken GROUP BY tid""")
+def polish_trace(spark, sf_dir):
+    """What became of reads and edits in the first round over every draft; the band holds the whole table."""
+    return polish.polish_traced(*_draft_reads(spark, sf_dir), "tid", "draft", "rd", radius=13, max_rounds=1)[1]
+
+
 _SQL_WINDOWS = """WITH marked AS (SELECT l_partkey, pos, coalesce(pos - lag(pos) OVER o > 50, true)::INT AS new FROM (SELECT DISTINCT l_partkey, l_orderkey AS pos FROM lineitem) WINDOW o AS (PARTITION BY l_partkey ORDER BY pos)),
     islands AS (SELECT *, sum(new) OVER (PARTITION BY l_partkey ORDER BY pos) AS island FROM marked),
     merged AS (SELECT l_partkey, min(pos) - 25 AS start, max(pos) + 25 AS "end" FROM islands GROUP BY l_partkey, island)"""
@@ -254,6 +320,32 @@ def affine_local_score(spark, sf_dir):
     return align.affine_paths(pairs(spark, sf_dir), "ref", "query", AFFINE, "local").select("tid", "score")
 
 
+def _sql_local_ends() -> str:
+    """Local scores with the cell where a path begins: a cell is one number, its score times 2**32 plus that cell."""
+    match, mismatch, gap, extend = (x * S.CELL for x in AFFINE)
+    columns, low = "range(1, length(ref) + 2)", -(10**6) * S.CELL
+    run = lambda m, i, at: f"[greatest({at} + j - 1, coalesce(list_max([greatest({m}[k], {i}[k]) + {gap} + (j - k - 1) * {extend} FOR k IN range(1, j)]), {low})) FOR j IN {columns}]"
+    start = f"[(j - 1)::BIGINT FOR j IN {columns}]"
+    return f"""WITH RECURSIVE {SQL_PAIRS}, first AS (SELECT tid, ref, query, {start} AS m, {start} AS i FROM pairs),
+        f(tid, ref, query, step, m, i, d, best, cell) AS (
+            SELECT tid, ref, query, 0::BIGINT, m, i, {run('m', 'i', '0')}, 0::BIGINT, 0::BIGINT FROM first
+            UNION ALL
+            SELECT tid, ref, query, step, m, i, {run('m', 'i', 'start')}, CASE WHEN list_max(m) > best AND list_max(m) >= {S.CELL} THEN list_max(m) ELSE best END,
+                   CASE WHEN list_max(m) > best AND list_max(m) >= {S.CELL} THEN start + list_position(m, list_max(m)) - 1 ELSE cell END FROM (
+                SELECT tid, ref, query, step + 1 AS step, best, cell, (step + 1) * (length(ref) + 1) AS start,
+                       [(step + 1) * (length(ref) + 1)] || [greatest((step + 1) * (length(ref) + 1) + j, greatest(m[j], i[j], d[j]) + CASE WHEN substr(ref, j, 1) = substr(query, step + 1, 1) THEN {match} ELSE {mismatch} END) FOR j IN range(1, length(ref) + 1)] AS m,
+                       [greatest((step + 1) * (length(ref) + 1) + j - 1, m[j] + {gap}, i[j] + {extend}) FOR j IN {columns}] AS i
+                FROM f WHERE step < length(query)))
+        SELECT tid, best // {S.CELL} AS score, best % {S.CELL} % (length(ref) + 1) AS ref_start, cell % (length(ref) + 1) AS ref_end, best % {S.CELL} // (length(ref) + 1) AS query_start, cell // (length(ref) + 1) AS query_end
+        FROM f WHERE step = length(query)"""
+
+
+@_query(_sql_local_ends())
+def affine_local_ends(spark, sf_dir):
+    """Scores and ends of local alignments by the native fold."""
+    return pairs(spark, sf_dir).select("tid", S.affine_ends(F.col("ref"), F.col("query"), AFFINE).alias("a")).select("tid", "a.*")
+
+
 _INNER, _TAIL = "substring(query, 5, 12)", "concat(substring(query, 10), 'ACGTT')"
 
 
@@ -303,6 +395,19 @@ def hmm_likelihood(spark, sf_dir):
     return align.likelihoods(pairs(spark, sf_dir), "ref", "query").select("tid", F.round("log_likelihood", 6).alias("log_likelihood"))
 
 
+@_query(_sql_forward())
+def hmm_likelihood_native(spark, sf_dir):
+    """The same sums by the native fold."""
+    rows = pairs(spark, sf_dir)
+    return rows.select("tid", F.round(forward_log_likelihood(F.col("ref"), F.col("query"), default_model()), 6).alias("log_likelihood"))
+
+
+@_query(f"SELECT tid, log_likelihood AS forward, log_likelihood AS backward, true AS agrees FROM ({_sql_forward()})")
+def hmm_agreement(spark, sf_dir):
+    """Likelihoods by the forward and by the backward table, and whether they agree."""
+    return align.both_likelihoods(pairs(spark, sf_dir), "ref", "query").select("tid", F.round("forward", 6).alias("forward"), F.round("backward", 6).alias("backward"), "agrees")
+
+
 def _sql_viterbi() -> str:
     """The best paths' log-likelihoods by recursion over query positions; a row is three lists by reference position."""
     low = -1000000

@@ -216,48 +216,6 @@ def test_long_pairs_do_not_underflow():
     assert np.isfinite(forward) and best < forward < best + 60
 
 
-@settings(deadline=None, max_examples=80)
-@given(st.randoms(use_true_random=False), st.integers(1, 30), st.sampled_from([(4, 16), (3, 14)]))
-def test_lift_over(rng, n, layout):
-    copies, slots = layout
-    a = "".join(rng.choices("ACGT", k=n))
-    b = mutated(rng, a, 3)
-    x, y = K.codes(a), K.codes(b)
-    path = K.distance_path(K.distance_table(x, y), x, y)
-    edits, pos = [], 0
-    while pos <= n:
-        slot = rng.randrange(slots)
-        if rng.random() < 0.3 and edited(a, pos, slot, copies) is not None:
-            edits.append((pos, slot))
-            pos += max(1, slot - 7 - copies if slot >= 8 + copies else 1)
-        pos += 1
-    # The edited sequence in one pass over the old one, with the old place of each base (None: new or replaced).
-    new, at = [], 0
-    for pos, slot in edits:
-        new += [(a[p], p) for p in range(at, pos)]
-        if slot < 8:
-            new.append(("ACGT"[slot % 4], None))
-        elif slot < 8 + copies:
-            new += [(a[p], None) for p in range(pos, pos + slot - 7)]
-        at = pos + (1 if slot < 4 else 0 if slot < 8 + copies else slot - 7 - copies)
-    new += [(a[p], p) for p in range(at, n)]
-    lifted = K.lift_over(path, edits, copies)
-    assert len(lifted.replace("I", "")) == len(new) and len(lifted.replace("D", "")) == len(b)
-    pairs, i, j = set(), 0, 0  # which old base meets which base of the read
-    for op in path:
-        pairs.add((i if op != "I" else None, j if op != "D" else None))
-        i, j = i + (op != "I"), j + (op != "D")
-    i = j = 0
-    for op in lifted:
-        if op in "=X":
-            assert new[i][1] is None or (new[i][1], j) in pairs
-            assert op == "X" or new[i][1] is None or new[i][0] == b[j]
-        elif op == "D":
-            assert new[i][1] is None or (new[i][1], None) in pairs
-        i, j = i + (op != "I"), j + (op != "D")
-    assert K.lift_over(path, [], copies) == path
-
-
 def joined(left, right, overlap):
     tail, head = left[-2 * overlap :], right[: 2 * overlap]
     keep, skip = K.overlap_cut(tail, head)
