@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tasks that the reads of one draft are dealt to at most.
-SPREAD = 8
+#: Parts that the reads of one draft are dealt to, and the reads in a part beyond which there are more of them.
+SPREAD, PART_READS = 8, 2048
 
 
 def partitions(df: DataFrame) -> int:
@@ -18,8 +18,12 @@ def partitions(df: DataFrame) -> int:
 
 def spread(df: DataFrame, key: str, read: str) -> DataFrame:
     """Rows dealt by key and read, a fixed number of partitions: the work of a row is far larger than its bytes, so
-    small partitions aren't to be put together, and a deep draft goes to several tasks."""
-    return df.repartition(partitions(df), F.col(key), F.pmod(F.xxhash64(read), F.lit(SPREAD)))
+    small partitions aren't to be put together.  A draft goes to SPREAD parts, one with more than SPREAD x PART_READS
+    reads to so many that each has about PART_READS."""
+    parts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PART_READS).alias("__parts")).filter(F.col("__parts") > SPREAD)
+    deep = df.join(parts, key, "left")
+    part = F.pmod(F.xxhash64(read), F.coalesce("__parts", F.lit(SPREAD).cast("long")))
+    return deep.repartition(partitions(df), F.col(key), part).drop("__parts")
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -199,3 +199,63 @@ def test_unreached_reads_are_counted(spark):
     reads = spark.createDataFrame([(1, "ACGTACGT"), (1, "ACG")], "k long, r string").join(spark.createDataFrame([(1, "ACGTACGT")], "k long, d string"), "k")
     rows = edits.read_tables(reads, ["k"], "d", "r", S.T14, model=model).collect()
     assert sorted((r.reason or "voted", r.reads) for r in rows) == [("unreached", 1), ("voted", 1)]
+
+
+def bad_paths(spark):
+    """Reads along a path up to sixty bases beside the truth, a draft with one wrong base."""
+    rng = random.Random(4)
+    truth = "".join(rng.choices("ACGT", k=150))
+    draft = truth[:75] + ("A" if truth[75] != "A" else "C") + truth[76:]
+    bad, good = "I" * 60 + "=D" * 60 + "=" * 30, "=" * 150
+    reads = spark.createDataFrame([(1, truth, bad)] * 8 + [(1, truth, good)] * 2, "k long, r string, p string")
+    return truth, spark.createDataFrame([(1, draft)], "k long, d string"), reads
+
+
+def test_second_paths_compete(spark):
+    _, drafts, reads = bad_paths(spark)
+    rows = reads.selectExpr("k", "r AS read", "true AS forward", "p LIKE 'I%' OR rand(1) < 2 AS votes", "0L AS first", "p AS path").join(drafts.withColumnRenamed("d", "draft"), "k")
+    got = polish._contested(rows, "k", 4, M.default_model()).collect()
+    assert Counter((r.won, r.path.count("I")) for r in got) == {(True, 0): 8, (False, 0): 2}
+    silent = polish._contested(rows.withColumn("votes", F.lit(False)), "k", 4, M.default_model()).collect()
+    assert Counter((r.won, r.path.count("I")) for r in silent) == {(False, 60): 8, (False, 0): 2}
+
+
+def test_second_paths_free_a_stuck_loop(spark, monkeypatch):
+    """Where the first round finds no edit, the loop would end with the draft as it was."""
+    truth, drafts, reads = bad_paths(spark)
+    calls, real = [], polish.choose_edits
+
+    def none_at_first(*args):
+        calls.append(1)
+        return real(*args) if len(calls) > 1 else real(*args).filter("false")
+
+    monkeypatch.setattr(polish, "choose_edits", none_at_first)
+    done, trace = polish.polish_traced(drafts, reads, "k", "d", "r", 4, M.default_model(), path="p")
+    assert done.first().polished == truth and events(trace)[1, 0, "second_path"] == 8
+
+
+def test_a_state_that_returns_ends_the_loop(spark, monkeypatch):
+    """Every round proposes the edit that leads back to the state before."""
+    swing = {"ACGTACGTAC": 1, "ACGTCCGTAC": 0}
+
+    def swinging(drafts, *_):
+        other = F.when(F.col("draft") == "ACGTACGTAC", "ACGTCCGTAC").otherwise("ACGTACGTAC")
+        return drafts.select("k", "draft", F.array(F.struct(F.lit(4).alias("pos"), F.when(other == "ACGTCCGTAC", 1).otherwise(0).alias("slot"))).alias("edits"), other.alias("edited"))
+
+    monkeypatch.setattr(polish, "choose_edits", swinging)
+    drafts = spark.createDataFrame([(1, "ACGTACGTAC")], "k long, d string")
+    reads = spark.createDataFrame([(1, "ACGTACGTAC"), (1, "ACGTCCGTAC")], "k long, r string")
+    row = polish.polish(drafts, reads, "k", "d", "r", 6).first()
+    assert row.rounds == 1 and row.polished in swing
+
+
+def test_deep_drafts_are_dealt_to_more_parts(spark, monkeypatch):
+    from strandloom.operators import tables
+
+    monkeypatch.setattr(tables, "PART_READS", 4)
+    rows = [(1, f"r{i}") for i in range(400)] + [(2, f"s{i}") for i in range(40)]
+    monkeypatch.setattr(tables, "partitions", lambda df: 64)
+    dealt = tables.spread(spark.createDataFrame(rows, "k long, r string"), "k", "r")
+    assert dealt.columns == ["k", "r"] and dealt.count() == 440
+    sizes = [r.n for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 40 and max(sizes) < 40
