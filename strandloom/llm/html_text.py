@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What a block is described by: its own words and link density, those of the two blocks before and the two after it,
-#: whether it is a heading, and two hints of the markup: inside is 1 in the page's article or main element, -1 outside it
+#: whether it and the next block are headings, how many blocks of the page (up to six) are mostly links, so that pages with a
+#: menu are told from pages without, and two hints of the markup: inside is 1 in the page's article or main element, -1 outside it
 #: where there is one, 0 where there is none; marked is 1 in a menu, advert, form, notice, comment or the like.
-FEATURES = ("words", "links", "words_1", "links_1", "words_2", "links_2", "words_3", "links_3", "words_4", "links_4", "heading", "inside", "marked")
+FEATURES = ("words", "links", "words_1", "links_1", "words_2", "links_2", "words_3", "links_3", "words_4", "links_4", "heading", "heading_3", "page_links", "inside", "marked")
 
 #: The labelled table: pages as their blocks.  A block is + (content) or -, then a (in the article), o (outside it), m
 #: (marked) or nothing, h for a heading, words/linked words, and *n where it stands n times.  Pages of the first part are
-#: learnt twice, the second time without the hints a, o and m, so that words and links must tell what they can.
+#: learnt twice, the second time without the hints a, o and m, so that words and links must tell what they can.  What stands in
+#: the article unmarked is content whatever its links, and a page without links and hints is content as a whole.
 LABELLED = """
 -m1/1*6 -m8/0 +ah9/0 +a45/0 +a60/1 +a38/0 +a70/2 -m17/0
 -m1/1*5 -m10/0 +ah7/0 +a12/0 +a8/0 -m14/1
@@ -62,6 +64,30 @@ LABELLED = """
 +60/0 -2/2*4
 +45/0 -1/1*6
 +h5/0 +58/0 -3/3*5
++10/0
++2/0
++20/0
++h4/0 +20/0
++h2/0 +12/0 +20/0
++h4/0 +20/0 +20/0 +20/0
++h6/0 +30/0 +9/0 +14/0
++18/0 +1/0 +17/0
++h3/0 +8/0
++h5/0 +16/0 +5/0 +h2/0 +11/0 +3/0
++h7/0 +14/0 +60/0 +4/0 +33/0 +12/0 +7/0
++25/0 +7/0 +90/0 +3/0 +15/0
+-2/2 +18/0 +1/0 +17/0
+-3/3 +h4/0 +30/0 +22/0
+-6/6 +40/0 +31/0 +25/0 -5/5
+-1/1 +12/0 +26/0
+-1/1*5 +18/0 +1/0 +17/0 -16/0
+-2/2*4 +25/0 +30/0 +22/0
+-1/1*3 +19/0 +6/0 +34/0 -2/2
+-1/1*6 +h5/0 +40/0 +24/0
+-1/1*5 +h4/0 +20/0 -12/0
+-2/2*6 +h6/0 +22/0 -3/3*4
+-2/2*3 +h3/0 +21/0 +13/0 +26/0 -4/4*2 -9/0
+-1/1*4 +h8/0 +11/0 +44/0 +h2/0 +23/0 +9/0 +31/0 -1/1*3
 """, """
 -o12/0 +ah5/0 +a30/0 +a8/0 -o20/0
 -o48/0 +a1/0
@@ -79,9 +105,14 @@ LABELLED = """
 +a70/0 +a90/1 -mh2/0 -m45/0 -m8/0 -m120/0 -m60/0 -m30/0 -m5/2
 +ah6/0 +a45/0 -m30/0 +a55/0 +a12/0 -m9/4 +a80/0 -m14/0
 +ah9/0 +a50/0 -m70/2 +a65/0 -m26/0 -m90/0 -m40/1
-+a48/0 -a2/2 -a2/2 -a2/2 -a2/2 -a2/2 -a2/2
-+a60/0 -a3/3 -a3/3 -a4/4 -a3/3
-+a75/0 +a20/0 -a6/6 -a5/5 -a7/7 -a6/6 -a8/7
++a48/0 +a2/2*6
++a60/0 +a3/3 +a3/3 +a4/4 +a3/3
++a75/0 +a20/0 +a6/6 +a5/5 +a7/7 +a6/6 +a8/7
++a50/0 +ah1/0 +a2/2*5
++ah1/0 +a3/3*6
++a2/2*12
+-m1/1*5 +ah5/0 +a120/2 +ah1/0 +a9/6 +a11/7 +a8/5 -m12/0
+-m1/1*5 +ah4/0 +a3/3*3 +a45/0 +a2/2*8 -m4/4*3
 +ah2/2 +a4/0 +a1/1
 +ah5/5 +a60/0 +a4/4 +a35/0
 +ah3/3 +a40/0 +a2/2
@@ -103,7 +134,7 @@ LABELLED = """
 +h4/0 +3/0 -m6/2
 -m8/0 +56/0 -1/1*4
 -m1/1 -m40/0 +25/0 +9/0 -m50/0
--5/0 -2/0 -3/0
++5/0 +2/0 +3/0
 -m1/0 +a1/0
 -m2/0 +a1/0 -m1/0 +a2/0 -m1/0
 -m1/0 +ah1/0 +a1/0 -o3/0
@@ -161,6 +192,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _LETTERS = re.compile(r"[a-z]+")
+#: Pages whose blocks are held and judged at once.
+PAGES = 64
 
 
 #: The place of what stands outside the holder of a page that has one; it counts as -1, but the holder may start there.
@@ -287,12 +320,14 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
 
 
 def features(blocks: list[tuple[str, int, float, int, int, int]]) -> np.ndarray:
-    """FEATURES of each block; beyond the ends of the page blocks count as empty.  Words count up to sixty."""
+    """FEATURES of each block; beyond the ends of the page blocks count as empty.  Words count up to sixty: longer is only longer."""
     n = len(blocks)
     words = np.minimum(np.array([0, 0, *(b[1] for b in blocks), 0, 0], float), 60)
     links = np.array([0, 0, *(b[2] for b in blocks), 0, 0], float)
     around = [x[2 + at : 2 + at + n] for at in (0, -1, -2, 1, 2) for x in (words, links)]
-    return np.stack([*around, *(np.array([b[k] for b in blocks], float) for k in (5, 3, 4))], 1)
+    heading, inside, marked = (np.array([b[k] for b in blocks], float) for k in (5, 3, 4))
+    menu = np.full(n, min(6.0, float((links > 0.5).sum())))
+    return np.stack([*around, heading, np.append(heading[1:], 0.0)[:n], menu, inside, marked], 1)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int) -> tuple:
@@ -330,13 +365,19 @@ def classify(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def main_texts(pages: list[str | None], tree: tuple | None = None) -> list[str]:
+    """Content blocks of each page in page order, joined by single spaces; empty for null, empty and textless pages.
+
+    All blocks of all the pages go down the tree together.
+    """
+    blocks = [text_blocks(page) if page else [] for page in pages]
+    found = [features(own) for own in blocks if own]
+    content = iter(classify(tree or default_tree(), np.concatenate(found)) > 0.5) if found else iter(())
+    return [" ".join([b[0] for b in own if next(content)]) for own in blocks]
+
+
 def main_text(page: str | None, tree: tuple | None = None) -> str:
-    """Content blocks of a page in page order, joined by single spaces; empty for null, empty and textless pages."""
-    blocks = text_blocks(page) if page else []
-    if not blocks:
-        return ""
-    content = classify(tree or default_tree(), features(blocks)) > 0.5
-    return " ".join(b[0] for b, keep in zip(blocks, content, strict=True) if keep)
+    return main_texts([page], tree)[0]
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -348,7 +389,9 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py()) for page in batch.column(2)]
+            texts: list[str] = []
+            for at in range(0, batch.num_rows, PAGES):
+                texts += main_texts(batch.column(2).slice(at, PAGES).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     chosen = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))

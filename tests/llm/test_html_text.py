@@ -1,6 +1,7 @@
 """HTML extraction on pages whose main text is known, and on broken ones."""
 
 import html
+import random
 import re
 from collections import Counter
 
@@ -50,12 +51,16 @@ def test_holder_in_marked_containers(page, text):
 
 def test_words_and_links_take_part_in_every_place():
     links = "<ul>" + "".join(f"<li><a href=u>link {i}</a></li>" for i in range(6)) + "</ul>"
-    assert main_text(f"<article><p>{'running text of the article ' * 12}</p>{links}</article>") == ("running text of the article " * 12).strip()
+    text = ("running text of the page " * 12).strip()
+    # A list of links is the article's where it stands in the article, else the page's menu.
+    assert main_text(f"<article><p>{text}</p>{links}</article>") == text + " " + " ".join(f"link {i}" for i in range(6))
+    assert main_text(f"<p>{text}</p>{links}") == text
     assert main_text("<article><h2><a href=u>Linked title</a></h2><p>Some text follows here</p><p><a href=u>Source</a></p></article>") == "Linked title Some text follows here Source"
     long = ("many words of running text " * 50).strip()
     assert long in main_text(f'<div class="social"><p>{long}</p><p>{long}</p><p>{long}</p></div>')
     x, y = labelled_table()
-    assert all({0, 1} == set(y[(x[:, -2] == inside) & (x[:, -1] == marked)]) for inside, marked in ((0, 0), (1, 0), (0, 1)))
+    assert all({0, 1} == set(y[(x[:, -2] == inside) & (x[:, -1] == marked)]) for inside, marked in ((0, 0), (0, 1)))
+    assert set(y[(x[:, -2] == 1) & (x[:, -1] == 0)]) == {1}
 
 
 def used(tree):
@@ -101,6 +106,61 @@ def test_plain_forms(form, title):
     assert main_text(form.format(*texts)) == " ".join([title, *texts]).strip()
 
 
+SHORT = [
+    ("<p>one two</p>", "one two"), ("<p>{10}</p>", "{10}"), ("<p>{30}</p>", "{30}"), ("<h1>Title</h1><p>{20}</p>", "Title {20}"), ("<h1>Title</h1><p>{20}</p><p>{20}</p><p>{20}</p>", "Title {20} {20} {20}"),
+    ("<div><a href=1>Home</a> <a href=2>News</a></div><p>{18}</p><p>word</p><p>{17}</p>", "{18} word {17}"),
+    ("<article><p>{50}</p><h2>References</h2><ol>" + "<li><a href=r>Source named</a></li>" * 5 + "</ol></article>", "{50} References" + " Source named" * 5),
+    ("<article><h1>Links</h1><ul>" + "<li><a href=r>some page</a></li>" * 6 + "</ul></article>", "Links" + " some page" * 6),
+]
+
+
+def filled(form):
+    return re.sub(r"\{(\d+)\}", lambda m: " ".join(f"w{k}" for k in range(int(m.group(1)))), form)
+
+
+@pytest.mark.parametrize(("page", "text"), SHORT)
+def test_short_pages_lose_nothing(page, text):
+    assert main_text(filled(page)) == filled(text)
+
+
+def menu(rng, n):
+    return "".join(f"<li><a href=/{k}>{said(rng, rng.choice([1, 1, 2]), 'm')}</a></li>" for k in range(n))
+
+
+def said(rng, n, kind="t"):
+    return " ".join(f"{kind}{rng.randrange(10**6)}" for _ in range(n))
+
+
+def layouts(rng):
+    """Pages of layouts that aren't in the labelled table; content words begin with t, all others with m."""
+    p = lambda low=8, high=90: f"<p>{said(rng, rng.randint(low, high))}</p>"
+    many = lambda low=2, high=7: "".join(p() for _ in range(rng.randint(low, high)))
+    h = lambda tag="h1": f"<{tag}>{said(rng, rng.randint(2, 9))}</{tag}>"
+    m = lambda n: said(rng, n, "m")
+    yield h() + many()
+    yield p(1, 40)
+    yield h() + p(5, 30)
+    yield f"<div><ul>{menu(rng, 5)}</ul></div>" + h() + many(3) + f"<ul>{menu(rng, 4)}</ul>"
+    yield f"<div class=nav>{menu(rng, 6)}</div><div id=content>" + h() + many() + f"<blockquote>{said(rng, 25)}</blockquote></div><div class=sidebar>{m(40)}</div><div id=footer>{m(12)}</div>"
+    yield f"<header>{m(4)}<nav>{menu(rng, 5)}</nav></header><main>" + h() + many() + h("h2") + f"<ul>{''.join(f'<li>{said(rng, rng.randint(1, 12))}</li>' for _ in range(6))}</ul></main><aside>{m(60)}</aside><footer>{m(20)}</footer>"
+    yield f"<nav>{menu(rng, 8)}</nav><article>" + h() + many() + f"<h2>{said(rng, 1)}</h2><ol>" + "".join(f"<li><a href=x>{said(rng, 4)}</a></li>" for _ in range(7)) + f"</ol></article><section class=comments><p>{m(30)}</p><p>{m(80)}</p></section>"
+    yield f"<table><tr><td>{menu(rng, 4)}</td></tr><tr><td>" + h() + many(3) + f"</td></tr><tr><td>{menu(rng, 3)}</td></tr></table>"
+    yield f"<article><header>{h()}</header>{p(3, 12)}{p(100, 300)}{p(2, 9)}<figure><figcaption>{said(rng, 9)}</figcaption></figure><table><tr><td>{said(rng, 1)}</td><td>{said(rng, 2)}</td></tr></table></article><div class='newsletter signup'>{m(25)}</div>"
+    yield f"<div id=cookie-banner>{m(22)}</div><ul>{menu(rng, 5)}</ul><div class=post>" + h("h2") + many() + f"<div class=share>{m(3)}</div>" + p() + f"<div class=ad>{m(15)}</div>" + p() + "</div>"
+    yield f"<div><a href=1>{m(1)}</a> | <a href=2>{m(1)}</a> | <a href=3>{m(1)}</a></div>" + h() + many(2, 4)
+    yield f"<main><p>{said(rng, 12)} <a href=x>{said(rng, 14)}</a></p><p><a href=y>{said(rng, 6)}</a></p>{many(1, 3)}</main><nav>{menu(rng, 3)}</nav>"
+
+
+def test_layouts_that_were_not_learnt():
+    rng = random.Random(17)
+    right = taken = there = 0
+    for _ in range(40):
+        for page in layouts(rng):
+            got, want = Counter(main_text(page).split()), Counter(re.findall(r"\bt\d+", page))
+            right, taken, there = right + (got & want).total(), taken + got.total(), there + want.total()
+    assert right / taken >= 0.95 and right / there >= 0.95, (right / taken, right / there)
+
+
 def test_extract_text(spark):
     rows = [(i, f"u{i}" if i % 2 else None, h, "clash") for i, (h, _) in enumerate(PAGES)] * 2 + [(None, None, "<article>" + "<p>w x</p>" * 20_000, "t")]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
