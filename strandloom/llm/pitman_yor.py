@@ -22,7 +22,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -137,8 +137,8 @@ def seat(customers: np.ndarray, parent: np.ndarray | float, others: np.ndarray |
     return tables
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pack rows (doc_id, held_out, text) into rows (slice, packed) of about SLICE_BYTES of text, compressed."""
+def _slices(slice_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pack rows (doc_id, held_out, text) into rows (slice, packed) of about `slice_bytes` of text, compressed."""
     part = TaskContext.get().partitionId()
     held: list[pa.RecordBatch] = []
     size = made = 0
@@ -156,10 +156,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         _, offsets = text_buffer(batch.column(2))
-        for i, j in row_chunks(offsets, SLICE_BYTES // 4):
+        for i, j in row_chunks(offsets, max(1, slice_bytes // 4)):
             held.append(batch.slice(i, j - i))
             size += int(offsets[j] - offsets[i])
-            if size >= SLICE_BYTES:
+            if size >= slice_bytes:
                 yield pack()
     if held:
         yield pack()
@@ -429,7 +429,8 @@ def _stored_by_slice(slices: DataFrame) -> DataFrame:
     name = f"slices_{uuid.uuid4().hex}"
     slices.write.bucketBy(max(1, 4 * slices.rdd.getNumPartitions()), "slice").option("path", f"{shared_dir(spark)}/strandloom/{name}").saveAsTable(name)
     stored = spark.table(name)
-    stored.schema  # noqa: B018 - resolves the table before its name goes; its files stay
+    stored.schema  # noqa: B018 - resolves the table before its name goes
+    spark.sql(f"DROP TABLE {name}")  # the name only: a table with a path of its own keeps its files
     return stored
 
 
@@ -438,7 +439,7 @@ def held_out(id_col: str = "doc_id", folds: int = 10, fold: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def score_texts(df: DataFrame, n_sweeps: int = 2, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+def score_texts(df: DataFrame, n_sweeps: int = 2, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row for each row of `df`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Scores are log10 probabilities of the whole text with its end; perplexity is that of a token under the model.  A
@@ -448,7 +449,7 @@ def score_texts(df: DataFrame, n_sweeps: int = 2, id_col: str = "doc_id", text_c
     """
     model = model or Model()
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slices = _stored_by_slice(texts.mapInArrow(lean(_slices), "slice long, packed binary"))
+    slices = _stored_by_slice(texts.mapInArrow(lean(partial(_slices, slice_bytes)), "slice long, packed binary"))
     n_slices = slices.count()
     pair_buckets, word_buckets = max(1, n_slices // 2), max(1, n_slices // 6)
 

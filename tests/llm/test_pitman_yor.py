@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -163,16 +164,18 @@ def test_seating_of_huge_dishes():
     assert len(py.seat(np.zeros(0, int), 0.1, 1.0, 0.75, 20.0, seed[:0])) == 0
 
 
-def test_same_scores_however_cut(spark, monkeypatch):
+def test_same_scores_however_cut(spark):
     rows = [r for r in cases.awkward() if r[0] is not None]
     docs = table(spark, rows)
+    cut = partial(py._slices, 2000)
+    assert docs.repartition(1).selectExpr("doc_id", "true AS held_out", "coalesce(text, '') AS text").mapInArrow(cut, "slice long, packed binary").count() > 5
+    names = {t.name for t in spark.catalog.listTables()}
     scores = []
-    for parts, size in ((1, 10 << 20), (7, 10 << 20), (3, 2000)):
-        monkeypatch.setattr(py, "SLICE_BYTES", size)
-        # The task's code reads the setting where it is packed, so the pieces of a local session see it as well.
-        got = py.score_texts(docs.repartition(parts, "doc_id")).collect()
+    for parts, size in ((1, 10 << 20), (7, 10 << 20), (1, 2000), (3, 2000)):
+        got = py.score_texts(docs.repartition(parts, "doc_id"), slice_bytes=size).collect()
         scores.append(sorted((r.doc_id, r.n_known, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got))
-    assert scores[0] == scores[1] == scores[2]
+    assert scores[0] == scores[1] == scores[2] == scores[3]
+    assert {t.name for t in spark.catalog.listTables()} == names
 
 
 def test_counts_are_whole_numbers_of_any_size():
