@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import lean, unused
 
@@ -148,16 +149,17 @@ def predict(df: DataFrame, model: LanguageModel, keep: list[str], text_col: str
     the text is read for a prediction; columns of `df` named like the result's are replaced, others stay as they are.
     """
     kept = [c for c in keep if c not in ("lang_pred", "score")]
-    chosen = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(unused(df, "text_")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1]) + ", lang_pred string, score double"
+    # Kept columns go through as fields k0, k1, ... of one struct: their own names may be anything.
+    chosen = df.select(F.struct(F.lit(True).alias("k"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)]).alias("kept"), F.col(text_col).alias("text"))
+    schema = StructType([chosen.schema[0], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_columns - 1
-            lang, score = score_texts(model, batch.column(n).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+            lang, score = score_texts(model, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["kept", "lang_pred", "score"])
 
-    return chosen.mapInArrow(lean(run), schema)
+    out = chosen.mapInArrow(lean(run), schema)
+    return out.select(*[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:

@@ -2,13 +2,13 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, key string, length string, kept string, family string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, key string, length string, kept string, family string, `a.b` string, `two words` string"
 
 
 def rows(texts, ids=None):
     """Documents with extra columns whose names the operators use themselves."""
     ids = range(len(texts)) if ids is None else ids
-    return [(i, t, ["en", "de", None][n % 3], ["a", None, "b", "a"][n % 4], len(t or ""), n, "k", "l", "m", "f") for n, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return [(i, t, ["en", "de", None][n % 3], ["a", None, "b", "a"][n % 4], len(t or ""), n, "k", "l", "m", "f", "d", "w") for n, (i, t) in enumerate(zip(ids, texts, strict=True))]
 
 
 def awkward(seed=0):

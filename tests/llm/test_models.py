@@ -212,7 +212,7 @@ def test_exact_fill():
 def test_mixing(spark, options):
     rng = random.Random(1)
     rows = cases.awkward()
-    rows += [(10_000 + i, "w " * rng.randrange(1, 80), "en", rng.choice(["big"] * 12 + ["mid"] * 4 + ["low", "x"]), 1, i, "k", "l", "m", "f") for i in range(1500)]
+    rows += [(10_000 + i, "w " * rng.randrange(1, 80), "en", rng.choice(["big"] * 12 + ["mid"] * 4 + ["low", "x"]), 1, i, "k", "l", "m", "f", "d", "w") for i in range(1500)]
     report = mixing.mix_report(table(spark, rows), **options).collect()
     assert len(report) == len(rows)
     have, drawn, weight = Counter(), Counter(), {}
