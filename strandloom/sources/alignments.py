@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import nonmatches, three_way
+from ..operators.tables import materialise
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -23,9 +24,21 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cluster(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The draft (first line) and reads (others) of a headerless TSV file whose fourth column is the sequence: (idx, seq) each."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("idx", "line")).filter("line <> ''")
-    rows = lines.select("idx", F.get(F.split("line", "\t"), F.lit(3)).alias("seq")).filter("seq IS NOT NULL")
+    """The draft (first line) and reads (others) of each headerless TSV file whose fourth column is the sequence: (file, idx, seq)
+    each, with idx the line's number in its file.  Lines without a fourth column go, so a file whose first line has none has no draft.
+
+    Files are read in byte ranges by many tasks.  The lines of a range are numbered as they are read and the ranges of a file put
+    in order by their lines' counts; only those counts meet.  The numbered lines are written once, so that both look at them see
+    the same ranges.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.get(F.split("value", "\t"), F.lit(3)).alias("seq"),
+    )
+    numbered = materialise(lines)
+    ranges = numbered.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("file", "block", (before - F.col("first")).alias("shift"))
+    rows = numbered.filter("seq IS NOT NULL").join(starts, ["file", "block"]).select("file", (F.col("place") + F.col("shift")).alias("idx"), "seq")
     return rows.filter("idx = 0"), rows.filter("idx > 0")
 
 

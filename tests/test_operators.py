@@ -236,6 +236,26 @@ def test_sources(spark, tmp_path):
     assert len(shown) == 1 and shown[0].text.split("\n")[1] == "X" * 20
 
 
+def test_clusters_in_byte_ranges(spark, tmp_path):
+    folder = tmp_path / "clusters"
+    folder.mkdir()
+    lines = {f"c{k}.tsv": [f"{k}\t{i}\tx\t{'ACGT'[i % 4] * (1 + i % 50)}" if i % 97 != 5 else "short line" for i in range(n)] for k, n in enumerate((3000, 1, 800))}
+    lines["c3.tsv"] = ["no sequence here", "a\tb\tc\tAC"]
+    for name, rows in lines.items():
+        (folder / name).write_text("\n".join(rows) + "\n")
+    (folder / "empty.tsv").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert spark.read.text(str(folder / "c0.tsv")).rdd.getNumPartitions() > 5
+        draft, reads = alignments.read_cluster(spark, str(folder))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = sorted((r.file.rsplit("/", 1)[-1], r.idx, r.seq) for r in draft.unionByName(reads).collect())
+    assert got == sorted((name, i, row.split("\t")[3]) for name, rows in lines.items() for i, row in enumerate(rows) if row.count("\t") >= 3)
+    assert sorted(r.file.rsplit("/", 1)[-1] for r in draft.collect()) == ["c0.tsv", "c1.tsv", "c2.tsv"]
+
+
 def test_streaming_table(spark, tmp_path):
     drafts = spark.createDataFrame([(1, "ACGT"), (2, "GGG")], "k long, d string")
     batches = [[(1, "ACT"), (2, "GG")], [(1, "ACGTT"), (3, "A")]]
