@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import kernels as K
 from strandloom.functions import model as M
 from strandloom.functions import sequences as S
+from strandloom.functions import tables
 from strandloom.operators import align, assembly, edits, polish
 
 from .test_kernels import edited, mutated
@@ -104,6 +105,28 @@ def test_sub_reads_without_python(spark):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sub_reads_in_sql(spark):
+    rng = random.Random(8)
+    lengths = {f"t{n}": n for n in (0, 5, 12, 30, 47)}
+    rows = []
+    for k in range(200):
+        name = rng.choice(list(lengths))
+        start = rng.randrange(max(lengths[name] // 3, 1))
+        path = ""
+        while sum(c != "I" for c in path) < lengths[name] - start and rng.random() > 0.01:
+            path += rng.choices("=XID", [8, 1, 1, 1])[0]
+        rows.append((name, k, "".join(rng.choices("ACGT", k=sum(c != "D" for c in path))), path, start, start + sum(c != "I" for c in path)))
+    aligned = spark.createDataFrame(rows, "r_name string, read_id int, seq string, path string, start int, end int")
+    sizes = spark.createDataFrame(list(lengths.items()), "r_name string, length int")
+    spans = assembly.spanned_chunks(aligned, sizes, 12, 4).withColumnRenamed("r_name", "template_id")
+    want = sorted(map(tuple, assembly.sub_reads(spans).select("read_id", "chunk_id", "read", "path").collect()))
+    tables.register(spark)
+    aligned.unionByName(spark.createDataFrame([("t30", -1, None, "=", 0, 1), ("t30", -2, "A", None, 0, 1)], aligned.schema)).createOrReplaceTempView("aligned")
+    sizes.createOrReplaceTempView("sizes")
+    got = spark.sql("SELECT read_id, s.chunk_id, s.read, s.path FROM aligned JOIN sizes USING (r_name), LATERAL strandloom_sub_reads(seq, path, start, length, 12, 4) s").collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 100
+
+
 def sequences(seed, n, longest=40):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices("ACGT", k=rng.randrange(1, longest)))
