@@ -13,6 +13,9 @@ import numpy as np
 _CODE = np.zeros(256, np.uint8)
 _CODE[[ord("C"), ord("c")]], _CODE[[ord("G"), ord("g")]], _CODE[[ord("T"), ord("t")]] = 1, 2, 3
 FAR = np.int64(10**9)
+#: Code of what is put before both sequences of a pair to give it the lengths of longer ones: it meets only itself, at no cost, so
+#: a best path, and any path that counts, passes through the corner behind it.
+PAD = 4
 
 
 def codes(seq: str) -> np.ndarray:
@@ -320,12 +323,17 @@ class PairModel:
         self.t = np.asarray(transitions, float).reshape(3, 3)
         self.e = np.asarray(emit, float).reshape(4, 4)
         self.i = np.asarray(insert, float).reshape(5, 4)
+        # With PAD: two that meet make up for the step from match to match, and what follows one is a first base.
+        self._emit, self._insert = np.zeros((5, 5)), np.zeros((5, 5))
+        self._emit[:4, :4], self._insert[:, :4] = self.e, self.i
+        if self.t[0, 0] > 0:
+            self._emit[PAD, PAD] = 1 / self.t[0, 0]
 
     def _insertions(self, query: np.ndarray) -> np.ndarray:
         """Emission of each query base as an insertion."""
         previous = np.full(query.shape, 4)
         previous[:, 1:] = query[:, :-1]
-        return self.i[previous, query]
+        return self._insert[previous, query]
 
     def forward(self, reference: np.ndarray, query: np.ndarray, band: Band | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Table (state, pairs, query, window) scaled by row, and the log of each row's scale so far."""
@@ -340,7 +348,7 @@ class PairModel:
                 row[0, :, 0] = 1
             else:
                 above = f[:, :, i - 1]
-                row[0] = band.moved(np.tensordot(t[:, 0], above, 1), i - 1, i, -1, 0.0) * self.e[band.of(before, i), y[:, i - 1, None]]
+                row[0] = band.moved(np.tensordot(t[:, 0], above, 1), i - 1, i, -1, 0.0) * self._emit[band.of(before, i), y[:, i - 1, None]]
                 row[1] = band.moved(np.tensordot(t[:, 1], above, 1), i - 1, i, 0, 0.0) * insert[:, i - 1, None]
             row[2] = _decayed_sum(shifted(t[0, 2] * row[0] + t[1, 2] * row[1], -1, 0.0), t[2, 2])
             total = row.sum((0, -1))
@@ -352,7 +360,7 @@ class PairModel:
     def _steps_from(self, b: np.ndarray, x: np.ndarray, y: np.ndarray, insert: np.ndarray, band: Band, i: int) -> tuple[np.ndarray, np.ndarray]:
         """What follows a match, and an insertion, of query base i from each cell of row i."""
         after = np.concatenate([x, x[:, -1:]], 1) if x.shape[-1] else np.zeros((len(x), 1), np.uint8)
-        match = band.moved(b[0, :, i + 1], i + 1, i, 1, 0.0) * self.e[band.of(after, i), y[:, i, None]]
+        match = band.moved(b[0, :, i + 1], i + 1, i, 1, 0.0) * self._emit[band.of(after, i), y[:, i, None]]
         return match, band.moved(b[1, :, i + 1], i + 1, i, 0, 0.0) * insert[:, i, None]
 
     def backward(self, reference: np.ndarray, query: np.ndarray, band: Band | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -416,10 +424,10 @@ class PairModel:
             if i < m:
                 to_match = np.tensordot(t[:, 0], here, 1) * at_next[:, i, None]
                 matched = [band.moved(b[0, :, i + 1], i + 1, i, d, 0.0) for d in range(max(2, deletions + 2))]
-                emit = self.e[:, y[:, i], None]
+                emit = self._emit[:4, y[:, i], None]
                 for at, gone in ((0, 1), (4, 0)):
                     row[at : at + 4] += emit * (to_match * matched[gone])
-                own = self.e[band.of(after, i), y[:, i, None]]
+                own = self._emit[band.of(after, i), y[:, i, None]]
             arrived = here[0::2] * at_same[:, i, None]  # entries of a column; insertions after them are part of what follows
             for c in range(1, copies + 1):
                 row[7 + c] = (shifted(arrived, c, 0.0) * b[0::2, :, i]).sum(0)
@@ -443,7 +451,9 @@ class PairModel:
         n, m = x.shape[-1], y.shape[-1]
         band = band or Band.full(len(x), n, m)
         with np.errstate(divide="ignore"):
-            t, e, insert = np.log(self.t), np.log(self.e), np.log(self._insertions(y))
+            t, e, insert = np.log(self.t), np.log(self._emit), np.log(self._insertions(y))
+        if self.t[0, 0] > 0:
+            e[PAD, PAD] = -t[0, 0]  # adds up to nothing without rounding, so ties stay ties
         before = np.concatenate([x[:, :1], x], 1) if n else np.zeros((len(x), 1), np.uint8)
         k = np.arange(band.width)
         v = np.full((3, len(x), m + 1, band.width), -np.inf)

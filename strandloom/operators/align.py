@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.model import default_model
 from ..functions.sequences import bootstrap_path
-from .kernels_on_rows import by_shape, map_rows
+from .kernels_on_rows import by_shape, map_rows, padded
 
 
 def _with_path(df: DataFrame, reference: str, query: str, path: str | None) -> tuple[DataFrame, str]:
@@ -28,12 +28,14 @@ def edit_paths(df: DataFrame, reference: str, query: str, radius: int | None = N
     source, along = _with_path(df, reference, query, path)
 
     def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
-        out = pd.DataFrame({"distance": pd.array([None] * len(frame), "Int64"), "ops": pd.Series([None] * len(frame), dtype=object)})
-        for places, x, y, band in by_shape(frame, radius):
+        distances: list[int | None] = [None] * len(frame)
+        paths: list[str | None] = [None] * len(frame)
+        for places, x, y, band, pads in padded(frame, radius):
             tables = K.distance_table(x, y, band)
-            for k, p in enumerate(places.tolist()):
-                out.iloc[p] = (int(tables[k, -1, -1]), K.distance_path(tables[k], x[k], y[k], ties, band.starts[k]))
-        return np.arange(len(frame)), out
+            for k, (p, pad) in enumerate(zip(places.tolist(), pads, strict=True)):
+                distances[p] = int(tables[k, -1, -1])
+                paths[p] = K.distance_path(tables[k, pad:], x[k, pad:], y[k, pad:], ties, band.starts[k, pad:] - pad)
+        return np.arange(len(frame)), pd.DataFrame({"distance": pd.array(distances, "Int64"), "ops": pd.Series(paths, dtype=object)})
 
     return map_rows(source, df.columns, [reference, query, along], "distance long, ops string", kernel)
 
@@ -61,7 +63,7 @@ def likelihoods(df: DataFrame, reference: str, query: str, model: K.PairModel |
 
     def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
         out = np.full(len(frame), np.nan)
-        for places, x, y, band in by_shape(frame, radius):
+        for places, x, y, band, _ in padded(frame, radius):
             out[places] = model.likelihood(x, y, band)
         return np.arange(len(frame)), pd.DataFrame({"log_likelihood": pd.Series(out).where(pd.notna(out), None)})
 
@@ -79,7 +81,7 @@ def both_likelihoods(df: DataFrame, reference: str, query: str, model: K.PairMod
 
     def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
         out = np.full((2, len(frame)), np.nan)
-        for places, x, y, band in by_shape(frame, radius):
+        for places, x, y, band, _ in padded(frame, radius):
             out[:, places] = model.likelihoods(x, y, band)
         out[~np.isfinite(out)] = np.nan
         return np.arange(len(frame)), pd.DataFrame({c: pd.Series(v).where(pd.notna(v), None) for c, v in zip(("forward", "backward"), out, strict=True)})
@@ -95,10 +97,10 @@ def best_paths(df: DataFrame, reference: str, query: str, model: K.PairModel | N
 
     def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
         out: list[tuple] = [(None, None)] * len(frame)
-        for places, x, y, band in by_shape(frame, radius):
+        for places, x, y, band, pads in padded(frame, radius):
             tables = model.viterbi_table(x, y, band)
-            for k, p in enumerate(places.tolist()):
-                out[p] = model.viterbi_path(tables[:, k], x[k], y[k], band.starts[k])
+            for k, (p, pad) in enumerate(zip(places.tolist(), pads, strict=True)):
+                out[p] = model.viterbi_path(tables[:, k, pad:], x[k, pad:], y[k, pad:], band.starts[k, pad:] - pad)
         return np.arange(len(frame)), pd.DataFrame(out, columns=["log_likelihood", "ops"])
 
     return map_rows(source, df.columns, [reference, query, along], "log_likelihood double, ops string", kernel)

@@ -13,6 +13,8 @@ from ..functions import kernels as K
 
 #: Table cells that one kernel call may hold at once.
 CELLS = 2_000_000
+#: Pairs of different lengths share a call where the longest is so many times, and steps more than, the shortest.
+SLACK, PADS = 1.125, 8
 
 
 def map_rows(df: DataFrame, keep: list[str], inputs: list[str], outputs: str, kernel: Callable[[pd.DataFrame], tuple[np.ndarray, pd.DataFrame]]) -> DataFrame:
@@ -49,16 +51,49 @@ def each_row(names: list[str], kernel: Callable[..., list[tuple]]) -> Callable[[
 def by_shape(frame: pd.DataFrame, radius: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, K.Band]]:
     """Pairs of equal lengths together: (places, references, queries, band) of a frame whose columns 0, 1 and, with a radius, 2
     are reference, query and path; rows with a null sequence are left out, a null path follows the diagonal."""
+    for places, x, y, band, _ in padded(frame, radius, 1):
+        yield places, x, y, band
+
+
+def padded(frame: pd.DataFrame, radius: int | None, slack: float = SLACK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, K.Band, list[int]]]:
+    """As `by_shape`, but pairs whose lengths differ alike, and are up to `slack` times (and PADS steps) those of the shortest, go
+    together: each begins with as many PAD codes in both sequences as it is short, the last of what is given.
+
+    What a pair's table has from that row and column on is its own; only affine scores and training can't take such pairs.
+    """
     good = np.flatnonzero((frame[0].notna() & frame[1].notna()).to_numpy())
-    shapes: dict[tuple[int, int], list[int]] = {}
     refs, queries = frame[0].to_numpy(), frame[1].to_numpy()
+    alike: dict[tuple[int, bool], list[tuple[int, int]]] = {}
     for k in good.tolist():
-        shapes.setdefault((len(refs[k]), len(queries[k])), []).append(k)
-    for (n, m), places in shapes.items():
-        banded = radius is not None and 2 * radius < max(n, m)  # else the band holds the whole table
-        step = max(1, CELLS // ((m + 1) * (min(n + 1, 4 * radius + 2) if banded else n + 1)))
-        for at in range(0, len(places), step):
-            some = np.array(places[at : at + step])
-            band = K.Band.around(list(frame[2].to_numpy()[some]), n, m, radius) if banded else K.Band.full(len(some), n, m)
-            coded = [np.stack([K.codes(x) for x in column[some]]).reshape(len(some), width) for column, width in ((refs, n), (queries, m))]
-            yield some, *coded, band
+        n, m = len(refs[k]), len(queries[k])
+        # A band of that radius would hold the whole table.
+        alike.setdefault((n - m, radius is not None and 2 * radius < max(n, m)), []).append((n, k))
+    for (more, banded), found in alike.items():
+        found.sort()
+        at = 0
+        while at < len(found):
+            longest, end = found[at][0] * slack + (PADS if slack > 1 else 0), at
+            while end < len(found) and found[end][0] <= longest:
+                n = found[end][0]
+                end += 1
+                if (end - at) * (n - more + 1) * (min(n + 1, 4 * radius + 2) if banded else n + 1) >= CELLS:
+                    break
+            some = [k for _, k in found[at:end]]
+            n = found[end - 1][0]
+            pads = [n - own for own, _ in found[at:end]]
+            yield np.array(some), _coded(refs, some, n), _coded(queries, some, n - more), _band(frame, some, pads, n, n - more, radius if banded else None), pads
+            at = end
+
+
+def _coded(column: np.ndarray, some: list[int], width: int) -> np.ndarray:
+    out = np.full((len(some), width), K.PAD, np.uint8)
+    for row, k in enumerate(some):
+        out[row, width - len(column[k]) :] = K.codes(column[k])
+    return out
+
+
+def _band(frame: pd.DataFrame, some: list[int], pads: list[int], n: int, m: int, radius: int | None) -> K.Band:
+    if radius is None:
+        return K.Band.full(len(some), n, m)
+    paths = frame[2].to_numpy()[some]
+    return K.Band.around(["=" * pad + (K.straight_path(n - pad, m - pad) if own is None else own) for own, pad in zip(paths, pads, strict=True)], n, m, radius)

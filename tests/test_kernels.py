@@ -4,12 +4,14 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandloom.functions import kernels as K
 from strandloom.functions.model import default_model, render
+from strandloom.operators.kernels_on_rows import padded
 
 SEQ = st.text("ACGT", max_size=9)
 MODEL = default_model()
@@ -294,3 +296,32 @@ def test_path_bands(path, n, m, radius):
         near = [b for b in range(n + 1) if any(abs(row - c) + abs(b - d) <= radius for c, d in cells)]
         assert not near or (low[0, row] <= near[0] and high[0, row] >= near[-1] + 1)
     assert (np.diff(low[0]) >= 0).all() and (np.diff(high[0]) >= 0).all()
+
+
+@pytest.mark.parametrize("radius", [None, 6])
+def test_padded_pairs(radius):
+    """Pairs that begin with pads have the tables and paths they have alone (in a band: paths as short as their totals say)."""
+    rng, model = random.Random(3), default_model()
+    rows = [(a, mutated(rng, a, 3)) for a in ("".join(rng.choices("ACGT", k=rng.randrange(1, 60))) for _ in range(150))] + [("", ""), ("", "AC"), ("ACG", ""), (None, "A")]
+    frame, seen, with_pads = pd.DataFrame({0: [r[0] for r in rows], 1: [r[1] for r in rows], 2: pd.Series([None] * len(rows), dtype=object)}), [], 0
+    for places, x, y, band, pads in padded(frame, radius):
+        seen += places.tolist()
+        (total, table), best, steps = K.edit_table(x, y, 3, 3, band), model.viterbi_table(x, y, band), K.distance_table(x, y, band)
+        likely, edited_likely, behind = model.edit_table(x, y, 3, 3, band, back=True)
+        np.testing.assert_allclose(likely, behind, atol=1e-9)
+        for k, (p, pad) in enumerate(zip(places.tolist(), pads, strict=True)):
+            with_pads += pad > 0
+            a, b = K.codes(rows[p][0]), K.codes(rows[p][1])
+            assert (x[k, pad:] == a).all() and (y[k, pad:] == b).all() and (x[k, :pad] == K.PAD).all()
+            path = K.distance_path(steps[k, pad:], a, b, "ID=", band.starts[k, pad:] - pad)
+            assert len(path) - path.count("=") == total[k] and len(path) - path.count("I") == len(a) and len(path) - path.count("D") == len(b)
+            if radius is None:
+                alone, alone_likely = K.edit_table(a, b, 3, 3), model.edit_table(a, b, 3, 3)
+                assert alone[0] == total[k] and (alone[1] == table[k, pad:]).all()
+                assert path == K.distance_path(K.distance_table(a, b), a, b, "ID=")
+                np.testing.assert_allclose(alone_likely[0], likely[k], atol=1e-9)
+                np.testing.assert_allclose(alone_likely[1], edited_likely[k, pad:], atol=1e-9)
+                (score, _), (padded_score, padded_path) = model.viterbi(a, b), model.viterbi_path(best[:, k, pad:], a, b, band.starts[k, pad:] - pad)
+                # Rounding may tell apart paths that tie, so only what they are worth is the same.
+                assert abs(score - padded_score) < 1e-9 and len(padded_path) - padded_path.count("I") == len(a) and len(padded_path) - padded_path.count("D") == len(b)
+    assert sorted(seen) == list(range(len(rows) - 1)) and with_pads > 50
