@@ -74,6 +74,31 @@ def test_polish_recovers(spark, model):
     assert {k: got[k].polished for k in truth} == truth
 
 
+def noisy(rng, seq, rate=0.01):
+    """`seq` with a base in a hundred replaced, as many inserted and as many lost."""
+    out = []
+    for base in seq:
+        x = rng.random()
+        out += [] if x < rate else [base.translate(str.maketrans("ACGT", "CGTA"))] if x < 2 * rate else [rng.choice("ACGT"), base] if x < 3 * rate else [base]
+    return "".join(out)
+
+
+def test_exact_recovery_by_distance(spark):
+    rng = random.Random(1)
+    truth = {k: "".join(rng.choices("ACGT", k=20 + k)) for k in range(0, 100, 5)}
+    drafts = spark.createDataFrame([(k, noisy(rng, t)) for k, t in truth.items()], "k long, d string")
+    reads = spark.createDataFrame([(k, noisy(rng, t)) for k, t in truth.items() for _ in range(30)], "k long, r string")
+    assert {r.k: r.polished for r in polish.polish(drafts, reads, "k", "d", "r", 20).collect()} == truth
+
+
+def test_exact_recovery_from_one_read(spark):
+    rng = random.Random(2)
+    truth = {k: "".join(rng.choices("ACGT", k=70)) for k in range(10)}
+    drafts = spark.createDataFrame([(k, mutated(rng, t, 6)) for k, t in truth.items()], "k long, d string")
+    reads = spark.createDataFrame(list(truth.items()), "k long, r string")
+    assert {r.k: r.polished for r in polish.polish(drafts, reads, "k", "d", "r", 50, M.default_model()).collect()} == truth
+
+
 def test_polish_options(spark):
     rng = random.Random(8)
     truth = "".join(rng.choices("ACGT", k=70))
