@@ -68,10 +68,10 @@ def clamped_log(x: Column) -> Column:
     return F.when(x > SMALLEST, F.ln(x)).otherwise(F.lit(LOG_ZERO))
 
 
-def log_sum_exp(values: Column) -> Column:
-    """Of an array of doubles; 0 for an empty one."""
+def log_sum_exp(values: Column, empty: float = 0.0) -> Column:
+    """Of an array of doubles; `empty` for an empty one (LOG_ZERO where a sum of nothing is to be impossible)."""
     top = F.array_max(values)
-    return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(top + F.ln(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
+    return F.when(F.size(values) == 0, F.lit(float(empty))).otherwise(top + F.ln(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
 
 
 def cigar_path(cigar: Column) -> Column:
@@ -82,21 +82,26 @@ def cigar_path(cigar: Column) -> Column:
 
 
 def three_way(reference: Column, query: Column, path: Column) -> Column:
-    """struct(ref, mid, query): the rows of an alignment; mid has | for equal bases, X for others, blanks at gaps."""
-    start = F.struct(F.lit(1).alias("r"), F.lit(1).alias("q"), F.lit("").alias("ref"), F.lit("").alias("mid"), F.lit("").alias("query"))
+    """struct(ref, mid, query): the rows of an alignment; mid has | for equal bases, X for others, blanks at gaps.
 
-    def step(s: Column, op: Column) -> Column:
-        r, q = F.substring(reference, s["r"], F.lit(1)), F.substring(query, s["q"], F.lit(1))
-        uses_r, uses_q = op != "I", op != "D"
-        return F.struct(
-            (s["r"] + uses_r.cast("int")).alias("r"), (s["q"] + uses_q.cast("int")).alias("q"),
-            F.concat(s["ref"], F.when(uses_r, r).otherwise(" ")).alias("ref"),
-            F.concat(s["mid"], F.when(~(uses_r & uses_q), " ").when(r == q, "|").otherwise("X")).alias("mid"),
-            F.concat(s["query"], F.when(uses_q, q).otherwise(" ")).alias("query"),
-        )
+    Each base brings the gaps before it, so nothing is folded and the work is linear; null arguments give a struct of nulls.
+    """
+    known = reference.isNotNull() & query.isNotNull() & path.isNotNull()
+
+    def gapped(sequence: Column, gap: str) -> Column:
+        pieces = F.regexp_extract_all(path, F.lit(f"{gap}*[^{gap}]|{gap}+$"), 0)
+        bases = _letters(sequence)
+        return F.array_join(F.transform(pieces, lambda c, j: F.when(F.endswith(c, F.lit(gap)), F.repeat(F.lit(" "), F.length(c))).otherwise(F.concat(F.repeat(F.lit(" "), F.length(c) - 1), F.get(bases, j)))), "")
 
-    done = F.aggregate(_letters(path), start, step)
-    return F.struct(done["ref"].alias("ref"), done["mid"].alias("mid"), done["query"].alias("query"))
+    rows = F.struct(gapped(reference, "I").alias("ref"), gapped(query, "D").alias("query"))
+
+    def told(s: Column) -> Column:
+        columns = F.arrays_zip(_letters(path).alias("op"), F.split(s["ref"], "").alias("r"), F.split(s["query"], "").alias("q"))
+        mid = F.transform(F.slice(columns, 1, F.length(path)), lambda c: F.when(c["op"].isin("I", "D"), " ").when(c["r"] == c["q"], "|").otherwise("X"))
+        return F.struct(s["ref"].alias("ref"), F.array_join(mid, "").alias("mid"), s["query"].alias("query"))
+
+    none = F.lit(None).cast("string")
+    return F.when(known, F.transform(F.array(rows), told)[0]).otherwise(F.struct(none.alias("ref"), none.alias("mid"), none.alias("query")))
 
 
 def _letters(text: Column) -> Column:
@@ -324,17 +329,19 @@ def affine_ends(reference: Column, query: Column, scores: tuple[int, int, int, i
 
 
 def edit_distance_by_rows(a: Column, b: Column) -> Column:
-    """Edit distance as a fold of rows of the distance table, in lambdas alone: the native form of the forward table."""
-    xs, ys = _letters(a), _letters(b)
-
-    def row(above: Column, y: Column) -> Column:
-        cells = F.sequence(F.lit(1), F.size(xs))
+    """Edit distance as a fold of rows of the distance table, in lambdas alone: the native form of the forward table.
 
-        def cell(done: Column, j: Column) -> Column:
-            diagonal = F.element_at(above, j) + (F.element_at(xs, j) != y).cast("int")
-            return F.concat(done, F.array(F.least(diagonal, F.element_at(above, j + 1) + 1, F.element_at(done, -1) + 1)))
+    The state is one row whose size doesn't change: what a cell gets from above comes by `transform`, what runs along the row by
+    doubling the reach of a minimum.  A null argument gives null.
+    """
 
-        start = F.array(F.element_at(above, F.lit(1)) + 1)
-        return F.when(F.size(xs) == 0, start).otherwise(F.aggregate(cells, start, cell))
+    def row(s: Column, y: Column) -> Column:
+        above, xs = s["row"], s["xs"]
+        start = F.transform(above, lambda v, j: F.when(j == 0, v + 1).otherwise(F.least(v + 1, F.get(above, j - 1) + (F.get(xs, j - 1) != y).cast("int"))))
+        along = lambda r, k: F.transform(r, lambda v, j: F.when(j < k, v).otherwise(F.least(v, F.get(r, j - k) + k)))
+        return F.struct(xs.alias("xs"), s["steps"].alias("steps"), F.aggregate(s["steps"], start, along).alias("row"))
 
-    return F.element_at(F.aggregate(ys, F.sequence(F.lit(0), F.size(xs)), row), -1).cast("long")
+    letters = _letters(a)
+    steps = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(letters) + 1)).cast("int") - 1, F.lit(0))), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    start = F.struct(letters.alias("xs"), steps.alias("steps"), F.sequence(F.lit(0), F.size(letters)).alias("row"))
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(_letters(b), start, row, lambda s: F.element_at(s["row"], -1).cast("long")))

@@ -12,7 +12,7 @@ from ..functions import sequences as S
 from ..functions.model import DEFAULT_INSERT, DEFAULT_OTHER, DEFAULT_SAME, DEFAULT_TRANSITIONS, STATES, TRANSITIONS, default_model, forward_log_likelihood, normalised, path_log_likelihood, to_row
 from ..operators import align, assembly, edits, fit, polish, simulate, windows
 from ..operators.tables import materialise
-from .sequences import SQL_DRAFTS, SQL_PAIRS, SQL_READS, SQL_TEMPLATES, drafts, pairs, reads, sql_edits, table, templates
+from .sequences import LENGTH, SQL_DRAFTS, SQL_PAIRS, SQL_READS, SQL_TEMPLATES, drafts, pairs, reads, sql_edits, table, templates
 
 AFFINE = (3, -6, -10, -2)
 CHUNK, OVERLAP = 10, 4
@@ -440,11 +440,50 @@ def hmm_viterbi(spark, sf_dir):
     return rows.select("tid", F.round("log_likelihood", 6).alias("log_likelihood"), F.round(replayed, 6).alias("replayed"), spans.alias("spans"))
 
 
-@_query()
+def _sql_hmm_table() -> str:
+    """Each edit's likelihood from what comes before it and what comes after, by recursion over a draft's columns.
+
+    A row of `pre` is one column of a read's table: what enters the column by a match (gm) or a deletion (gd), by query position, and
+    with the insertions there what goes on to a match (am) or a deletion (ad).  A row of `post` is what is left from a match (bm) or
+    a deletion (bd); `ee` has bm behind a new base, for each of the four.  Every path enters a column once.
+    """
+    t = {k: f"{v}::DOUBLE" for k, v in zip(TRANSITIONS, DEFAULT_TRANSITIONS, strict=True)}
+    columns, insert = "range(1, length(rd) + 2)", f"{DEFAULT_INSERT}::DOUBLE"
+    stay = f"({t['ins_ins']} * {insert})"
+    emit = lambda base, at: f"CASE WHEN {base} = substr(rd, {at}, 1) THEN {DEFAULT_SAME}::DOUBLE ELSE {DEFAULT_OTHER}::DOUBLE END"
+    falling = "[" + ", ".join(f"{(DEFAULT_TRANSITIONS[4] * DEFAULT_INSERT) ** k!r}::DOUBLE" for k in range(2 * LENGTH, -1, -1)) + "]"
+    rising = f"list_reverse({falling})"
+    run = f"[CASE WHEN j = 1 THEN 0 ELSE list_dot_product(h[1:j - 1], {falling}[{2 * LENGTH + 3} - j:]) END FOR j IN {columns}]"
+    entered = f"[({t['mat_ins']} * gm[k] + {t['del_ins']} * gd[k]) * {insert} FOR k IN {columns}]"
+    leave = lambda s: f"[{t[f'mat_{s}']} * gm[j] + {t[f'ins_{s}']} * gi[j] + {t[f'del_{s}']} * gd[j] FOR j IN {columns}]"
+    left = lambda s: f"[{t[f'{s}_mat']} * x[j] + {t[f'{s}_del']} * z[j] + {t[f'{s}_ins']} * {insert} * coalesce(bi[j + 1], 0) FOR j IN {columns}]"
+    ends = lambda s: f"[CASE WHEN j = length(rd) + 1 THEN 1 ELSE {t[f'{s}_ins']} * {insert} * pow({stay}, length(rd) - j) END FOR j IN {columns}]"
+    return f"""WITH RECURSIVE {SQL_READS}, {SQL_DRAFTS}, own AS (SELECT tid, draft, rd, row_number() OVER () AS own FROM drafts JOIN reads USING (tid)),
+        pre(own, draft, rd, c, gm, gd, am, ad) AS (
+            SELECT own, draft, rd, 0, gm, gd, {leave('mat')}, {leave('del')} FROM (SELECT *, {run} AS gi FROM (SELECT *, {entered} AS h FROM (SELECT *, [(j = 1)::INT::DOUBLE FOR j IN {columns}] AS gm, [0::DOUBLE FOR j IN {columns}] AS gd FROM own)))
+            UNION ALL
+            SELECT own, draft, rd, c, gm, gd, {leave('mat')}, {leave('del')} FROM (SELECT *, {run} AS gi FROM (SELECT *, {entered} AS h FROM (
+                SELECT own, draft, rd, c + 1 AS c, [0::DOUBLE] || [am[j] * {emit('substr(draft, c + 1, 1)', 'j')} FOR j IN range(1, length(rd) + 1)] AS gm, ad AS gd FROM pre WHERE c < length(draft))))),
+        post(own, draft, rd, c, bm, bd) AS (
+            SELECT own, draft, rd, length(draft)::INT, {ends('mat')}, {ends('del')} FROM own
+            UNION ALL
+            SELECT own, draft, rd, c, {left('mat')}, {left('del')} FROM (
+                SELECT *, [list_dot_product(h[j:], {rising}[1:length(rd) + 2 - j]) FOR j IN {columns}] AS bi FROM (SELECT *, [{t['ins_mat']} * x[k] + {t['ins_del']} * z[k] FOR k IN {columns}] AS h FROM (
+                    SELECT own, draft, rd, c - 1 AS c, [bm[j + 1] * {emit('substr(draft, c, 1)', 'j')} FOR j IN range(1, length(rd) + 1)] || [0::DOUBLE] AS x, bd AS z FROM post WHERE c > 0)))),
+        after AS (SELECT own, c, bm, bd, {', '.join(f"[bm[j + 1] * {emit(repr(b), 'j')} FOR j IN range(1, length(rd) + 1)] || [0::DOUBLE] AS e{k}" for k, b in enumerate('ACGT'))} FROM post),
+        joined AS MATERIALIZED (SELECT o.tid, p.c - greatest(-step, 0) AS pos, step, CASE WHEN step <> 0 THEN list_dot_product(p.gm, a.bm) + list_dot_product(p.gd, a.bd) END AS moved,
+            {', '.join(f"CASE WHEN step IN (0, 1) THEN list_dot_product(p.am, a.e{k}) + list_dot_product(p.ad, a.bd) END AS b{k}" for k in range(4))}
+            FROM pre p CROSS JOIN range(-3, 4) r(step) JOIN after a ON a.own = p.own AND a.c = p.c + step JOIN own o ON o.own = p.own),
+        each AS (SELECT tid, pos, CASE WHEN step < 0 THEN 7 - step ELSE 10 + step END AS slot, ln(moved) AS lk FROM joined WHERE step <> 0
+            {' '.join(f"UNION ALL SELECT tid, pos, CASE step WHEN 1 THEN {k} ELSE {4 + k} END, ln(b{k}) FROM joined WHERE step IN (0, 1)" for k in range(4))})
+        SELECT tid, pos, slot::INT AS slot, round(sum(lk), 4) AS score FROM each GROUP BY ALL"""
+
+
+@_query(_sql_hmm_table())
 def hmm_perturb(spark, sf_dir):
     d, r = _draft_reads(spark, sf_dir)
     tables = edits.read_tables(r.join(d, "tid"), ["tid"], "draft", "rd", S.T14, model=default_model())
-    return edits.summed_tables(tables, "tid", S.T14).withColumn("score", F.round("score", 6))
+    return edits.summed_tables(tables, "tid", S.T14).withColumn("score", F.round("score", 4))
 
 
 @_query("""SELECT l_partkey, round(m + ln(sum(exp(x - m))), 6) AS total FROM (SELECT l_partkey, -l_quantity AS x, max(-l_quantity) OVER (PARTITION BY l_partkey) AS m FROM lineitem) GROUP BY l_partkey, m""")

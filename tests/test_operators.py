@@ -210,6 +210,21 @@ def test_model_tables(spark):
     assert np.allclose(back.t, model.t) and np.allclose(back.e, model.e)
 
 
+def test_three_way_and_distance_of_odd_rows(spark):
+    rows = [("ACGT", "AGT", "=D=="), ("ACGT", "ACTTG", "==X=I"), ("", "AC", "II"), ("AC", "", "DD"), ("", "", ""), (None, "A", "I"), ("A", None, "D"), ("A", "A", None), ("GA", "TTGAC", "II==I")]
+    frame = spark.createDataFrame(rows, "r string, q string, p string")
+    got = frame.select(S.three_way(F.col("r"), F.col("q"), F.col("p")).alias("a"), S.edit_distance_by_rows(F.col("r"), F.col("q")).alias("d"), F.levenshtein("r", "q").alias("want")).collect()
+    assert [tuple(g["a"]) for g in got] == [
+        ("ACGT", "| ||", "A GT"), ("ACGT ", "||X| ", "ACTTG"), ("  ", "  ", "AC"), ("AC", "  ", "  "), ("", "", ""), (None,) * 3, (None,) * 3, (None,) * 3, ("  GA ", "  || ", "TTGAC"),
+    ]
+    assert [g["d"] for g in got] == [g["want"] for g in got]
+
+
+def test_log_sum_exp_of_nothing(spark):
+    frame = spark.createDataFrame([([],), ([-2.0],)], "v array<double>")
+    assert [r[0] for r in frame.select(S.log_sum_exp(F.col("v"), S.LOG_ZERO)).collect()] == [S.LOG_ZERO, -2.0]
+
+
 def test_log_sum_exp(spark):
     got = spark.createDataFrame([([-1000.0, -1001.0],), ([],)], "v array<double>").select(S.log_sum_exp(F.col("v")).alias("x")).collect()
     assert abs(got[0].x - (-1000 + np.log1p(np.exp(-1)))) < 1e-9 and got[1].x == 0
