@@ -16,6 +16,8 @@ FAR = np.int64(10**9)
 #: Code of what is put before both sequences of a pair to give it the lengths of longer ones: it meets only itself, at no cost, so
 #: a best path, and any path that counts, passes through the corner behind it.
 PAD = 4
+#: Code of what is put before that in a query that is short by more than its reference: a row of it is the row before it again.
+SKIP = 5
 
 
 def codes(seq: str) -> np.ndarray:
@@ -140,7 +142,7 @@ def distance_table(reference: np.ndarray, query: np.ndarray, band: Band | None =
     out[:, 0] = k
     for i in range(1, m + 1):
         above = out[:, i - 1]
-        row = np.minimum(band.moved(above, i - 1, i, 0, FAR) + 1, band.moved(above, i - 1, i, -1, FAR) + (band.of(before, i) != y[:, i - 1, None]))
+        row = np.minimum(band.moved(above, i - 1, i, 0, FAR) + (y[:, i - 1, None] != SKIP), band.moved(above, i - 1, i, -1, FAR) + (band.of(before, i) != y[:, i - 1, None]))
         np.minimum(np.minimum.accumulate(row - k, axis=-1) + k, FAR, out=out[:, i])
     return out if reference.ndim > 1 else out[0]
 
@@ -312,6 +314,13 @@ def _affine_path(planes: np.ndarray, starts: np.ndarray, reference: np.ndarray,
 AGREE = 1e-4
 
 
+def _skip(row: np.ndarray, table: np.ndarray, y: np.ndarray, band: Band, i: int, to: int, fill: float) -> None:
+    """Where the query has SKIP, `row`, which is row `to` of a table of three states, becomes its row i again."""
+    pairs = np.flatnonzero(y == SKIP)
+    if len(pairs):
+        row[:, pairs] = band.moved(table[:, :, i], i, to, 0, fill)[:, pairs]
+
+
 class PairModel:
     """Pair-HMM: transitions between match, insertion and deletion, and emissions.
 
@@ -324,8 +333,8 @@ class PairModel:
         self.e = np.asarray(emit, float).reshape(4, 4)
         self.i = np.asarray(insert, float).reshape(5, 4)
         # With PAD: two that meet make up for the step from match to match, and what follows one is a first base.
-        self._emit, self._insert = np.zeros((5, 5)), np.zeros((5, 5))
-        self._emit[:4, :4], self._insert[:, :4] = self.e, self.i
+        self._emit, self._insert = np.zeros((5, 6)), np.zeros((6, 6))
+        self._emit[:4, :4], self._insert[:5, :4], self._insert[SKIP, :4] = self.e, self.i, self.i[4]
         if self.t[0, 0] > 0:
             self._emit[PAD, PAD] = 1 / self.t[0, 0]
 
@@ -351,6 +360,8 @@ class PairModel:
                 row[0] = band.moved(np.tensordot(t[:, 0], above, 1), i - 1, i, -1, 0.0) * self._emit[band.of(before, i), y[:, i - 1, None]]
                 row[1] = band.moved(np.tensordot(t[:, 1], above, 1), i - 1, i, 0, 0.0) * insert[:, i - 1, None]
             row[2] = _decayed_sum(shifted(t[0, 2] * row[0] + t[1, 2] * row[1], -1, 0.0), t[2, 2])
+            if i:
+                _skip(row, f, y[:, i - 1], band, i - 1, i, 0.0)
             total = row.sum((0, -1))
             row /= np.where(total > 0, total, 1)[:, None]
             with np.errstate(divide="ignore"):
@@ -380,6 +391,8 @@ class PairModel:
             row[2] = _decayed_sum(row[2, :, ::-1], t[2, 2])[:, ::-1]
             for s in (0, 1):
                 row[s] += t[s, 2] * shifted(row[2], 1, 0.0)
+            if i < m:
+                _skip(row, b, y[:, i], band, i + 1, i, 0.0)
             total = row.sum((0, -1))
             row /= np.where(total > 0, total, 1)[:, None]
             with np.errstate(divide="ignore"):
@@ -414,6 +427,7 @@ class PairModel:
         top = np.where(np.isfinite(both), both, -1e300).max(-1)
         with np.errstate(invalid="ignore"):
             at_same, at_next = (np.nan_to_num(np.exp(z - top[:, None])) for z in (same, onward))
+        at_same[:, :-1][y == SKIP], at_next[y == SKIP] = 0, 0  # the same row follows, and counts
         out = np.zeros((8 + copies + deletions, len(x), n + 1))
         row = np.empty((8 + copies + deletions, len(x), band.width))
         for i in range(m + 1):
@@ -468,6 +482,8 @@ class PairModel:
                 row[1] = band.moved(into(1, above), i - 1, i, 0, -np.inf) + insert[:, i - 1, None]
             arrive = shifted(np.maximum(t[0, 2] + row[0], t[1, 2] + row[1]), -1, -np.inf)
             row[2] = np.maximum.accumulate(arrive - k * t[2, 2], axis=-1) + k * t[2, 2] if np.isfinite(t[2, 2]) else arrive
+            if i:
+                _skip(row, v, y[:, i - 1], band, i - 1, i, -np.inf)
         return v if reference.ndim > 1 else v[:, 0]
 
     def viterbi_path(self, v: np.ndarray, reference: np.ndarray, query: np.ndarray, starts: np.ndarray | None = None) -> tuple[float, str]:

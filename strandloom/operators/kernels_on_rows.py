@@ -55,45 +55,57 @@ def by_shape(frame: pd.DataFrame, radius: int | None) -> Iterator[tuple[np.ndarr
         yield places, x, y, band
 
 
-def padded(frame: pd.DataFrame, radius: int | None, slack: float = SLACK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, K.Band, list[int]]]:
+def padded(frame: pd.DataFrame, radius: int | None, slack: float = SLACK, mixed: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, K.Band, list[int]]]:
     """As `by_shape`, but pairs whose lengths differ alike, and are up to `slack` times (and PADS steps) those of the shortest, go
     together: each begins with as many PAD codes in both sequences as it is short, the last of what is given.
 
-    What a pair's table has from that row and column on is its own; only affine scores and training can't take such pairs.
+    With `mixed` lengths may also differ by different numbers, of as many steps: a query that is short by more than its reference
+    has SKIP codes before its pads, so its own bases are its last ones.  What a pair's table has from its own bases on is its own;
+    only affine scores and training can't take such pairs.
     """
     good = np.flatnonzero((frame[0].notna() & frame[1].notna()).to_numpy())
     refs, queries = frame[0].to_numpy(), frame[1].to_numpy()
-    alike: dict[tuple[int, bool], list[tuple[int, int]]] = {}
+    alike: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
     for k in good.tolist():
         n, m = len(refs[k]), len(queries[k])
         # A band of that radius would hold the whole table.
-        alike.setdefault((n - m, radius is not None and 2 * radius < max(n, m)), []).append((n, k))
-    for (more, banded), found in alike.items():
+        alike.setdefault((0 if mixed else m - n, radius is not None and 2 * radius < max(n, m)), []).append((n, m - n, k))
+    for (_, banded), found in alike.items():
         found.sort()
         at = 0
         while at < len(found):
-            longest, end = found[at][0] * slack + (PADS if slack > 1 else 0), at
+            shortest = found[at][0]
+            longest, end = shortest * slack + (PADS if slack > 1 else 0), at
+            least = most = found[at][1]
             while end < len(found) and found[end][0] <= longest:
-                n = found[end][0]
+                n, more = found[end][:2]
+                if max(most, more) - min(least, more) > longest - shortest:
+                    break
+                least, most = min(least, more), max(most, more)
                 end += 1
-                if (end - at) * (n - more + 1) * (min(n + 1, 4 * radius + 2) if banded else n + 1) >= CELLS:
+                if (end - at) * (n + most + 1) * (min(n + 1, 4 * radius + 2) if banded else n + 1) >= CELLS:
                     break
-            some = [k for _, k in found[at:end]]
+            some = [k for _, _, k in found[at:end]]
             n = found[end - 1][0]
-            pads = [n - own for own, _ in found[at:end]]
-            yield np.array(some), _coded(refs, some, n), _coded(queries, some, n - more), _band(frame, some, pads, n, n - more, radius if banded else None), pads
+            m = n + most
+            pads = [n - own for own, _, _ in found[at:end]]
+            skips = [most - more for _, more, _ in found[at:end]]
+            yield np.array(some), _coded(refs, some, n), _coded(queries, some, m, skips), _band(frame, some, pads, skips, n, m, radius if banded else None), pads
             at = end
 
 
-def _coded(column: np.ndarray, some: list[int], width: int) -> np.ndarray:
+def _coded(column: np.ndarray, some: list[int], width: int, skips: list[int] | None = None) -> np.ndarray:
     out = np.full((len(some), width), K.PAD, np.uint8)
     for row, k in enumerate(some):
         out[row, width - len(column[k]) :] = K.codes(column[k])
+        if skips:
+            out[row, : skips[row]] = K.SKIP
     return out
 
 
-def _band(frame: pd.DataFrame, some: list[int], pads: list[int], n: int, m: int, radius: int | None) -> K.Band:
+def _band(frame: pd.DataFrame, some: list[int], pads: list[int], skips: list[int], n: int, m: int, radius: int | None) -> K.Band:
     if radius is None:
         return K.Band.full(len(some), n, m)
     paths = frame[2].to_numpy()[some]
-    return K.Band.around(["=" * pad + (K.straight_path(n - pad, m - pad) if own is None else own) for own, pad in zip(paths, pads, strict=True)], n, m, radius)
+    whole = ["I" * skip + "=" * pad + (K.straight_path(n - pad, m - pad - skip) if own is None else own) for own, pad, skip in zip(paths, pads, skips, strict=True)]
+    return K.Band.around(whole, n, m, radius)

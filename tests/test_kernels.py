@@ -325,3 +325,34 @@ def test_padded_pairs(radius):
                 # Rounding may tell apart paths that tie, so only what they are worth is the same.
                 assert abs(score - padded_score) < 1e-9 and len(padded_path) - padded_path.count("I") == len(a) and len(padded_path) - padded_path.count("D") == len(b)
     assert sorted(seen) == list(range(len(rows) - 1)) and with_pads > 50
+
+
+@pytest.mark.parametrize("radius", [None, 12])
+def test_pairs_of_mixed_lengths(radius):
+    """Queries short by different numbers of bases share calls behind skipped rows, and have the tables and paths they have alone."""
+    rng, model = random.Random(4), default_model()
+    rows = [(a, mutated(rng, a, rng.randrange(7))) for a in ("".join(rng.choices("ACGT", k=rng.randrange(1, 60))) for _ in range(120))] + [("", ""), ("", "AC"), ("ACG", ""), ("AC", "ACGTACGT"), (None, "A")]
+    frame, seen, calls, skipped = pd.DataFrame({0: [r[0] for r in rows], 1: [r[1] for r in rows], 2: pd.Series([None] * len(rows), dtype=object)}), [], 0, 0
+    for places, x, y, band, pads in padded(frame, radius, mixed=True):
+        seen, calls = seen + places.tolist(), calls + 1
+        (total, table), best, steps = K.edit_table(x, y, 3, 3, band), model.viterbi_table(x, y, band), K.distance_table(x, y, band)
+        likely, edited_likely, behind = model.edit_table(x, y, 3, 3, band, back=True)
+        np.testing.assert_allclose(likely, behind, atol=1e-9)
+        np.testing.assert_allclose(likely, model.likelihood(x, y, band), atol=1e-9)
+        for k, (p, pad) in enumerate(zip(places.tolist(), pads, strict=True)):
+            a, b = K.codes(rows[p][0]), K.codes(rows[p][1])
+            row = y.shape[-1] - len(b)
+            skipped += row > pad
+            assert (x[k, pad:] == a).all() and (y[k, row:] == b).all() and (y[k, : row - pad] == K.SKIP).all() and (y[k, row - pad : row] == K.PAD).all()
+            path = K.distance_path(steps[k, row:], a, b, "ID=", band.starts[k, row:] - pad)
+            assert len(path) - path.count("=") == total[k] and len(path) - path.count("I") == len(a) and len(path) - path.count("D") == len(b)
+            if radius is None:
+                alone, alone_likely = K.edit_table(a, b, 3, 3), model.edit_table(a, b, 3, 3)
+                assert alone[0] == total[k] and (alone[1] == table[k, pad:]).all()
+                assert path == K.distance_path(K.distance_table(a, b), a, b, "ID=")
+                np.testing.assert_allclose(alone_likely[0], likely[k], atol=1e-9)
+                np.testing.assert_allclose(alone_likely[1], edited_likely[k, pad:], atol=1e-9)
+                (score, _), (mixed_score, mixed_path) = model.viterbi(a, b), model.viterbi_path(best[:, k, row:], a, b, band.starts[k, row:] - pad)
+                assert abs(score - mixed_score) < 1e-9 and len(mixed_path) - mixed_path.count("I") == len(a) and len(mixed_path) - mixed_path.count("D") == len(b)
+    assert sorted(seen) == list(range(len(rows) - 1)) and skipped > 50
+    assert calls < sum(1 for _ in padded(frame, radius))
