@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.sequences import T16
 from .align import edit_paths
 from .assembly import sub_reads
-from .edits import best_slots, choose_edits, merge_windows, read_tables, summed_tables
+from .edits import best_edits, choose_edits, merge_windows, part_tables
 from .polish import polish, polish_exactly
 from .tables import materialise
 
@@ -52,9 +52,8 @@ def polish_focused(drafts: DataFrame, reads: DataFrame, key: str, draft: str, re
     whole = drafts.select(key, F.col(draft).alias("draft"))
     pairs = reads.select(key, F.col(read).alias("read")).join(whole, key)
     pairs = materialise(edit_paths(pairs, "draft", "read", radius).select(key, "draft", "read", F.col("ops").alias("path")))
-    tables = materialise(read_tables(pairs, [key], "draft", "read", T16, radius, "path"))
-    totals = tables.groupBy(key).agg(F.sum("total").alias("total"))
-    chosen = choose_edits(whole, best_slots(summed_tables(tables, key, T16), key), totals, key, "draft", T16, F.lit(rest))
+    tables, deep = part_tables(pairs, [key], "draft", "read", T16, radius, "path")
+    chosen = choose_edits(whole, best_edits(tables, key, T16, deep=deep), None, key, "draft", T16, F.lit(rest))
     places = chosen.select(key, F.explode("edits.pos").alias("pos"))
     merged = merge_windows(places, key, width).join(whole.select(key, F.length("draft").alias("__length")), key)
     inside = merged.select(key, F.greatest("start", F.lit(0)).alias("start"), F.least("end", "__length").alias("end")).filter("start < end")
