@@ -349,3 +349,18 @@ def test_a_drafts_tables_add_up_in_one_place(spark, monkeypatch, model):
     assert [x[:3] for x in found[0][0]] == [x[:3] for x in found[1][0]] and found[0][1] == found[1][1]
     assert [x[3] for x in found[0][0]] == pytest.approx([x[3] for x in found[1][0]], abs=1e-3)
 
+
+def test_repeated_positions_are_one_window(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 5), (1, 90), (1, 90), (2, 7)], "k int, pos int")
+    assert sorted(map(tuple, edits.merge_windows(rows, "k", 10).select("k", "start", "end").collect())) == [(1, -5, 15), (1, 80, 100), (2, -3, 17)]
+
+
+def test_windows_hold_no_table_in_memory(spark):
+    """A task sorts its rows once: no aggregate by island, and about SORT_ROWS rows in each, whatever the table's size."""
+    from strandloom.operators import tables
+
+    rows = spark.range(3 * tables.SORT_ROWS).selectExpr("id % 1000 AS k", "id AS pos")
+    merged = edits.merge_windows(rows, "k", 10)
+    assert "Aggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert tables.sortable(rows, "k").rdd.getNumPartitions() == 4 and tables.sortable(rows.union(rows), "k").rdd.getNumPartitions() == 6
+
