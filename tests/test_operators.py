@@ -364,3 +364,13 @@ def test_windows_hold_no_table_in_memory(spark):
     assert "Aggregate" not in merged._jdf.queryExecution().executedPlan().toString()
     assert tables.sortable(rows, "k").rdd.getNumPartitions() == 4 and tables.sortable(rows.union(rows), "k").rdd.getNumPartitions() == 6
 
+
+def test_pairs_are_dealt_to_all_tasks(spark):
+    """The part table is one small file: without dealing one task has all of a kernel's work."""
+    from strandloom.plans.queries import QUERIES
+    from strandloom.plans.sequences import pairs
+
+    assert pairs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+    for name in ("edit_dp_lambda", "affine_global_score", "sample_reads_hmm"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
