@@ -374,3 +374,10 @@ def test_pairs_are_dealt_to_all_tasks(spark):
     for name in ("edit_dp_lambda", "affine_global_score", "sample_reads_hmm"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
 
+
+def test_a_crop_is_folded_once(spark):
+    """The filter and the columns that use a cut share one fold."""
+    rows = spark.createDataFrame([("t", 0, "r", "ACGT", "====", 0, 1, 3)], "template_id string, chunk_id int, read_id string, seq string, path string, start int, chunk_start int, chunk_end int")
+    cut = assembly.sub_reads(rows)
+    assert [tuple(r) for r in cut.collect()] == [("t", 0, "r", "CG", "==")]
+    assert cut._jdf.queryExecution().executedPlan().toString().count("aggregate(") == 1
