@@ -32,9 +32,9 @@ def edit_paths(df: DataFrame, reference: str, query: str, radius: int | None = N
         paths: list[str | None] = [None] * len(frame)
         for places, x, y, band, pads in padded(frame, radius):
             tables = K.distance_table(x, y, band)
-            for k, (p, pad) in enumerate(zip(places.tolist(), pads, strict=True)):
-                distances[p] = int(tables[k, -1, -1])
-                paths[p] = K.distance_path(tables[k, pad:], x[k, pad:], y[k, pad:], ties, band.starts[k, pad:] - pad)
+            before = np.array(pads)
+            for k, (p, found) in enumerate(zip(places.tolist(), K.distance_paths(tables, x, y, ties, band.starts, before, before), strict=True)):
+                distances[p], paths[p] = int(tables[k, -1, -1]), found
         return np.arange(len(frame)), pd.DataFrame({"distance": pd.array(distances, "Int64"), "ops": pd.Series(paths, dtype=object)})
 
     return map_rows(source, df.columns, [reference, query, along], "distance long, ops string", kernel)
@@ -99,8 +99,9 @@ def best_paths(df: DataFrame, reference: str, query: str, model: K.PairModel | N
         out: list[tuple] = [(None, None)] * len(frame)
         for places, x, y, band, pads in padded(frame, radius):
             tables = model.viterbi_table(x, y, band)
-            for k, (p, pad) in enumerate(zip(places.tolist(), pads, strict=True)):
-                out[p] = model.viterbi_path(tables[:, k, pad:], x[k, pad:], y[k, pad:], band.starts[k, pad:] - pad)
+            before = np.array(pads)
+            for p, found in zip(places.tolist(), model.viterbi_paths(tables, x, y, band.starts, before, before), strict=True):
+                out[p] = found
         return np.arange(len(frame)), pd.DataFrame(out, columns=["log_likelihood", "ops"])
 
     return map_rows(source, df.columns, [reference, query, along], "log_likelihood double, ops string", kernel)

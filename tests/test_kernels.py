@@ -356,3 +356,21 @@ def test_pairs_of_mixed_lengths(radius):
                 assert abs(score - mixed_score) < 1e-9 and len(mixed_path) - mixed_path.count("I") == len(a) and len(mixed_path) - mixed_path.count("D") == len(b)
     assert sorted(seen) == list(range(len(rows) - 1)) and skipped > 50
     assert calls < sum(1 for _ in padded(frame, radius))
+
+
+def test_paths_at_once_are_those_of_single_pairs():
+    """Padded pairs of a batch traced back together, with and without bands, for either table."""
+    rng = random.Random(3)
+    frame = pd.DataFrame([(a := "".join(rng.choices("ACGT", k=rng.randint(18, 20))), mutated(rng, a, 3), None) for _ in range(300)], columns=[0, 1, 2])
+    for radius in (None, 4):
+        sizes = []
+        for places, x, y, band, pads in padded(frame, radius, mixed=True):
+            rows = y.shape[-1] - np.array([len(frame[1][p]) for p in places.tolist()])
+            cut = [(k, r, p, x[k, p:], y[k, r:], band.starts[k, r:] - p) for k, (r, p) in enumerate(zip(rows.tolist(), pads, strict=True))]
+            table, best = K.distance_table(x, y, band), MODEL.viterbi_table(x, y, band)
+            assert table.dtype == np.int32
+            for order in ("DI=", "ID="):
+                assert K.distance_paths(table, x, y, order, band.starts, rows, np.array(pads)) == [K.distance_path(table[k, r:], a, b, order, s) for k, r, _, a, b, s in cut]
+            assert MODEL.viterbi_paths(best, x, y, band.starts, rows, np.array(pads)) == [MODEL.viterbi_path(best[:, k, r:], a, b, s) for k, r, _, a, b, s in cut]
+            sizes.append(len(places))
+        assert max(sizes) >= K.FEW
