@@ -5,7 +5,8 @@
    than a linked partner can differ in, so linked sets share at least one part whole (pigeonhole).  Shingles that very
    many sets hold are left out of the parts, which loses no link and keeps common passages from joining unrelated
    documents.  Nodes that share a part are joined as a star around the smallest of them, inside each batch first, so
-   a part that very many documents share reaches the shuffle once a batch.  No link leaves a family.
+   a part that very many documents share reaches the shuffle once a batch.  Batches send their keys packed by ranges, about 8
+   bytes for a key and its node.  No link leaves a family.
    Large families are split once more: counts of shingles by hash range bound from below how much two sets
    differ, and what no bounded pair connects comes apart.
 3. In a family the token-group matrix does the join: groups of similar documents, the union of each group's
@@ -17,7 +18,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -37,12 +38,16 @@ LARGE_SHINGLES = 200_000
 GROUP_ROWS = 16
 #: Ids of documents to fetch are broadcast up to this many, else joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Before that shuffle documents are told by a slot of their id, one of so many: the slots in use are broadcast, whatever the table's size.
+SLOTS = 1 << 22
 #: Shingles found in this many sets count as frequent; of more than FREQUENT_LIMIT of them the most frequent do.  They
 #: only steer which parts are compared: results are the same with any list.
 FREQUENT = 32
 FREQUENT_LIMIT = 1_000_000
 #: Rows of keys, or shingles, that a task holds before it passes them on.
 _HOLD = 2_000_000
+#: Keys of parts are dealt by ranges: about so many keys at most in each, and so many ranges to a task.
+RANGE_KEYS, RANGES = 1_000_000, 8
 _U = np.uint64
 _B = _U(0x9DDFEA08EB382D69)
 
@@ -180,7 +185,46 @@ def _star_rows(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[starts[:-1]], nodes[starts[:-1]], edges[:, 0], edges[:, 1]
 
 
-def _emit_parts(k: int, percent: int, frequent: Broadcast):
+def _packed(keys: np.ndarray, names: np.ndarray, ranges: int, bits: int, width: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Sorted keys and the name of each as one row for each range of the keys: its number, its first key, and the rest.
+
+    Of a key `bits` bits are kept, as the difference from the one before in as many bytes as the range needs; of a name `width` bytes.
+    """
+    if not len(keys):
+        return [], [], []
+    code = keys >> _U(64 - bits)
+    part = ((keys >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+    starts = runs_of(part)
+    step = np.zeros(len(code), np.uint64)
+    step[1:] = code[1:] - code[:-1]
+    step[starts[:-1]] = 0
+    most = np.maximum.reduceat(step, starts[:-1]).tolist()
+    steps, own = step.view(np.uint8).reshape(-1, 8), names.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width]
+    blobs = []
+    for lo, hi, top in zip(starts[:-1].tolist(), starts[1:].tolist(), most, strict=True):
+        bytes_ = max(1, (top.bit_length() + 7) // 8)
+        blobs.append(bytes([bytes_]) + steps[lo:hi, :bytes_].tobytes() + own[lo:hi].tobytes())
+    return part[starts[:-1]].tolist(), code[starts[:-1]].astype(np.int64).tolist(), blobs
+
+
+def _unpacked(first: int, blob: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, names) of a row of `_packed`."""
+    bytes_ = int(blob[0])
+    n = (len(blob) - 1) // (bytes_ + width)
+    step, name = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
+    step[:, :bytes_] = blob[1 : 1 + n * bytes_].reshape(n, bytes_)
+    name[:, :width] = blob[1 + n * bytes_ :].reshape(n, width)
+    return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64) + _U(first), name.view(np.int64).ravel()
+
+
+def _names(nodes: np.ndarray, width: int) -> np.ndarray:
+    """The first `width` bytes of nodes, as numbers."""
+    return (nodes.view(np.uint64) >> _U(64 - 8 * width)).view(np.int64)
+
+
+def _emit_parts(k: int, percent: int, frequent: Broadcast, ranges: int, bits: int, width: int):
+    """Rows (part, a, b, packed): of each batch its keys, packed by ranges, or without `packed` an edge between two names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.frombuffer(frequent.value, np.uint64)
         for batch in batches:
@@ -198,33 +242,59 @@ def _emit_parts(k: int, percent: int, frequent: Broadcast):
                 code = code[np.repeat(wanted, np.diff(at))]
                 at = np.concatenate([[0], np.cumsum(np.diff(at)[wanted])])
                 row, key = part_keys(code, at, percent, common)
-                keys.append(key.view(np.int64))
-                nodes.append(ids[wanted][row])
+                keys.append(key)
+                nodes.append(_names(ids[wanted], width)[row])
                 held += len(key)
                 if held > _HOLD or j == len(offsets) - 1:
                     key, centre, a, b = _star_rows(np.concatenate(keys), np.concatenate(nodes))
                     keys, nodes, held = [], [], 0
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, a])), pa.array(np.concatenate([centre, b]))], names=["key", "node"])
+                    part, first_key, blobs = _packed(key, centre, ranges, bits, width)
+                    columns = [np.concatenate([np.array(part, np.int64), a % ranges]), np.concatenate([np.array(first_key, np.int64), a]), np.concatenate([np.zeros(len(part), np.int64), b])]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array([*blobs, *[None] * len(a)], pa.binary())], names=["part", "a", "b", "packed"])
 
     return lean(run)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) from rows sorted by (key, node): an even key is itself the centre of an edge found in a batch."""
-    last_key, last_centre = 0, 0
-    for batch in batches:
-        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        starts = runs_of(key)
-        centres = node[starts[:-1]].copy()
-        if key[0] == last_key:
-            centres[0] = last_centre
-        last_key, last_centre = key[-1], centres[-1]
-        centre = np.where(key & 1, np.repeat(centres, np.diff(starts)), key)
-        apart = centre != node
-        edges = np.unique(np.stack([centre[apart], node[apart]], 1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+def _stars(width: int):
+    """Edges (a, b) of names from the rows of `_emit_parts`, sorted by part: of each key a star around its smallest name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["part"]):
+            table = table.combine_chunks()
+            part, a, b = (table.column(c).to_numpy() for c in ("part", "a", "b"))
+            data, offsets = text_buffer(table.column("packed"))
+            known = np.diff(offsets) > 0
+            edges = [np.stack([a[~known], b[~known]], 1)]
+            starts = runs_of(part)
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                rows = [_unpacked(int(a[r]), data[offsets[r] : offsets[r + 1]], width) for r in range(lo, hi) if known[r]]
+                if len(rows) > 1:
+                    _, _, centre, name = _star_rows(np.concatenate([key for key, _ in rows]), np.concatenate([name for _, name in rows]))
+                    edges.append(np.stack([centre, name], 1))
+            found = np.unique(np.concatenate(edges), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return lean(run)
+
+
+def _families(parts_of: Callable[[int, int, int], DataFrame], firsts: DataFrame, n_sets: int, n_shingles: int, percent: int) -> DataFrame:
+    """(node, family) of the nodes that share a part with another one.
+
+    What is shuffled of a key and its node are short forms: half of a node's bytes are its name, and of a key so many bits are kept
+    that chance hardly joins keys.  Nodes of one name are in one family, so short forms can join families but lose no link.
+    """
+    spark = firsts.sparkSession
+    n_keys = 4 * n_sets + int(n_shingles * 3 * (100 - percent) / (100 + percent)) + 1
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // (RANGES * RANGE_KEYS)))
+    width = 4 if n_sets < 1 << 25 else 5
+    bits = min(63, max(48, int(np.ceil(2 * np.log2(n_keys) - np.log2(n_sets + 1) + 9))))
+    parts = parts_of(RANGES * tasks, bits, width)
+    dealt = parts.repartition("part") if tasks == int(spark.conf.get("spark.sql.shuffle.partitions")) else parts.repartition(tasks, "part")
+    stars = dealt.sortWithinPartitions("part").mapInArrow(_stars(width), "a long, b long").distinct()
+    linked = materialise(connected_components(stars).select(F.col("node").alias("name"), F.col("component").alias("family")))
+    named = firsts.select("node", F.shiftrightunsigned("node", 64 - 8 * width).alias("name"))
+    shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").join(linked, "name", "left_anti")
+    return named.join(linked.unionByName(shared.select("name", F.col("name").alias("family"))), "name").select("node", "family")
 
 
 def link_family(sets: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int) -> np.ndarray:
@@ -437,6 +507,13 @@ def _beside(rows: DataFrame, table: DataFrame, on: str, how: str = "inner") -> D
     return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
 
 
+def _likely(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose id has a slot that an id of `rows` has: all of theirs and few others, so that a join shuffles few texts."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    slots = materialise(rows.select(slot.alias("slot")).distinct())
+    return docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").select(*docs.columns)
+
+
 def _compare(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, node, n_shingles) of each row; of each node its smallest doc_id, size, copies and documents; what the
     tasks of `_link_families` found."""
@@ -446,13 +523,12 @@ def _compare(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, ev
     common = np.array([r["token"] for r in tokens.orderBy(F.desc("sets"), "token").limit(FREQUENT_LIMIT).select("token").collect()], np.int64)
     frequent = df.sparkSession.sparkContext.broadcast(np.sort(common.view(np.uint64)).tobytes())
     counted = counted.filter("n_shingles is not null").select("doc_id", "node", "n_shingles")
-    parts = docs.select("text").mapInArrow(_emit_parts(k, percent, frequent), "key long, node long")
-    stars = parts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(_stars), "a long, b long").distinct()
-    families = materialise(connected_components(stars))
-
     firsts = counted.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.countDistinct("doc_id").alias("docs"))
     firsts = materialise(firsts.filter("doc_id is not null"))
-    members = materialise(families.join(firsts.drop("copies"), "node").withColumnRenamed("component", "family"))
+    sizes = counted.agg(F.count("node"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    parts_of = lambda ranges, bits, width: docs.select("text").mapInArrow(_emit_parts(k, percent, frequent, ranges, bits, width), "part long, a long, b long, packed binary")
+    families = _families(parts_of, firsts, *sizes, percent)
+    members = materialise(families.join(firsts.drop("copies"), "node"))
 
     def in_blocks(rows: DataFrame, shingles: int) -> DataFrame:
         size = rows.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / shingles)).cast("int").alias("blocks"), F.avg("n").alias("mean"))
@@ -460,7 +536,9 @@ def _compare(df: DataFrame, k: int, percent: int, id_col: str, text_col: str, ev
         return materialise(_beside(rows, size, "family").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")))
 
     def with_text(rows: DataFrame) -> DataFrame:
-        return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "doc_id")
+        if rows.count() <= BROADCAST_ROWS:
+            return docs.join(F.broadcast(rows), "doc_id")
+        return _likely(docs, rows).join(rows, "doc_id")
 
     # Large families are split first by a bound that needs a small sketch of each text instead of the text.
     large = members.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).filter((F.col("rows") > LARGE_ROWS) | (F.col("total") > LARGE_SHINGLES)).select("family")

@@ -4,11 +4,12 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from strandloom.llm.components import connected_components
 from strandloom.llm.exact_dedup import content_sort_dedup
-from strandloom.llm.ngram_join import jaccard_components, jaccard_links, part_keys
+from strandloom.llm.ngram_join import _families, _likely, _packed, _unpacked, jaccard_components, jaccard_links, part_keys
 from strandloom.llm.substring_dedup import remove_repeats
 
 from . import cases
@@ -222,3 +223,29 @@ def test_substring_dedup_levels_and_null_ids(spark):
     assert sorted(r.n_removed for r in got) in ([0] + [30] * 8, [0, 0] + [30] * 7)
     with pytest.raises(Exception, match="id too large"):
         remove_repeats(table(spark, cases.rows(["a b"], [2**63 - 1]))).collect()
+
+
+def test_keys_of_parts_are_shuffled_in_few_bytes():
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(1, 2**64, 1_000_000, dtype=np.uint64))
+    names = rng.integers(0, 2**32, len(keys))
+    part, first, blobs = _packed(keys, names, 400, 48, 4)
+    assert part == list(range(400)) and sum(map(len, blobs)) < 9.5 * len(keys)
+    found = [_unpacked(f, np.frombuffer(b, np.uint8), 4) for f, b in zip(first, blobs, strict=True)]
+    assert (np.concatenate([k for k, _ in found]) == keys >> np.uint64(16)).all()
+    assert (np.concatenate([n for _, n in found]) == names).all()
+
+
+def test_nodes_of_one_name_are_a_family(spark):
+    nodes = [((1 << 40) + 2, 1), ((1 << 40) + 4, 2), ((9 << 40) + 2, 3), (-(1 << 40), 4)]
+    firsts = spark.createDataFrame(nodes, "node long, doc_id long")
+    none = lambda *_: spark.createDataFrame([], "part long, a long, b long, packed binary")
+    assert {r["node"] for r in _families(none, firsts, 4, 100, 80).collect()} == {(1 << 40) + 2, (1 << 40) + 4}
+    edge = lambda *_: spark.createDataFrame([(0, 9 << 8, (1 << 32) - (1 << 8), None)], "part long, a long, b long, packed binary")
+    assert {r["node"]: r["family"] for r in _families(edge, firsts, 4, 100, 80).collect() if r["node"] in (nodes[2][0], nodes[3][0])} == {nodes[2][0]: 9 << 8, nodes[3][0]: 9 << 8}
+
+
+def test_a_join_by_shuffle_is_of_few_texts(spark):
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    kept = {r["doc_id"] for r in _likely(docs, docs.filter("doc_id % 50 = 0").select("doc_id")).collect()}
+    assert set(range(0, 10_000, 50)) <= kept and len(kept) < 250
