@@ -374,3 +374,19 @@ def test_paths_at_once_are_those_of_single_pairs():
             assert MODEL.viterbi_paths(best, x, y, band.starts, rows, np.array(pads)) == [MODEL.viterbi_path(best[:, k, r:], a, b, s) for k, r, _, a, b, s in cut]
             sizes.append(len(places))
         assert max(sizes) >= K.FEW
+
+
+@pytest.mark.parametrize("mode", ["global", "local", "infix", "overlap"])
+@pytest.mark.parametrize("radius", [None, 6])
+def test_affine_paths_of_many_pairs_are_those_of_single_ones(mode, radius, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 4, (300, 23)).astype(np.uint8), rng.integers(0, 4, (300, 21)).astype(np.uint8)
+    y[:250] = np.delete(x[:250], [4, 15], 1)
+    y[:250, 9] = (y[:250, 9] + 1) % 4
+    band = None if radius is None else K.Band.around([None] * 300, 23, 21, radius)
+    traced = []
+    monkeypatch.setattr(K, "_affine_path", lambda *a, f=K._affine_path: traced.append(1) or f(*a))
+    many = K.affine_pairs(x, y, (3, -6, -10, -2), mode, band)
+    assert not traced
+    monkeypatch.setattr(K, "FEW", 1000)
+    assert many == K.affine_pairs(x, y, (3, -6, -10, -2), mode, band) and len(traced) == 300
