@@ -13,7 +13,7 @@ from .align import edit_paths
 from .assembly import sub_reads
 from .edits import best_edits, choose_edits, merge_windows, part_tables
 from .polish import polish, polish_exactly
-from .tables import materialise
+from .tables import dealt, materialise
 
 #: Positions that rest after an edit when windows are looked for, and a window's reach to either side of an edit.
 REST, WIDTH = 20, 25
@@ -51,10 +51,10 @@ def polish_focused(drafts: DataFrame, reads: DataFrame, key: str, draft: str, re
     """(key, draft, polished): one pass over the windows around edits that would improve a draft, `rest` positions apart."""
     whole = drafts.select(key, F.col(draft).alias("draft"))
     pairs = reads.select(key, F.col(read).alias("read")).join(whole, key)
-    pairs = materialise(edit_paths(pairs, "draft", "read", radius).select(key, "draft", "read", F.col("ops").alias("path")))
+    pairs = materialise(edit_paths(dealt(pairs, key, "read"), "draft", "read", radius).select(key, "draft", "read", F.col("ops").alias("path")))
     tables, deep = part_tables(pairs, [key], "draft", "read", T16, radius, "path")
     chosen = choose_edits(whole, best_edits(tables, key, T16, deep=deep), None, key, "draft", T16, F.lit(rest))
-    places = chosen.select(key, F.explode("edits.pos").alias("pos"))
+    places = materialise(chosen.select(key, F.explode("edits.pos").alias("pos")))  # read twice
     merged = merge_windows(places, key, width).join(whole.select(key, F.length("draft").alias("__length")), key)
     inside = merged.select(key, F.greatest("start", F.lit(0)).alias("start"), F.least("end", "__length").alias("end")).filter("start < end")
     return polish_windows(whole, pairs.select(key, "read", "path"), split_windows(inside, width), key, "draft", "read", "path")
