@@ -381,3 +381,10 @@ def test_a_crop_is_folded_once(spark):
     cut = assembly.sub_reads(rows)
     assert [tuple(r) for r in cut.collect()] == [("t", 0, "r", "CG", "==")]
     assert cut._jdf.queryExecution().executedPlan().toString().count("aggregate(") == 1
+
+
+def test_reads_are_aligned_by_all_tasks(spark, monkeypatch):
+    rows = [(t, "ACGTACGTAC", "ACGTACGAC"[k:], True, True, None, None) for t in range(20) for k in range(3)]
+    pairs = spark.createDataFrame(rows, "tid long, draft string, read string, forward boolean, votes boolean, first long, path string").coalesce(1)
+    assert polish._realigned(pairs, "tid", 8, None).rdd.getNumPartitions() == 4
+    assert polish._contested(pairs, "tid", 8, M.default_model()).rdd.getNumPartitions() == 4
