@@ -3,7 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
-from strandloom.llm.common import materialise
+from strandloom.llm import common
+from strandloom.llm.common import materialise, passing
 from strandloom.llm.language_id import predict, train
 
 from . import cases
@@ -63,3 +64,21 @@ def test_every_stage_takes_null_ids_clashing_columns_and_no_rows(spark):
             assert found.columns == docs.columns == none.columns, name
             held = {r[-1] for r in rows}
             assert {r["kept_text"] for r in found.collect()} <= held, name
+
+
+def test_tables_between_stages_go(spark, monkeypatch, tmp_path):
+    """On the shared folder are the last stage's input and what packing writes; an earlier stage's result takes no space any more."""
+    rows = [(k, f"{chr(97 + k % 26)} word {k} and the rest " * 200, "en", "web") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    size = lambda: sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    seen = []
+    same = lambda s, d, _: seen.append(size()) or d
+    monkeypatch.setattr(corpus_pipeline, "documents", lambda *_: docs)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), same) for k in range(5)])
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, "").collect()) == list(range(300))
+    assert seen[0] == 0 < seen[1] and all(s < 1.5 * seen[1] for s in seen[2:])
+    with passing(spark) as keep:
+        inner = materialise(docs)
+        kept = keep(inner)
+    assert kept.count() == 300 and not any(s > 1000 for s in (p.stat().st_size for p in tmp_path.rglob(f"{inner.inputFiles()[0].split('/')[-2]}/*")))
