@@ -390,3 +390,25 @@ def test_affine_paths_of_many_pairs_are_those_of_single_ones(mode, radius, monke
     assert not traced
     monkeypatch.setattr(K, "FEW", 1000)
     assert many == K.affine_pairs(x, y, (3, -6, -10, -2), mode, band) and len(traced) == 300
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_tables_of_few_bits(monkeypatch, wide):
+    """Short pairs have distances of 16 bits, and windows of more than half of a row are whole rows with an outside: results are those
+    of wide numbers and of windows that are cut out."""
+    rng = random.Random(5)
+    pairs = [(a := "".join(rng.choices("ACGT", k=23)), mutated(rng, a, 3)) for _ in range(80)]
+    pairs = [(a, (b + "ACGTA")[:23]) for a, b in pairs]
+    x, y = (np.stack([K.codes(p[k]) for p in pairs]) for k in (0, 1))
+    whole = K.Band.around([None] * 80, 23, 23, 8)
+    assert whole.outside is not None and not whole.starts.any()
+    cells = ~whole.outside
+    cut = K.Band(np.ascontiguousarray(cells.argmax(1).T), int(cells.sum(1).max()))
+    if wide:
+        monkeypatch.setattr(K, "_NEAR", 0)
+    for one, other in ((K.edit_table(x, y, 4, 4, whole), K.edit_table(x, y, 4, 4, cut)), (MODEL.edit_table(x, y, 3, 3, whole, back=True), MODEL.edit_table(x, y, 3, 3, cut, back=True)), ((MODEL.expected(x, y, whole),), (MODEL.expected(x, y, cut),))):
+        for a, b in zip(one, other, strict=True):
+            np.testing.assert_allclose(np.maximum(a.astype(float), -1e30), np.maximum(b.astype(float), -1e30), rtol=1e-9, atol=1e-12)
+    same = [(K.distance_table(x, y, b), b) for b in (whole, cut)]
+    assert K.distance_paths(same[0][0], x, y, "ID=", whole.starts, np.zeros(80, int), np.zeros(80, int)) == K.distance_paths(same[1][0], x, y, "ID=", cut.starts, np.zeros(80, int), np.zeros(80, int))
+    assert same[0][0].dtype == np.int32 and (same[0][0] == K.FAR).any()
