@@ -1,7 +1,7 @@
 """Re-estimation of pair-HMM models from (reference, query) pairs, one or many templates, one or both strands.
 
-An iteration is one job: each task runs forward and backward over its reads, the 41 expected shares of a read are
-summed in Spark (partial sums before the shuffle), and only the sums of each strand reach the driver.
+An iteration is one job: each task runs forward and backward over its reads and adds up their 41 expected shares, those
+sums are added up in Spark, and only the sums of each strand reach the driver.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.model import PRIOR
-from .align import _with_path
-from .kernels_on_rows import by_shape, map_rows
+from .align import _inputs, _placed
+from .kernels_on_rows import CELLS, by_shape, map_rows
+from .tables import dealt
 
 _SHARES = 9 + 16 + 16
 
@@ -25,21 +26,22 @@ def fit_step(pairs: DataFrame, reference: str, query: str, models: dict[bool, K.
     Reads whose likelihood isn't finite, or differs between forward and backward, don't count.  A strand without
     reads keeps its model.
     """
-    source, along = _with_path(pairs, reference, query, path)
-    source = source.withColumn("__strand", F.coalesce(F.col(strand), F.lit(True)) if strand else F.lit(True))
+    source = dealt(pairs.withColumn("__strand", F.coalesce(F.col(strand), F.lit(True)) if strand else F.lit(True)), reference, query)
 
     def kernel(frame: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
         rows: list[int] = []
-        shares: list[np.ndarray] = []
-        for forward, own in frame.groupby(3):
-            for places, x, y, band in by_shape(own.reset_index(drop=True), radius):
+        shares: list[np.ndarray] = []  # added up, of each strand
+        for forward, own in frame.groupby(frame.columns[-1]):
+            sums = np.zeros(_SHARES)
+            for places, x, y, band in by_shape(_placed(own.reset_index(drop=True), radius, path), radius, CELLS // 4):
                 found = models[bool(forward)].expected(x, y, band)
-                good = np.isfinite(found).all(-1)
-                rows += own.index.to_numpy()[places[good]].tolist()
-                shares += list(found[good])
+                sums += found[np.isfinite(found).all(-1)].sum(0)
+            if sums.any():
+                rows.append(int(own.index[0]))
+                shares.append(sums)
         return np.array(rows, int), pd.DataFrame({"shares": pd.Series(shares, dtype=object)})
 
-    shares = map_rows(source, ["__strand"], [reference, query, along, "__strand"], "shares array<double>", kernel)
+    shares = map_rows(source, ["__strand"], [*_inputs(reference, query, path), "__strand"], "shares array<double>", kernel)
     sums = shares.groupBy("__strand").agg(*[F.sum(F.col("shares")[k]).alias(f"s{k}") for k in range(_SHARES)]).collect()
     out = dict(models)
     for row in sums:

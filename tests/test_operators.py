@@ -388,3 +388,30 @@ def test_reads_are_aligned_by_all_tasks(spark, monkeypatch):
     pairs = spark.createDataFrame(rows, "tid long, draft string, read string, forward boolean, votes boolean, first long, path string").coalesce(1)
     assert polish._realigned(pairs, "tid", 8, None).rdd.getNumPartitions() == 4
     assert polish._contested(pairs, "tid", 8, M.default_model()).rdd.getNumPartitions() == 4
+
+
+def test_diagonal_path(spark):
+    shapes = [(n, m) for n in (0, 1, 7, 23, 24, 50) for m in (0, 1, 6, 23, 25, 61)]
+    rows = spark.createDataFrame(shapes, "n int, m int").select("n", "m", S.bootstrap_path(F.col("n"), F.col("m")).alias("p")).collect()
+    assert len(rows) == len(shapes) and all(K.diagonal_path(r.n, r.m) == r.p for r in rows)
+
+
+def test_first_paths_are_found_where_reads_are_dealt(spark, monkeypatch):
+    """The path along the diagonal is no expression over a file's few tasks, and pairs of one small file train by all tasks."""
+    df = spark.createDataFrame([("ACGTACGTAC", "ACGTACGAC"[k:], k % 2 == 0) for k in range(4)] * 5, "a string, b string, fwd boolean").coalesce(1)
+    rows, seen = fit.map_rows, []
+    monkeypatch.setattr(fit, "map_rows", lambda pairs, *a: seen.append(pairs) or rows(pairs, *a))
+    fit.fit_step(df, "a", "b", {True: M.default_model(), False: M.default_model()}, strand="fwd", radius=4)
+    assert seen[0].rdd.getNumPartitions() == 4
+    for plan in (seen[0], align.edit_paths(df, "a", "b", 4), align.best_paths(df, "a", "b", radius=4)):
+        assert "sequence(" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_adds_up_shares(spark, monkeypatch):
+    """One row of shares leaves a task for each strand of a batch, whatever its number of reads."""
+    df = spark.createDataFrame([("ACGTACGTAC", "ACGTACGAC", k % 2 == 0) for k in range(40)], "a string, b string, fwd boolean").coalesce(1)
+    rows, found = fit.map_rows, []
+    monkeypatch.setattr(fit, "dealt", lambda pairs, *_: pairs)
+    monkeypatch.setattr(fit, "map_rows", lambda *a: found.append(rows(*a)) or found[0])
+    fit.fit_step(df, "a", "b", {True: M.default_model(), False: M.default_model()}, strand="fwd")
+    assert found[0].count() == 2
